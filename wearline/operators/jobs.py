@@ -65,40 +65,38 @@ def lifetime_distribution(cycle_counts: DataFrame, accuracy: int = 10_000,
     return out
 
 
-def sensor11_stats(lines: DataFrame, column: str = "sensor_11") -> DataFrame:
-    """min, max, mean and count of one sensor over well-formed lines (>= 26 fields)."""
+def sensor11_stats(lines: DataFrame, column: str = "sensor_11",
+                   digits: int | None = None) -> DataFrame:
+    """min, max, mean and count of one sensor over well-formed lines (>= 26 fields);
+    ``digits`` rounds the mean (half up)."""
     p = _with_ids(parse_lines_dual(lines, 26)).select(
         *ID, number(F.col("fields"), POS[column]).alias("v")).where(F.col("v").isNotNull())
     key = "Sensor_" + column.split("_")[-1]
+    avg = F.avg("v") if digits is None else F.round(F.avg("v"), digits)
     return p.groupBy(*ID).agg(
-        F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("avg"),
+        F.min("v").alias("min"), F.max("v").alias("max"), avg.alias("avg"),
         F.count(F.lit(1)).alias("count")).select(F.lit(key).alias("key"), *ID, "min", "max",
                                                  "avg", "count")
 
 
-def feature_summary(lines: DataFrame, features=FEATURE_COLUMNS, digits: int = 4) -> DataFrame:
-    """count, min, max, mean, std, variance, range of each feature (unparsable values are
-    skipped per feature).  One wide aggregate per data set, then the small result is
-    unpivoted: no row multiplication before the shuffle."""
-    p = _with_ids(parse_lines_dual(lines, 26)).select(
+def feature_summary(lines: DataFrame, features=FEATURE_COLUMNS, digits: int = 4,
+                    dual: bool = False) -> DataFrame:
+    """count, min, max, mean, std, variance, range of each feature over comma-separated
+    lines with at least 26 fields (``dual=True`` also accepts blank-separated lines);
+    unparsable values are skipped per feature.  Variance is the numerically stable
+    population variance."""
+    p = _with_ids(parse_lines_dual(lines, 26, dual)).select(
         *ID, *[number(F.col("fields"), POS[f]).alias(f) for f in features])
-    aggs = []
-    for f in features:
-        aggs += [F.count(f).alias(f"{f}__count"), F.min(f).alias(f"{f}__min"),
-                 F.max(f).alias(f"{f}__max"), F.avg(f).alias(f"{f}__mean"),
-                 F.stddev_pop(f).alias(f"{f}__std"), F.var_pop(f).alias(f"{f}__variance")]
-    wide = p.groupBy(*ID).agg(*aggs)
-    cells = F.explode(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f"{f}__count").alias("count"),
-                 F.col(f"{f}__min").alias("min"), F.col(f"{f}__max").alias("max"),
-                 F.col(f"{f}__mean").alias("mean"), F.col(f"{f}__std").alias("std"),
-                 F.col(f"{f}__variance").alias("variance"))
-        for f in features])).alias("c")
-    return wide.select(*ID, cells).select(
-        *ID, "c.feature", "c.count", "c.min", "c.max",
-        half_even("c.mean", digits).alias("mean"), half_even("c.std", digits).alias("std"),
-        half_even("c.variance", digits).alias("variance"),
-        half_even(F.col("c.max") - F.col("c.min"), digits).alias("range"))
+    # Long form (data set, type, feature, value): the unpivot happens inside the map task
+    # and feeds the partial aggregate directly, so the shuffle carries one partial row per
+    # (data set, type, feature) and task, whatever the input size.
+    long = p.unpivot(ID, list(features), "feature", "v")
+    return long.groupBy(*ID, "feature").agg(
+        F.count("v").alias("count"), F.min("v").alias("min"), F.max("v").alias("max"),
+        half_even(F.avg("v"), digits).alias("mean"),
+        half_even(F.stddev_pop("v"), digits).alias("std"),
+        half_even(F.var_pop("v"), digits).alias("variance"),
+        half_even(F.max("v") - F.min("v"), digits).alias("range"))
 
 
 def avg_sensor4_by_setting(lines: DataFrame, digits: int = 4) -> DataFrame:
@@ -113,16 +111,19 @@ def avg_sensor4_by_setting(lines: DataFrame, digits: int = 4) -> DataFrame:
 
 def degradation_metrics(lines: DataFrame, sensors: Mapping[str, str] = DEGRADATION_SENSORS,
                         k_max: int = 10, min_fields: int = 15,
-                        salt_buckets: int = DEFAULT_SALT_BUCKETS, digits: int = 2) -> DataFrame:
+                        salt_buckets: int = DEFAULT_SALT_BUCKETS, digits: int = 2,
+                        dual: bool = False) -> DataFrame:
     """Per unit with at least 2 readings, in cycle order: mean of the first and the last
     k = min(10, n div 4) readings of five sensors, percent change relative to |early|
     (0 when early is 0), health index = -temperature change + pressure change.
 
     With k = 0 (2 or 3 readings) the early means are 0 and the late means cover all
-    readings.  Unparsable sensor fields count as 0.0.  First/last rows come from a salted
-    two-stage window, so a very long series never sits in one task.
+    readings.  Input lines are comma-separated with at least ``min_fields`` fields
+    (``dual=True`` also accepts blank-separated lines); unparsable sensor fields count as
+    0.0.  First/last rows come from a salted two-stage window, so a very long series never
+    sits in one task.
     """
-    p = _with_ids(parse_lines_dual(lines, min_fields)).select(
+    p = _with_ids(parse_lines_dual(lines, min_fields, dual)).select(
         *ID, whole_number(F.col("fields"), 0).alias("unit_number"),
         whole_number(F.col("fields"), 1).alias("time_cycles"),
         *[F.coalesce(number(F.col("fields"), POS[c]), F.lit(0.0)).alias(name)

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wearline.operators import pipelines as P
+from wearline.operators import jobs as J
 from wearline.operators import warehouse as W
 from wearline.plans import tables
 from wearline.schema import dataset_dim
@@ -217,3 +218,59 @@ def _profile(spark, sf):
 def _corrm(spark, sf):
     per_unit = P.avg_sensors_per_unit(R(spark, sf))
     return P.avg_sensor_corr_matrix(per_unit, digits=DIGITS)
+
+
+# ----------------------------------------------------------------------------- jobs
+def _lines(spark, sf, style="mixed"):
+    return tables.lines(spark, sf, style)
+
+
+@query("line_count")
+def _lc(spark, sf):
+    return J.line_count(_lines(spark, sf))
+
+
+@query("op_count")
+def _opc(spark, sf):
+    return J.op_count(_lines(spark, sf))
+
+
+@query("cycle_counter")
+def _cc(spark, sf):
+    return J.cycle_counter(_lines(spark, sf))
+
+
+@query("lifetime_distribution")
+def _ld(spark, sf):
+    return J.lifetime_distribution(J.cycle_counter(_lines(spark, sf)), accuracy=ACCURACY,
+                                   digits=DIGITS)
+
+
+@query("sensor11_stats")
+def _s11(spark, sf):
+    return J.sensor11_stats(_lines(spark, sf), digits=DIGITS)
+
+
+@query("feature_summary")
+def _fs(spark, sf):
+    return J.feature_summary(_lines(spark, sf, "comma"), digits=DIGITS)
+
+
+@query("avg_sensor4_by_setting")
+def _s4(spark, sf):
+    return J.avg_sensor4_by_setting(_lines(spark, sf), digits=DIGITS)
+
+
+@query("degradation_metrics")
+def _dm(spark, sf):
+    return J.degradation_metrics(_lines(spark, sf, "comma"))
+
+
+@query("job_result_filter")
+def _jrf(spark, sf):
+    stats = J.job_output_text(J.sensor11_stats(_lines(spark, sf), digits=DIGITS),
+                              ["key", "dataset_id", "dataset_type"], ["min", "max", "avg", "count"])
+    summary = J.job_output_text(J.feature_summary(_lines(spark, sf, "comma"), digits=DIGITS),
+                                ["feature", "dataset_id", "dataset_type"],
+                                ["count", "min", "max", "mean", "std", "variance", "range"])
+    return J.job_result_filter(stats.unionByName(summary), k=15)

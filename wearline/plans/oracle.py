@@ -307,4 +307,87 @@ GROUP BY a.col, b.col ORDER BY column_i, column_j""", extra_ctes=(
     + f" FROM cmapss_train WHERE {FD1} GROUP BY unit_number),\n"
     "l AS (UNPIVOT pu ON COLUMNS('avg_sensor_.*') INTO NAME col VALUE v)"))
 
+# ----------------------------------------------------------------------------- jobs
+# The jobs read text lines rendered from readings; a cut line holds 20 fields, a bad line
+# carries a letter in sensor_11.  Over the readings table the same rules read:
+ORACLE["line_count"] = with_fixtures(
+    "SELECT 'total_lines' AS key, COUNT(*) AS total FROM readings")
+
+ORACLE["op_count"] = with_fixtures("""
+SELECT dataset_id, dataset_type, 'Unit_' || CAST(unit_number AS VARCHAR) AS key, COUNT(*) AS count
+FROM readings GROUP BY 1, 2, 3""")
+
+_CYCLES = """
+SELECT dataset_id, dataset_type, unit_number, MAX(time_cycles) AS max_cycle
+FROM readings GROUP BY 1, 2, 3"""
+ORACLE["cycle_counter"] = with_fixtures(_CYCLES)
+
+ORACLE["lifetime_distribution"] = with_fixtures(f"""
+SELECT dataset_id, dataset_type, COUNT(*) AS units, MIN(max_cycle) AS min_life,
+       MAX(max_cycle) AS max_life, {_r('AVG(max_cycle)', 'avg_life')},
+       {_r('STDDEV_POP(max_cycle)', 'std_life')}, quantile_disc(max_cycle, 0.5) AS median_life
+FROM ({_CYCLES}) c GROUP BY 1, 2""")
+
+_S11 = f"""
+SELECT 'Sensor_11' AS key, dataset_id, dataset_type, MIN(sensor_11) AS min,
+       MAX(sensor_11) AS max, ROUND(AVG(sensor_11), 4) AS avg, COUNT(*) AS count
+FROM readings WHERE NOT {CUT_SQL} AND NOT {BAD_SQL} GROUP BY 2, 3"""
+ORACLE["sensor11_stats"] = with_fixtures(_S11)
+
+_FEATURES = ["op_setting_1", "op_setting_2", "op_setting_3"] + SENSOR_COLUMNS
+_FEAT_COLS = ", ".join(
+    f"CASE WHEN {BAD_SQL} THEN NULL ELSE sensor_11 END AS sensor_11" if f == "sensor_11" else f
+    for f in _FEATURES)
+ORACLE["feature_summary"] = with_fixtures("""
+SELECT dataset_id, dataset_type, feature, COUNT(v) AS count, MIN(v) AS min, MAX(v) AS max,
+       round_even(AVG(v), 4) + 0.0 AS mean, round_even(STDDEV_POP(v), 4) + 0.0 AS std,
+       round_even(VAR_POP(v), 4) + 0.0 AS variance, round_even(MAX(v) - MIN(v), 4) + 0.0 AS range
+FROM fl GROUP BY 1, 2, 3""", extra_ctes=f"""
+fw AS (SELECT dataset_id, dataset_type, {_FEAT_COLS} FROM readings WHERE NOT {CUT_SQL}),
+fl AS (UNPIVOT fw ON {", ".join(_FEATURES)} INTO NAME feature VALUE v)""")
+
+ORACLE["avg_sensor4_by_setting"] = with_fixtures(f"""
+SELECT dataset_id, dataset_type,
+       'OpSet1_' || CAST(round_even(op_setting_1, 1) + 0.0 AS VARCHAR) AS key,
+       round_even(AVG(sensor_4), 4) + 0.0 AS avg_sensor_4
+FROM readings WHERE NOT {CUT_SQL} GROUP BY 1, 2, 3""")
+
+_DEG = {"temp_hpc": "sensor_3", "pressure_hpc": f"CASE WHEN {BAD_SQL} THEN 0.0 ELSE sensor_11 END",
+        "fan_speed": "sensor_8", "core_speed": "sensor_9", "fuel_ratio": "sensor_12"}
+_DEG_AVG = ",\n       ".join(
+    f"COALESCE(AVG(CASE WHEN a <= k THEN {n} END), 0.0) AS e_{n}, "
+    f"COALESCE(AVG(CASE WHEN b <= k OR k = 0 THEN {n} END), 0.0) AS l_{n}" for n in _DEG)
+
+
+def _pct(n: str) -> str:
+    return f"round_even(CASE WHEN e_{n} <> 0 THEN (l_{n} - e_{n}) / ABS(e_{n}) * 100 ELSE 0.0 END, 2)"
+
+
+ORACLE["degradation_metrics"] = with_fixtures(f"""
+SELECT dataset_id, dataset_type, unit_number, total_cycles,
+       {", ".join(_pct(n) + " + 0.0 AS " + n + "_pct_change" for n in _DEG)},
+       round_even(-{_pct("temp_hpc")} + {_pct("pressure_hpc")}, 2) + 0.0 AS health_index,
+       round_even(e_temp_hpc, 2) + 0.0 AS early_avg_temp,
+       round_even(l_temp_hpc, 2) + 0.0 AS late_avg_temp,
+       round_even(e_pressure_hpc, 2) + 0.0 AS early_avg_pressure,
+       round_even(l_pressure_hpc, 2) + 0.0 AS late_avg_pressure
+FROM g WHERE n >= 2""", extra_ctes=f"""
+dl AS (SELECT dataset_id, dataset_type, unit_number, time_cycles,
+              {", ".join(f"{v} AS {n}" for n, v in _DEG.items())} FROM readings),
+dr AS (SELECT *, row_number() OVER (PARTITION BY dataset_id, dataset_type, unit_number
+                                    ORDER BY time_cycles) AS a,
+              row_number() OVER (PARTITION BY dataset_id, dataset_type, unit_number
+                                 ORDER BY time_cycles DESC) AS b,
+              COUNT(*) OVER (PARTITION BY dataset_id, dataset_type, unit_number) AS n
+       FROM dl),
+dk AS (SELECT *, LEAST(10, CAST(FLOOR(n / 4) AS INT)) AS k FROM dr),
+g AS (SELECT dataset_id, dataset_type, unit_number, MAX(n) AS n,
+             MAX(time_cycles) AS total_cycles,
+       {_DEG_AVG}
+      FROM dk GROUP BY 1, 2, 3)""")
+
+ORACLE["job_result_filter"] = with_fixtures(f"""
+SELECT key || '/' || dataset_id || '/' || dataset_type AS key, avg, min, max, count
+FROM ({_S11}) s ORDER BY key LIMIT 15""")
+
 __all__ = ["ORACLE", "BAD_SQL", "CUT_SQL"]

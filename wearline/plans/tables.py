@@ -61,3 +61,21 @@ def rul(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scratch(spark: SparkSession, sf_dir: str, name: str) -> str:
     """A folder for a query's own files, below the shared scratch folder."""
     return join_path(scratch_dir(spark), "wearline-work", _fingerprint(sf_dir), name)
+
+
+def lines_path(spark: SparkSession, sf_dir: str, style: str) -> str:
+    return join_path(scratch_dir(spark), "wearline-layout", _fingerprint(sf_dir), f"lines-{style}")
+
+
+def lines(spark: SparkSession, sf_dir: str, style: str = "mixed") -> DataFrame:
+    """Raw text lines rendered by Spark from ``readings`` (with injected faults), stored once
+    as text files named like the raw files (``train_FD001.txt`` ...) and read back through
+    the text source, so the jobs see files as in production."""
+    from wearline.sources.fixtures import raw_lines
+    from wearline.sources.text import read_lines
+
+    path = lines_path(spark, sf_dir, style)
+    if not path_exists(spark, join_path(path, "_SUCCESS")):
+        (raw_lines(readings(spark, sf_dir), style=style)
+         .write.mode("overwrite").partitionBy("source").text(path))
+    return read_lines(spark, path)

@@ -79,13 +79,16 @@ def source_name(kind: Column, dataset_id: Column) -> Column:
     return F.concat(prefix, F.lit("_"), dataset_id, F.lit(".txt"))
 
 
-def raw_lines(readings: DataFrame, mixed: bool = True, faults: bool = True) -> DataFrame:
+def raw_lines(readings: DataFrame, style: str = "mixed", faults: bool = True) -> DataFrame:
     """Render readings as raw text lines ``(source, value)``.
 
-    Blank-separated lines have a triple blank after the cycle and two trailing blanks; with
-    ``mixed`` every line with odd ``unit + cycle`` is comma-separated instead.  With
-    ``faults``, cut lines keep only 20 fields and bad lines carry ``x`` before sensor_11.
+    ``style='blank'``: blank-separated with a triple blank after the cycle and two trailing
+    blanks (raw file form); ``'comma'``: comma-separated (processed CSV form); ``'mixed'``:
+    every line with odd ``unit + cycle`` is comma-separated, the others blank-separated.
+    With ``faults``, cut lines keep only 20 fields and bad lines carry ``x`` before sensor_11.
     """
+    if style not in ("mixed", "comma", "blank"):
+        raise ValueError(f"unknown line style {style!r}")
     cut, bad = fault_flags() if faults else (F.lit(False), F.lit(False))
     fields = [F.col(c).cast("string") for c in RAW_COLUMNS]
     fields[BAD_FIELD] = F.when(bad, F.concat(F.lit("x"), fields[BAD_FIELD])).otherwise(
@@ -96,8 +99,8 @@ def raw_lines(readings: DataFrame, mixed: bool = True, faults: bool = True) -> D
                          F.concat_ws(" ", *fields[2:CUT_FIELDS]), F.lit("  "))
     full_comma = F.concat_ws(",", *fields)
     cut_comma = F.concat_ws(",", *fields[:CUT_FIELDS])
-    comma = (F.pmod(F.col("unit_number") + F.col("time_cycles"), F.lit(2)) == 1) if mixed \
-        else F.lit(False)
+    comma = {"mixed": F.pmod(F.col("unit_number") + F.col("time_cycles"), F.lit(2)) == 1,
+             "comma": F.lit(True), "blank": F.lit(False)}[style]
     value = (F.when(comma & cut, cut_comma).when(comma, full_comma)
              .when(cut, cut_blank).otherwise(full_blank))
     return readings.select(
