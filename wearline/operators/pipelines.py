@@ -215,3 +215,29 @@ def avg_sensor_corr_matrix(per_unit: DataFrame, columns: Sequence[str] | None =
                                   F.col(f"`{a}|{b}`").alias("r")))
     df = wide.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
     return finish(df, ["column_i", "column_j"], None, digits, ["r"])
+
+
+def dataset_overview(readings: DataFrame, dim: DataFrame) -> DataFrame:
+    """Data-set metadata next to the engine counts found in the data, with mismatch flags.
+
+    Counts come from the data (distinct units per data set and type); the fixed metadata
+    is kept as descriptive columns.  A full outer join shows data sets missing on either
+    side.  The dimension has four rows, so it is broadcast.
+    """
+    found = readings.groupBy("dataset_id").agg(
+        F.count_distinct(F.when(F.col("dataset_type") == "train", F.col("unit_number")))
+        .alias("train_engines_found"),
+        F.count_distinct(F.when(F.col("dataset_type") == "test", F.col("unit_number")))
+        .alias("test_engines_found"))
+    meta = F.broadcast(dim.select("dataset_id", "train_engines", "test_engines",
+                                  "operating_conditions", "fault_modes"))
+    out = found.join(meta, "dataset_id", "full")
+    return out.select(
+        "dataset_id", "train_engines", "test_engines", "operating_conditions", "fault_modes",
+        F.coalesce("train_engines_found", F.lit(0)).alias("train_engines_found"),
+        F.coalesce("test_engines_found", F.lit(0)).alias("test_engines_found"),
+        (~F.coalesce("train_engines", F.lit(-1)).eqNullSafe(
+            F.coalesce("train_engines_found", F.lit(0)))).alias("train_mismatch"),
+        (~F.coalesce("test_engines", F.lit(-1)).eqNullSafe(
+            F.coalesce("test_engines_found", F.lit(0)))).alias("test_mismatch"),
+    ).orderBy("dataset_id")

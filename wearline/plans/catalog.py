@@ -10,12 +10,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wearline.operators import pipelines as P
 from wearline.operators import jobs as J
+from wearline.operators import ml as ML
+from wearline.operators import reads as RD
 from wearline.operators import warehouse as W
 from wearline.plans import tables
-from wearline.schema import dataset_dim
+from wearline.schema import READING_COLUMNS, SERIES_KEY, dataset_dim
+from wearline.sources import files as FS
+from wearline.sources import ingest as IN
+from wearline.sources import text as TX
 
 DIGITS = 4
 ACCURACY = 1_000_000
@@ -274,3 +280,156 @@ def _jrf(spark, sf):
                                 ["feature", "dataset_id", "dataset_type"],
                                 ["count", "min", "max", "mean", "std", "variance", "range"])
     return J.job_result_filter(stats.unionByName(summary), k=15)
+
+
+# ----------------------------------------------------------------------------- reads, changes
+@query("get_dataset")
+def _getds(spark, sf):
+    return RD.get_dataset(R(spark, sf), "FD001")
+
+
+@query("sample_rows")
+def _sample(spark, sf):
+    return RD.sample_rows(R(spark, sf), "FD001", "train", limit=5)
+
+
+@query("unit_series")
+def _series(spark, sf):
+    return RD.unit_series(R(spark, sf), None, "FD001", "train")
+
+
+@query("training_scan")
+def _tscan(spark, sf):
+    return RD.training_scan(R(spark, sf), "FD001", "train")
+
+
+def _last_cycle_fix(readings: DataFrame) -> DataFrame:
+    """Updates derived from the data: the last reading of every series gets the series'
+    highest sensor_11 value."""
+    per = readings.groupBy(*SERIES_KEY).agg(
+        F.max("time_cycles").alias("time_cycles"), F.max("sensor_11").alias("sensor_11"))
+    return per.select("dataset_id", "dataset_type", "unit_number", "time_cycles", "sensor_11")
+
+
+@query("update_readings")
+def _upd(spark, sf):
+    r = R(spark, sf)
+    return RD.apply_updates(r, _last_cycle_fix(r))
+
+
+@query("update_report")
+def _updrep(spark, sf):
+    r = R(spark, sf)
+    return RD.update_report(r, _last_cycle_fix(r))
+
+
+@query("update_sensor_data")
+def _upd1(spark, sf):
+    return RD.update_sensor_data(R(spark, sf), "FD001", 1, 1, {"sensor_11": 0.0})
+
+
+@query("delete_dataset")
+def _del(spark, sf):
+    return RD.delete_dataset(R(spark, sf), "FD002", "test")
+
+
+@query("deleted_count")
+def _delc(spark, sf):
+    return RD.deleted_count(R(spark, sf), "FD002", "test")
+
+
+# ----------------------------------------------------------------------------- sources, sinks
+@query("parse_readings")
+def _parse(spark, sf):
+    parsed = TX.parse_readings(tables.lines(spark, sf, "blank"))
+    return parsed.select(*READING_COLUMNS, "parse_ok")
+
+
+@query("parse_rul")
+def _prul(spark, sf):
+    return TX.parse_rul(tables.rul_text(spark, sf))
+
+
+@query("ingest_report")
+def _irep(spark, sf):
+    parsed = TX.parse_readings(tables.lines(spark, sf, "blank"))
+    return IN.ingest_report(parsed.unionByName(
+        TX.parse_rul(tables.rul_text(spark, sf)).select(
+            "dataset_id", "dataset_type", F.lit(True).alias("parse_ok")),
+        allowMissingColumns=True))
+
+
+@query("csv_round_trip")
+def _csv(spark, sf):
+    path = tables.scratch(spark, sf, "csv-round-trip")
+    TX.csv_write(R(spark, sf), path)
+    back = TX.csv_read(spark, path)
+    return back.select(*READING_COLUMNS)
+
+
+@query("replace_ingest")
+def _repl(spark, sf):
+    path = tables.scratch(spark, sf, "replace-ingest")
+    r = R(spark, sf)
+    IN.data_layout(r, path)
+    part = r.where((F.col("dataset_id") == "FD001") & (F.col("dataset_type") == "train"))
+    IN.replace_ingest(part, path).collect()  # first load of the same partition
+    IN.replace_ingest(part, path).collect()  # reloading must not duplicate
+    return (spark.read.parquet(path).groupBy("dataset_id", "dataset_type")
+            .agg(F.count(F.lit(1)).alias("row_count")))
+
+
+@query("table_views")
+def _views(spark, sf):
+    IN.table_views(spark, R(spark, sf), tables.rul(spark, sf))
+    return IN.view_counts(spark, ["cmapss_train", "cmapss_test", "cmapss_rul"])
+
+
+CUSTOM_SQL = """
+SELECT t.dataset_id, COUNT(*) AS row_count, MAX(t.time_cycles) AS max_cycle,
+       ROUND(AVG(t.sensor_11), 4) AS avg_sensor_11
+FROM cmapss_train t
+WHERE t.op_setting_3 <= 4 OR t.sensor_2 > 230
+GROUP BY t.dataset_id
+HAVING COUNT(*) > 0
+ORDER BY t.dataset_id"""
+
+
+@query("custom_sql")
+def _csql(spark, sf):
+    IN.table_views(spark, R(spark, sf), tables.rul(spark, sf))
+    return W.custom_sql(spark, CUSTOM_SQL)
+
+
+@query("dataset_overview")
+def _dov(spark, sf):
+    return P.dataset_overview(R(spark, sf), dataset_dim(spark))
+
+
+@query("file_inventory")
+def _finv(spark, sf):
+    tables.readings(spark, sf)
+    return FS.storage_summary(FS.list_files(spark, tables.readings_path(spark, sf), "*.parquet"))
+
+
+# ----------------------------------------------------------------------------- model
+@query("rul_label")
+def _rlab(spark, sf):
+    return ML.rul_label(R(spark, sf), "FD001", "train")
+
+
+def _model(spark, sf):
+    path = tables.scratch(spark, sf, "models/FD001")
+    ML.save_model(ML.train_rul_model(R(spark, sf), "FD001", "train", num_trees=100,
+                                     max_depth=10, seed=42), path)
+    return ML.load_model(path)
+
+
+@query("predict_rul")
+def _pred(spark, sf):
+    return ML.predict_rul(_model(spark, sf), R(spark, sf), "FD001", "test")
+
+
+@query("rul_latest")
+def _latest(spark, sf):
+    return ML.rul_latest(ML.predict_rul(_model(spark, sf), R(spark, sf), "FD001", "test"))

@@ -8,7 +8,7 @@ left as they are; medians and quantiles use ``quantile_disc``.
 from __future__ import annotations
 
 from wearline.plans.oracle_base import BAD_SQL, CUT_SQL, with_fixtures
-from wearline.schema import CRITICAL_SENSORS, DATASET_METADATA, SENSOR_COLUMNS
+from wearline.schema import CRITICAL_SENSORS, DATASET_METADATA, READING_COLUMNS, SENSOR_COLUMNS
 
 ORACLE: dict[str, str] = {}
 
@@ -390,4 +390,105 @@ ORACLE["job_result_filter"] = with_fixtures(f"""
 SELECT key || '/' || dataset_id || '/' || dataset_type AS key, avg, min, max, count
 FROM ({_S11}) s ORDER BY key LIMIT 15""")
 
+# ----------------------------------------------------------------------------- reads, changes
+ORACLE["get_dataset"] = with_fixtures(
+    "SELECT * FROM readings WHERE dataset_id = 'FD001' "
+    "ORDER BY dataset_id, unit_number, time_cycles, dataset_type")
+ORACLE["sample_rows"] = with_fixtures(
+    f"SELECT * FROM cmapss_train WHERE {FD1} ORDER BY unit_number, time_cycles LIMIT 5")
+ORACLE["unit_series"] = ORACLE["q01_filter"]
+ORACLE["training_scan"] = ORACLE["q01_filter"]
+
+_FIX = """fix AS (SELECT dataset_id, dataset_type, unit_number, MAX(time_cycles) AS time_cycles,
+                    MAX(sensor_11) AS sensor_11
+             FROM readings GROUP BY 1, 2, 3)"""
+_KEYJ = ("r.dataset_id = u.dataset_id AND r.dataset_type = u.dataset_type "
+         "AND r.unit_number = u.unit_number AND r.time_cycles = u.time_cycles")
+ORACLE["update_readings"] = with_fixtures(
+    "SELECT " + ", ".join(
+        "COALESCE(u.sensor_11, r.sensor_11) AS sensor_11" if c == "sensor_11" else f"r.{c}"
+        for c in READING_COLUMNS)
+    + f" FROM readings r LEFT JOIN fix u ON {_KEYJ}", extra_ctes=_FIX)
+ORACLE["update_report"] = with_fixtures(f"""
+SELECT COUNT(*) AS matched_count,
+       COUNT(*) FILTER (WHERE u.sensor_11 IS NOT NULL
+                        AND u.sensor_11 IS DISTINCT FROM r.sensor_11) AS modified_count
+FROM readings r JOIN fix u ON {_KEYJ}""", extra_ctes=_FIX)
+
+_RANK = ("CASE dataset_type WHEN 'train' THEN 0 WHEN 'test' THEN 1 WHEN 'rul' THEN 2 "
+         "ELSE 3 END")
+_KEY1 = "dataset_id = 'FD001' AND unit_number = 1 AND time_cycles = 1"
+ORACLE["update_sensor_data"] = with_fixtures(
+    "SELECT " + ", ".join(
+        f"CASE WHEN {_KEY1} AND {_RANK} = best.b THEN 0.0 ELSE sensor_11 END AS sensor_11"
+        if c == "sensor_11" else c for c in READING_COLUMNS)
+    + " FROM readings CROSS JOIN best",
+    extra_ctes=f"best AS (SELECT MIN({_RANK}) AS b FROM readings WHERE {_KEY1})")
+
+ORACLE["delete_dataset"] = with_fixtures(
+    "SELECT * FROM readings WHERE NOT (dataset_id = 'FD002' AND dataset_type = 'test')")
+ORACLE["deleted_count"] = with_fixtures(
+    "SELECT COUNT(*) AS deleted_count FROM readings "
+    "WHERE dataset_id = 'FD002' AND dataset_type = 'test'")
+
+# ----------------------------------------------------------------------------- sources, sinks
+_CUT_COLS = set(SENSOR_COLUMNS[15:])  # a cut line ends after sensor_15
+ORACLE["parse_readings"] = with_fixtures(
+    "SELECT " + ", ".join(
+        f"CASE WHEN {CUT_SQL} THEN NULL ELSE {c} END AS {c}" if c in _CUT_COLS
+        else f"CASE WHEN {BAD_SQL} THEN NULL ELSE {c} END AS {c}" if c == "sensor_11"
+        else c for c in READING_COLUMNS)
+    + f", NOT {CUT_SQL} AND NOT {BAD_SQL} AS parse_ok FROM readings")
+
+ORACLE["parse_rul"] = with_fixtures("SELECT rul, dataset_id, dataset_type FROM rul")
+
+ORACLE["ingest_report"] = with_fixtures(f"""
+SELECT CASE WHEN dataset_type = 'rul' THEN 'RUL' ELSE dataset_type END || '_' || dataset_id
+         || '.txt' AS file_name,
+       dataset_id, dataset_type, COUNT(*) AS rows, COUNT(*) FILTER (WHERE NOT ok) AS bad_rows,
+       CASE WHEN COUNT(*) FILTER (WHERE NOT ok) = 0 THEN 'success' ELSE 'partial' END AS status
+FROM (SELECT dataset_id, dataset_type, NOT {CUT_SQL} AND NOT {BAD_SQL} AS ok FROM readings
+      UNION ALL SELECT dataset_id, dataset_type, TRUE FROM rul) x
+GROUP BY dataset_id, dataset_type""")
+
+ORACLE["csv_round_trip"] = with_fixtures("SELECT * FROM readings")
+
+ORACLE["replace_ingest"] = with_fixtures(
+    "SELECT dataset_id, dataset_type, COUNT(*) AS row_count FROM readings GROUP BY 1, 2")
+
+ORACLE["table_views"] = with_fixtures("""
+SELECT 'cmapss_train' AS table_name, COUNT(*) AS row_count FROM cmapss_train
+UNION ALL SELECT 'cmapss_test', COUNT(*) FROM cmapss_test
+UNION ALL SELECT 'cmapss_rul', COUNT(*) FROM rul""")
+
+ORACLE["custom_sql"] = with_fixtures("""
+SELECT t.dataset_id, COUNT(*) AS row_count, MAX(t.time_cycles) AS max_cycle,
+       ROUND(AVG(t.sensor_11), 4) AS avg_sensor_11
+FROM cmapss_train t
+WHERE t.op_setting_3 <= 4 OR t.sensor_2 > 230
+GROUP BY t.dataset_id
+HAVING COUNT(*) > 0
+ORDER BY t.dataset_id""")
+
+ORACLE["dataset_overview"] = with_fixtures("""
+SELECT COALESCE(f.dataset_id, dim.dataset_id) AS dataset_id, dim.train_engines,
+       dim.test_engines, dim.operating_conditions, dim.fault_modes,
+       COALESCE(f.tr, 0) AS train_engines_found, COALESCE(f.te, 0) AS test_engines_found,
+       COALESCE(dim.train_engines, -1) <> COALESCE(f.tr, 0) AS train_mismatch,
+       COALESCE(dim.test_engines, -1) <> COALESCE(f.te, 0) AS test_mismatch
+FROM f FULL JOIN dim ON f.dataset_id = dim.dataset_id
+ORDER BY 1""", extra_ctes=_dim_values() + """,
+f AS (SELECT dataset_id,
+             COUNT(DISTINCT CASE WHEN dataset_type = 'train' THEN unit_number END) AS tr,
+             COUNT(DISTINCT CASE WHEN dataset_type = 'test' THEN unit_number END) AS te
+      FROM readings GROUP BY dataset_id)""")
+
+# ----------------------------------------------------------------------------- model
+ORACLE["rul_label"] = with_fixtures(
+    "SELECT dataset_id, dataset_type, unit_number, time_cycles, "
+    + ", ".join(_FEATURES)
+    + ", CAST(MAX(time_cycles) OVER (PARTITION BY dataset_id, dataset_type, unit_number)"
+      " - time_cycles AS DOUBLE) AS rul"
+    + f" FROM cmapss_train WHERE {FD1}")
+
 __all__ = ["ORACLE", "BAD_SQL", "CUT_SQL"]

@@ -79,3 +79,14 @@ def lines(spark: SparkSession, sf_dir: str, style: str = "mixed") -> DataFrame:
         (raw_lines(readings(spark, sf_dir), style=style)
          .write.mode("overwrite").partitionBy("source").text(path))
     return read_lines(spark, path)
+
+
+def rul_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label lines (``RUL_<id>.txt`` files) rendered from the label table, stored once."""
+    from wearline.sources.fixtures import rul_lines
+    from wearline.sources.text import read_lines
+
+    path = join_path(scratch_dir(spark), "wearline-layout", _fingerprint(sf_dir), "rul-lines")
+    if not path_exists(spark, join_path(path, "_SUCCESS")):
+        rul_lines(rul(spark, sf_dir)).write.mode("overwrite").partitionBy("source").text(path)
+    return read_lines(spark, path)

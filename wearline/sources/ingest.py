@@ -102,10 +102,14 @@ def view_counts(spark: SparkSession, names: Sequence[str]) -> DataFrame:
     return out
 
 
-def ingest_report(loaded: DataFrame, source_col: str = "source") -> DataFrame:
-    """One status row per source file: rows loaded, rows with a parse problem."""
+def ingest_report(loaded: DataFrame, keys: Sequence[str] = tuple(PARTITION_COLUMNS)) -> DataFrame:
+    """One status row per source file, named ``<type>_<id>.txt`` from its data set and type:
+    rows loaded, rows with a parse problem, ``success`` or ``partial``."""
     ok = F.col("parse_ok") if "parse_ok" in loaded.columns else F.lit(True)
-    return loaded.groupBy(source_col).agg(
+    kind = F.when(F.col("dataset_type") == "rul", F.lit("RUL")).otherwise(F.col("dataset_type"))
+    return (loaded.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"),
-        F.count_if(~ok).alias("bad_rows"),
-    ).withColumn("status", F.when(F.col("bad_rows") == 0, "success").otherwise("partial"))
+        F.count_if(~ok).alias("bad_rows"))
+        .select(F.concat(kind, F.lit("_"), F.col("dataset_id"), F.lit(".txt")).alias("file_name"),
+                *keys, "rows", "bad_rows",
+                F.when(F.col("bad_rows") == 0, "success").otherwise("partial").alias("status")))
