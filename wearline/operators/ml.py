@@ -41,13 +41,16 @@ def rul_label(readings: DataFrame, dataset_id: str | None = "FD001",
 
 def rul_pipeline(features: Sequence[str] = FEATURE_COLUMNS, num_trees: int = 100,
                  max_depth: int = 10, seed: int = 42, feature_subset: str = "all",
-                 max_bins: int = 32) -> Pipeline:
+                 max_bins: int = 32, max_memory_mb: int = 64) -> Pipeline:
+    """Assembler + forest.  ``max_memory_mb`` bounds the split statistics each task
+    aggregates per pass (more passes, but a fixed memory footprint per executor core)."""
     assembler = VectorAssembler(inputCols=list(features), outputCol="features",
                                 handleInvalid="skip")
     forest = RandomForestRegressor(featuresCol="features", labelCol=LABEL,
                                    predictionCol="prediction", numTrees=num_trees,
                                    maxDepth=max_depth, seed=seed, maxBins=max_bins,
-                                   featureSubsetStrategy=feature_subset)
+                                   featureSubsetStrategy=feature_subset,
+                                   maxMemoryInMB=max_memory_mb)
     return Pipeline(stages=[assembler, forest])
 
 

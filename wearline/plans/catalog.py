@@ -419,9 +419,13 @@ def _rlab(spark, sf):
 
 
 def _model(spark, sf):
+    """The FD001 model, trained once per table folder and kept in the shared folder."""
+    from wearline.session import join_path, path_exists
+
     path = tables.scratch(spark, sf, "models/FD001")
-    ML.save_model(ML.train_rul_model(R(spark, sf), "FD001", "train", num_trees=100,
-                                     max_depth=10, seed=42), path)
+    if not path_exists(spark, join_path(path, "metadata")):
+        ML.save_model(ML.train_rul_model(R(spark, sf), "FD001", "train", num_trees=100,
+                                         max_depth=10, seed=42), path)
     return ML.load_model(path)
 
 
