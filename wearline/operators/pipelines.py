@@ -55,11 +55,14 @@ def fleet_summary(readings: DataFrame, dim: DataFrame) -> DataFrame:
 
 def avg_sensors_per_unit(readings: DataFrame, dataset_id: str = "FD001",
                          dataset_type: str = "train", sensors: Sequence[str] = SENSOR_COLUMNS,
-                         digits: int | None = None) -> DataFrame:
+                         digits: int | None = None, ordered: bool = True) -> DataFrame:
+    """Per unit: last cycle and the mean of every sensor (``ordered=False`` skips the final
+    sort when the table feeds another aggregate)."""
     df = subset(readings, dataset_id, dataset_type).groupBy("unit_number").agg(
         F.max("time_cycles").alias("max_life"),
         *[F.avg(s).alias(f"avg_{s}") for s in sensors])
-    return finish(df, ["unit_number"], None, digits, [f"avg_{s}" for s in sensors])
+    return finish(df, ["unit_number"] if ordered else None, None, digits,
+                  [f"avg_{s}" for s in sensors])
 
 
 def unit_health_scores(readings: DataFrame, dataset_id: str = "FD001",
@@ -200,20 +203,28 @@ def avg_sensor_corr_matrix(per_unit: DataFrame, columns: Sequence[str] | None =
                            digits: int | None = None) -> DataFrame:
     """Pearson matrix of per-unit mean columns in long form ``(column_i, column_j, r)``.
 
-    All pairs are computed in one aggregate over the per-unit table (one row per unit);
-    a constant column gives NULL instead of an error.
+    One global aggregate over the per-unit table computes each column's population std
+    once and the population covariance of each unordered pair once (c + c(c-1)/2
+    aggregates instead of three per cell); the c*c cells are derived from that single row
+    by one ``inline`` generator.  A constant column gives NULL instead of an error.  The
+    expressions are handed over as SQL text, one call per step, since building hundreds
+    of Column objects one by one costs seconds of driver time.
     """
     cols = list(columns or [c for c in per_unit.columns if c.startswith("avg_sensor_")])
-    pairs = list(combinations_with_replacement(cols, 2))
-    wide = per_unit.agg(*[safe_corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
-    cells = []
-    for a, b in pairs:
-        cells.append(F.struct(F.lit(a).alias("column_i"), F.lit(b).alias("column_j"),
-                              F.col(f"`{a}|{b}`").alias("r")))
-        if a != b:
-            cells.append(F.struct(F.lit(b).alias("column_i"), F.lit(a).alias("column_j"),
-                                  F.col(f"`{a}|{b}`").alias("r")))
-    df = wide.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    n = len(cols)
+    q = [f"`{c}`" for c in cols]
+    aggs = [f"stddev_pop({q[i]}) AS _sd{i}" for i in range(n)]
+    aggs += [f"covar_pop({q[i]}, {q[j]}) AS _cv{i}_{j}" for i in range(n) for j in range(i + 1, n)]
+    wide = per_unit.selectExpr(*aggs)
+
+    def cell(a: int, b: int) -> str:
+        i, j = min(a, b), max(a, b)
+        cov = f"_cv{i}_{j}" if i != j else f"_sd{i} * _sd{i}"
+        return (f"named_struct('column_i', '{cols[a]}', 'column_j', '{cols[b]}', "
+                f"'r', try_divide({cov}, _sd{i} * _sd{j}))")
+
+    cells = ", ".join(cell(a, b) for a in range(n) for b in range(n))
+    df = wide.selectExpr(f"inline(array({cells}))")
     return finish(df, ["column_i", "column_j"], None, digits, ["r"])
 
 

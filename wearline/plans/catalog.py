@@ -222,7 +222,7 @@ def _profile(spark, sf):
 
 @query("avg_sensor_corr_matrix")
 def _corrm(spark, sf):
-    per_unit = P.avg_sensors_per_unit(R(spark, sf))
+    per_unit = P.avg_sensors_per_unit(R(spark, sf), ordered=False)
     return P.avg_sensor_corr_matrix(per_unit, digits=DIGITS)
 
 
