@@ -17,7 +17,7 @@ from wearline.session import join_path, path_exists, scratch_dir
 from wearline.sources.fixtures import load_table, readings_from_lineitem, rul_from_orders
 from wearline.sources.ingest import data_layout
 
-_LAYOUTS: dict[tuple[str, str], str] = {}
+_LAYOUTS: dict[tuple, str] = {}
 
 
 def _fingerprint(sf_dir: str) -> str:
@@ -74,10 +74,12 @@ def lines(spark: SparkSession, sf_dir: str, style: str = "mixed") -> DataFrame:
     from wearline.sources.fixtures import raw_lines
     from wearline.sources.text import read_lines
 
-    path = lines_path(spark, sf_dir, style)
-    if not path_exists(spark, join_path(path, "_SUCCESS")):
-        (raw_lines(readings(spark, sf_dir), style=style)
-         .write.mode("overwrite").partitionBy("source").text(path))
+    key = (spark.sparkContext.applicationId, sf_dir, f"lines-{style}")
+    path = _LAYOUTS.get(key) or lines_path(spark, sf_dir, style)
+    if key not in _LAYOUTS and not path_exists(spark, join_path(path, "_SUCCESS")):
+        (raw_lines(readings(spark, sf_dir), style=style).write.mode("overwrite")
+         .option("partitionOverwriteMode", "static").partitionBy("source").text(path))
+    _LAYOUTS[key] = path
     return read_lines(spark, path)
 
 
@@ -86,7 +88,10 @@ def rul_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wearline.sources.fixtures import rul_lines
     from wearline.sources.text import read_lines
 
+    key = (spark.sparkContext.applicationId, sf_dir, "rul-lines")
     path = join_path(scratch_dir(spark), "wearline-layout", _fingerprint(sf_dir), "rul-lines")
-    if not path_exists(spark, join_path(path, "_SUCCESS")):
-        rul_lines(rul(spark, sf_dir)).write.mode("overwrite").partitionBy("source").text(path)
+    if key not in _LAYOUTS and not path_exists(spark, join_path(path, "_SUCCESS")):
+        (rul_lines(rul(spark, sf_dir)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "static").partitionBy("source").text(path))
+    _LAYOUTS[key] = path
     return read_lines(spark, path)

@@ -32,6 +32,7 @@ def data_layout(df: DataFrame, path: str, partitions: int | None = None,
     unit filters (the access paths of the reference's compound indexes).
     """
     (_layout_frame(df.select(*READING_COLUMNS), partitions).write.mode(mode)
+     .option("partitionOverwriteMode", "static")  # full rewrite; writes the _SUCCESS marker
      .option("maxRecordsPerFile", max_records_per_file)
      .partitionBy(*PARTITION_COLUMNS).parquet(path))
 
@@ -43,8 +44,8 @@ def replace_ingest(df: DataFrame, path: str, partitions: int | None = None) -> D
     Returns the number of rows written per partition (computed from the written files).
     """
     spark = df.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     (_layout_frame(df.select(*READING_COLUMNS), partitions).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic")
      .partitionBy(*PARTITION_COLUMNS).parquet(path))
     touched = df.select(*PARTITION_COLUMNS).distinct()
     return (spark.read.parquet(path).join(touched, PARTITION_COLUMNS, "left_semi")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from wearline.schema import KEY_COLUMNS, RAW_COLUMNS, RAW_SCHEMA
 
 # Fixed value: the file names the ingest accepts, e.g. train_FD001.txt, test_FD004.txt, RUL_FD002.txt.
-FILE_NAME_PATTERN = r"(train|test|RUL)_(FD[0-9]+)\.txt"
+FILE_NAME_PATTERN = r"(train|test|RUL)_FD[0-9]+\.txt"
 
 
 def read_lines(spark: SparkSession, path: str, source: str = "file_path") -> DataFrame:
@@ -28,31 +28,44 @@ def read_lines(spark: SparkSession, path: str, source: str = "file_path") -> Dat
 def file_metadata(source: Column | None = None) -> tuple[Column, Column]:
     """(dataset_id, dataset_type) from a file name or path; NULL for other files.
 
-    The last ``train_/test_/RUL_<id>.txt`` component of the path wins, so both plain files
-    and folders of that name (as Spark writes them) are understood.
+    One regular-expression match per row finds the ``train_/test_/RUL_<id>.txt`` name
+    (a plain file, or a folder of that name as Spark writes them); the two parts are then
+    cut out with plain string functions.
     """
     src = F.col("source") if source is None else source
-    kind = F.regexp_extract(src, r".*" + FILE_NAME_PATTERN, 1)
-    dsid = F.regexp_extract(src, r".*" + FILE_NAME_PATTERN, 2)
-    dataset_type = (F.when(kind == "RUL", F.lit("rul"))
-                    .when(kind == "", F.lit(None).cast("string")).otherwise(kind))
-    dataset_id = F.when(dsid == "", F.lit(None).cast("string")).otherwise(dsid)
+    name = F.regexp_extract(src, FILE_NAME_PATTERN, 0)
+    kind = F.substring_index(name, "_", 1)
+    dsid = F.substring_index(F.substring_index(name, "_", -1), ".", 1)
+    dataset_type = (F.when(name == "", F.lit(None).cast("string"))
+                    .when(kind == "RUL", F.lit("rul")).otherwise(kind))
+    dataset_id = F.when(name == "", F.lit(None).cast("string")).otherwise(dsid)
     return dataset_id, dataset_type
 
 
+# Fixed value: the white space Python's ``str.strip`` / ``str.split`` act on (ASCII part).
+WHITESPACE = " \t\n\r\x0b\x0c"
+
+
 def stripped(value: Column) -> Column:
-    """Line without leading and trailing white space (any kind, as Python ``strip``)."""
-    return F.regexp_replace(value, r"^\s+|\s+$", "")
+    """Line without leading and trailing white space (as Python ``strip``)."""
+    return F.btrim(value, F.lit(WHITESPACE))
 
 
 def split_fields(value: Column | None = None, dual: bool = True) -> Column:
     """Fields of a line: comma-separated if the line holds a comma, else split on runs of
-    white space.  With ``dual=False`` only commas separate (CSV input)."""
+    white space (Python ``split()``).  With ``dual=False`` only commas separate.
+
+    Runs of white space are first turned into one comma by ``regexp_replace`` (pattern
+    compiled once per task) and the line is then split on that single character, which
+    avoids compiling a split pattern per row.
+    """
     v = F.col("value") if value is None else value
     s = stripped(v)
-    by_blank = F.split(s, r"\s+")
     by_comma = F.split(s, ",")
-    return F.when(v.contains(","), by_comma).otherwise(by_blank) if dual else by_comma
+    if not dual:
+        return by_comma
+    by_blank = F.split(F.regexp_replace(s, "[ \t\n\r\x0b\x0c]+", ","), ",")
+    return F.when(v.contains(","), by_comma).otherwise(by_blank)
 
 
 def field(fields: Column, i: int) -> Column:
