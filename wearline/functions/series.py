@@ -5,8 +5,11 @@ held a third of the table, that task would sort a third of the data alone.  The
 below never do that:
 
 * per-series scalars (max cycle, first value) are built with a grouped aggregate, which
-  Spark computes partially on the map side, and joined back with a size-checked broadcast
-  (else a shuffle join, whose hot key AQE splits);
+  Spark computes partially on the map side, and joined back on the series key; AQE
+  broadcasts the aggregate when its measured shuffle size is below the broadcast threshold
+  and otherwise runs a shuffle join whose skewed partitions it splits;
+* row numbers of whole series are computed per block of a coarse order column
+  (``block_row_number``);
 * first-k / last-k rows use a salted two-stage window: local top-k inside
   (series, salt) buckets, then an exact top-k over at most ``2 * salt_buckets * k`` rows
   per series.
@@ -26,10 +29,14 @@ DEFAULT_SALT_BUCKETS = 64
 
 def attach_series_aggregates(df: DataFrame, key: Sequence[str], *aggs: Column,
                              max_broadcast_rows: int | None = None) -> DataFrame:
-    """Add per-series aggregate columns to every row of the series (no window)."""
+    """Add per-series aggregate columns to every row of the series (no window).
+
+    The join strategy is left to AQE (runtime size of the aggregate); pass
+    ``max_broadcast_rows`` to force a broadcast after a bounded row-count check instead.
+    """
     per_series = df.groupBy(*key).agg(*aggs)
-    per_series = (broadcast_if_small(per_series) if max_broadcast_rows is None
-                  else broadcast_if_small(per_series, max_broadcast_rows))
+    if max_broadcast_rows is not None:
+        per_series = broadcast_if_small(per_series, max_broadcast_rows)
     return df.join(per_series, on=list(key), how="inner")
 
 
@@ -64,3 +71,31 @@ def first_last_candidates(df: DataFrame, key: Sequence[str], order: Sequence[str
                     .over(Window.partitionBy(*key)))
         .drop("_salt", "_a1", "_d1", "_c1")
     )
+
+
+def block_row_number(df: DataFrame, key: Sequence[str], order: Sequence[str],
+                     block: str | Column, name: str = "row_number") -> DataFrame:
+    """``row_number()`` over ``partitionBy(key).orderBy(order)`` without sorting a whole
+    series in one task.
+
+    ``block`` must be a coarse column that never decreases along ``order`` (for instance
+    its first, date-like column).  Rows are counted per (series, block); a window over that
+    small count table gives each block's offset (rows of the series in earlier blocks); the
+    row number is the offset plus the rank inside the block.  The largest sort is one
+    block of one series; the offsets join back on (series, block), which AQE broadcasts
+    when the count table is small and otherwise runs as a skew-split shuffle join.
+    """
+    key, order = list(key), list(order)
+    b = F.col(block) if isinstance(block, str) else block
+    df = df.withColumn("_blk", b)
+    counts = df.groupBy(*key, "_blk").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select(
+        *key, "_blk",
+        F.coalesce(F.sum("_n").over(
+            Window.partitionBy(*key).orderBy("_blk")
+            .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    local = F.row_number().over(Window.partitionBy(*key, "_blk").orderBy(*order))
+    return (df.withColumn("_local", local)
+            .join(offsets, [*key, "_blk"], "inner")
+            .withColumn(name, F.col("_off") + F.col("_local"))
+            .drop("_blk", "_local", "_off"))

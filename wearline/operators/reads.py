@@ -97,13 +97,14 @@ def apply_updates(readings: DataFrame, updates: DataFrame,
                   max_broadcast_rows: int | None = None) -> DataFrame:
     """Bulk form: ``updates`` holds the row key and the columns to set (NULL = keep).
 
-    A left join on the full key; the updates side is broadcast only after a bounded size
-    check, otherwise both sides are shuffled on the key (AQE splits skewed keys).
+    A left join on the full key.  By default AQE picks the strategy from the measured size
+    of the updates (broadcast below its threshold, else a shuffle join with skew
+    splitting); ``max_broadcast_rows`` forces a broadcast after a bounded row-count check.
     """
     cols = [c for c in updates.columns if c not in ROW_KEY]
     upd = updates.select(*ROW_KEY, *[F.col(c).alias(f"_new_{c}") for c in cols])
-    upd = broadcast_if_small(upd) if max_broadcast_rows is None else broadcast_if_small(
-        upd, max_broadcast_rows)
+    if max_broadcast_rows is not None:
+        upd = broadcast_if_small(upd, max_broadcast_rows)
     joined = readings.join(upd, ROW_KEY, "left")
     return joined.select(*[
         F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in cols else F.col(c)

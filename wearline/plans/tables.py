@@ -18,15 +18,17 @@ from wearline.sources.fixtures import load_table, readings_from_lineitem, rul_fr
 from wearline.sources.ingest import data_layout
 
 _LAYOUTS: dict[tuple, str] = {}
+# Part of every stored path: raise it when the derivation of a stored table changes.
+LAYOUT_VERSION = "2"
 
 
 def _fingerprint(sf_dir: str) -> str:
     f = os.path.join(sf_dir, "lineitem.parquet")
     try:
         st = os.stat(f)
-        token = f"{os.path.abspath(sf_dir)}|{st.st_size}|{int(st.st_mtime)}"
+        token = f"{LAYOUT_VERSION}|{os.path.abspath(sf_dir)}|{st.st_size}|{int(st.st_mtime)}"
     except OSError:
-        token = sf_dir
+        token = f"{LAYOUT_VERSION}|{sf_dir}"
     return hashlib.sha1(token.encode()).hexdigest()[:16]
 
 

@@ -8,9 +8,10 @@ from ``readings`` by Spark, with deterministic faults injected.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wearline.functions.series import block_row_number
 from wearline.schema import RAW_COLUMNS, READING_COLUMNS
 
 # Fixed values of the fixture rule (shared with the oracle SQL).
@@ -30,15 +31,24 @@ def sensor_formula(i: int, q: Column, p: Column, cycles: Column) -> Column:
 
 
 def readings_from_lineitem(lineitem: DataFrame) -> DataFrame:
-    """28-column readings table; series = (return flag, line status, supplier)."""
-    series = Window.partitionBy("l_returnflag", "l_linestatus", "l_suppkey").orderBy(
-        "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
+    """28-column readings table; series = (return flag, line status, supplier).
+
+    ``time_cycles`` is the row number inside the series in (ship date, order, line, part)
+    order, computed per ship-date block so that a supplier holding a large share of the
+    table is never sorted by one task (``functions.series.block_row_number``).
+    """
+    series = ["l_returnflag", "l_linestatus", "l_suppkey"]
+    numbered = block_row_number(
+        lineitem.select(*series, "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey",
+                        "l_discount", "l_tax", "l_quantity", "l_extendedprice"),
+        series, ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"], "l_shipdate",
+        name="_cycle")
     dataset_id = F
     for flag, ds in DATASET_BY_RETURNFLAG.items():
         dataset_id = dataset_id.when(F.col("l_returnflag") == flag, ds)
-    b = lineitem.select(
+    b = numbered.select(
         F.col("l_suppkey").cast("int").alias("unit_number"),
-        F.row_number().over(series).cast("int").alias("time_cycles"),
+        F.col("_cycle").cast("int").alias("time_cycles"),
         (F.col("l_discount") * 100 + 0.0).alias("op_setting_1"),
         (F.col("l_tax") * 10 + 0.0).alias("op_setting_2"),
         F.col("l_linenumber").cast("double").alias("op_setting_3"),
