@@ -437,3 +437,46 @@ def _pred(spark, sf):
 @query("rul_latest")
 def _latest(spark, sf):
     return ML.rul_latest(ML.predict_rul(_model(spark, sf), R(spark, sf), "FD001", "test"))
+
+
+# ----------------------------------------------------------------------------- more sources
+@query("parse_lines_dual")
+def _pld(spark, sf):
+    """Lines kept by the tolerant job parser (>= 2 fields) by file and field count."""
+    p = TX.parse_lines_dual(tables.lines(spark, sf, "mixed"), 2)
+    ds, ty = TX.file_metadata(F.col("source"))
+    return (p.select(ds.alias("dataset_id"), ty.alias("dataset_type"), "n_fields")
+            .groupBy("dataset_id", "dataset_type", "n_fields")
+            .agg(F.count(F.lit(1)).alias("lines")))
+
+
+@query("parse_quality")
+def _pq(spark, sf):
+    return TX.parse_quality(tables.lines(spark, sf, "mixed"))
+
+
+@query("file_metadata")
+def _fmeta(spark, sf):
+    """Data set and type of every stored raw file, from its name alone."""
+    src = tables.lines(spark, sf, "blank").unionByName(tables.rul_text(spark, sf))
+    ds, ty = TX.file_metadata(F.col("source"))
+    name = F.regexp_extract(F.col("source"), TX.FILE_NAME_PATTERN, 0)
+    return (src.select(name.alias("file_name"), ds.alias("dataset_id"),
+                       ty.alias("dataset_type")).distinct())
+
+
+@query("data_layout")
+def _layout(spark, sf):
+    """The stored layout read back: rows, units and cycle range per table partition."""
+    return (spark.read.parquet(tables.build_readings(spark, sf))
+            .groupBy("dataset_id", "dataset_type")
+            .agg(F.count(F.lit(1)).alias("row_count"),
+                 F.count_distinct("unit_number").alias("units"),
+                 F.min("time_cycles").alias("min_cycle"), F.max("time_cycles").alias("max_cycle")))
+
+
+@query("degradation_metrics_literal")
+def _dml(spark, sf):
+    from wearline.schema import DEGRADATION_SENSORS_LITERAL
+
+    return J.degradation_metrics(_lines(spark, sf, "comma"), sensors=DEGRADATION_SENSORS_LITERAL)

@@ -8,7 +8,9 @@ left as they are; medians and quantiles use ``quantile_disc``.
 from __future__ import annotations
 
 from wearline.plans.oracle_base import BAD_SQL, CUT_SQL, with_fixtures
-from wearline.schema import CRITICAL_SENSORS, DATASET_METADATA, READING_COLUMNS, SENSOR_COLUMNS
+from wearline.schema import (CRITICAL_SENSORS, DATASET_METADATA, DEGRADATION_SENSORS,
+                             DEGRADATION_SENSORS_LITERAL, RAW_COLUMNS, READING_COLUMNS,
+                             SENSOR_COLUMNS)
 
 ORACLE: dict[str, str] = {}
 
@@ -352,18 +354,19 @@ SELECT dataset_id, dataset_type,
        round_even(AVG(sensor_4), 4) + 0.0 AS avg_sensor_4
 FROM readings WHERE NOT {CUT_SQL} GROUP BY 1, 2, 3""")
 
-_DEG = {"temp_hpc": "sensor_3", "pressure_hpc": f"CASE WHEN {BAD_SQL} THEN 0.0 ELSE sensor_11 END",
-        "fan_speed": "sensor_8", "core_speed": "sensor_9", "fuel_ratio": "sensor_12"}
-_DEG_AVG = ",\n       ".join(
-    f"COALESCE(AVG(CASE WHEN a <= k THEN {n} END), 0.0) AS e_{n}, "
-    f"COALESCE(AVG(CASE WHEN b <= k OR k = 0 THEN {n} END), 0.0) AS l_{n}" for n in _DEG)
+_S11_BAD = f"CASE WHEN {BAD_SQL} THEN 0.0 ELSE sensor_11 END"
 
 
 def _pct(n: str) -> str:
     return f"round_even(CASE WHEN e_{n} <> 0 THEN (l_{n} - e_{n}) / ABS(e_{n}) * 100 ELSE 0.0 END, 2)"
 
 
-ORACLE["degradation_metrics"] = with_fixtures(f"""
+def _degradation(sensors: dict) -> str:
+    _DEG = {n: (_S11_BAD if c == "sensor_11" else c) for n, c in sensors.items()}
+    _DEG_AVG = ",\n       ".join(
+        f"COALESCE(AVG(CASE WHEN a <= k THEN {n} END), 0.0) AS e_{n}, "
+        f"COALESCE(AVG(CASE WHEN b <= k OR k = 0 THEN {n} END), 0.0) AS l_{n}" for n in _DEG)
+    return with_fixtures(f"""
 SELECT dataset_id, dataset_type, unit_number, total_cycles,
        {", ".join(_pct(n) + " + 0.0 AS " + n + "_pct_change" for n in _DEG)},
        round_even(-{_pct("temp_hpc")} + {_pct("pressure_hpc")}, 2) + 0.0 AS health_index,
@@ -386,6 +389,10 @@ g AS (SELECT dataset_id, dataset_type, unit_number, MAX(n) AS n,
        {_DEG_AVG}
       FROM dk GROUP BY 1, 2, 3)""")
 
+
+ORACLE["degradation_metrics"] = _degradation(DEGRADATION_SENSORS)
+ORACLE["degradation_metrics_literal"] = _degradation(DEGRADATION_SENSORS_LITERAL)
+
 ORACLE["job_result_filter"] = with_fixtures(f"""
 SELECT key || '/' || dataset_id || '/' || dataset_type AS key, avg, min, max, count
 FROM ({_S11}) s ORDER BY key LIMIT 15""")
@@ -491,4 +498,31 @@ ORACLE["rul_label"] = with_fixtures(
       " - time_cycles AS DOUBLE) AS rul"
     + f" FROM cmapss_train WHERE {FD1}")
 
+# ----------------------------------------------------------------------------- more sources
+ORACLE["parse_lines_dual"] = with_fixtures(f"""
+SELECT dataset_id, dataset_type, CASE WHEN {CUT_SQL} THEN 20 ELSE 26 END AS n_fields,
+       COUNT(*) AS lines
+FROM readings GROUP BY 1, 2, 3""")
+
+_QFLAG = {c: (CUT_SQL if c in _CUT_COLS else BAD_SQL if c == "sensor_11" else "FALSE")
+          for c in RAW_COLUMNS}
+ORACLE["parse_quality"] = with_fixtures(
+    "SELECT dataset_id, dataset_type, column_name, bad_values FROM (SELECT dataset_id, "
+    "dataset_type, "
+    + ", ".join(f"CAST(SUM(CASE WHEN {f} THEN 1 ELSE 0 END) AS BIGINT) AS {c}"
+                for c, f in _QFLAG.items())
+    + " FROM readings GROUP BY 1, 2) w UNPIVOT (bad_values FOR column_name IN ("
+    + ", ".join(RAW_COLUMNS) + "))")
+
+ORACLE["file_metadata"] = with_fixtures("""
+SELECT DISTINCT dataset_type || '_' || dataset_id || '.txt' AS file_name, dataset_id, dataset_type
+FROM readings
+UNION
+SELECT DISTINCT 'RUL_' || dataset_id || '.txt', dataset_id, 'rul' FROM rul""")
+
+ORACLE["data_layout"] = with_fixtures("""
+SELECT dataset_id, dataset_type, COUNT(*) AS row_count, COUNT(DISTINCT unit_number) AS units,
+       MIN(time_cycles) AS min_cycle, MAX(time_cycles) AS max_cycle
+FROM readings GROUP BY 1, 2""")
+
 __all__ = ["ORACLE", "BAD_SQL", "CUT_SQL"]

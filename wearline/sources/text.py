@@ -118,6 +118,21 @@ def parse_readings(lines: DataFrame, with_metadata: bool = True) -> DataFrame:
     return out
 
 
+def parse_quality(lines: DataFrame) -> DataFrame:
+    """Per file (data set, type) and raw column: lines whose field is missing or not a
+    number.  The flags of all 26 columns are summed in one aggregate; only the small
+    result is unpivoted to one row per column."""
+    p = parse_lines_dual(lines, 1)
+    dsid, dtype = file_metadata(F.col("source"))
+    flags = [F.sum(number(F.col("fields"), i).isNull().cast("int")).cast("bigint").alias(c)
+             for i, c in enumerate(RAW_COLUMNS)]
+    wide = (p.withColumn("dataset_id", dsid).withColumn("dataset_type", dtype)
+            .where(F.col("dataset_id").isNotNull())
+            .groupBy("dataset_id", "dataset_type").agg(*flags))
+    return wide.unpivot(["dataset_id", "dataset_type"], RAW_COLUMNS, "column_name",
+                        "bad_values")
+
+
 def parse_rul(lines: DataFrame) -> DataFrame:
     """Label lines -> (rul double, dataset_id, dataset_type='rul')."""
     dsid, dtype = file_metadata(F.col("source"))
