@@ -156,12 +156,13 @@ def test_condition_key_has_no_negative_zero(spark):
         "0-0-100", "42-0.8-60", "2-0.2-0"]
 
 
-def test_first_last_candidates_exact_under_salting(spark):
+@pytest.mark.parametrize("salt", [16, None])
+def test_first_last_candidates_exact_under_salting(spark, salt):
     from wearline.functions.series import first_last_candidates
 
     rows = [("A", c) for c in range(1, 1001)] + [("B", c) for c in range(5, 8)]
-    df = spark.createDataFrame(rows, "k string, c int")
-    out = first_last_candidates(df, ["k"], ["c"], k_max=10, salt_buckets=16)
+    df = spark.createDataFrame(rows, "k string, c int").repartition(7)  # A spans 7 splits
+    out = first_last_candidates(df, ["k"], ["c"], k_max=10, salt_buckets=salt)
     a = out.where("k = 'A'").collect()
     assert sorted(r["c"] for r in a if r["asc_rank"] <= 10) == list(range(1, 11))
     assert sorted(r["c"] for r in a if r["desc_rank"] <= 10) == list(range(991, 1001))
@@ -191,3 +192,17 @@ def test_csv_short_rows_fill_null(spark):
 
 def test_raw_columns_shape():
     assert len(RAW_COLUMNS) == 26 and len(READING_COLUMNS) == 28
+
+
+def test_block_row_number_equals_window(spark):
+    from pyspark.sql import Window
+
+    from wearline.functions.series import block_row_number
+
+    rnd = random.Random(3)
+    rows = [(rnd.choice("xyz"), rnd.randint(1, 20), i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, day int, id int").repartition(5)
+    got = block_row_number(df, ["k"], ["day", "id"], "day", name="rn")
+    want = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("day", "id")))
+    assert sorted(got.select("k", "id", "rn").collect()) == sorted(
+        want.select("k", "id", "rn").collect())

@@ -11,8 +11,9 @@ below never do that:
 * row numbers of whole series are computed per block of a coarse order column
   (``block_row_number``);
 * first-k / last-k rows use a salted two-stage window: local top-k inside
-  (series, salt) buckets, then an exact top-k over at most ``2 * salt_buckets * k`` rows
-  per series.
+  (series, salt) groups, then an exact top-k over the survivors.  The default salt is the
+  input partition, so a stage-1 group never exceeds one input split and stage 2 sees at
+  most ``2 * k`` rows per split that holds the series.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from wearline.functions.joins import broadcast_if_small
 
-DEFAULT_SALT_BUCKETS = 64
+DEFAULT_SALT_BUCKETS = None  # None: salt by input partition
 
 
 def attach_series_aggregates(df: DataFrame, key: Sequence[str], *aggs: Column,
@@ -41,16 +42,19 @@ def attach_series_aggregates(df: DataFrame, key: Sequence[str], *aggs: Column,
 
 
 def first_last_candidates(df: DataFrame, key: Sequence[str], order: Sequence[str],
-                          k_max: int = 10, salt_buckets: int = DEFAULT_SALT_BUCKETS) -> DataFrame:
+                          k_max: int = 10,
+                          salt_buckets: int | None = DEFAULT_SALT_BUCKETS) -> DataFrame:
     """Rows that are among the first or last ``k_max`` of their series by ``order``.
 
     Adds ``asc_rank`` (1 = first row of the series), ``desc_rank`` (1 = last row) and
     ``series_rows`` (rows in the whole series).  Ranks are exact for ranks <= k_max, and
     ``order`` must be unique within a series.  Every series with at most ``k_max`` rows is
-    returned whole.
+    returned whole.  ``salt_buckets=None`` salts by input partition (groups bounded by the
+    split size); an integer salts by a hash of ``order`` into that many buckets.
     """
     key, order = list(key), list(order)
-    salt = F.pmod(F.xxhash64(*order), F.lit(salt_buckets))
+    salt = (F.spark_partition_id() if salt_buckets is None
+            else F.pmod(F.xxhash64(*order), F.lit(salt_buckets)))
     bucket = key + ["_salt"]
     asc = [F.col(c).asc() for c in order]
     desc = [F.col(c).desc() for c in order]

@@ -111,7 +111,7 @@ def avg_sensor4_by_setting(lines: DataFrame, digits: int = 4) -> DataFrame:
 
 def degradation_metrics(lines: DataFrame, sensors: Mapping[str, str] = DEGRADATION_SENSORS,
                         k_max: int = 10, min_fields: int = 15,
-                        salt_buckets: int = DEFAULT_SALT_BUCKETS, digits: int = 2,
+                        salt_buckets: int | None = DEFAULT_SALT_BUCKETS, digits: int = 2,
                         dual: bool = False) -> DataFrame:
     """Per unit with at least 2 readings, in cycle order: mean of the first and the last
     k = min(10, n div 4) readings of five sensors, percent change relative to |early|

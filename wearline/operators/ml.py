@@ -50,7 +50,11 @@ def rul_pipeline(features: Sequence[str] = FEATURE_COLUMNS, num_trees: int = 100
                                    predictionCol="prediction", numTrees=num_trees,
                                    maxDepth=max_depth, seed=seed, maxBins=max_bins,
                                    featureSubsetStrategy=feature_subset,
-                                   maxMemoryInMB=max_memory_mb)
+                                   maxMemoryInMB=max_memory_mb,
+                                   # node ids cached per row instead of re-walking the trees
+                                   # each level; lineage cut every 10 iterations through the
+                                   # session's checkpoint folder
+                                   cacheNodeIds=True, checkpointInterval=10)
     return Pipeline(stages=[assembler, forest])
 
 
