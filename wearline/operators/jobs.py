@@ -41,12 +41,17 @@ def op_count(lines: DataFrame) -> DataFrame:
 
 
 def cycle_counter(lines: DataFrame) -> DataFrame:
-    """Last cycle per unit: ``int(float(field))`` of the first two fields; bad lines skipped."""
+    """Last cycle per unit: ``int(float(field))`` of the first two fields; bad lines skipped.
+
+    ``max`` ignores a NULL cycle and a NULL unit forms its own group, which is dropped after
+    the aggregate: same result as dropping bad lines first, without a row filter that
+    Catalyst would push below the parse (and so parse each field twice).
+    """
     p = _with_ids(parse_lines_dual(lines, 2)).select(
         *ID, whole_number(F.col("fields"), 0).alias("unit_number"),
         whole_number(F.col("fields"), 1).alias("time_cycles"))
-    return (p.where(F.col("unit_number").isNotNull() & F.col("time_cycles").isNotNull())
-            .groupBy(*ID, "unit_number").agg(F.max("time_cycles").alias("max_cycle")))
+    return (p.groupBy(*ID, "unit_number").agg(F.max("time_cycles").alias("max_cycle"))
+            .where(F.col("unit_number").isNotNull() & F.col("max_cycle").isNotNull()))
 
 
 def lifetime_distribution(cycle_counts: DataFrame, accuracy: int = 10_000,
@@ -70,13 +75,14 @@ def sensor11_stats(lines: DataFrame, column: str = "sensor_11",
     """min, max, mean and count of one sensor over well-formed lines (>= 26 fields);
     ``digits`` rounds the mean (half up)."""
     p = _with_ids(parse_lines_dual(lines, 26)).select(
-        *ID, number(F.col("fields"), POS[column]).alias("v")).where(F.col("v").isNotNull())
+        *ID, number(F.col("fields"), POS[column]).alias("v"))
     key = "Sensor_" + column.split("_")[-1]
     avg = F.avg("v") if digits is None else F.round(F.avg("v"), digits)
-    return p.groupBy(*ID).agg(
+    # the aggregates skip NULL (unparsable) values; a group without any value is dropped
+    return (p.groupBy(*ID).agg(
         F.min("v").alias("min"), F.max("v").alias("max"), avg.alias("avg"),
-        F.count(F.lit(1)).alias("count")).select(F.lit(key).alias("key"), *ID, "min", "max",
-                                                 "avg", "count")
+        F.count("v").alias("count")).where(F.col("count") > 0)
+        .select(F.lit(key).alias("key"), *ID, "min", "max", "avg", "count"))
 
 
 def feature_summary(lines: DataFrame, features=FEATURE_COLUMNS, digits: int = 4,
@@ -104,9 +110,13 @@ def avg_sensor4_by_setting(lines: DataFrame, digits: int = 4) -> DataFrame:
     p = _with_ids(parse_lines_dual(lines, 26)).select(
         *ID, number(F.col("fields"), POS["op_setting_1"]).alias("op1"),
         number(F.col("fields"), POS["sensor_4"]).alias("s4"))
-    p = p.where(F.col("op1").isNotNull() & F.col("s4").isNotNull())
+    # A line counts only when both values parse: NULL op1 gives a NULL key (dropped after
+    # the aggregate), NULL s4 is skipped by avg; no row filter to push below the parse.
     key = F.concat(F.lit("OpSet1_"), half_even("op1", 1).cast("string")).alias("key")
-    return p.groupBy(*ID, key).agg(half_even(F.avg("s4"), digits).alias("avg_sensor_4"))
+    return (p.groupBy(*ID, key).agg(
+        half_even(F.avg(F.when(F.col("op1").isNotNull(), F.col("s4"))), digits)
+        .alias("avg_sensor_4"))
+        .where(F.col("key").isNotNull() & F.col("avg_sensor_4").isNotNull()))
 
 
 def degradation_metrics(lines: DataFrame, sensors: Mapping[str, str] = DEGRADATION_SENSORS,

@@ -83,11 +83,21 @@ def whole_number(fields: Column, i: int) -> Column:
     return number(fields, i).try_cast("int")
 
 
-def parse_lines_dual(lines: DataFrame, min_fields: int = 1, dual: bool = True) -> DataFrame:
-    """Keep non-blank lines with at least ``min_fields`` fields; adds ``fields``, ``n_fields``."""
+def _split_once(lines: DataFrame, dual: bool, *keep: str) -> DataFrame:
+    """Non-blank lines with their ``fields`` array, computed exactly once per line.
+
+    The split sits in a generator (``explode`` of a one-element array).  Filters on the
+    fields cannot be pushed below a generator, so Catalyst does not copy the split into
+    each later predicate (which pushing a filter through a projection would do).
+    """
     f = split_fields(F.col("value"), dual)
     return (lines.where(F.length(stripped(F.col("value"))) > 0)
-            .withColumn("fields", f)
+            .select(*keep, F.explode(F.array(f)).alias("fields")))
+
+
+def parse_lines_dual(lines: DataFrame, min_fields: int = 1, dual: bool = True) -> DataFrame:
+    """Keep non-blank lines with at least ``min_fields`` fields; adds ``fields``, ``n_fields``."""
+    return (_split_once(lines, dual, "source")
             .withColumn("n_fields", F.size("fields"))
             .where(F.col("n_fields") >= min_fields))
 
@@ -99,12 +109,10 @@ def parse_readings(lines: DataFrame, with_metadata: bool = True) -> DataFrame:
     (the trailing blank of the raw files) are ignored.  ``parse_ok`` tells whether all 26
     fields were present and valid.
     """
-    f = split_fields(F.col("value"), dual=True)
-    parsed = lines.where(F.length(stripped(F.col("value"))) > 0).select(
-        "source", f.alias("_f"))
+    parsed = _split_once(lines, True, "source")
     cols = []
     for i, fld in enumerate(RAW_SCHEMA.fields):
-        raw = F.trim(field(F.col("_f"), i))
+        raw = F.trim(field(F.col("fields"), i))
         cols.append(raw.try_cast(fld.dataType).alias(fld.name))
     out = parsed.select("source", *cols)
     ok = F.lit(True)
