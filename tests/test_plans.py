@@ -22,7 +22,7 @@ def test_unit_filter_is_pushed_to_parquet(spark, readings):
     assert "PushedFilters: [IsNotNull(unit_number), EqualTo(unit_number,3)]" in plan
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - {"predict_rul", "rul_latest"}))
+@pytest.mark.parametrize("name", sorted(set(queries()) - {"predict_rul", "rul_latest", "train_rul_model", "model_io"}))
 def test_no_python_udf_in_plans(spark, sf, name):
     plan = _plan(queries()[name](spark, sf))
     for node in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas",

@@ -88,6 +88,14 @@ def rul_latest(predictions: DataFrame) -> DataFrame:
     ).withColumn("total_predicted_life", F.col("current_cycle") + F.col("predicted_rul"))
 
 
+def feature_importances(model: PipelineModel, spark, features: Sequence[str] = FEATURE_COLUMNS
+                        ) -> DataFrame:
+    """(feature, importance) of the fitted forest; the vector has one entry per feature,
+    a fixed size independent of the data."""
+    imp = model.stages[-1].featureImportances.toArray().tolist()
+    return spark.createDataFrame(list(zip(features, imp)), "feature string, importance double")
+
+
 def save_model(model: PipelineModel, path: str) -> str:
     model.write().overwrite().save(path)
     return path

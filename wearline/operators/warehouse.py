@@ -305,15 +305,23 @@ def q19_dashboard(readings: DataFrame, dataset_type: str | None = None,
     """Per data set: engines, mean cycle, train/test row counts, means and median.
 
     ``dataset_type=None`` runs over train and test together, so both counts are real.
+    The distinct engine count is its own aggregate: mixed with the percentile sketch it
+    would make Spark aggregate per (data set, unit) first and build one sketch per unit.
+    Both results have one row per data set and are joined on it.
     """
-    df = subset(readings, None, dataset_type).groupBy("dataset_id").agg(
-        F.count_distinct("unit_number").alias("total_engines"),
+    rows = subset(readings, None, dataset_type)
+    engines = rows.groupBy("dataset_id").agg(
+        F.count_distinct("unit_number").alias("total_engines"))
+    stats = rows.groupBy("dataset_id").agg(
         F.avg("time_cycles").alias("avg_cycles_per_observation"),
         F.count_if(F.col("dataset_type") == "train").alias("train_records"),
         F.count_if(F.col("dataset_type") == "test").alias("test_records"),
         F.avg("sensor_3").alias("avg_hpc_temp"),
         F.avg("sensor_11").alias("avg_hpc_pressure"),
         F.percentile_approx("sensor_14", 0.5, accuracy).alias("median_core_speed"))
+    df = engines.join(stats, "dataset_id").select(
+        "dataset_id", "total_engines", "avg_cycles_per_observation", "train_records",
+        "test_records", "avg_hpc_temp", "avg_hpc_pressure", "median_core_speed")
     return finish(df, ["dataset_id"], None, digits,
                   ["avg_cycles_per_observation", "avg_hpc_temp", "avg_hpc_pressure"])
 

@@ -401,6 +401,13 @@ def _csql(spark, sf):
     return W.custom_sql(spark, CUSTOM_SQL)
 
 
+@query("dataset_dim")
+def _ddim(spark, sf):
+    """The metadata rows of the data sets present in the readings (semi join)."""
+    present = R(spark, sf).select("dataset_id").distinct()
+    return dataset_dim(spark).join(present, "dataset_id", "left_semi")
+
+
 @query("dataset_overview")
 def _dov(spark, sf):
     return P.dataset_overview(R(spark, sf), dataset_dim(spark))
@@ -429,6 +436,20 @@ def _model(spark, sf):
     return ML.load_model(path)
 
 
+@query("train_rul_model")
+def _train(spark, sf):
+    return ML.feature_importances(_model(spark, sf), spark)
+
+
+@query("model_io")
+def _mio(spark, sf):
+    """The saved model loaded back and applied to its own training rows, next to the
+    labels."""
+    labelled = ML.rul_label(R(spark, sf), "FD001", "train")
+    return _model(spark, sf).transform(labelled).select(
+        *SERIES_KEY, "time_cycles", "rul", "prediction")
+
+
 @query("predict_rul")
 def _pred(spark, sf):
     return ML.predict_rul(_model(spark, sf), R(spark, sf), "FD001", "test")

@@ -525,4 +525,8 @@ SELECT dataset_id, dataset_type, COUNT(*) AS row_count, COUNT(DISTINCT unit_numb
        MIN(time_cycles) AS min_cycle, MAX(time_cycles) AS max_cycle
 FROM readings GROUP BY 1, 2""")
 
+ORACLE["dataset_dim"] = with_fixtures(
+    "SELECT * FROM dim WHERE dataset_id IN (SELECT dataset_id FROM readings)",
+    extra_ctes=_dim_values())
+
 __all__ = ["ORACLE", "BAD_SQL", "CUT_SQL"]
