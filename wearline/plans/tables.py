@@ -22,18 +22,39 @@ _LAYOUTS: dict[tuple, str] = {}
 LAYOUT_VERSION = "2"
 
 
-def _fingerprint(sf_dir: str) -> str:
-    f = os.path.join(sf_dir, "lineitem.parquet")
+_FINGERPRINTS: dict[tuple, str] = {}
+
+
+def _fingerprint(sf_dir: str, spark: SparkSession | None = None) -> str:
+    """Key of a table folder: layout version, path, and size and modification time of the
+    lineitem input (through the Hadoop file system, so any scheme works).  Computed once
+    per session and folder."""
+    cache_key = (spark.sparkContext.applicationId if spark is not None else None, sf_dir)
+    if cache_key not in _FINGERPRINTS:
+        _FINGERPRINTS[cache_key] = _compute_fingerprint(sf_dir, spark)
+    return _FINGERPRINTS[cache_key]
+
+
+def _compute_fingerprint(sf_dir: str, spark: SparkSession | None) -> str:
+    token = f"{LAYOUT_VERSION}|{sf_dir.rstrip('/')}"
+    target = f"{sf_dir.rstrip('/')}/lineitem.parquet"
     try:
-        st = os.stat(f)
-        token = f"{LAYOUT_VERSION}|{os.path.abspath(sf_dir)}|{st.st_size}|{int(st.st_mtime)}"
-    except OSError:
-        token = f"{LAYOUT_VERSION}|{sf_dir}"
+        if spark is not None:
+            jvm = spark.sparkContext._jvm
+            p = jvm.org.apache.hadoop.fs.Path(target)
+            fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            summary = fs.getContentSummary(p)
+            token += f"|{summary.getLength()}|{fs.getFileStatus(p).getModificationTime()}"
+        else:
+            st = os.stat(target)
+            token += f"|{st.st_size}|{int(st.st_mtime)}"
+    except Exception:  # noqa: BLE001 - missing input: the path alone keys the folder
+        pass
     return hashlib.sha1(token.encode()).hexdigest()[:16]
 
 
 def readings_path(spark: SparkSession, sf_dir: str) -> str:
-    return join_path(scratch_dir(spark), "wearline-layout", _fingerprint(sf_dir), "readings")
+    return join_path(scratch_dir(spark), "wearline-layout", _fingerprint(sf_dir, spark), "readings")
 
 
 def build_readings(spark: SparkSession, sf_dir: str, force: bool = False) -> str:
@@ -62,11 +83,11 @@ def rul(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scratch(spark: SparkSession, sf_dir: str, name: str) -> str:
     """A folder for a query's own files, below the shared scratch folder."""
-    return join_path(scratch_dir(spark), "wearline-work", _fingerprint(sf_dir), name)
+    return join_path(scratch_dir(spark), "wearline-work", _fingerprint(sf_dir, spark), name)
 
 
 def lines_path(spark: SparkSession, sf_dir: str, style: str) -> str:
-    return join_path(scratch_dir(spark), "wearline-layout", _fingerprint(sf_dir), f"lines-{style}")
+    return join_path(scratch_dir(spark), "wearline-layout", _fingerprint(sf_dir, spark), f"lines-{style}")
 
 
 def lines(spark: SparkSession, sf_dir: str, style: str = "mixed") -> DataFrame:
@@ -91,7 +112,7 @@ def rul_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wearline.sources.text import read_lines
 
     key = (spark.sparkContext.applicationId, sf_dir, "rul-lines")
-    path = join_path(scratch_dir(spark), "wearline-layout", _fingerprint(sf_dir), "rul-lines")
+    path = join_path(scratch_dir(spark), "wearline-layout", _fingerprint(sf_dir, spark), "rul-lines")
     if key not in _LAYOUTS and not path_exists(spark, join_path(path, "_SUCCESS")):
         (rul_lines(rul(spark, sf_dir)).write.mode("overwrite")
          .option("partitionOverwriteMode", "static").partitionBy("source").text(path))

@@ -18,14 +18,21 @@ DEFAULT_CONF = {
 }
 
 
-def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "wearline",
-                  extra: dict | None = None) -> SparkSession:
-    """A session with AQE on; on a cluster pass master=None and keep the cluster's settings."""
+def build_session(master: str | None = "local[*]", shuffle_partitions: int | None = None,
+                  app: str = "wearline", extra: dict | None = None) -> SparkSession:
+    """A session with AQE (partition coalescing, skew-join splitting) on.
+
+    Local masters get ``shuffle_partitions`` (default 8).  On a cluster pass
+    ``master=None``: the cluster's own shuffle-partition setting is kept unless
+    ``shuffle_partitions`` is given; size it so one partition is a few hundred MB of
+    shuffle data at the largest input (AQE then merges the small ones).
+    """
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
     conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if shuffle_partitions is not None or master:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or 8)
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
