@@ -24,10 +24,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
     return F.broadcast(df) if is_small(df, max_rows) else df
 
 
-def one_row_cross(big: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach a one-row result (global statistics, thresholds) to every row.
+def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row result (global statistics, thresholds) to every row.
 
-    A global aggregate without grouping keys yields exactly one row, so the broadcast
-    is bounded by construction; the plan is a BroadcastNestedLoopJoin with one build row.
+    No join: the one-row frame becomes a scalar subquery (one struct value), computed once
+    and reused wherever it is referenced.  Spark fails the query if it returns more than
+    one row, so the size bound is enforced, not assumed.
     """
-    return big.crossJoin(F.broadcast(one_row))
+    cols = one_row.columns
+    value = one_row.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_v")).scalar()
+    return df.select("*", *[value.getField(c).alias(c) for c in cols])

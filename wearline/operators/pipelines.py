@@ -13,7 +13,7 @@ from itertools import combinations_with_replacement
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wearline.functions.joins import one_row_cross
+from wearline.functions.joins import attach_one_row
 from wearline.functions.safe import condition_key, half_even, safe_corr, safe_ratio
 from wearline.operators.common import finish, subset
 from wearline.schema import CRITICAL_SENSORS, SENSOR_COLUMNS
@@ -50,7 +50,7 @@ def fleet_summary(readings: DataFrame, dim: DataFrame) -> DataFrame:
                    F.coalesce("description", F.lit("N/A")).alias("description"),
                    F.coalesce("conditions", F.lit("N/A")).alias("conditions"),
                    F.coalesce("faults", F.lit("N/A")).alias("faults")))
-    return one_row_cross(out, totals).orderBy("dataset_id")
+    return attach_one_row(out, totals).orderBy("dataset_id")
 
 
 def avg_sensors_per_unit(readings: DataFrame, dataset_id: str = "FD001",

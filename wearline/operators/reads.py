@@ -13,7 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wearline.functions.joins import broadcast_if_small, one_row_cross
+from wearline.functions.joins import attach_one_row, broadcast_if_small
 from wearline.operators.common import subset
 from wearline.schema import READING_COLUMNS
 
@@ -76,7 +76,7 @@ def update_sensor_data(readings: DataFrame, dataset_id: str, unit_number: int,
 
     Without ``dataset_type`` the match is the reading of the first type in ``TYPE_ORDER``
     that has the key (train before test): a one-row aggregate over the matching rows,
-    attached by a broadcast of that single row, never decided on the driver.
+    attached as a scalar subquery, never decided on the driver.
     """
     key = ((F.col("dataset_id") == dataset_id) & (F.col("unit_number") == unit_number)
            & (F.col("time_cycles") == time_cycles))
@@ -84,7 +84,7 @@ def update_sensor_data(readings: DataFrame, dataset_id: str, unit_number: int,
         df = readings.withColumn("_hit", key & (F.col("dataset_type") == dataset_type))
     else:
         best = readings.where(key).agg(F.min(_type_rank(F.col("dataset_type"))).alias("_best"))
-        df = one_row_cross(readings, best).withColumn(
+        df = attach_one_row(readings, best).withColumn(
             "_hit", key & (_type_rank(F.col("dataset_type")) == F.col("_best")))
     out = df.select(*[
         F.when(F.col("_hit"), F.lit(updates[c]).cast(df.schema[c].dataType))

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearline.functions.joins import one_row_cross
+from wearline.functions.joins import attach_one_row
 from wearline.functions.safe import (coef_variation, cycle_bucket, half_up, lifecycle_stage,
                                      safe_corr, safe_ratio)
 from wearline.functions.series import attach_series_aggregates
@@ -118,14 +118,14 @@ def q09_anomalies(readings: DataFrame, dataset_id: str = "FD001", k: int | None
                   digits: int | None = None) -> DataFrame:
     """Readings more than ``n_std`` population deviations from the data-set mean.
 
-    The statistics are a one-row aggregate attached by a broadcast nested-loop join (one
-    build row), never collected to the driver.
+    The statistics are a one-row aggregate attached as a scalar subquery (computed once,
+    no join), never collected to the driver.
     """
     rows = subset(readings, dataset_id, dataset_type)
     stats = rows.agg(F.avg(sensor).alias("mean_pressure"),
                      F.stddev_pop(sensor).alias("std_pressure"))
     dev = F.abs(F.col(sensor) - F.col("mean_pressure"))
-    df = (one_row_cross(rows.select("unit_number", "time_cycles", sensor), stats)
+    df = (attach_one_row(rows.select("unit_number", "time_cycles", sensor), stats)
           .where(dev > F.col("std_pressure") * n_std)
           .select("unit_number", "time_cycles", sensor, "mean_pressure",
                   safe_ratio(dev, F.col("std_pressure")).alias("z_score")))
@@ -195,7 +195,7 @@ def q13_threshold_alert(readings: DataFrame, dataset_id: str = "FD001",
         F.max("time_cycles").alias("current_cycle"),
         F.avg("sensor_3").alias("avg_temp"),
         F.avg("sensor_11").alias("avg_pressure"))
-    df = (one_row_cross(units, th)
+    df = (attach_one_row(units, th)
           .where((F.col("avg_temp") > F.col("temp_threshold"))
                  | (F.col("avg_pressure") < F.col("pressure_threshold")))
           .select("unit_number", "current_cycle", "avg_temp", "avg_pressure",
