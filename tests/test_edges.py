@@ -206,3 +206,11 @@ def test_block_row_number_equals_window(spark):
     want = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("day", "id")))
     assert sorted(got.select("k", "id", "rn").collect()) == sorted(
         want.select("k", "id", "rn").collect())
+
+
+def test_condition_chart_only_for_multi_condition_sets(spark, readings):
+    from wearline.operators.pipelines import condition_metrics_top15
+    from wearline.schema import dataset_dim
+
+    assert condition_metrics_top15(readings, dataset_dim(spark), "FD001").count() == 0
+    assert condition_metrics_top15(readings, dataset_dim(spark), "FD002").count() > 0

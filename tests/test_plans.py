@@ -23,11 +23,14 @@ def test_unit_filter_is_pushed_to_parquet(spark, readings):
 
 
 @pytest.mark.parametrize("name", sorted(set(queries()) - {"predict_rul", "rul_latest", "train_rul_model", "model_io"}))
-def test_no_python_udf_in_plans(spark, sf, name):
+def test_no_python_udf_or_cross_join_in_plans(spark, sf, name):
     plan = _plan(queries()[name](spark, sf))
     for node in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas",
                  "MapInPandas", "PythonUDF"):
         assert node not in plan, (name, node)
+    # no cross joins: one-row statistics are scalar subqueries
+    for node in ("CartesianProduct", "BroadcastNestedLoopJoin"):
+        assert node not in plan, (name, node)
 
 
 def test_feature_summary_aggregates_partially(spark, sf):
@@ -41,3 +44,10 @@ def test_train_test_join_sees_aggregated_sides(spark, sf):
     # each join input is an Aggregate (one row per unit and side)
     join_at = opt.find("Join Inner")
     assert join_at >= 0 and opt.count("Aggregate", join_at) >= 2
+
+
+def test_global_statistics_are_one_reused_subquery(spark, sf):
+    df = queries()["q09_anomalies"](spark, sf)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString()
+    assert "Subquery" in final and "CartesianProduct" not in final

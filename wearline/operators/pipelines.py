@@ -176,13 +176,12 @@ def condition_metrics(readings: DataFrame, dataset_id: str = "FD002",
 
 def condition_metrics_top15(readings: DataFrame, dim: DataFrame, dataset_id: str = "FD002",
                             k: int = 15, digits: int | None = None) -> DataFrame:
-    """Top conditions for the chart, only for multi-condition data sets (metadata gate)."""
-    gate = F.broadcast(dim.where(F.col("operating_conditions") > 1)
-                       .where(F.col("dataset_id") == dataset_id).select("dataset_id"))
-    df = condition_metrics(readings, dataset_id, digits=digits).withColumn(
-        "dataset_id", F.lit(dataset_id))
-    return (df.join(gate, "dataset_id", "left_semi").drop("dataset_id")
-            .orderBy(F.desc("unique_engines"), "operational_condition").limit(k))
+    """Top conditions for the chart, only for multi-condition data sets: the metadata gate
+    is an ``EXISTS`` subquery over the (four-row) dimension, no join."""
+    gate = dim.where((F.col("dataset_id") == dataset_id)
+                     & (F.col("operating_conditions") > 1)).exists()
+    df = condition_metrics(readings, dataset_id, digits=digits).where(gate)
+    return df.orderBy(F.desc("unique_engines"), "operational_condition").limit(k)
 
 
 def unit_profile(readings: DataFrame, dataset_id: str = "FD001", dataset_type: str = "train",
