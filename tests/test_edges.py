@@ -214,3 +214,21 @@ def test_condition_chart_only_for_multi_condition_sets(spark, readings):
 
     assert condition_metrics_top15(readings, dataset_dim(spark), "FD001").count() == 0
     assert condition_metrics_top15(readings, dataset_dim(spark), "FD002").count() > 0
+
+
+def test_write_changes_replaces_only_touched_partition(spark, readings, tmp_path):
+    from wearline.sources.ingest import data_layout
+
+    path = str(tmp_path / "table")
+    data_layout(readings, path)
+    table = spark.read.parquet(path)
+    before = table.groupBy("dataset_id", "dataset_type").count().collect()
+    key = table.where("dataset_id = 'FD001' AND dataset_type = 'train'").orderBy(
+        "unit_number", "time_cycles").first()
+    changed = RD.update_sensor_data(table, "FD001", key["unit_number"], key["time_cycles"],
+                                    {"sensor_11": -5.0}, "train")
+    RD.write_changes(changed, path, "FD001", "train").collect()
+    after = spark.read.parquet(path)
+    assert sorted(after.groupBy("dataset_id", "dataset_type").count().collect()) == sorted(before)
+    hit = after.where("sensor_11 = -5.0").collect()
+    assert len(hit) == 1 and hit[0]["unit_number"] == key["unit_number"]

@@ -124,6 +124,30 @@ def update_report(readings: DataFrame, updates: DataFrame) -> DataFrame:
                  F.count_if(changed).alias("modified_count"))
 
 
+def write_changes(changed: DataFrame, table_path: str, dataset_id: str,
+                  dataset_type: str | None = None, stage_path: str | None = None) -> DataFrame:
+    """Store a changed table back over the partitions of one data set (and type).
+
+    The changed rows usually come from a plan that reads ``table_path`` itself, and Spark
+    cannot overwrite a path it is reading in the same job.  So the touched partitions are
+    first written to a staging folder below the session's shared folder, then swapped in
+    with the idempotent partition replace (``sources.ingest.replace_ingest``); all other
+    partitions are left as they are.  Returns rows written per partition.
+    """
+    from wearline.session import join_path, scratch_dir
+    from wearline.sources.ingest import replace_ingest
+
+    spark = changed.sparkSession
+    stage = stage_path or join_path(
+        scratch_dir(spark), "wearline-stage",
+        f"{table_path.strip('/').replace('/', '_').replace(':', '_')}-{dataset_id}-{dataset_type}")
+    touched = changed.where(F.col("dataset_id") == dataset_id)
+    if dataset_type is not None:
+        touched = touched.where(F.col("dataset_type") == dataset_type)
+    touched.select(*READING_COLUMNS).write.mode("overwrite").parquet(stage)
+    return replace_ingest(spark.read.parquet(stage), table_path)
+
+
 def delete_dataset(readings: DataFrame, dataset_id: str,
                    dataset_type: str | None = None) -> DataFrame:
     """The table without the rows of one data set (and type): an anti-filter.  Stored
@@ -142,5 +166,5 @@ def deleted_count(readings: DataFrame, dataset_id: str,
 
 
 __all__ = ["get_dataset", "sample_rows", "unit_series", "training_scan", "update_sensor_data",
-           "apply_updates", "update_report", "delete_dataset", "deleted_count",
+           "apply_updates", "update_report", "write_changes", "delete_dataset", "deleted_count",
            "READING_COLUMNS", "ROW_KEY"]
