@@ -7,6 +7,7 @@ accuracy 1,000,000 (equal to an exact discrete quantile at these sizes).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -361,7 +362,7 @@ def _irep(spark, sf):
 
 @query("csv_round_trip")
 def _csv(spark, sf):
-    path = tables.scratch(spark, sf, "csv-round-trip")
+    path = tables.scratch(spark, sf, f"csv-round-trip/{uuid.uuid4().hex}")  # own folder per call
     TX.csv_write(R(spark, sf), path)
     back = TX.csv_read(spark, path)
     return back.select(*READING_COLUMNS)
@@ -369,7 +370,7 @@ def _csv(spark, sf):
 
 @query("replace_ingest")
 def _repl(spark, sf):
-    path = tables.scratch(spark, sf, "replace-ingest")
+    path = tables.scratch(spark, sf, f"replace-ingest/{uuid.uuid4().hex}")  # own folder per call
     r = R(spark, sf)
     IN.data_layout(r, path)
     part = r.where((F.col("dataset_id") == "FD001") & (F.col("dataset_type") == "train"))
@@ -430,9 +431,10 @@ def _model(spark, sf):
     from wearline.session import join_path, path_exists
 
     path = tables.scratch(spark, sf, "models/FD001")
-    if not path_exists(spark, join_path(path, "metadata")):
-        ML.save_model(ML.train_rul_model(R(spark, sf), "FD001", "train", num_trees=100,
-                                         max_depth=10, seed=42), path)
+    with tables.BUILD_LOCK:
+        if not path_exists(spark, join_path(path, "metadata")):
+            ML.save_model(ML.train_rul_model(R(spark, sf), "FD001", "train", num_trees=100,
+                                             max_depth=10, seed=42), path)
     return ML.load_model(path)
 
 

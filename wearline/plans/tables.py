@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +19,9 @@ from wearline.sources.fixtures import load_table, readings_from_lineitem, rul_fr
 from wearline.sources.ingest import data_layout
 
 _LAYOUTS: dict[tuple, str] = {}
+# One build at a time per process: callers on several threads must not overwrite the same
+# folder concurrently (each build is idempotent and skipped once its marker exists).
+BUILD_LOCK = threading.RLock()
 # Part of every stored path: raise it when the derivation of a stored table changes.
 LAYOUT_VERSION = "2"
 
@@ -59,11 +63,12 @@ def readings_path(spark: SparkSession, sf_dir: str) -> str:
 
 def build_readings(spark: SparkSession, sf_dir: str, force: bool = False) -> str:
     """Materialise the readings layout for ``sf_dir`` (idempotent); returns its path."""
-    path = readings_path(spark, sf_dir)
-    if force or not path_exists(spark, join_path(path, "_SUCCESS")):
-        data_layout(readings_from_lineitem(load_table(spark, sf_dir, "lineitem")), path)
-    _LAYOUTS[(spark.sparkContext.applicationId, sf_dir)] = path
-    return path
+    with BUILD_LOCK:
+        path = readings_path(spark, sf_dir)
+        if force or not path_exists(spark, join_path(path, "_SUCCESS")):
+            data_layout(readings_from_lineitem(load_table(spark, sf_dir, "lineitem")), path)
+        _LAYOUTS[(spark.sparkContext.applicationId, sf_dir)] = path
+        return path
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,11 +103,12 @@ def lines(spark: SparkSession, sf_dir: str, style: str = "mixed") -> DataFrame:
     from wearline.sources.text import read_lines
 
     key = (spark.sparkContext.applicationId, sf_dir, f"lines-{style}")
-    path = _LAYOUTS.get(key) or lines_path(spark, sf_dir, style)
-    if key not in _LAYOUTS and not path_exists(spark, join_path(path, "_SUCCESS")):
-        (raw_lines(readings(spark, sf_dir), style=style).write.mode("overwrite")
-         .option("partitionOverwriteMode", "static").partitionBy("source").text(path))
-    _LAYOUTS[key] = path
+    with BUILD_LOCK:
+        path = _LAYOUTS.get(key) or lines_path(spark, sf_dir, style)
+        if key not in _LAYOUTS and not path_exists(spark, join_path(path, "_SUCCESS")):
+            (raw_lines(readings(spark, sf_dir), style=style).write.mode("overwrite")
+             .option("partitionOverwriteMode", "static").partitionBy("source").text(path))
+        _LAYOUTS[key] = path
     return read_lines(spark, path)
 
 
@@ -112,9 +118,11 @@ def rul_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wearline.sources.text import read_lines
 
     key = (spark.sparkContext.applicationId, sf_dir, "rul-lines")
-    path = join_path(scratch_dir(spark), "wearline-layout", _fingerprint(sf_dir, spark), "rul-lines")
-    if key not in _LAYOUTS and not path_exists(spark, join_path(path, "_SUCCESS")):
-        (rul_lines(rul(spark, sf_dir)).write.mode("overwrite")
-         .option("partitionOverwriteMode", "static").partitionBy("source").text(path))
-    _LAYOUTS[key] = path
+    with BUILD_LOCK:
+        path = join_path(scratch_dir(spark), "wearline-layout", _fingerprint(sf_dir, spark),
+                         "rul-lines")
+        if key not in _LAYOUTS and not path_exists(spark, join_path(path, "_SUCCESS")):
+            (rul_lines(rul(spark, sf_dir)).write.mode("overwrite")
+             .option("partitionOverwriteMode", "static").partitionBy("source").text(path))
+        _LAYOUTS[key] = path
     return read_lines(spark, path)
