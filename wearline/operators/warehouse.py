@@ -326,8 +326,11 @@ def q19_dashboard(readings: DataFrame, dataset_type: str | None = None,
                   ["avg_cycles_per_observation", "avg_hpc_temp", "avg_hpc_pressure"])
 
 
-def q20_report(readings: DataFrame, dataset_type: str | None = None,
+def q20_report(readings: DataFrame, dataset_type: str | None = "train",
                digits: int | None = None) -> DataFrame:
+    """Per data set and type: engines, observations, cycle range and mean, seven sensor
+    means and two standard deviations (over the train table, as the report is defined;
+    ``dataset_type=None`` reports every type)."""
     df = subset(readings, None, dataset_type).groupBy("dataset_id", "dataset_type").agg(
         F.count_distinct("unit_number").alias("engines"),
         F.count(F.lit(1)).alias("total_observations"),
