@@ -374,8 +374,8 @@ def _repl(spark, sf):
     r = R(spark, sf)
     IN.data_layout(r, path)
     part = r.where((F.col("dataset_id") == "FD001") & (F.col("dataset_type") == "train"))
-    IN.replace_ingest(part, path).collect()  # first load of the same partition
-    IN.replace_ingest(part, path).collect()  # reloading must not duplicate
+    IN.replace_ingest(part, path)  # first load of the same partition (the write is eager)
+    IN.replace_ingest(part, path)  # reloading must not duplicate
     return (spark.read.parquet(path).groupBy("dataset_id", "dataset_type")
             .agg(F.count(F.lit(1)).alias("row_count")))
 

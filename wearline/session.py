@@ -50,6 +50,8 @@ def scratch_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         d = tempfile.mkdtemp(prefix="wearline-ckpt-")
         sc.setCheckpointDir(d)
         spark.conf.set("spark.checkpoint.dir", d)
