@@ -232,3 +232,33 @@ def test_write_changes_replaces_only_touched_partition(spark, readings, tmp_path
     assert sorted(after.groupBy("dataset_id", "dataset_type").count().collect()) == sorted(before)
     hit = after.where("sensor_11 = -5.0").collect()
     assert len(hit) == 1 and hit[0]["unit_number"] == key["unit_number"]
+
+
+def test_degradation_json_output_form(spark):
+    import json
+
+    rows = [("train_FD001.txt", ",".join([str(u), str(c)] + ["1.5"] * 24))
+            for u in (1, 2) for c in range(1, 9)]
+    df = spark.createDataFrame(rows, "source string, value string")
+    out = J.degradation_json(J.degradation_metrics(df)).orderBy("unit_number").collect()
+    v = json.loads(out[0]["value"])
+    assert v["unit"] == 1 and v["total_cycles"] == 8
+    assert set(v["degradation"]) == {"temp_hpc_pct_change", "pressure_hpc_pct_change",
+                                     "fan_speed_pct_change", "core_speed_pct_change",
+                                     "fuel_ratio_pct_change"}
+    assert v["health_index"] == 0.0 and v["early_avg_temp"] == 1.5
+
+
+def test_storage_summary_areas_and_total(spark, tmp_path):
+    from wearline.sources.files import list_files, storage_summary
+
+    for area, n in (("train", 2), ("test", 1), ("rul", 1)):
+        d = tmp_path / area
+        d.mkdir()
+        for i in range(n):
+            (d / f"f{i}.txt").write_text("x" * (10 * (i + 1)))
+    (tmp_path / "readme.md").write_text("abc")
+    rows = {r["area"]: (r["files"], r["bytes"])
+            for r in storage_summary(list_files(spark, str(tmp_path))).collect()}
+    assert rows == {"train": (2, 30), "test": (1, 10), "rul": (1, 10), "other": (1, 3),
+                    "TOTAL": (5, 53)}
