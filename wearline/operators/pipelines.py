@@ -92,11 +92,11 @@ def sensor_statistics(readings: DataFrame, dataset_id: str = "FD001",
                       digits: int | None = None) -> DataFrame:
     """One wide row: ``<sensor>_min/_max/_avg/_std`` for every sensor, one scan."""
     sensors = list(sensors or SENSOR_COLUMNS)
-    aggs = []
-    for s in sensors:
-        aggs += [F.min(s).alias(f"{s}_min"), F.max(s).alias(f"{s}_max"),
-                 F.avg(s).alias(f"{s}_avg"), F.stddev_pop(s).alias(f"{s}_std")]
-    df = subset(readings, dataset_id, dataset_type).agg(*aggs)
+    # one global aggregate, handed over as SQL text in a single call
+    aggs = [f"{fn}(`{s}`) AS `{s}_{suffix}`" for s in sensors
+            for fn, suffix in (("min", "min"), ("max", "max"), ("avg", "avg"),
+                               ("stddev_pop", "std"))]
+    df = subset(readings, dataset_id, dataset_type).selectExpr(*aggs)
     return finish(df, None, None, digits,
                   [f"{s}_{k}" for s in sensors for k in ("avg", "std")])
 
