@@ -51,3 +51,21 @@ def test_global_statistics_are_one_reused_subquery(spark, sf):
     df.collect()
     final = df._jdf.queryExecution().executedPlan().toString()
     assert "Subquery" in final and "CartesianProduct" not in final
+
+
+def test_degradation_shuffles_once_per_window_stage(spark, sf):
+    plan = _plan(queries()["degradation_metrics"](spark, sf))
+    # stage 1 by (series, input partition), stage 2 by series; the final aggregate reuses
+    # the stage-2 partitioning
+    assert plan.count("Exchange hashpartitioning") == 2, plan
+
+
+def test_series_numbering_has_no_window_over_a_whole_series(spark, sf):
+    from wearline.sources.fixtures import load_table, readings_from_lineitem
+
+    import re
+
+    plan = _plan(readings_from_lineitem(load_table(spark, sf, "lineitem")))
+    specs = re.findall(r"row_number\(\) windowspecdefinition\(([^)]*)", plan)
+    # every row_number window is partitioned by (series, ship-date block)
+    assert specs and all("_blk" in spec for spec in specs), specs
