@@ -8,13 +8,12 @@ Stage lists map one-to-one: ``$match`` -> ``where`` (partition pruning), ``$grou
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations_with_replacement
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wearline.functions.joins import attach_one_row
-from wearline.functions.safe import condition_key, half_even, safe_corr, safe_ratio
+from wearline.functions.safe import condition_key, half_even, safe_ratio
 from wearline.operators.common import finish, subset
 from wearline.schema import CRITICAL_SENSORS, SENSOR_COLUMNS
 
