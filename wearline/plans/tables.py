@@ -22,6 +22,8 @@ _LAYOUTS: dict[tuple, str] = {}
 # One build at a time per process: callers on several threads must not overwrite the same
 # folder concurrently (each build is idempotent and skipped once its marker exists).
 BUILD_LOCK = threading.RLock()
+# Table DataFrames per (session, folder[, kind]): the file listing is done once.
+_FRAMES: dict[tuple, DataFrame] = {}
 # Part of every stored path: raise it when the derivation of a stored table changes.
 LAYOUT_VERSION = "2"
 
@@ -66,15 +68,21 @@ def build_readings(spark: SparkSession, sf_dir: str, force: bool = False) -> str
     with BUILD_LOCK:
         path = readings_path(spark, sf_dir)
         if force or not path_exists(spark, join_path(path, "_SUCCESS")):
+            _FRAMES.pop((spark.sparkContext.applicationId, sf_dir), None)  # stale listing
             data_layout(readings_from_lineitem(load_table(spark, sf_dir, "lineitem")), path)
         _LAYOUTS[(spark.sparkContext.applicationId, sf_dir)] = path
         return path
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored readings table (built on first use).  The DataFrame is kept per session
+    and folder, so the file listing happens once; it is immutable, and every query
+    derives its own plan from it."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    path = _LAYOUTS.get(key) or build_readings(spark, sf_dir)
-    return spark.read.parquet(path)
+    if key not in _FRAMES:
+        path = _LAYOUTS.get(key) or build_readings(spark, sf_dir)
+        _FRAMES[key] = spark.read.parquet(path)
+    return _FRAMES[key]
 
 
 def readings_unstored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +117,9 @@ def lines(spark: SparkSession, sf_dir: str, style: str = "mixed") -> DataFrame:
             (raw_lines(readings(spark, sf_dir), style=style).write.mode("overwrite")
              .option("partitionOverwriteMode", "static").partitionBy("source").text(path))
         _LAYOUTS[key] = path
-    return read_lines(spark, path)
+        if key not in _FRAMES:
+            _FRAMES[key] = read_lines(spark, path)
+    return _FRAMES[key]
 
 
 def rul_text(spark: SparkSession, sf_dir: str) -> DataFrame:
