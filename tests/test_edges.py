@@ -262,3 +262,19 @@ def test_storage_summary_areas_and_total(spark, tmp_path):
             for r in storage_summary(list_files(spark, str(tmp_path))).collect()}
     assert rows == {"train": (2, 30), "test": (1, 10), "rul": (1, 10), "other": (1, 3),
                     "TOTAL": (5, 53)}
+
+
+def test_ingest_report_statuses(spark):
+    from wearline.sources.ingest import ingest_report
+    from wearline.sources.text import parse_readings
+
+    good = " ".join(["1"] * 26)
+    lines = spark.createDataFrame([
+        ("/d/train_FD001.txt", good), ("/d/train_FD001.txt", good),
+        ("/d/test_FD001.txt", good), ("/d/test_FD001.txt", "1 2 x"),
+        ("/d/train_FD002.txt", "a b c"),
+    ], "source string, value string")
+    got = {r["file_name"]: (r["rows"], r["bad_rows"], r["status"])
+           for r in ingest_report(parse_readings(lines)).collect()}
+    assert got == {"train_FD001.txt": (2, 0, "success"), "test_FD001.txt": (2, 1, "partial"),
+                   "train_FD002.txt": (1, 1, "failure")}

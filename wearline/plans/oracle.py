@@ -453,7 +453,9 @@ ORACLE["ingest_report"] = with_fixtures(f"""
 SELECT CASE WHEN dataset_type = 'rul' THEN 'RUL' ELSE dataset_type END || '_' || dataset_id
          || '.txt' AS file_name,
        dataset_id, dataset_type, COUNT(*) AS rows, COUNT(*) FILTER (WHERE NOT ok) AS bad_rows,
-       CASE WHEN COUNT(*) FILTER (WHERE NOT ok) = 0 THEN 'success' ELSE 'partial' END AS status
+       CASE WHEN COUNT(*) FILTER (WHERE NOT ok) = 0 THEN 'success'
+            WHEN COUNT(*) FILTER (WHERE NOT ok) = COUNT(*) THEN 'failure'
+            ELSE 'partial' END AS status
 FROM (SELECT dataset_id, dataset_type, NOT {CUT_SQL} AND NOT {BAD_SQL} AS ok FROM readings
       UNION ALL SELECT dataset_id, dataset_type, TRUE FROM rul) x
 GROUP BY dataset_id, dataset_type""")

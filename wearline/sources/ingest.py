@@ -107,7 +107,8 @@ def view_counts(spark: SparkSession, names: Sequence[str]) -> DataFrame:
 
 def ingest_report(loaded: DataFrame, keys: Sequence[str] = tuple(PARTITION_COLUMNS)) -> DataFrame:
     """One status row per source file, named ``<type>_<id>.txt`` from its data set and type:
-    rows loaded, rows with a parse problem, ``success`` or ``partial``."""
+    rows loaded, rows with a parse problem, and ``success`` (no problem), ``failure`` (no
+    line parsed) or ``partial``."""
     ok = F.col("parse_ok") if "parse_ok" in loaded.columns else F.lit(True)
     kind = F.when(F.col("dataset_type") == "rul", F.lit("RUL")).otherwise(F.col("dataset_type"))
     return (loaded.groupBy(*keys).agg(
@@ -115,4 +116,6 @@ def ingest_report(loaded: DataFrame, keys: Sequence[str] = tuple(PARTITION_COLUM
         F.count_if(~ok).alias("bad_rows"))
         .select(F.concat(kind, F.lit("_"), F.col("dataset_id"), F.lit(".txt")).alias("file_name"),
                 *keys, "rows", "bad_rows",
-                F.when(F.col("bad_rows") == 0, "success").otherwise("partial").alias("status")))
+                F.when(F.col("bad_rows") == 0, "success")
+                .when(F.col("bad_rows") == F.col("rows"), "failure")
+                .otherwise("partial").alias("status")))
