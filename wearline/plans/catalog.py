@@ -360,6 +360,17 @@ def _irep(spark, sf):
         allowMissingColumns=True))
 
 
+@query("ingest_files")
+def _ingest(spark, sf):
+    """The raw files (readings and labels) ingested in one go into a fresh folder."""
+    tables.lines(spark, sf, "blank")
+    tables.rul_text(spark, sf)
+    out = tables.scratch(spark, sf, f"ingest/{uuid.uuid4().hex}")
+    return IN.ingest_files(
+        spark, [tables.lines_path(spark, sf, "blank"), tables.rul_lines_path(spark, sf)],
+        f"{out}/readings", f"{out}/labels")
+
+
 @query("csv_round_trip")
 def _csv(spark, sf):
     path = tables.scratch(spark, sf, f"csv-round-trip/{uuid.uuid4().hex}")  # own folder per call

@@ -460,6 +460,8 @@ FROM (SELECT dataset_id, dataset_type, NOT {CUT_SQL} AND NOT {BAD_SQL} AS ok FRO
       UNION ALL SELECT dataset_id, dataset_type, TRUE FROM rul) x
 GROUP BY dataset_id, dataset_type""")
 
+ORACLE["ingest_files"] = ORACLE["ingest_report"]
+
 ORACLE["csv_round_trip"] = with_fixtures("SELECT * FROM readings")
 
 ORACLE["replace_ingest"] = with_fixtures(

@@ -122,6 +122,11 @@ def lines(spark: SparkSession, sf_dir: str, style: str = "mixed") -> DataFrame:
     return _FRAMES[key]
 
 
+def rul_lines_path(spark: SparkSession, sf_dir: str) -> str:
+    return join_path(scratch_dir(spark), "wearline-layout", _fingerprint(sf_dir, spark),
+                     "rul-lines")
+
+
 def rul_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label lines (``RUL_<id>.txt`` files) rendered from the label table, stored once."""
     from wearline.sources.fixtures import rul_lines
@@ -129,8 +134,7 @@ def rul_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     key = (spark.sparkContext.applicationId, sf_dir, "rul-lines")
     with BUILD_LOCK:
-        path = join_path(scratch_dir(spark), "wearline-layout", _fingerprint(sf_dir, spark),
-                         "rul-lines")
+        path = rul_lines_path(spark, sf_dir)
         if key not in _LAYOUTS and not path_exists(spark, join_path(path, "_SUCCESS")):
             (rul_lines(rul(spark, sf_dir)).write.mode("overwrite")
              .option("partitionOverwriteMode", "static").partitionBy("source").text(path))

@@ -15,13 +15,16 @@ from wearline.schema import KEY_COLUMNS, RAW_COLUMNS, RAW_SCHEMA
 FILE_NAME_PATTERN = r"(train|test|RUL)_FD[0-9]+\.txt"
 
 
-def read_lines(spark: SparkSession, path: str, source: str = "file_path") -> DataFrame:
-    """Lines of every text file below ``path`` (a folder or glob), with the file path.
+def read_lines(spark: SparkSession, path: str | list[str], source: str = "file_path") -> DataFrame:
+    """Lines of every text file below ``path`` (a folder, glob or list of them, searched
+    recursively), with the file path.
 
-    ``_metadata`` is a hidden column of every file source; the text is split by byte ranges,
-    so large files are read by many tasks.
+    ``_metadata`` is a hidden column of every file source; the data set and type come from
+    the file name, so folder names are never interpreted as partition columns.  Text is
+    split by byte ranges, so large files are read by many tasks.
     """
-    df = spark.read.text(path)
+    reader = spark.read.option("recursiveFileLookup", "true")
+    df = reader.text(path)
     return df.select(F.col(f"_metadata.{source}").alias("source"), "value")
 
 
