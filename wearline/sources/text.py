@@ -77,8 +77,9 @@ def field(fields: Column, i: int) -> Column:
 
 
 def number(fields: Column, i: int) -> Column:
-    """Element i as double, NULL when missing or not a number (Python ``float``)."""
-    return F.trim(field(fields, i)).try_cast("double")
+    """Element i as double, NULL when missing or not a number (Python ``float``; the cast
+    itself ignores surrounding white space, as ``float`` does)."""
+    return field(fields, i).try_cast("double")
 
 
 def whole_number(fields: Column, i: int) -> Column:
@@ -115,8 +116,7 @@ def parse_readings(lines: DataFrame, with_metadata: bool = True) -> DataFrame:
     parsed = _split_once(lines, True, "source")
     cols = []
     for i, fld in enumerate(RAW_SCHEMA.fields):
-        raw = F.trim(field(F.col("fields"), i))
-        cols.append(raw.try_cast(fld.dataType).alias(fld.name))
+        cols.append(field(F.col("fields"), i).try_cast(fld.dataType).alias(fld.name))
     out = parsed.select("source", *cols)
     ok = F.lit(True)
     for c in RAW_COLUMNS:
