@@ -278,3 +278,14 @@ def test_ingest_report_statuses(spark):
            for r in ingest_report(parse_readings(lines)).collect()}
     assert got == {"train_FD001.txt": (2, 0, "success"), "test_FD001.txt": (2, 1, "partial"),
                    "train_FD002.txt": (1, 1, "failure")}
+
+
+def test_duplicate_update_keys_do_not_add_rows(spark, readings):
+    first = readings.orderBy(*RD.ROW_KEY).limit(1).select(*RD.ROW_KEY)
+    ups = first.withColumn("sensor_11", F.lit(1.0)).unionByName(
+        first.withColumn("sensor_11", F.lit(2.0)))
+    out = RD.apply_updates(readings, ups)
+    assert out.count() == readings.count()
+    assert out.where("sensor_11 = 2.0").count() == 1
+    rep = RD.update_report(readings, ups).first()
+    assert rep["matched_count"] == 1

@@ -97,12 +97,14 @@ def apply_updates(readings: DataFrame, updates: DataFrame,
                   max_broadcast_rows: int | None = None) -> DataFrame:
     """Bulk form: ``updates`` holds the row key and the columns to set (NULL = keep).
 
-    A left join on the full key.  By default AQE picks the strategy from the measured size
-    of the updates (broadcast below its threshold, else a shuffle join with skew
-    splitting); ``max_broadcast_rows`` forces a broadcast after a bounded row-count check.
+    A left join on the full key.  Updates are first reduced to one row per key (if a key
+    appears twice, the greatest non-NULL value of each column wins), so the table never
+    gains rows.  By default AQE picks the join strategy from the measured size of the
+    updates (broadcast below its threshold, else a shuffle join with skew splitting);
+    ``max_broadcast_rows`` forces a broadcast after a bounded row-count check.
     """
     cols = [c for c in updates.columns if c not in ROW_KEY]
-    upd = updates.select(*ROW_KEY, *[F.col(c).alias(f"_new_{c}") for c in cols])
+    upd = updates.groupBy(*ROW_KEY).agg(*[F.max(c).alias(f"_new_{c}") for c in cols])
     if max_broadcast_rows is not None:
         upd = broadcast_if_small(upd, max_broadcast_rows)
     joined = readings.join(upd, ROW_KEY, "left")
@@ -112,9 +114,10 @@ def apply_updates(readings: DataFrame, updates: DataFrame,
 
 
 def update_report(readings: DataFrame, updates: DataFrame) -> DataFrame:
-    """Matched and modified row counts of a bulk update (one row)."""
+    """Matched and modified row counts of a bulk update (one row; updates reduced to one
+    row per key as in ``apply_updates``)."""
     cols = [c for c in updates.columns if c not in ROW_KEY]
-    upd = updates.select(*ROW_KEY, *[F.col(c).alias(f"_new_{c}") for c in cols])
+    upd = updates.groupBy(*ROW_KEY).agg(*[F.max(c).alias(f"_new_{c}") for c in cols])
     j = readings.join(upd, ROW_KEY, "inner")
     changed = F.lit(False)
     for c in cols:
