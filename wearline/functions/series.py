@@ -57,23 +57,24 @@ def first_last_candidates(df: DataFrame, key: Sequence[str], order: Sequence[str
             else F.pmod(F.xxhash64(*order), F.lit(salt_buckets)))
     bucket = key + ["_salt"]
     asc = [F.col(c).asc() for c in order]
-    desc = [F.col(c).desc() for c in order]
+    # One sort per stage: with a unique order the rank from the end is count - rank + 1.
     stage1 = (
         df.withColumn("_salt", salt)
         .withColumn("_a1", F.row_number().over(Window.partitionBy(*bucket).orderBy(*asc)))
-        .withColumn("_d1", F.row_number().over(Window.partitionBy(*bucket).orderBy(*desc)))
         .withColumn("_c1", F.count(F.lit(1)).over(Window.partitionBy(*bucket)))
-        .where((F.col("_a1") <= k_max) | (F.col("_d1") <= k_max))
+        .where((F.col("_a1") <= k_max) | (F.col("_c1") - F.col("_a1") < k_max))
     )
-    # The first row of every bucket survives, so summing bucket sizes there gives the
-    # size of the whole series.
+    # Every one of the series' first and last k rows survives stage 1, so ranks among the
+    # survivors are the true ranks up to k (from either end).  The first row of every
+    # bucket survives too, so summing bucket sizes there gives the size of the series.
     return (
         stage1
         .withColumn("asc_rank", F.row_number().over(Window.partitionBy(*key).orderBy(*asc)))
-        .withColumn("desc_rank", F.row_number().over(Window.partitionBy(*key).orderBy(*desc)))
+        .withColumn("_nc", F.count(F.lit(1)).over(Window.partitionBy(*key)))
+        .withColumn("desc_rank", F.col("_nc") - F.col("asc_rank") + 1)
         .withColumn("series_rows", F.sum(F.when(F.col("_a1") == 1, F.col("_c1")))
                     .over(Window.partitionBy(*key)))
-        .drop("_salt", "_a1", "_d1", "_c1")
+        .drop("_salt", "_a1", "_c1", "_nc")
     )
 
 
