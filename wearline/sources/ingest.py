@@ -13,15 +13,34 @@ PARTITION_COLUMNS = META_COLUMNS  # dataset_id, dataset_type
 SORT_COLUMNS = ["unit_number", "time_cycles"]
 
 
+# Target amount of (estimated, uncompressed) data per writer task of the layout.
+TARGET_WRITE_BYTES = 256 * 1024 * 1024
+
+
+def writer_count(df: DataFrame, target_bytes: int = TARGET_WRITE_BYTES) -> int:
+    """Number of writer tasks: the optimizer's size estimate of ``df`` divided by
+    ``target_bytes``, at least the shuffle-partition setting.  For file scans the estimate
+    comes from the file sizes, so 100 TB gets hundreds of thousands of writers instead of
+    a fixed few hundred."""
+    base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        raw = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        size = raw if isinstance(raw, int) else int(raw.toString())
+    except Exception:  # noqa: BLE001 - no estimate: keep the configured count
+        return base
+    return max(base, -(-size // target_bytes))
+
+
 def _layout_frame(df: DataFrame, partitions: int | None) -> DataFrame:
     """Cluster rows by (data set, type, unit, cycle) and sort them inside each file.
 
     Range partitioning on the whole row key (boundaries from a sample) gives every writer
     a contiguous key range of about equal size: a large data set or a very long unit is
     spread over many writers, and each file covers a narrow unit range, which keeps the
-    Parquet min/max statistics selective for unit filters.
+    Parquet min/max statistics selective for unit filters.  The writer count follows the
+    input size (``writer_count``).
     """
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or writer_count(df)
     return (df.repartitionByRange(n, *PARTITION_COLUMNS, *SORT_COLUMNS)
             .sortWithinPartitions(*PARTITION_COLUMNS, *SORT_COLUMNS))
 
