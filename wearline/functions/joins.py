@@ -1,4 +1,10 @@
-"""Join helpers with a proven size bound for broadcasts."""
+"""Attaching small results without unbounded broadcasts or cross joins.
+
+* ``attach_one_row``: a one-row result (global statistics) as a scalar subquery;
+* ``broadcast_if_small``: an explicit broadcast hint only after a bounded row count.
+
+Everything else is left to AQE, which picks broadcast or shuffle joins from measured sizes.
+"""
 
 from __future__ import annotations
 
