@@ -289,3 +289,28 @@ def test_duplicate_update_keys_do_not_add_rows(spark, readings):
     assert out.where("sensor_11 = 2.0").count() == 1
     rep = RD.update_report(readings, ups).first()
     assert rep["matched_count"] == 1
+
+
+def test_ingest_files_raw_folder(spark, tmp_path):
+    from wearline.sources.ingest import ingest_files
+
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    good = " ".join(["0.5"] * 24)
+    (raw / "train_FD003.txt").write_text(
+        "".join(f"{u} {c}  {good} \n" for u in (1, 2) for c in (1, 2, 3)))
+    (raw / "test_FD003.txt").write_text(f"1 1 {good}\n1 2 x {good}\n")
+    (raw / "RUL_FD003.txt").write_text("112 \n98 \n")
+    (raw / "readme.md").write_text("not data\n")
+    table, labels = str(tmp_path / "t"), str(tmp_path / "l")
+    rep = {r["file_name"]: (r["rows"], r["bad_rows"], r["status"])
+           for r in ingest_files(spark, str(raw), table, labels).collect()}
+    assert rep == {"train_FD003.txt": (6, 0, "success"), "test_FD003.txt": (2, 1, "partial"),
+                   "RUL_FD003.txt": (2, 0, "success")}
+    t = spark.read.parquet(table)
+    assert t.count() == 8 and t.where("dataset_id = 'FD003'").count() == 8
+    assert sorted(r["rul"] for r in spark.read.parquet(labels).collect()) == [98.0, 112.0]
+    # ingesting the same folder again replaces, never duplicates
+    ingest_files(spark, str(raw), table, labels).collect()
+    assert spark.read.parquet(table).count() == 8
+    assert spark.read.parquet(labels).count() == 2
