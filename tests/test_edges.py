@@ -314,3 +314,27 @@ def test_ingest_files_raw_folder(spark, tmp_path):
     ingest_files(spark, str(raw), table, labels).collect()
     assert spark.read.parquet(table).count() == 8
     assert spark.read.parquet(labels).count() == 2
+
+
+def test_degradation_exact_when_one_unit_dominates(spark):
+    rnd = random.Random(11)
+    lines, series = [], {}
+    sizes = {1: 5000, 2: 7, 3: 40, 4: 2}  # unit 1 holds most lines, spread over partitions
+    for unit, n in sizes.items():
+        for c in rnd.sample(range(1, 20000), n):
+            vals = [rnd.uniform(1, 1000) for _ in range(21)]
+            fields = [str(unit), str(c), "0.1", "0.2", "100.0"] + [repr(v) for v in vals]
+            lines.append(("train_FD002.txt", ",".join(fields)))
+            series.setdefault(unit, []).append(
+                (c, vals[2], vals[10], vals[7], vals[8], vals[11]))
+    rnd.shuffle(lines)
+    df = spark.createDataFrame(lines, "source string, value string").repartition(6)
+    got = {r["unit_number"]: r for r in J.degradation_metrics(df).collect()}  # partition salt
+    for unit, rows in series.items():
+        want = _brute_degradation(rows)
+        g = got[unit]
+        have = (g["total_cycles"], g["temp_hpc_pct_change"], g["pressure_hpc_pct_change"],
+                g["fan_speed_pct_change"], g["core_speed_pct_change"],
+                g["fuel_ratio_pct_change"], g["health_index"], g["early_avg_temp"],
+                g["late_avg_temp"], g["early_avg_pressure"], g["late_avg_pressure"])
+        assert have == pytest.approx(want, abs=0.011), unit
