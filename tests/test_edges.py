@@ -338,3 +338,15 @@ def test_degradation_exact_when_one_unit_dominates(spark):
                 g["fuel_ratio_pct_change"], g["health_index"], g["early_avg_temp"],
                 g["late_avg_temp"], g["early_avg_pressure"], g["late_avg_pressure"])
         assert have == pytest.approx(want, abs=0.011), unit
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_parse_head_equals_full_parse_prefix(spark, n):
+    from wearline.sources.text import parse_head, parse_lines_dual
+
+    vals = ["1 2 3", "  7\t 8  ", "5", "a,b", "1,,3", ",2", "x y", "  ", "1, 2 ,3",
+            "9 10 11 12", "3,4,5,6", "\t", "4  5\t6"]
+    df = spark.createDataFrame([("s", v) for v in vals], "source string, value string")
+    full = sorted(tuple(r[0][:n]) for r in parse_lines_dual(df, n).select("fields").collect())
+    head = sorted(tuple(r[0]) for r in parse_head(df, n).select("fields").collect())
+    assert head == full

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from wearline.functions.safe import half_even
 from wearline.functions.series import DEFAULT_SALT_BUCKETS, first_last_candidates
 from wearline.schema import DEGRADATION_SENSORS, FEATURE_COLUMNS, RAW_COLUMNS
-from wearline.sources.text import field, file_metadata, number, parse_lines_dual, whole_number
+from wearline.sources.text import (field, file_metadata, number, parse_head, parse_lines_dual,
+                                   whole_number)
 
 ID = ["dataset_id", "dataset_type"]
 POS = {c: i for i, c in enumerate(RAW_COLUMNS)}
@@ -35,7 +36,7 @@ def line_count(lines: DataFrame) -> DataFrame:
 
 def op_count(lines: DataFrame) -> DataFrame:
     """Lines per first field; the key is the unparsed text ``Unit_<field>``."""
-    p = _with_ids(parse_lines_dual(lines, 1))
+    p = _with_ids(parse_head(lines, 1))
     return (p.groupBy(*ID, F.concat(F.lit("Unit_"), field(F.col("fields"), 0)).alias("key"))
             .agg(F.count(F.lit(1)).alias("count")))
 
@@ -47,7 +48,7 @@ def cycle_counter(lines: DataFrame) -> DataFrame:
     the aggregate: same result as dropping bad lines first, without a row filter that
     Catalyst would push below the parse (and so parse each field twice).
     """
-    p = _with_ids(parse_lines_dual(lines, 2)).select(
+    p = _with_ids(parse_head(lines, 2)).select(
         *ID, whole_number(F.col("fields"), 0).alias("unit_number"),
         whole_number(F.col("fields"), 1).alias("time_cycles"))
     return (p.groupBy(*ID, "unit_number").agg(F.max("time_cycles").alias("max_cycle"))

@@ -106,6 +106,32 @@ def parse_lines_dual(lines: DataFrame, min_fields: int = 1, dual: bool = True) -
             .where(F.col("n_fields") >= min_fields))
 
 
+_TOKEN = "[^ \t\n\r\x0b\x0c]+"
+_GAP = "[ \t\n\r\x0b\x0c]+"
+
+
+def parse_head(lines: DataFrame, n: int, dual: bool = True) -> DataFrame:
+    """Like ``parse_lines_dual(lines, n)`` for jobs that read only the first ``n`` fields:
+    keeps non-blank lines with at least ``n`` fields and adds ``fields`` holding exactly
+    those first ``n``.
+
+    The rest of the line is never split: comma lines use a split limited to ``n + 1``
+    pieces (single-character fast path), blank-separated lines one anchored regular
+    expression over the start of the line (pattern compiled once per task).
+    """
+    s = stripped(F.col("value"))
+    by_comma = F.slice(F.split(s, ",", n + 1), 1, n)
+    pattern = "^(" + _TOKEN + ")" + "".join(f"(?:{_GAP}({_TOKEN}))?" for _ in range(n - 1))
+    # a missing blank-separated token extracts as "" (a token itself is never empty)
+    by_blank = F.filter(F.array(*[F.regexp_extract(s, pattern, i + 1) for i in range(n)]),
+                        lambda x: x != "")
+    head = F.when(F.col("value").contains(","), by_comma).otherwise(by_blank) if dual \
+        else by_comma
+    return (lines.where(F.length(s) > 0)
+            .select("source", F.explode(F.array(head)).alias("fields"))
+            .where(F.size("fields") >= n))
+
+
 def parse_readings(lines: DataFrame, with_metadata: bool = True) -> DataFrame:
     """Typed 26 raw columns (+ dataset_id, dataset_type from the file name).
 
