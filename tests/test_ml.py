@@ -35,3 +35,12 @@ def test_empty_training_input_raises(readings):
 def test_missing_model_raises(spark, tmp_path):
     with pytest.raises(Exception):
         ML.load_model(str(tmp_path / "none"))
+
+
+def test_feature_importances_cover_all_features(spark, readings):
+    from wearline.schema import FEATURE_COLUMNS
+
+    model = ML.train_rul_model(readings, "FD001", "train", num_trees=3, max_depth=3, seed=1)
+    imp = ML.feature_importances(model, spark).collect()
+    assert [r["feature"] for r in imp] == FEATURE_COLUMNS
+    assert abs(sum(r["importance"] for r in imp) - 1.0) < 1e-9
