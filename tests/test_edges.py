@@ -350,3 +350,19 @@ def test_parse_head_equals_full_parse_prefix(spark, n):
     full = sorted(tuple(r[0][:n]) for r in parse_lines_dual(df, n).select("fields").collect())
     head = sorted(tuple(r[0]) for r in parse_head(df, n).select("fields").collect())
     assert head == full
+
+
+def test_reference_subsets_by_parameters(readings):
+    """The warehouse queries' own subsets (units <= 10, unit 1 first 100 cycles, units <= 5
+    first 200 rows) are parameters of the operators; the catalogue runs whole tables."""
+    q11 = W.q11_cycle_windows(readings, max_unit=10)
+    whole = W.q11_cycle_windows(readings)
+    assert q11.agg(F.sum("observation_count")).first()[0] <= whole.agg(
+        F.sum("observation_count")).first()[0]
+    q12 = W.q12_drift(readings, unit_number=1, limit=100).collect()
+    assert len(q12) <= 100 and {r["unit_number"] for r in q12} <= {1}
+    assert [r["time_cycles"] for r in q12] == sorted(r["time_cycles"] for r in q12)
+    if q12:
+        assert q12[0]["pressure_drift"] == 0.0
+    q18 = W.q18_ml_features(readings, max_unit=5, limit=200).collect()
+    assert len(q18) <= 200 and all(r["unit_number"] <= 5 for r in q18)
