@@ -133,22 +133,28 @@ def write_changes(changed: DataFrame, table_path: str, dataset_id: str,
 
     The changed rows usually come from a plan that reads ``table_path`` itself, and Spark
     cannot overwrite a path it is reading in the same job.  So the touched partitions are
-    first written to a staging folder below the session's shared folder, then swapped in
-    with the idempotent partition replace (``sources.ingest.replace_ingest``); all other
-    partitions are left as they are.  Returns rows written per partition.
+    first written to a staging folder of their own below the session's shared folder, then
+    swapped in with the idempotent partition replace (``sources.ingest.replace_ingest``);
+    all other partitions are left as they are.  The staging folder is removed afterwards.
+    Returns rows written per partition.
     """
+    import uuid
+
     from wearline.session import join_path, scratch_dir
     from wearline.sources.ingest import replace_ingest
 
     spark = changed.sparkSession
-    stage = stage_path or join_path(
-        scratch_dir(spark), "wearline-stage",
-        f"{table_path.strip('/').replace('/', '_').replace(':', '_')}-{dataset_id}-{dataset_type}")
+    stage = stage_path or join_path(scratch_dir(spark), "wearline-stage", uuid.uuid4().hex)
     touched = changed.where(F.col("dataset_id") == dataset_id)
     if dataset_type is not None:
         touched = touched.where(F.col("dataset_type") == dataset_type)
     touched.select(*READING_COLUMNS).write.mode("overwrite").parquet(stage)
-    return replace_ingest(spark.read.parquet(stage), table_path)
+    written = replace_ingest(spark.read.parquet(stage), table_path)  # the write is eager
+    if stage_path is None:  # our own staging folder: remove it once the swap is written
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(stage)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return written
 
 
 def delete_dataset(readings: DataFrame, dataset_id: str,
