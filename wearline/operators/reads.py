@@ -149,12 +149,13 @@ def write_changes(changed: DataFrame, table_path: str, dataset_id: str,
     if dataset_type is not None:
         touched = touched.where(F.col("dataset_type") == dataset_type)
     touched.select(*READING_COLUMNS).write.mode("overwrite").parquet(stage)
-    written = replace_ingest(spark.read.parquet(stage), table_path)  # the write is eager
+    replace_ingest(spark.read.parquet(stage), table_path)  # the write is eager
     if stage_path is None:  # our own staging folder: remove it once the swap is written
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(stage)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    return written
+    return subset(spark.read.parquet(table_path), dataset_id, dataset_type).groupBy(
+        "dataset_id", "dataset_type").agg(F.count(F.lit(1)).alias("inserted_rows"))
 
 
 def delete_dataset(readings: DataFrame, dataset_id: str,
