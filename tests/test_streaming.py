@@ -13,18 +13,22 @@ def test_stream_ingest_replaces_partitions(spark, tmp_path):
     (src / "train_FD001.txt").write_text("".join(line(u, c) for u in (1, 2) for c in (1, 2, 3)))
     (src / "test_FD001.txt").write_text("".join(line(1, c) for c in (1, 2)))
     (src / "notes.txt").write_text("not data\n")
-    table = str(tmp_path / "table")
-    q = ingest_stream(spark, str(src), table, checkpoint=str(tmp_path / "ckpt"))
+    (src / "RUL_FD001.txt").write_text("112 \n98 \n")
+    table, labels = str(tmp_path / "table"), str(tmp_path / "labels")
+    q = ingest_stream(spark, str(src), table, checkpoint=str(tmp_path / "ckpt"),
+                      labels_path=labels)
     q.awaitTermination(120)
     counts = {(r[0], r[1]): r[2] for r in spark.read.parquet(table)
               .groupBy("dataset_id", "dataset_type").count().collect()}
     assert counts == {("FD001", "train"): 6, ("FD001", "test"): 2}
+    assert sorted(r["rul"] for r in spark.read.parquet(labels).collect()) == [98.0, 112.0]
 
     # a later file for the same data set and type replaces that partition only
     (src / "delivery-2").mkdir()
     (src / "delivery-2" / "train_FD001.txt").write_text(
         "".join(line(7, c) for c in (1, 2, 3, 4)))
-    q = ingest_stream(spark, str(src), table, checkpoint=str(tmp_path / "ckpt"))
+    q = ingest_stream(spark, str(src), table, checkpoint=str(tmp_path / "ckpt"),
+                      labels_path=labels)
     q.awaitTermination(120)
     rows = spark.read.parquet(table)
     counts = {(r[0], r[1]): r[2] for r in rows.groupBy("dataset_id", "dataset_type")

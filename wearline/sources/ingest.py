@@ -140,24 +140,33 @@ def ingest_report(loaded: DataFrame, keys: Sequence[str] = tuple(PARTITION_COLUM
                 .otherwise("partial").alias("status")))
 
 
-def ingest_files(spark: SparkSession, raw_path: str | list[str], table_path: str,
-                 labels_path: str) -> DataFrame:
-    """The whole ingest over a folder (or glob, or list) of raw files, as Spark jobs.
+def ingest_lines(lines: DataFrame, table_path: str, labels_path: str | None = None) -> None:
+    """Ingest raw lines ``(source, value)``, eagerly.
 
     ``train_/test_<id>.txt`` lines are parsed into readings and replace their (data set,
     type) partitions of ``table_path``; ``RUL_<id>.txt`` lines become the label table at
     ``labels_path`` (partitioned by data set, replaced the same way).  Data set and type
-    always come from the file name.  Returns the per-file report.
+    always come from the file name.  Used by the batch ingest and by each micro-batch of
+    the streaming ingest.
     """
-    from wearline.sources.text import parse_readings, parse_rul, read_lines
+    from wearline.sources.text import parse_readings, parse_rul
 
-    lines = read_lines(spark, raw_path)
-    parsed = parse_readings(lines)
-    rows = parsed.where(F.col("dataset_type").isin("train", "test"))
+    rows = parse_readings(lines).where(F.col("dataset_type").isin("train", "test"))
     replace_ingest(rows, table_path)
-    labels = parse_rul(lines)
-    (labels.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("dataset_id").parquet(labels_path))
+    if labels_path is not None:
+        (parse_rul(lines).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("dataset_id").parquet(labels_path))
+
+
+def ingest_files(spark: SparkSession, raw_path: str | list[str], table_path: str,
+                 labels_path: str) -> DataFrame:
+    """The whole ingest over a folder (or glob, or list) of raw files (``ingest_lines``).
+    Returns the per-file report."""
+    from wearline.sources.text import parse_readings, read_lines
+
+    lines = read_lines(spark, raw_path)
+    ingest_lines(lines, table_path, labels_path)
+    rows = parse_readings(lines).where(F.col("dataset_type").isin("train", "test"))
     stored = spark.read.parquet(labels_path)
     report_rows = rows.select("dataset_id", "dataset_type", "parse_ok").unionByName(
         stored.select("dataset_id", F.lit("rul").alias("dataset_type"),

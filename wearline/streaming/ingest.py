@@ -12,16 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from wearline.schema import READING_COLUMNS
 from wearline.session import join_path, scratch_dir
-from wearline.sources.ingest import replace_ingest
-from wearline.sources.text import FILE_NAME_PATTERN, parse_readings
+from wearline.sources.ingest import ingest_lines
+from wearline.sources.text import FILE_NAME_PATTERN
 
 
 def raw_line_stream(spark: SparkSession, source_dir: str,
                     max_files_per_trigger: int | None = None) -> DataFrame:
-    """Lines of newly arriving ``train_/test_<id>.txt`` files below ``source_dir`` (any
-    depth), with their path.  The stream processes each path once: a re-delivered file
+    """Lines of newly arriving ``train_/test_/RUL_<id>.txt`` files below ``source_dir``
+    (any depth), with their path.  The stream processes each path once: a re-delivered file
     arrives under a new folder (for instance one per delivery)."""
     reader = (spark.readStream.format("text").option("pathGlobFilter", "*.txt")
               .option("recursiveFileLookup", "true"))
@@ -34,13 +33,15 @@ def raw_line_stream(spark: SparkSession, source_dir: str,
 
 def ingest_stream(spark: SparkSession, source_dir: str, table_path: str,
                   checkpoint: str | None = None, available_now: bool = True,
-                  max_files_per_trigger: int | None = None) -> StreamingQuery:
-    """Start the streaming ingest; ``available_now`` processes what is there and stops."""
-    parsed = parse_readings(raw_line_stream(spark, source_dir, max_files_per_trigger))
-    rows = parsed.where(F.col("dataset_type").isin("train", "test")).select(*READING_COLUMNS)
+                  max_files_per_trigger: int | None = None,
+                  labels_path: str | None = None) -> StreamingQuery:
+    """Start the streaming ingest; ``available_now`` processes what is there and stops.
+    Each micro-batch runs the batch ingest (``sources.ingest.ingest_lines``) on its lines:
+    readings into ``table_path``, label files into ``labels_path`` when given."""
+    rows = raw_line_stream(spark, source_dir, max_files_per_trigger)
 
     def write_batch(batch: DataFrame, _epoch: int) -> None:
-        replace_ingest(batch, table_path)
+        ingest_lines(batch, table_path, labels_path)
 
     ckpt = checkpoint or join_path(scratch_dir(spark), "wearline-stream",
                                    table_path.strip("/").replace("/", "_").replace(":", "_"))
