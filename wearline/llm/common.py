@@ -51,12 +51,16 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of ``df`` (the file sizes for a plain scan)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def buckets_for(df: DataFrame, bucket_mb: int, at_least: int = 96) -> int:
-    """Number of hash buckets so that each one serves about ``bucket_mb`` MB of input."""
-    return max(at_least, -(-input_bytes(df) // (bucket_mb << 20)))
+    """Number of hash buckets so that each one serves about ``bucket_mb`` MB of input.
+
+    A frame that is not read from files has no size estimate; it gets ``at_least``, and a
+    caller with a large one stores it first."""
+    size = input_bytes(df)
+    return at_least if size >= 1 << 60 else max(at_least, -(-size // (bucket_mb << 20)))
 
 
 def id_text(column: str) -> Column:
