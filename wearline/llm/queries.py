@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wearline.llm import bpe, classifier, html_text, mixing, repeats, tokens
+from wearline.llm import bpe, classifier, html_text, mixing, near, repeats, tokens
 from wearline.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -26,6 +26,10 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(table(spark, sf_dir, "documents"), width=5, percent=85)
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken", "source")
@@ -46,6 +50,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_html_text": op4_html_text,
+    "op5_near_dedup": op5_near_dedup,
     "op6_source_mix": op6_source_mix,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_bpe_chunks": op9_bpe_chunks,
