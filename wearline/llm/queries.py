@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wearline.llm import bpe, classifier, html_text, mixing, near, repeats, rules, tokens
+from wearline.llm import bpe, classifier, fingerprints, html_text, mixing, near, repeats, rules, tokens
 from wearline.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -40,6 +40,10 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), width=20)
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html_text": op4_html_text,
     "op5_near_dedup": op5_near_dedup,
     "op6_source_mix": op6_source_mix,
+    "op7_fingerprints": op7_fingerprints,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_bpe_chunks": op9_bpe_chunks,
     "op10_token_counts": op10_token_counts,
