@@ -15,8 +15,9 @@ the ``k`` smallest of them.
    shares one of the ``k - need + 1`` rarest; only these stay in lists.  Each list first
    compares its members with one pivot, the member whose values are the most common: in a
    group of near copies that is the text that the others vary.  After those links only pairs
-   of different components are left to compare, and of these only pairs whose ``common``
-   counts allow the threshold.
+   of different components are left to compare.  The few members concerned are sorted by
+   the rarity of all their shingles, and only pairs go on whose first shared shingle stands
+   early enough in both (the exact prefix and position bounds of set joins).
 5. *Estimate and verify.*  A pair's similarity is first estimated in the sketch of the
    union; the pairs left are confirmed by exact Jaccard on the full sets.
 6. Components of the confirmed links; the smallest id of a component stays.
@@ -96,6 +97,38 @@ def may_link(a: str, b: str, percent: int) -> Column:
     return 100 * most >= percent * (F.col(f"{a}.n") + F.col(f"{b}.n") - most)
 
 
+def may_reach(most: str, percent: int) -> Column:
+    """Whether a set of ``n`` that shares at most ``most`` can reach the threshold with the
+    smallest partner possible (``least_n``, or what the threshold asks of a partner)."""
+    partner = F.greatest(F.col("least_n"), F.ceil(F.col("n") * percent / 100))
+    return 100 * F.col(most) >= percent * (F.col("n") + partner - F.col(most))
+
+
+def rest_pairs(rest: DataFrame, sets: DataFrame, percent: int, base: str) -> DataFrame:
+    """Pairs ``a, b`` of different components among ``rest`` (``c, n, root``) that may reach
+    the threshold.
+
+    Each full set is sorted, rarest shingle first.  Two sets at the threshold share one of
+    their ``n - ceil(n * t) + 1`` rarest, and at the first one that they share neither has a
+    shared one before it: what follows in the shorter remainder bounds the intersection."""
+    shingles = rest.join(sets.select("c", "shingles"), "c").select("c", "n", "root", F.explode("shingles").alias("h"))
+    counts = stored(shingles.groupBy("h").agg(F.count(F.lit(1)).alias("f")), f"{base}/rest-counts")
+    prefix = (shingles.join(counts, "h")
+              .withColumn("place", F.row_number().over(Window.partitionBy("c").orderBy("f", "h")))
+              .where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).where("f > 1")
+              .select("h", "c", "n", "root", (F.col("n") - F.col("place") + 1).alias("left")))
+    prefix = stored(prefix, f"{base}/rest-prefix")
+    sizes = prefix.groupBy("h").agg(F.min("n").alias("least_n"))
+    able = stored(prefix.join(sizes, "h").where(may_reach("left", percent)).drop("least_n"), f"{base}/rest-able")
+    several = able.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("h")
+    able = stored(able.join(several, "h"), f"{base}/rest-lists")
+    x, y = able.alias("x"), able.alias("y")
+    most = F.least("x.left", "y.left")
+    return (x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.c") < F.col("y.c")) & (F.col("x.root") != F.col("y.root"))
+                   & (100 * most >= percent * (F.col("x.n") + F.col("y.n") - most)))
+            .select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct())
+
+
 def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, k: int, least: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` at or above the threshold: union-sketch estimate, then exact."""
     low = classes.select("c", "low", "n")
@@ -166,22 +199,16 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 85, k: in
     star = stored(star, f"{base}/star")
     links = stored(verified(star, members, sets, k, least, percent), f"{base}/star-links")
 
-    # 5. pairs of different components that no pivot has joined
+    # 5. members that share a list with another component: compared by their full sets
     label = components(links)
     labelled = ranked.join(label.withColumnRenamed("node", "c"), "c", "left").withColumn(
         "root", F.coalesce("root", F.col("c")))
-    mixed_lists = labelled.groupBy("v").agg(F.min("root").alias("r0"), F.max("root").alias("r1"),
-                                            F.min("n").alias("least_n")).where("r0 <> r1")
-    # A member that not even the smallest set of its list allows is left out beforehand.
-    rest = stored(labelled.join(mixed_lists.select("v", "least_n"), "v")
-                  .where(100 * F.col("common") >= percent * (
-                      F.col("n") + F.greatest(F.col("least_n"), F.ceil(F.col("n") * percent / 100)) - F.col("common")))
-                  .select("v", "c", "n", "common", "root"), f"{base}/rest")
-    pairs = (rest.alias("x").join(rest.alias("y"), (F.col("x.v") == F.col("y.v")) & (F.col("x.c") < F.col("y.c"))
-                                  & (F.col("x.root") != F.col("y.root")) & may_link("x", "y", percent))
-             .select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
-             .join(star, ["a", "b"], "left_anti"))
-    more = stored(verified(stored(pairs, f"{base}/pairs"), members, sets, k, least, percent), f"{base}/more-links")
+    several = labelled.groupBy("v").agg(F.min("root").alias("r0"), F.max("root").alias("r1"),
+                                        F.min("n").alias("least_n")).where("r0 <> r1").select("v", "least_n")
+    rest = stored(labelled.join(several, "v").where(may_reach("common", percent)).select("c", "n", "root").distinct(),
+                  f"{base}/rest")
+    pairs = stored(rest_pairs(rest, sets, percent, base), f"{base}/pairs")
+    more = stored(verified(pairs, members, sets, k, least, percent), f"{base}/more-links")
 
     # 6. components over all links; the smallest id names and represents each
     label = components(links.unionByName(more))
