@@ -103,7 +103,7 @@ def apportion(parties: DataFrame, party: list[str], within: list[str], share: st
             .withColumn(name, F.col("_sure") + F.col("_won")).drop("_sure", "_won"))
 
 
-def mix(docs: DataFrame, *, block_words: int = 64, shard_words: int = 4_000_000, max_shards: int = 4096,
+def mix(docs: DataFrame, *, block_words: int = 64, shard_words: int = 200_000, max_shards: int = 4096,
         max_epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7) -> DataFrame:
     """``doc_id, source, size, source_size, target, taken, text_hash`` for every document.
 
