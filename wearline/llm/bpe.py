@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wearline.llm.common import BLANK, batch_bytes_of, shares
+from wearline.llm.common import BLANK, batch_bytes_of, map_arrow, shares
 from wearline.llm.tokens import drops_blanks, load_tokenizer
 
 ENCODED = "doc_id long, n_tokens long, ids string, decoded string"
@@ -220,7 +220,7 @@ def encode(docs: DataFrame, tokenizer: str, *, digests: bool = False, mask_bits:
     with open(tokenizer, "rb") as f:
         content = docs.sparkSession.sparkContext.broadcast(f.read())
     run = _encoder(content, (1 << mask_bits) - 1, cache_chunks, cache_words, digests, batch_bytes)
-    out = docs.select("doc_id", "text").mapInArrow(run, DIGESTS if digests else ENCODED)
+    out = docs.select("doc_id", "text").transform(map_arrow, run, DIGESTS if digests else ENCODED)
     if digests:
         return out
     ids = F.when(F.col("ids") == "", F.array().cast("array<int>")).otherwise(
@@ -243,4 +243,4 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
                                    pa.array(t.decode_batch(ids, skip_special_tokens=False), pa.string())],
                                   names=["doc_id", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded string")
+    return encoded.select("doc_id", "ids").transform(map_arrow, run, "doc_id long, decoded string")

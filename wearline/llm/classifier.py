@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wearline.llm.common import WordHash, batch_bytes_of, crc_mod, shared_folder, stored, window_hashes
+from wearline.llm.common import WordHash, batch_bytes_of, crc_mod, map_arrow, shared_folder, stored, window_hashes
 
 SYMBOLS = b"#*$%&|<>"
 CAPITALS = re.compile(rb"[A-Z]|\xc3[\x80-\x96\x98-\x9e]")
@@ -78,8 +78,7 @@ def features(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), *map(pa.array, x.T)],
                                   names=["doc_id", *NAMES])
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, ", ".join(["doc_id long", *(f"{n} double" for n in NAMES)]))
+    return docs.select("doc_id", "text").transform(map_arrow, run, ", ".join(["doc_id long", *(f"{n} double" for n in NAMES)]))
 
 
 @dataclass
@@ -167,7 +166,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, label: str = "quality"
             x = np.column_stack([batch.column(n).to_numpy(zero_copy_only=False) for n in NAMES])
             yield pa.record_batch([batch.column("doc_id"), pa.array(model.score(x))], names=["doc_id", "score"])
 
-    return (stats.mapInArrow(run, "doc_id long, score double")
+    return (stats.transform(map_arrow, run, "doc_id long, score double")
             .select("doc_id", held_out().alias("held_out"), "score",
                     F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted")))
 
@@ -185,4 +184,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, label: str = "quality",
         for batch in batches:
             yield batch.filter(pa.array(model.score(_matrix(batch, hashes)) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(map_arrow, run, docs.schema)

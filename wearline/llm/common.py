@@ -72,6 +72,19 @@ def crc_mod(column: str, modulus: int) -> Column:
     return F.crc32(id_text(column).cast("binary")) % F.lit(modulus)
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` with batches bounded by bytes: texts vary too much in length for a
+    bound by rows.  8 MB unless the cluster's configuration says otherwise; a longer text is
+    a batch of its own."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getConf().contains(BATCH_BYTES):
+        spark.conf.set(BATCH_BYTES, "8m")
+    return df.mapInArrow(function, schema)
+
+
 def batch_bytes_of(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     """A text column of a batch as UTF-8 byte strings (None for NULL)."""
     return batch.column(column).cast(pa.binary()).to_pylist()
@@ -80,7 +93,7 @@ def batch_bytes_of(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
 class WordHash(dict):
     """64-bit hash per word, remembered for up to ``limit`` words of one worker."""
 
-    def __init__(self, limit: int = 300_000, seed: int = 0):
+    def __init__(self, limit: int = 150_000, seed: int = 0):
         super().__init__()
         self.limit, self.seed = limit, seed
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wearline.llm.common import MULT, WordHash, buckets_for, mixed, shared_folder, stored, window_hashes
+from wearline.llm.common import MULT, WordHash, buckets_for, map_arrow, mixed, shared_folder, stored, window_hashes
 
 IDENTITY, LANES, RUN = 8, 256, 3
 SCHEMA = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
@@ -115,7 +115,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 [to_text(fingerprint(t or "", hashes)) for t in batch.column("text").to_pylist()], pa.string())],
                 names=["doc_id", "fingerprint"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint string")
+    return docs.select("doc_id", "text").transform(map_arrow, run, "doc_id long, fingerprint string")
 
 
 def in_order(docs: DataFrame, bucket_mb: int) -> DataFrame:
@@ -177,4 +177,4 @@ def edit_fingerprints(docs: DataFrame, *, bucket_mb: int = 8) -> DataFrame:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
                                   names=[f.split()[0] for f in SCHEMA.split(", ")])
 
-    return in_order(docs, bucket_mb).mapInArrow(run, SCHEMA)
+    return in_order(docs, bucket_mb).transform(map_arrow, run, SCHEMA)

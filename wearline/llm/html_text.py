@@ -24,6 +24,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from wearline.llm.common import map_arrow
+
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 TAG = re.compile(r"""<!--|<!\[CDATA\[|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>""")
@@ -203,4 +205,4 @@ def extract(pages: DataFrame, *, window: int = 3, surge: int = 30, share: float
                  pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                 names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, SCHEMA)
+    return pages.select("page_id", "url", "html").transform(map_arrow, run, SCHEMA)

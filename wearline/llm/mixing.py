@@ -35,6 +35,10 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def text_hash() -> Column:
+    return F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+
+
 def draw(seed: int, *columns: str) -> Column:
     """A seeded 60-bit number of the columns' text, the same in every engine that has MD5."""
     text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
@@ -111,7 +115,7 @@ def mix(docs: DataFrame, *, block_words: int = 64, shard_words: int = 200_000, m
     rows without them are stored in the shared folder, later steps read those."""
     spark = docs.sparkSession
     rows = stored(docs.select("doc_id", "source", word_count().alias("size"),
-                              F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_hash")),
+                              text_hash().alias("text_hash")),
                   shared_folder(spark, "mix-sizes"))
     sources = stored(
         source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), max_epochs, weights)
@@ -165,12 +169,12 @@ def repeat_by_taken(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The mix as rows: every document as often as its words were taken, rounded to whole
     documents by a seeded fraction; same columns as ``docs``."""
     copies = (mixed.where(F.col("taken") > 0)
-              .withColumn("_whole", F.floor(F.col("taken") / F.col("size")))
-              .withColumn("_part", F.col("taken") / F.col("size") - F.col("_whole"))
-              .withColumn("_copies", (F.col("_whole") + F.when(
-                  draw(99, "doc_id", "text_hash") % 1_000_000 < F.col("_part") * 1_000_000, 1).otherwise(0)).cast("int"))
-              .groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.max("_copies").alias("_copies")))
-    keyed = docs.withColumn("_hash2", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    joined = keyed.join(copies, keyed["doc_id"].eqNullSafe(copies["_id"]) & (keyed["_hash2"] == copies["_hash"]))
-    return (joined.where(F.col("_copies") > 0)
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns))
+              .withColumn("whole", F.floor(F.col("taken") / F.col("size")))
+              .withColumn("part", F.col("taken") / F.col("size") - F.col("whole"))
+              .withColumn("copies", (F.col("whole") + F.when(
+                  draw(99, "doc_id", "text_hash") % 1_000_000 < F.col("part") * 1_000_000, 1).otherwise(0)).cast("int"))
+              .groupBy(F.col("doc_id").alias("__llm_id"), F.col("text_hash").alias("__llm_hash"))
+              .agg(F.max("copies").alias("__llm_copies")).where(F.col("__llm_copies") > 0))
+    keyed = docs.withColumn("__llm_text", text_hash())
+    return (keyed.join(copies, keyed["doc_id"].eqNullSafe(copies["__llm_id"]) & (keyed["__llm_text"] == copies["__llm_hash"]))
+            .withColumn("__llm_copy", F.explode(F.sequence(F.lit(1), F.col("__llm_copies")))).select(*docs.columns))

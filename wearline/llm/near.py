@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wearline.llm.common import WordHash, batch_bytes_of, mixed, shared_folder, stored, window_hashes
+from wearline.llm.common import WordHash, batch_bytes_of, map_arrow, mixed, shared_folder, stored, window_hashes
 from wearline.llm.components import components
 
 SKETCHED = "doc_id long, n long, print binary, low array<long>"
@@ -155,7 +155,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 85, k: in
     broadcast up to ``broadcast_ids`` (16 bytes each), beyond that joined by shuffle."""
     spark = docs.sparkSession
     base = shared_folder(spark, "near")
-    rows = stored(docs.select("doc_id", "text").mapInArrow(_set_function(width, k), SKETCHED), f"{base}/rows")
+    rows = stored(docs.select("doc_id", "text").transform(map_arrow, _set_function(width, k), SKETCHED), f"{base}/rows")
     classes = stored(
         rows.where("doc_id IS NOT NULL AND n > 0").groupBy("print")
         .agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.any_value("low").alias("low"))
@@ -172,7 +172,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 85, k: in
     ids = wanted.select(F.col("first").alias("doc_id")).distinct()
     few = wanted.count() <= broadcast_ids
     again = (docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-             .mapInArrow(_set_function(width, None), FULL))
+             .transform(map_arrow, _set_function(width, None), FULL))
     chosen = wanted.select("c", "print")
     sets = stored(again.join(F.broadcast(chosen) if few else chosen, "print")
                   .groupBy("c").agg(F.any_value("n").alias("n"), F.any_value("shingles").alias("shingles")), f"{base}/sets")
@@ -229,5 +229,5 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The documents that stay, with all their columns; rows that repeat one id and text
     stay together.  The verdicts (8 bytes a dropped document) are joined by id."""
     verdicts = near_duplicates(docs, **options)
-    dropped = verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"] == F.col("_dropped"), "left_anti")
+    dropped = verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("__llm_dropped")).distinct()
+    return docs.join(dropped, docs["doc_id"] == dropped["__llm_dropped"], "left_anti")

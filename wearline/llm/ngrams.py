@@ -44,7 +44,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wearline.llm.common import WordHash, batch_bytes_of, buckets_for, crc_mod, mixed, shared_folder, stored
+from wearline.llm.common import (
+    WordHash, batch_bytes_of, buckets_for, crc_mod, map_arrow, mixed, shared_folder, stored)
 
 END = np.uint64(0x656E64)  # stands for the end token among word hashes
 PACKED = "bucket int, payload binary"
@@ -417,8 +418,8 @@ def train(docs: DataFrame, *, bucket_mb: int = 64, flush_words: int = 1_500_000)
     texts = docs.select("text")
     buckets = buckets_for(texts, bucket_mb)
 
-    words = dealt(texts.mapInArrow(_count_words(buckets, flush_words), PACKED), buckets)
-    sizes = stored(words.mapInArrow(_store_words(folder), "bucket int, n long, total long"), f"{base}/words").collect()
+    words = dealt(texts.transform(map_arrow, _count_words(buckets, flush_words), PACKED), buckets)
+    sizes = stored(words.transform(map_arrow, _store_words(folder), "bucket int, n long, total long"), f"{base}/words").collect()
     per = np.zeros(buckets, np.int64)
     for r in sizes:  # one row per hash range
         per[r["bucket"]] = r["n"]
@@ -428,15 +429,14 @@ def train(docs: DataFrame, *, bucket_mb: int = 64, flush_words: int = 1_500_000)
     end = vocabulary.find(np.array([END]))[1][0]
 
     width = -(-(vocabulary.size + 1) // buckets)
-    pairs = dealt(texts.mapInArrow(_count_pairs(vocabulary, buckets, flush_words), PACKED), buckets)
-    lower = stored(pairs.mapInArrow(_store_pairs(folder, buckets, width), LOWER), f"{base}/lower-rows")
+    pairs = dealt(texts.transform(map_arrow, _count_pairs(vocabulary, buckets, flush_words), PACKED), buckets)
+    lower = stored(pairs.transform(map_arrow, _store_pairs(folder, buckets, width), LOWER), f"{base}/lower-rows")
     per = np.zeros(buckets, np.int64)
     kinds = np.zeros(4, np.int64)
     for r in lower.where("payload IS NULL").collect():  # one row per hash range
         per[r["bucket"]] = r["n"]
         kinds += [r[f"c{c}"] for c in (1, 2, 3, 4)]
-    shards = stored(dealt(lower.where("payload IS NOT NULL").select("bucket", "payload"), buckets).mapInArrow(
-        _store_lower(folder, width), "bucket int, total long, n long, c1 long, c2 long, c3 long, c4 long"),
+    shards = stored(dealt(lower.where("payload IS NOT NULL").select("bucket", "payload"), buckets).transform(map_arrow, _store_lower(folder, width), "bucket int, total long, n long, c1 long, c2 long, c3 long, c4 long"),
         f"{base}/ends").collect()
     total = {k: sum(r[k] for r in shards) for k in ("total", "n", "c1", "c2", "c3", "c4")}
     more = total["n"] - total["c1"] - total["c2"]
@@ -513,7 +513,7 @@ def _score_function(model: Model, flush: int):
 def scores(docs: DataFrame, model: Model, *, flush_words: int = 1_000_000) -> DataFrame:
     """Per document: tokens, known tokens, the model's log10 probability and that of the
     add-one unigram model.  ``docs`` has ``doc_id, held_out, text``; a narrow transformation."""
-    return docs.select("doc_id", "held_out", "text").mapInArrow(_score_function(model, flush_words), SCORED)
+    return docs.select("doc_id", "held_out", "text").transform(map_arrow, _score_function(model, flush_words), SCORED)
 
 
 def held_out(modulus: int = 7, remainder: int = 2):

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wearline.llm.common import MULT, WordHash, batch_bytes_of, buckets_for, window_hashes
+from wearline.llm.common import MULT, WordHash, batch_bytes_of, buckets_for, map_arrow, window_hashes
 
 NO_ID = -(1 << 63)  # stands for a NULL id, before all others
 SEEDS, SPANS = 0, 1
@@ -246,65 +246,66 @@ def _extend_function(width: int):
     return run
 
 
-def repeat_spans(docs: DataFrame, *, width: int = 20, seed_words: int = 6, bucket_mb: int = 64,
-                 flush_words: int = 1_000_000) -> DataFrame:
+def repeat_spans(docs: DataFrame, *, width: int = 20, seed_words: int = 6, bucket_mb: int = 32,
+                 flush_words: int = 500_000) -> DataFrame:
     """``key, text_key, spans``: per document the word spans whose windows occur earlier.
 
     One shuffle of packed seeds (about 9 bytes a word) and one of the spans."""
     if not 1 <= seed_words <= width:
         raise ValueError("seed_words must lie between 1 and width")
     buckets = buckets_for(docs.select("doc_id", "text"), bucket_mb)
-    seeds = docs.select(doc_key().alias("key"), text_key().alias("text_key"), "text").mapInArrow(
-        _seed_function(width, seed_words, buckets, flush_words), PACKED)
+    seeds = docs.select(doc_key().alias("key"), text_key().alias("text_key"), "text").transform(map_arrow, _seed_function(width, seed_words, buckets, flush_words), PACKED)
     spans = (seeds.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-             .mapInArrow(_extend_function(width), SPAN_ROWS))
+             .transform(map_arrow, _extend_function(width), SPAN_ROWS))
     return spans.groupBy("key", "text_key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
-def _cut_function(handle):
-    """Arrow function that passes (batch, kept words, n words, n removed) per batch to ``handle``."""
+def _cut_function(make, handle):
+    """Arrow function that passes (batch, made, n words, n removed) per batch to ``handle``;
+    ``made`` holds ``make(kept words joined by one space, number removed)`` of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept, total, removed = [], [], []
-            for content, spans in zip(batch_bytes_of(batch, "text"), batch.column("_spans").to_pylist(), strict=True):
-                words = (content or b"").split()
-                n = len(words)
-                if spans:
-                    gone = np.zeros(n + 1, np.int32)
-                    for s in spans:
-                        gone[s["start"]] += 1
-                        gone[s["stop"]] -= 1
-                    stay = np.flatnonzero(np.cumsum(gone[:-1]) == 0)
-                    words = [words[i] for i in stay]
-                kept.append(words)
-                total.append(n)
-                removed.append(n - len(words))
-            yield handle(batch, kept, total, removed)
+        for whole in batches:
+            for first in range(0, len(whole), 1000):
+                batch = whole.slice(first, 1000)
+                made, total, removed = [], [], []
+                for content, spans in zip(batch_bytes_of(batch, "text"), batch.column("__llm_spans").to_pylist(), strict=True):
+                    words = (content or b"").split()
+                    n = len(words)
+                    if spans:
+                        gone = np.zeros(n + 1, np.int32)
+                        for s in spans:
+                            gone[s["start"]] += 1
+                            gone[s["stop"]] -= 1
+                        words = [words[i] for i in np.flatnonzero(np.cumsum(gone[:-1]) == 0)]
+                    made.append(make(b" ".join(words), n - len(words)))
+                    total.append(n)
+                    removed.append(n - len(words))
+                yield handle(batch, made, total, removed)
 
     return run
 
 
 def _with_spans(docs: DataFrame, **options) -> DataFrame:
-    spans = (repeat_spans(docs, **options)
-             .select(F.col("key").alias("_key"), F.col("text_key").alias("_text_key"), F.col("spans").alias("_spans")))
-    keyed = docs.withColumn("_k", doc_key()).withColumn("_t", text_key())
-    return keyed.join(spans, (F.col("_k") == F.col("_key")) & (F.col("_t") == F.col("_text_key")), "left").drop(
-        "_k", "_t", "_key", "_text_key")
+    spans = repeat_spans(docs, **options).select(
+        F.col("key").alias("__llm_id"), F.col("text_key").alias("__llm_text"), F.col("spans").alias("__llm_spans"))
+    keyed = docs.withColumn("__llm_k", doc_key()).withColumn("__llm_t", text_key())
+    return keyed.join(spans, (F.col("__llm_k") == F.col("__llm_id")) & (F.col("__llm_t") == F.col("__llm_text")),
+                      "left").drop("__llm_k", "__llm_t", "__llm_id", "__llm_text")
 
 
 def remove_repeats(docs: DataFrame, **options) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` for every document."""
 
-    def handle(batch, kept, total, removed):
+    def handle(batch, made, total, removed):
         return pa.record_batch(
             [batch.column("doc_id").cast(pa.int64()), pa.array(total, pa.int64()), pa.array(removed, pa.int64()),
-             pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in kept], pa.string())],
+             pa.array(made, pa.string())],
             names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     joined = _with_spans(docs.select("doc_id", "text"), **options)
-    return joined.mapInArrow(_cut_function(handle), schema)
+    return joined.transform(map_arrow, _cut_function(lambda text, _: hashlib.sha256(text).hexdigest(), handle), schema)
 
 
 def cut_repeats(docs: DataFrame, **options) -> DataFrame:
@@ -312,9 +313,9 @@ def cut_repeats(docs: DataFrame, **options) -> DataFrame:
     space; texts without repeats unchanged) and ``n_chars`` brought up to date if present."""
     names, schema = docs.columns, docs.schema
 
-    def handle(batch, kept, total, removed):
+    def handle(batch, made, total, removed):
         old = batch.column("text").to_pylist()
-        new = [t if not r else b" ".join(w).decode() for t, w, r in zip(old, kept, removed, strict=True)]
+        new = [t if m is None else m.decode() for t, m in zip(old, made, strict=True)]
         columns = []
         for name in names:
             column = batch.column(name)
@@ -326,4 +327,4 @@ def cut_repeats(docs: DataFrame, **options) -> DataFrame:
             columns.append(column)
         return pa.record_batch(columns, names=names)
 
-    return _with_spans(docs, **options).mapInArrow(_cut_function(handle), schema)
+    return _with_spans(docs, **options).transform(map_arrow, _cut_function(lambda text, removed: text if removed else None, handle), schema)

@@ -20,7 +20,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from wearline.llm.common import batch_bytes_of, shares
+from wearline.llm.common import batch_bytes_of, map_arrow, shares
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -122,4 +122,4 @@ def token_counts(docs: DataFrame, tokenizer: str, *, limit: int = 2048,
     with open(tokenizer, "rb") as f:
         content = docs.sparkSession.sparkContext.broadcast(f.read())
     run = counter(content, kind, batch_bytes, cache_parts, limit)
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").transform(map_arrow, run, SCHEMA)
