@@ -1,5 +1,6 @@
 """Edge cases: short series, constant columns, malformed lines, re-ingest, changes."""
 
+import math
 import os
 import random
 import tempfile
@@ -172,9 +173,8 @@ def test_first_last_candidates_exact_under_salting(spark, salt):
 
 
 def test_q13_threshold_variants(readings):
-    strict = W.q13_threshold_alert(readings, accuracy=1_000_000).collect()
-    loose = W.q13_threshold_alert(readings, temp_quantile=0.55, pressure_quantile=0.45,
-                                  accuracy=1_000_000).collect()
+    strict = W.q13_threshold_alert(readings).collect()
+    loose = W.q13_threshold_alert(readings, temp_quantile=0.55, pressure_quantile=0.45).collect()
     assert len(loose) >= len(strict)
 
 
@@ -264,20 +264,115 @@ def test_storage_summary_areas_and_total(spark, tmp_path):
                     "TOTAL": (5, 53)}
 
 
-def test_ingest_report_statuses(spark):
-    from wearline.sources.ingest import ingest_report
+def test_ingest_statuses_names_and_deliveries(spark, tmp_path):
+    """Newest delivery of a name wins, whole names only, every file is reported."""
+    from wearline.sources.ingest import ingest_files
+
+    good = " ".join(["0.5"] * 24)
+
+    def put(name, text, when):
+        f = tmp_path / "raw" / name
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text(text)
+        os.utime(f, (when, when))
+
+    put("a/train_FD001.txt", f"1 1 {good}\n1 2 {good}\n1 3 {good}\n", 2000)
+    put("b/train_FD001.txt", f"9 1 {good}\n", 1000)  # older, though later in path order
+    put("a/test_FD001.txt", f"1 1 {good}\n1 2 x\n", 1000)
+    put("a/train_FD002.txt", "a b c\n", 1000)
+    put("a/test_FD002.txt", "", 1000)  # Spark's readers do not list empty files
+    put("a/train_FD003.txt.bak", f"1 1 {good}\n", 1000)
+    put("a/my_train_FD003.txt", f"1 1 {good}\n", 1000)
+    put("train_FD004.txt_old/RUL_FD002.txt", "7 \n", 1000)
+    put("parts/train_FD004.txt/part-0", f"1 1 {good}\n", 1000)
+    put("parts/train_FD004.txt/part-1", f"1.0 2.0 {good}\n", 1500)
+    table, labels = str(tmp_path / "t"), str(tmp_path / "l")
+    got = {(r["file_name"], r["status"], r["rows"], r["bad_rows"])
+           for r in ingest_files(spark, str(tmp_path / "raw"), table, labels).collect()}
+    assert got == {
+        ("train_FD001.txt", "success", 3, 0), ("train_FD001.txt", "superseded", None, None),
+        ("test_FD001.txt", "partial", 2, 1), ("train_FD002.txt", "failure", 1, 1),
+        ("train_FD003.txt.bak", "skipped", None, None),
+        ("my_train_FD003.txt", "skipped", None, None), ("RUL_FD002.txt", "success", 1, 0),
+        ("train_FD004.txt", "success", 2, 0)}
+    rows = spark.read.parquet(table)
+    assert rows.where("dataset_id = 'FD001' AND dataset_type = 'train'").count() == 3
+    assert {(r.unit_number, r.time_cycles) for r in rows.where("dataset_id = 'FD004'").collect()} == {(1, 1), (1, 2)}
+
+
+def _readings(spark, rows):
+    """(unit, cycle, sensor_11) rows of FD001 train, every other value 1."""
+    from wearline.schema import READINGS_SCHEMA
+
+    def full(u, c, s, kind):
+        return tuple(u if f.name == "unit_number" else c if f.name == "time_cycles" else s if f.name == "sensor_11"
+                     else "FD001" if f.name == "dataset_id" else kind if f.name == "dataset_type" else 1.0
+                     for f in READINGS_SCHEMA.fields)
+
+    return spark.createDataFrame([full(*r) for r in rows], READINGS_SCHEMA)
+
+
+NULL_ROWS = [(1, 1, 5.0, "train"), (1, 2, 7.0, "train"), (None, 1, 3.0, "train"), (None, 4, 4.0, "train"),
+             (2, None, 9.0, "train"), (2, 3, 2.0, "train"), (3, 1, None, "train")]
+
+
+def test_series_joins_lose_no_row(spark):
+    from wearline.operators.ml import rul_label
+
+    r = _readings(spark, NULL_ROWS)
+    drift = {(x.unit_number, x.time_cycles): x.pressure_drift for x in W.q12_drift(r).collect()}
+    assert drift == {(1, 1): 0.0, (1, 2): 2.0, (None, 1): 0.0, (None, 4): 1.0, (2, None): 0.0, (2, 3): -7.0, (3, 1): None}
+    rul = {(x.unit_number, x.time_cycles): x.rul for x in rul_label(r).collect()}
+    assert rul == {(1, 1): 1.0, (1, 2): 0.0, (None, 1): 3.0, (None, 4): 0.0, (2, None): None, (2, 3): 0.0, (3, 1): 0.0}
+
+
+def test_scoring_keeps_rows_with_missing_features(spark):
+    from wearline.operators import ml as ML
+
+    train = _readings(spark, [(u, c, float(c), "train") for u in range(1, 6) for c in range(1, 9)] + NULL_ROWS[2:])
+    report = ML.training_report(train).first()
+    assert report["training_rows"] + report["left_out"] == 45 and report["left_out"] == 2
+    model = ML.train_rul_model(train, num_trees=3, max_depth=3)
+    test = _readings(spark, [(1, 1, 1.0, "test"), (1, 2, None, "test"), (2, 1, None, "test")])
+    scored = ML.predict_rul(model, test)
+    got = {(r.unit_number, r.time_cycles): (r.prediction is None, r.reason) for r in scored.collect()}
+    assert got == {(1, 1): (False, None), (1, 2): (True, "missing feature"), (2, 1): (True, "missing feature")}
+    latest = {r.unit_number: (r.current_cycle, r.predicted_rul) for r in ML.rul_latest(scored).collect()}
+    assert latest == {1: (2, None), 2: (1, None)}
+
+
+def test_whole_numbers_follow_one_rule(spark):
     from wearline.sources.text import parse_readings
 
-    good = " ".join(["1"] * 26)
-    lines = spark.createDataFrame([
-        ("/d/train_FD001.txt", good), ("/d/train_FD001.txt", good),
-        ("/d/test_FD001.txt", good), ("/d/test_FD001.txt", "1 2 x"),
-        ("/d/train_FD002.txt", "a b c"),
-    ], "source string, value string")
-    got = {r["file_name"]: (r["rows"], r["bad_rows"], r["status"])
-           for r in ingest_report(parse_readings(lines)).collect()}
-    assert got == {"train_FD001.txt": (2, 0, "success"), "test_FD001.txt": (2, 1, "partial"),
-                   "train_FD002.txt": (1, 1, "failure")}
+    good = " ".join(["0.5"] * 24)
+    lines = spark.createDataFrame([("/d/train_FD001.txt", f"1.0 2.7 {good}"), ("/d/train_FD001.txt", f"x 1e1 {good}")],
+                                  "source string, value string")
+    assert [(r.unit_number, r.time_cycles) for r in parse_readings(lines).collect()] == [(1, 2), (None, 10)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 1000, 20_000])
+def test_exact_quantiles(spark, n):
+    from wearline.functions.quantiles import exact_quantiles
+
+    rnd = random.Random(n)
+    rows = [(rnd.choice(["a", "b", None]), rnd.choice([None, float(rnd.randint(0, 50)), rnd.random()])) for _ in range(n)]
+    df = spark.createDataFrame(rows, "dataset_id string, v double")
+    for q in (0.0, 0.05, 0.5, 0.95, 1.0):
+        for accuracy in (20, 10_000):
+            got = {r.dataset_id: r.q for r in exact_quantiles(df, ["dataset_id"], {"q": ("v", q)}, accuracy).collect()}
+            for g in {x for x, _ in rows}:
+                v = sorted(y for x, y in rows if x == g and y is not None)
+                assert got[g] == (v[max(0, math.ceil(q * len(v)) - 1)] if v else None)
+            everything = sorted(y for _, y in rows if y is not None)
+            one = exact_quantiles(df, [], {"q": ("v", q)}, accuracy).first().q
+            assert one == (everything[max(0, math.ceil(q * len(everything)) - 1)] if everything else None)
+
+
+def test_update_can_set_null(spark, readings):
+    first = readings.orderBy(*RD.ROW_KEY).limit(1).select(*RD.ROW_KEY)
+    ups = first.withColumn("sensor_11", F.lit(None).cast("double"))
+    assert RD.apply_updates(readings, ups).where("sensor_11 IS NULL").count() == 0
+    assert RD.apply_updates(readings, ups, null_means_keep=False).where("sensor_11 IS NULL").count() == 1
 
 
 def test_duplicate_update_keys_do_not_add_rows(spark, readings):
@@ -306,7 +401,7 @@ def test_ingest_files_raw_folder(spark, tmp_path):
     rep = {r["file_name"]: (r["rows"], r["bad_rows"], r["status"])
            for r in ingest_files(spark, str(raw), table, labels).collect()}
     assert rep == {"train_FD003.txt": (6, 0, "success"), "test_FD003.txt": (2, 1, "partial"),
-                   "RUL_FD003.txt": (2, 0, "success")}
+                   "RUL_FD003.txt": (2, 0, "success"), "readme.md": (None, None, "skipped")}
     t = spark.read.parquet(table)
     assert t.count() == 8 and t.where("dataset_id = 'FD003'").count() == 8
     assert sorted(r["rul"] for r in spark.read.parquet(labels).collect()) == [98.0, 112.0]

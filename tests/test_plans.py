@@ -69,3 +69,28 @@ def test_series_numbering_has_no_window_over_a_whole_series(spark, sf):
     specs = re.findall(r"row_number\(\) windowspecdefinition\(([^)]*)", plan)
     # every row_number window is partitioned by (series, ship-date block)
     assert specs and all("_blk" in spec for spec in specs), specs
+
+
+def test_series_join_splits_a_hot_unit(spark):
+    """Half of the rows on one unit, no broadcast: the join's largest partition is split."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = spark.range(300_000).selectExpr("CASE WHEN id % 2 = 0 THEN 1L ELSE id % 1000 END AS u", "id AS c",
+                                             "rand(1) AS s").repartition(16)
+        from wearline.functions.series import attach_series_aggregates, first_by
+
+        out = attach_series_aggregates(df, ["u"], first_by("s", "c").alias("first"))
+        assert out.count() == 300_000
+        rows = out.agg({"first": "count", "c": "sum", "s": "sum"})
+        rows.collect()
+        assert "skew=true" in rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

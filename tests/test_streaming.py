@@ -36,3 +36,21 @@ def test_stream_ingest_replaces_partitions(spark, tmp_path):
     assert counts == {("FD001", "train"): 4, ("FD001", "test"): 2}
     assert {r[0] for r in rows.where("dataset_type = 'train'").select("unit_number")
             .distinct().collect()} == {7}
+
+
+def test_result_does_not_depend_on_micro_batches(spark, tmp_path):
+    """Two deliveries in one run, or in two, give the same table: the newer file."""
+    from wearline.streaming.ingest import ingest_stream
+
+    good = " ".join(["0.5"] * 24)
+    for name, splits in (("one", False), ("two", True)):
+        src = tmp_path / name
+        for i, units in enumerate(((1, 2, 3), (4, 5))):
+            d = src / f"delivery-{i}"
+            d.mkdir(parents=True)
+            (d / "train_FD001.txt").write_text("".join(f"{u} 1 {good}\n" for u in units))
+            if splits or i == 1:
+                ingest_stream(spark, str(src), str(tmp_path / f"t-{name}"), checkpoint=str(tmp_path / f"c-{name}")
+                              ).awaitTermination(120)
+        units = {r[0] for r in spark.read.parquet(str(tmp_path / f"t-{name}")).select("unit_number").collect()}
+        assert units == {4, 5}

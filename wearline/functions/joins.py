@@ -1,9 +1,7 @@
-"""Attaching small results without unbounded broadcasts or cross joins.
+"""Attaching one-row results (global statistics, thresholds) without a join.
 
-* ``attach_one_row``: a one-row result (global statistics) as a scalar subquery;
-* ``broadcast_if_small``: an explicit broadcast hint only after a bounded row count.
-
-Everything else is left to AQE, which picks broadcast or shuffle joins from measured sizes.
+Every other join strategy is left to AQE, which picks broadcast or shuffle joins from
+measured sizes.
 """
 
 from __future__ import annotations
@@ -11,24 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest number of rows a side may have to be broadcast explicitly.
-DEFAULT_BROADCAST_ROWS = 2_000_000
-
-
-def is_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows.
-
-    The test reads at most ``max_rows + 1`` rows (a bounded job that stops early), so it is
-    cheap even on a large input.
-    """
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when the size is checked; beyond it the planner (AQE) decides,
-    which gives a shuffle join with skew splitting."""
-    return F.broadcast(df) if is_small(df, max_rows) else df
-
 
 def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a one-row result (global statistics, thresholds) to every row.

@@ -83,9 +83,3 @@ def round_columns(df: DataFrame, columns: Iterable[str] | None, digits: int | No
              if f.name in cols and f.dataType.typeName() in ("double", "float")
              else f"`{f.name}`" for f in df.schema.fields]
     return df.selectExpr(*exprs)
-
-
-def double_columns(df: DataFrame, exclude: Iterable[str] = ()) -> list[str]:
-    ex = set(exclude)
-    return [f.name for f in df.schema.fields
-            if f.dataType.typeName() in ("double", "float") and f.name not in ex]

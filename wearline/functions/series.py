@@ -5,9 +5,9 @@ held a third of the table, that task would sort a third of the data alone.  The
 below never do that:
 
 * per-series scalars (max cycle, first value) are built with a grouped aggregate, which
-  Spark computes partially on the map side, and joined back on the series key; AQE
-  broadcasts the aggregate when its measured shuffle size is below the broadcast threshold
-  and otherwise runs a shuffle join whose skewed partitions it splits;
+  Spark computes partially on the map side, and joined back on the series key with a
+  null-safe left join: no row is lost, and its keys force an exchange of the aggregate, so
+  both sides are bare shuffles whose skewed partitions AQE can split;
 * row numbers of whole series are computed per block of a coarse order column
   (``block_row_number``);
 * first-k / last-k rows use a salted two-stage window: local top-k inside
@@ -23,22 +23,29 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wearline.functions.joins import broadcast_if_small
-
 DEFAULT_SALT_BUCKETS = None  # None: salt by input partition
 
 
-def attach_series_aggregates(df: DataFrame, key: Sequence[str], *aggs: Column,
-                             max_broadcast_rows: int | None = None) -> DataFrame:
+def attach_series_aggregates(df: DataFrame, key: Sequence[str], *aggs: Column) -> DataFrame:
     """Add per-series aggregate columns to every row of the series (no window).
 
-    The join strategy is left to AQE (runtime size of the aggregate); pass
-    ``max_broadcast_rows`` to force a broadcast after a bounded row-count check instead.
+    Every row of ``df`` is kept: rows with a NULL key form a series like any other.  The
+    join strategy is left to AQE: broadcast when the aggregate's measured size allows it,
+    else a shuffle join with skewed partitions split.
     """
     per_series = df.groupBy(*key).agg(*aggs)
-    if max_broadcast_rows is not None:
-        per_series = broadcast_if_small(per_series, max_broadcast_rows)
-    return df.join(per_series, on=list(key), how="inner")
+    names = [c for c in per_series.columns if c not in key]
+    right = per_series.select(*[F.col(k).alias(f"_series_{k}") for k in key], *names)
+    same = F.lit(True)
+    for k in key:
+        same = same & df[k].eqNullSafe(right[f"_series_{k}"])
+    return df.join(right, same, "left").select(*[df[c] for c in df.columns], *names)
+
+
+def first_by(value: str, order: str) -> Column:
+    """Value of the first row by ``order`` as an aggregate; a NULL order comes first, as in
+    ``FIRST_VALUE(value) OVER (ORDER BY order)``."""
+    return F.min_by(value, F.struct(F.col(order).isNotNull(), F.col(order)))
 
 
 def first_last_candidates(df: DataFrame, key: Sequence[str], order: Sequence[str],

@@ -13,6 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wearline.functions.quantiles import attach_groups, exact_quantiles
 from wearline.functions.safe import half_even
 from wearline.functions.series import DEFAULT_SALT_BUCKETS, first_last_candidates
 from wearline.schema import DEGRADATION_SENSORS, FEATURE_COLUMNS, RAW_COLUMNS
@@ -55,16 +56,16 @@ def cycle_counter(lines: DataFrame) -> DataFrame:
             .where(F.col("unit_number").isNotNull() & F.col("max_cycle").isNotNull()))
 
 
-def lifetime_distribution(cycle_counts: DataFrame, accuracy: int = 10_000,
-                          digits: int | None = None) -> DataFrame:
+def lifetime_distribution(cycle_counts: DataFrame, digits: int | None = None) -> DataFrame:
     """Second reduce over the per-unit lifetimes: their distribution per data set."""
     out = cycle_counts.groupBy(*ID).agg(
         F.count(F.lit(1)).alias("units"),
         F.min("max_cycle").alias("min_life"),
         F.max("max_cycle").alias("max_life"),
         F.avg("max_cycle").alias("avg_life"),
-        F.stddev_pop("max_cycle").alias("std_life"),
-        F.percentile_approx("max_cycle", 0.5, accuracy).alias("median_life"))
+        F.stddev_pop("max_cycle").alias("std_life"))
+    median = exact_quantiles(cycle_counts, ID, {"median_life": ("max_cycle", 0.5)})
+    out = attach_groups(out, median, ID)
     if digits is not None:
         out = out.withColumn("avg_life", F.round("avg_life", digits)).withColumn(
             "std_life", F.round("std_life", digits))
@@ -94,16 +95,17 @@ def feature_summary(lines: DataFrame, features=FEATURE_COLUMNS, digits: int = 4,
     population variance."""
     p = _with_ids(parse_lines_dual(lines, 26, dual)).select(
         *ID, *[number(F.col("fields"), POS[f]).alias(f) for f in features])
-    # Long form (data set, type, feature, value): the unpivot happens inside the map task
-    # and feeds the partial aggregate directly, so the shuffle carries one partial row per
-    # (data set, type, feature) and task, whatever the input size.
-    long = p.unpivot(ID, list(features), "feature", "v")
-    return long.groupBy(*ID, "feature").agg(
-        F.count("v").alias("count"), F.min("v").alias("min"), F.max("v").alias("max"),
-        half_even(F.avg("v"), digits).alias("mean"),
-        half_even(F.stddev_pop("v"), digits).alias("std"),
-        half_even(F.var_pop("v"), digits).alias("variance"),
-        half_even(F.max("v") - F.min("v"), digits).alias("range"))
+    # One wide aggregate over the parsed line; only its one row per data set and type is
+    # unpivoted, so no row is multiplied and no text key hashed before the aggregate.
+    aggs = {"count": F.count, "min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_pop,
+            "variance": F.var_pop}
+    wide = p.groupBy(*ID).agg(*[
+        F.struct(*[fn(f).alias(name) for name, fn in aggs.items()]).alias(f) for f in features])
+    long = wide.unpivot(ID, list(features), "feature", "v")
+    return long.select(
+        *ID, "feature", F.col("v.count").alias("count"), F.col("v.min").alias("min"), F.col("v.max").alias("max"),
+        *[half_even(F.col(f"v.{c}"), digits).alias(c) for c in ("mean", "std", "variance")],
+        half_even(F.col("v.max") - F.col("v.min"), digits).alias("range"))
 
 
 def avg_sensor4_by_setting(lines: DataFrame, digits: int = 4) -> DataFrame:

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wearline.functions.series import attach_series_aggregates
@@ -45,7 +45,7 @@ def rul_pipeline(features: Sequence[str] = FEATURE_COLUMNS, num_trees: int = 100
     """Assembler + forest.  ``max_memory_mb`` bounds the split statistics each task
     aggregates per pass (more passes, but a fixed memory footprint per executor core)."""
     assembler = VectorAssembler(inputCols=list(features), outputCol="features",
-                                handleInvalid="skip")
+                                handleInvalid="error")
     forest = RandomForestRegressor(featuresCol="features", labelCol=LABEL,
                                    predictionCol="prediction", numTrees=num_trees,
                                    maxDepth=max_depth, seed=seed, maxBins=max_bins,
@@ -58,30 +58,74 @@ def rul_pipeline(features: Sequence[str] = FEATURE_COLUMNS, num_trees: int = 100
     return Pipeline(stages=[assembler, forest])
 
 
+def complete(features: Sequence[str]) -> Column:
+    """Whether a row has a value in every feature."""
+    ok = F.lit(True)
+    for c in features:
+        ok = ok & F.col(c).isNotNull() & ~F.isnan(c)
+    return ok
+
+
+def training_rows(readings: DataFrame, dataset_id: str = "FD001", dataset_type: str = "train",
+                  features: Sequence[str] = FEATURE_COLUMNS) -> DataFrame:
+    """Labelled rows, with ``usable`` telling those that training takes: every feature and
+    the label present."""
+    return rul_label(readings, dataset_id, dataset_type, features).withColumn(
+        "usable", complete(features) & F.col(LABEL).isNotNull())
+
+
+def training_report(readings: DataFrame, dataset_id: str = "FD001", dataset_type: str = "train",
+                    features: Sequence[str] = FEATURE_COLUMNS) -> DataFrame:
+    """One row: rows that training takes, and rows it leaves out for a missing value."""
+    return training_rows(readings, dataset_id, dataset_type, features).agg(
+        F.count_if("usable").alias("training_rows"), F.count_if(~F.col("usable")).alias("left_out"))
+
+
 def train_rul_model(readings: DataFrame, dataset_id: str = "FD001",
                     dataset_type: str = "train", features: Sequence[str] = FEATURE_COLUMNS,
                     **params) -> PipelineModel:
-    """Fit the forest on the labelled readings of one data set; empty input is an error
-    (tested with a bounded one-row job)."""
-    data = rul_label(readings, dataset_id, dataset_type, features)
+    """Fit the forest on the labelled readings of one data set (``training_rows`` with every
+    value present; ``training_report`` counts the others); empty input is an error (tested
+    with a bounded one-row job)."""
+    data = training_rows(readings, dataset_id, dataset_type, features).where("usable").drop("usable")
     if data.limit(1).count() == 0:
         raise ValueError(f"no training rows for {dataset_id}/{dataset_type}")
     return rul_pipeline(features, **params).fit(data)
 
 
 def predict_rul(model: PipelineModel, readings: DataFrame, dataset_id: str = "FD001",
-                dataset_type: str = "test", unit_number: int | None = None) -> DataFrame:
-    """Score readings; returns the series key, cycle and predicted RUL.  Scoring is a
-    narrow transformation (no shuffle): every task applies the broadcast trees."""
+                dataset_type: str = "test", unit_number: int | None = None,
+                features: Sequence[str] = FEATURE_COLUMNS) -> DataFrame:
+    """Score readings; returns the series key, cycle, predicted RUL and ``reason``.
+
+    Every reading gives a row.  One with a missing feature has a NULL prediction and the
+    reason ``missing feature``.  Scoring is a narrow transformation (no shuffle): every task
+    applies the broadcast trees."""
     rows = subset(readings, dataset_id, dataset_type)
     if unit_number is not None:
         rows = rows.where(F.col("unit_number") == unit_number)
-    return model.transform(rows).select(*SERIES_KEY, "time_cycles", "prediction")
+    whole = rows.select(*SERIES_KEY, "time_cycles", complete(features).alias("_ok"),
+                        *[F.coalesce(F.when(~F.isnan(c), F.col(c)), F.lit(0.0)).alias(c) for c in features])
+    return model.transform(whole).select(
+        *SERIES_KEY, "time_cycles", F.when(F.col("_ok"), F.col("prediction")).alias("prediction"),
+        F.when(~F.col("_ok"), "missing feature").alias("reason"))
+
+
+def model_quality(model: PipelineModel, readings: DataFrame, dataset_id: str = "FD001",
+                  dataset_type: str = "train") -> DataFrame:
+    """One row: usable rows, root mean square error of the model, and that of always giving
+    the mean label (the labels' population deviation)."""
+    rows = training_rows(readings, dataset_id, dataset_type).where("usable")
+    scored = model.transform(rows)
+    error = F.col("prediction") - F.col(LABEL)
+    return scored.agg(F.count(F.lit(1)).alias("rows"), F.sqrt(F.avg(error * error)).alias("rmse"),
+                      F.stddev_pop(LABEL).alias("mean_label_rmse"))
 
 
 def rul_latest(predictions: DataFrame) -> DataFrame:
-    """Per unit: the last cycle seen, the RUL predicted there and the total predicted life
-    (``max_by`` in a grouped aggregate: no sort of the series)."""
+    """Per unit: the last cycle seen, the RUL predicted there (NULL if that reading could not
+    be scored) and the total predicted life (``max_by`` in a grouped aggregate: no sort of
+    the series)."""
     return predictions.groupBy(*SERIES_KEY).agg(
         F.max("time_cycles").alias("current_cycle"),
         F.max_by("prediction", "time_cycles").alias("predicted_rul"),

@@ -13,7 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wearline.functions.joins import attach_one_row, broadcast_if_small
+from wearline.functions.joins import attach_one_row
 from wearline.operators.common import subset
 from wearline.schema import READING_COLUMNS
 
@@ -93,24 +93,37 @@ def update_sensor_data(readings: DataFrame, dataset_id: str, unit_number: int,
     return out
 
 
-def apply_updates(readings: DataFrame, updates: DataFrame,
-                  max_broadcast_rows: int | None = None) -> DataFrame:
-    """Bulk form: ``updates`` holds the row key and the columns to set (NULL = keep).
+def _one_per_key(updates: DataFrame, null_means_keep: bool) -> DataFrame:
+    """Updates reduced to one row per key: each column's greatest non-NULL value, or with
+    ``null_means_keep=False`` NULL if any of the key's rows says NULL."""
+    cols = [c for c in updates.columns if c not in ROW_KEY]
+    aggs = []
+    for c in cols:
+        best = F.max(c)
+        if not null_means_keep:
+            best = F.when(F.count_if(F.col(c).isNull()) == 0, best)
+        aggs.append(best.alias(f"_new_{c}"))
+    return updates.groupBy(*ROW_KEY).agg(*aggs, F.lit(True).alias("_hit"))
+
+
+def apply_updates(readings: DataFrame, updates: DataFrame, null_means_keep: bool = True) -> DataFrame:
+    """Bulk form: ``updates`` holds the row key and the columns to set.
 
-    A left join on the full key.  Updates are first reduced to one row per key (if a key
-    appears twice, the greatest non-NULL value of each column wins), so the table never
-    gains rows.  By default AQE picks the join strategy from the measured size of the
-    updates (broadcast below its threshold, else a shuffle join with skew splitting);
-    ``max_broadcast_rows`` forces a broadcast after a bounded row-count check.
+    NULL keeps the stored value; with ``null_means_keep=False`` it is set.  A left join on
+    the full key.  Updates are first reduced to one row per key (if a key appears twice, the
+    greatest non-NULL value of each column wins), so the table never gains rows.  AQE picks
+    the join strategy from the measured size of the updates (broadcast below its threshold,
+    else a shuffle join with skew splitting).
     """
     cols = [c for c in updates.columns if c not in ROW_KEY]
-    upd = updates.groupBy(*ROW_KEY).agg(*[F.max(c).alias(f"_new_{c}") for c in cols])
-    if max_broadcast_rows is not None:
-        upd = broadcast_if_small(upd, max_broadcast_rows)
-    joined = readings.join(upd, ROW_KEY, "left")
-    return joined.select(*[
-        F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in cols else F.col(c)
-        for c in readings.columns])
+    joined = readings.join(_one_per_key(updates, null_means_keep), ROW_KEY, "left")
+
+    def new(c: str) -> Column:
+        if null_means_keep:
+            return F.coalesce(F.col(f"_new_{c}"), F.col(c))
+        return F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c))
+
+    return joined.select(*[new(c).alias(c) if c in cols else F.col(c) for c in readings.columns])
 
 
 def update_report(readings: DataFrame, updates: DataFrame) -> DataFrame:

@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from wearline.functions.joins import attach_one_row
 from wearline.functions.safe import (coef_variation, cycle_bucket, half_up, lifecycle_stage,
                                      safe_corr, safe_ratio)
-from wearline.functions.series import attach_series_aggregates
+from wearline.functions.quantiles import attach_groups, exact_quantiles
+from wearline.functions.series import attach_series_aggregates, first_by
 from wearline.operators.common import finish, subset
 
-DEFAULT_ACCURACY = 10_000  # percentile_approx default; pass more for exact-like medians
 
 
 def q01_filter(readings: DataFrame, dataset_id: str = "FD001", dataset_type: str = "train",
@@ -133,15 +133,17 @@ def q09_anomalies(readings: DataFrame, dataset_id: str = "FD001", k: int | None
                   ["mean_pressure", "z_score"])
 
 
-def q10_rul_stats(rul: DataFrame, accuracy: int = DEFAULT_ACCURACY,
-                  digits: int | None = None) -> DataFrame:
+def q10_rul_stats(rul: DataFrame, digits: int | None = None) -> DataFrame:
+    """Label statistics per data set; the median is exact (``functions.quantiles``)."""
     df = rul.groupBy("dataset_id").agg(
         F.count(F.lit(1)).alias("engine_count"),
         F.avg("rul").alias("avg_rul"),
         F.min("rul").alias("min_rul"),
         F.max("rul").alias("max_rul"),
-        F.percentile_approx("rul", 0.5, accuracy).alias("median_rul"),
         F.stddev_pop("rul").alias("std_rul"))
+    median = exact_quantiles(rul, ["dataset_id"], {"median_rul": ("rul", 0.5)})
+    df = attach_groups(df, median, ["dataset_id"]).select(
+        "dataset_id", "engine_count", "avg_rul", "min_rul", "max_rul", "median_rul", "std_rul")
     return finish(df, ["dataset_id"], None, digits, ["avg_rul", "std_rul"])
 
 
@@ -166,15 +168,15 @@ def q12_drift(readings: DataFrame, dataset_id: str = "FD001", unit_number: int |
               dataset_type: str = "train") -> DataFrame:
     """Change of a sensor since the unit's first cycle (``FIRST_VALUE`` over the unit).
 
-    The first value is ``min_by(sensor, cycle)`` per unit, a partially aggregated grouped
-    aggregate joined back: no task ever holds a whole unit.
+    The first value is a partially aggregated grouped aggregate joined back: no task ever
+    holds a whole unit, and rows without a unit form a series of their own.
     """
     rows = subset(readings, dataset_id, dataset_type)
     if unit_number is not None:
         rows = rows.where(F.col("unit_number") == unit_number)
     rows = rows.select("unit_number", "time_cycles", sensor)
     df = attach_series_aggregates(
-        rows, ["unit_number"], F.min_by(sensor, "time_cycles").alias("_first"))
+        rows, ["unit_number"], first_by(sensor, "time_cycles").alias("_first"))
     df = df.select("unit_number", "time_cycles", sensor,
                    (F.col(sensor) - F.col("_first")).alias("pressure_drift"))
     return finish(df, ["unit_number", "time_cycles"], limit)
@@ -182,15 +184,14 @@ def q12_drift(readings: DataFrame, dataset_id: str = "FD001", unit_number: int |
 
 def q13_threshold_alert(readings: DataFrame, dataset_id: str = "FD001",
                         temp_quantile: float = 0.95, pressure_quantile: float = 0.05,
-                        k: int | None = 20, accuracy: int = DEFAULT_ACCURACY,
+                        k: int | None = 20,
                         dataset_type: str = "train", digits: int | None = None) -> DataFrame:
     """Units whose mean temperature is above its data-set quantile or whose mean pressure is
     below its quantile.  Units are aggregated first, then compared with the one-row
     thresholds (same result as grouping the crossed rows, far fewer rows joined)."""
     rows = subset(readings, dataset_id, dataset_type)
-    th = rows.agg(
-        F.percentile_approx("sensor_3", temp_quantile, accuracy).alias("temp_threshold"),
-        F.percentile_approx("sensor_11", pressure_quantile, accuracy).alias("pressure_threshold"))
+    th = exact_quantiles(rows, [], {"temp_threshold": ("sensor_3", temp_quantile),
+                                    "pressure_threshold": ("sensor_11", pressure_quantile)})
     units = rows.groupBy("unit_number").agg(
         F.max("time_cycles").alias("current_cycle"),
         F.avg("sensor_3").alias("avg_temp"),
@@ -301,13 +302,13 @@ def q18_ml_features(readings: DataFrame, dataset_id: str = "FD001",
 
 
 def q19_dashboard(readings: DataFrame, dataset_type: str | None = None,
-                  accuracy: int = DEFAULT_ACCURACY, digits: int | None = None) -> DataFrame:
+                  digits: int | None = None) -> DataFrame:
     """Per data set: engines, mean cycle, train/test row counts, means and median.
 
     ``dataset_type=None`` runs over train and test together, so both counts are real.
-    The distinct engine count is its own aggregate: mixed with the percentile sketch it
-    would make Spark aggregate per (data set, unit) first and build one sketch per unit.
-    Both results have one row per data set and are joined on it.
+    The distinct engine count is its own aggregate: mixed with the others it would make
+    Spark aggregate per (data set, unit) first.  The results have one row per data set and
+    are joined on it.
     """
     rows = subset(readings, None, dataset_type)
     engines = rows.groupBy("dataset_id").agg(
@@ -317,9 +318,9 @@ def q19_dashboard(readings: DataFrame, dataset_type: str | None = None,
         F.count_if(F.col("dataset_type") == "train").alias("train_records"),
         F.count_if(F.col("dataset_type") == "test").alias("test_records"),
         F.avg("sensor_3").alias("avg_hpc_temp"),
-        F.avg("sensor_11").alias("avg_hpc_pressure"),
-        F.percentile_approx("sensor_14", 0.5, accuracy).alias("median_core_speed"))
-    df = engines.join(stats, "dataset_id").select(
+        F.avg("sensor_11").alias("avg_hpc_pressure"))
+    median = exact_quantiles(rows, ["dataset_id"], {"median_core_speed": ("sensor_14", 0.5)})
+    df = attach_groups(attach_groups(engines, stats, ["dataset_id"]), median, ["dataset_id"]).select(
         "dataset_id", "total_engines", "avg_cycles_per_observation", "train_records",
         "test_records", "avg_hpc_temp", "avg_hpc_pressure", "median_core_speed")
     return finish(df, ["dataset_id"], None, digits,

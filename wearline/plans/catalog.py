@@ -1,18 +1,19 @@
 """The query catalogue: every operator bound to the tables of one scale-factor folder.
 
 ``QUERIES[name](spark, sf_dir) -> DataFrame``.  Comparison settings follow the fixture
-rules: aggregates rounded to 4 decimals, row-level values unrounded, percentiles with
-accuracy 1,000,000 (equal to an exact discrete quantile at these sizes).
+rules: aggregates rounded to 4 decimals, row-level values unrounded.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wearline.functions.joins import attach_one_row
 from wearline.operators import pipelines as P
 from wearline.operators import jobs as J
 from wearline.operators import ml as ML
@@ -20,12 +21,12 @@ from wearline.operators import reads as RD
 from wearline.operators import warehouse as W
 from wearline.plans import tables
 from wearline.schema import READING_COLUMNS, SERIES_KEY, dataset_dim
+from wearline.session import join_path, path_exists, publish, remove_path
 from wearline.sources import files as FS
 from wearline.sources import ingest as IN
 from wearline.sources import text as TX
 
 DIGITS = 4
-ACCURACY = 1_000_000
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -90,7 +91,7 @@ def _q09(spark, sf):
 
 @query("q10_rul_stats")
 def _q10(spark, sf):
-    return W.q10_rul_stats(tables.rul(spark, sf), accuracy=ACCURACY, digits=DIGITS)
+    return W.q10_rul_stats(tables.rul(spark, sf), digits=DIGITS)
 
 
 @query("q11_cycle_windows")
@@ -105,13 +106,13 @@ def _q12(spark, sf):
 
 @query("q13_threshold_alert")
 def _q13(spark, sf):
-    return W.q13_threshold_alert(R(spark, sf), accuracy=ACCURACY, digits=DIGITS)
+    return W.q13_threshold_alert(R(spark, sf), digits=DIGITS)
 
 
 @query("q13_threshold_alert_mid")
 def _q13m(spark, sf):
     return W.q13_threshold_alert(R(spark, sf), temp_quantile=0.55, pressure_quantile=0.45,
-                                 accuracy=ACCURACY, digits=DIGITS)
+                                 digits=DIGITS)
 
 
 @query("q14_dataset_comparison")
@@ -146,12 +147,12 @@ def _q18(spark, sf):
 
 @query("q19_dashboard")
 def _q19(spark, sf):
-    return W.q19_dashboard(R(spark, sf), accuracy=ACCURACY, digits=DIGITS)
+    return W.q19_dashboard(R(spark, sf), digits=DIGITS)
 
 
 @query("q19_dashboard_train")
 def _q19t(spark, sf):
-    return W.q19_dashboard(R(spark, sf), dataset_type="train", accuracy=ACCURACY,
+    return W.q19_dashboard(R(spark, sf), dataset_type="train",
                            digits=DIGITS)
 
 
@@ -249,7 +250,7 @@ def _cc(spark, sf):
 
 @query("lifetime_distribution")
 def _ld(spark, sf):
-    return J.lifetime_distribution(J.cycle_counter(_lines(spark, sf)), accuracy=ACCURACY,
+    return J.lifetime_distribution(J.cycle_counter(_lines(spark, sf)),
                                    digits=DIGITS)
 
 
@@ -273,6 +274,16 @@ def _dm(spark, sf):
     return J.degradation_metrics(_lines(spark, sf, "comma"))
 
 
+@query("degradation_json")
+def _dj(spark, sf):
+    """The degradation job's output text, its nested values read back from the JSON."""
+    text = J.degradation_json(J.degradation_metrics(_lines(spark, sf, "comma")))
+    paths = {"total_cycles": ("$.total_cycles", "int"), "health_index": ("$.health_index", "double"),
+             "temp_hpc_pct_change": ("$.degradation.temp_hpc_pct_change", "double")}
+    return text.select("dataset_id", "dataset_type", "unit_number", *[
+        F.get_json_object("value", path).cast(kind).alias(c) for c, (path, kind) in paths.items()])
+
+
 @query("job_result_filter")
 def _jrf(spark, sf):
     stats = J.job_output_text(J.sensor11_stats(_lines(spark, sf), digits=DIGITS),
@@ -299,6 +310,16 @@ def _series(spark, sf):
     return RD.unit_series(R(spark, sf), None, "FD001", "train")
 
 
+@query("unit_series_one")
+def _series1(spark, sf):
+    return RD.unit_series(R(spark, sf), 1, "FD001", "train")
+
+
+@query("get_dataset_limit")
+def _getds_limit(spark, sf):
+    return RD.get_dataset(R(spark, sf), "FD001", "test", limit=25)
+
+
 @query("training_scan")
 def _tscan(spark, sf):
     return RD.training_scan(R(spark, sf), "FD001", "train")
@@ -351,44 +372,103 @@ def _prul(spark, sf):
     return TX.parse_rul(tables.rul_text(spark, sf))
 
 
+def _raw_files(spark, sf) -> list[str]:
+    tables.lines(spark, sf, "blank")
+    tables.rul_text(spark, sf)
+    return [tables.lines_path(spark, sf, "blank"), tables.rul_lines_path(spark, sf)]
+
+
 @query("ingest_report")
 def _irep(spark, sf):
+    paths = _raw_files(spark, sf)
     parsed = TX.parse_readings(tables.lines(spark, sf, "blank"))
-    return IN.ingest_report(parsed.unionByName(
-        TX.parse_rul(tables.rul_text(spark, sf)).select(
-            "dataset_id", "dataset_type", F.lit(True).alias("parse_ok")),
-        allowMissingColumns=True))
+    labels = TX.parse_rul(tables.rul_text(spark, sf)).select(
+        "dataset_id", "dataset_type", F.lit(True).alias("parse_ok"))
+    return IN.ingest_report(IN.deliveries(spark, paths), IN.report_counts(
+        parsed.unionByName(labels, allowMissingColumns=True)))
+
+
+@contextmanager
+def own_folder(spark, sf, name: str):
+    """A folder for one call, removed when the call is done."""
+    path = tables.scratch(spark, sf, f"{name}/{uuid.uuid4().hex}")
+    try:
+        yield path
+    finally:
+        remove_path(spark, path)
 
 
 @query("ingest_files")
 def _ingest(spark, sf):
     """The raw files (readings and labels) ingested in one go into a fresh folder."""
-    tables.lines(spark, sf, "blank")
-    tables.rul_text(spark, sf)
-    out = tables.scratch(spark, sf, f"ingest/{uuid.uuid4().hex}")
-    return IN.ingest_files(
-        spark, [tables.lines_path(spark, sf, "blank"), tables.rul_lines_path(spark, sf)],
-        f"{out}/readings", f"{out}/labels")
+    with own_folder(spark, sf, "ingest") as out:
+        report = IN.ingest_files(spark, _raw_files(spark, sf), f"{out}/readings", f"{out}/labels")
+        return IN.kept_rows(report)
+
+
+@query("ingest_deliveries")
+def _deliveries(spark, sf):
+    """Two deliveries of one file (the first with every other unit only) and a file of
+    another name: the newest one is loaded; rows and bad rows by status, next to the rows
+    stored."""
+    lines = tables.lines(spark, sf, "blank").where(F.col("source").contains("train_FD001.txt")).select("value")
+    half = F.pmod(F.regexp_extract("value", "^([0-9]+)", 1).cast("int"), F.lit(2)) == 0
+    with own_folder(spark, sf, "deliveries") as out:
+        lines.where(half).write.text(f"{out}/raw/first/train_FD001.txt")
+        lines.limit(3).write.text(f"{out}/raw/first/train_FD001.txt.bak")
+        lines.write.text(f"{out}/raw/second/train_FD001.txt")
+        report = IN.ingest_files(spark, f"{out}/raw", f"{out}/readings", f"{out}/labels")
+        stored = spark.read.parquet(f"{out}/readings").count()
+        return IN.kept_rows(report.groupBy("dataset_id", "dataset_type", "status").agg(
+            F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum("bad_rows"), F.lit(0)).alias("bad_rows"))
+            .withColumn("stored_rows", F.lit(stored).cast("long")))
 
 
 @query("csv_round_trip")
 def _csv(spark, sf):
-    path = tables.scratch(spark, sf, f"csv-round-trip/{uuid.uuid4().hex}")  # own folder per call
-    TX.csv_write(R(spark, sf), path)
-    back = TX.csv_read(spark, path)
-    return back.select(*READING_COLUMNS)
+    """Written once per table folder (its path carries the fingerprint), read back each time."""
+    path = tables.scratch(spark, sf, "csv-round-trip")
+    with tables.BUILD_LOCK:
+        if not path_exists(spark, path):
+            made = f"{path}-{uuid.uuid4().hex[:12]}"
+            TX.csv_write(R(spark, sf), made)
+            publish(spark, made, path)
+    return TX.csv_read(spark, path).select(*READING_COLUMNS)
 
 
 @query("replace_ingest")
 def _repl(spark, sf):
-    path = tables.scratch(spark, sf, f"replace-ingest/{uuid.uuid4().hex}")  # own folder per call
-    r = R(spark, sf)
-    IN.data_layout(r, path)
-    part = r.where((F.col("dataset_id") == "FD001") & (F.col("dataset_type") == "train"))
-    IN.replace_ingest(part, path)  # first load of the same partition (the write is eager)
-    IN.replace_ingest(part, path)  # reloading must not duplicate
-    return (spark.read.parquet(path).groupBy("dataset_id", "dataset_type")
-            .agg(F.count(F.lit(1)).alias("row_count")))
+    with own_folder(spark, sf, "replace-ingest") as path:
+        r = R(spark, sf)
+        IN.data_layout(r, path)
+        part = r.where((F.col("dataset_id") == "FD001") & (F.col("dataset_type") == "train"))
+        IN.replace_ingest(part, path)  # first load of the same partition (the write is eager)
+        IN.replace_ingest(part, path)  # reloading must not duplicate
+        return IN.kept_rows(spark.read.parquet(path).groupBy("dataset_id", "dataset_type")
+                            .agg(F.count(F.lit(1)).alias("row_count")))
+
+
+@query("update_stored")
+def _upd_stored(spark, sf):
+    """One reading changed in the stored table, read back: rows and sum per data set."""
+    with own_folder(spark, sf, "update-stored") as path:
+        r = R(spark, sf)
+        IN.data_layout(r, path)
+        stored = spark.read.parquet(path)
+        RD.write_changes(RD.update_sensor_data(stored, "FD001", 1, 1, {"sensor_11": 0.0}, "train"), path, "FD001", "train")
+        back = spark.read.parquet(path)
+        return IN.kept_rows(back.groupBy("dataset_id", "dataset_type").agg(
+            F.count(F.lit(1)).alias("row_count"), F.count_if(F.col("sensor_11") == 0).alias("zeros")))
+
+
+@query("delete_stored")
+def _del_stored(spark, sf):
+    """A data set deleted from the stored table, read back; with the number of rows removed."""
+    with own_folder(spark, sf, "delete-stored") as path:
+        IN.data_layout(R(spark, sf), path)
+        gone = IN.delete_partitions(spark, path, "FD002", "test")
+        return IN.kept_rows(spark.read.parquet(path).groupBy("dataset_id", "dataset_type").agg(
+            F.count(F.lit(1)).alias("row_count")).withColumn("deleted_rows", F.lit(gone).cast("long")))
 
 
 @query("table_views")
@@ -427,8 +507,11 @@ def _dov(spark, sf):
 
 @query("file_inventory")
 def _finv(spark, sf):
-    tables.readings(spark, sf)
-    return FS.storage_summary(FS.list_files(spark, tables.readings_path(spark, sf), "*.parquet"))
+    """Bytes of the raw label files by data set, from the file listing."""
+    tables.rul_text(spark, sf)
+    files = FS.list_files(spark, tables.rul_lines_path(spark, sf), "*.txt")
+    dataset_id, _ = TX.file_metadata(F.col("path"))
+    return files.groupBy(dataset_id.alias("dataset_id")).agg(F.sum("length").alias("bytes"))
 
 
 # ----------------------------------------------------------------------------- model
@@ -437,40 +520,67 @@ def _rlab(spark, sf):
     return ML.rul_label(R(spark, sf), "FD001", "train")
 
 
-def _model(spark, sf):
-    """The FD001 model, trained once per table folder and kept in the shared folder."""
-    from wearline.session import join_path, path_exists
+MODEL = {"num_trees": 100, "max_depth": 10, "seed": 42}
+
 
-    path = tables.scratch(spark, sf, "models/FD001")
+def _model_folder(spark, sf) -> str:
+    """The FD001 model and its own predictions of the training rows, made once per table
+    folder and set of parameters, and published complete."""
+    key = "-".join(str(MODEL[k]) for k in sorted(MODEL))
+    path = tables.scratch(spark, sf, f"models/FD001-{key}")
     with tables.BUILD_LOCK:
-        if not path_exists(spark, join_path(path, "metadata")):
-            ML.save_model(ML.train_rul_model(R(spark, sf), "FD001", "train", num_trees=100,
-                                             max_depth=10, seed=42), path)
-    return ML.load_model(path)
+        if not path_exists(spark, path):
+            made = f"{path}-{uuid.uuid4().hex[:12]}"
+            model = ML.train_rul_model(R(spark, sf), "FD001", "train", **MODEL)
+            ML.save_model(model, join_path(made, "model"))
+            ML.predict_rul(model, R(spark, sf), "FD001", "train").write.parquet(join_path(made, "fresh"))
+            publish(spark, made, path)
+    return path
+
+
+def _model(spark, sf):
+    return ML.load_model(join_path(_model_folder(spark, sf), "model"))
 
 
 @query("train_rul_model")
 def _train(spark, sf):
-    return ML.feature_importances(_model(spark, sf), spark)
+    """Rows the model was trained on and left out, its trees and features, and whether its
+    error is below that of the mean label."""
+    model = _model(spark, sf)
+    forest = model.stages[-1]
+    quality = ML.model_quality(model, R(spark, sf), "FD001", "train")
+    report = ML.training_report(R(spark, sf), "FD001", "train")
+    return attach_one_row(report, quality).select(
+        "training_rows", "left_out", F.lit(forest.getNumTrees).alias("trees"),
+        F.lit(forest.numFeatures).alias("features"),
+        (F.col("rmse") < F.col("mean_label_rmse")).alias("better_than_mean"))
 
 
 @query("model_io")
 def _mio(spark, sf):
-    """The saved model loaded back and applied to its own training rows, next to the
-    labels."""
-    labelled = ML.rul_label(R(spark, sf), "FD001", "train")
-    return _model(spark, sf).transform(labelled).select(
-        *SERIES_KEY, "time_cycles", "rul", "prediction")
+    """The saved model loaded back against the predictions of the fresh one, row by row."""
+    fresh = spark.read.parquet(join_path(_model_folder(spark, sf), "fresh")).withColumnRenamed("prediction", "fresh")
+    loaded = ML.predict_rul(_model(spark, sf), R(spark, sf), "FD001", "train")
+    key = [*SERIES_KEY, "time_cycles"]
+    return loaded.select(*key, "prediction").join(fresh.select(*key, "fresh"), key).select(
+        *key, (F.abs(F.col("prediction") - F.col("fresh")) < 1e-9).alias("agree"))
 
 
 @query("predict_rul")
 def _pred(spark, sf):
-    return ML.predict_rul(_model(spark, sf), R(spark, sf), "FD001", "test")
+    """Every test reading, and whether its prediction lies in the range of the labels."""
+    labels = ML.rul_label(R(spark, sf), "FD001", "train").agg(F.min("rul").alias("lo"), F.max("rul").alias("hi"))
+    scored = ML.predict_rul(_model(spark, sf), R(spark, sf), "FD001", "test")
+    return attach_one_row(scored, labels).select(
+        *SERIES_KEY, "time_cycles", "reason", F.col("prediction").between(F.col("lo"), F.col("hi")).alias("in_range"))
 
 
 @query("rul_latest")
 def _latest(spark, sf):
-    return ML.rul_latest(ML.predict_rul(_model(spark, sf), R(spark, sf), "FD001", "test"))
+    """Per test unit the last cycle; life less remaining life is that cycle again."""
+    latest = ML.rul_latest(ML.predict_rul(_model(spark, sf), R(spark, sf), "FD001", "test"))
+    return latest.select(*SERIES_KEY, "current_cycle", (F.abs(
+        F.col("total_predicted_life") - F.col("predicted_rul") - F.col("current_cycle")) < 1e-6).alias("consistent"))
 
 
 # ----------------------------------------------------------------------------- more sources
@@ -494,7 +604,7 @@ def _fmeta(spark, sf):
     """Data set and type of every stored raw file, from its name alone."""
     src = tables.lines(spark, sf, "blank").unionByName(tables.rul_text(spark, sf))
     ds, ty = TX.file_metadata(F.col("source"))
-    name = F.regexp_extract(F.col("source"), TX.FILE_NAME_PATTERN, 0)
+    name = F.regexp_extract(F.col("source"), TX.FILE_NAME_PATTERN, 1)
     return (src.select(name.alias("file_name"), ds.alias("dataset_id"),
                        ty.alias("dataset_type")).distinct())
 

@@ -534,3 +534,46 @@ ORACLE["dataset_dim"] = with_fixtures(
     extra_ctes=_dim_values())
 
 __all__ = ["ORACLE", "BAD_SQL", "CUT_SQL"]
+
+# ----------------------------------------------------------------------------- stored changes, files
+_READ_KEY = "dataset_id, dataset_type, unit_number, time_cycles"
+ORACLE["unit_series_one"] = with_fixtures(
+    "SELECT * FROM readings WHERE dataset_id = 'FD001' AND dataset_type = 'train' AND unit_number = 1")
+ORACLE["get_dataset_limit"] = with_fixtures(
+    "SELECT * FROM readings WHERE dataset_id = 'FD001' AND dataset_type = 'test' "
+    "ORDER BY unit_number, time_cycles LIMIT 25")
+ORACLE["update_stored"] = with_fixtures("""
+SELECT dataset_id, dataset_type, COUNT(*) AS row_count,
+       COUNT(*) FILTER (WHERE CASE WHEN dataset_id = 'FD001' AND dataset_type = 'train' AND unit_number = 1
+                                        AND time_cycles = 1 THEN 0 ELSE sensor_11 END = 0) AS zeros
+FROM readings GROUP BY 1, 2""")
+ORACLE["delete_stored"] = with_fixtures("""
+SELECT dataset_id, dataset_type, COUNT(*) AS row_count,
+       (SELECT COUNT(*) FROM readings WHERE dataset_id = 'FD002' AND dataset_type = 'test') AS deleted_rows
+FROM readings WHERE dataset_id <> 'FD002' OR dataset_type <> 'test' GROUP BY 1, 2""")
+ORACLE["ingest_deliveries"] = with_fixtures(f"""
+SELECT 'FD001' AS dataset_id, 'train' AS dataset_type, 'partial' AS status, COUNT(*) AS rows,
+       COUNT(*) FILTER (WHERE {CUT_SQL} OR {BAD_SQL}) AS bad_rows, COUNT(*) AS stored_rows
+FROM readings WHERE dataset_id = 'FD001' AND dataset_type = 'train'
+UNION ALL SELECT 'FD001', 'train', 'superseded', 0, 0, COUNT(*) FROM readings WHERE dataset_id = 'FD001' AND dataset_type = 'train'
+UNION ALL SELECT NULL, NULL, 'skipped', 0, 0, COUNT(*) FROM readings WHERE dataset_id = 'FD001' AND dataset_type = 'train'""")
+# A label line is a whole number, one blank and the line end.
+ORACLE["file_inventory"] = with_fixtures("""
+SELECT dataset_id, SUM(length(CAST(CAST(rul AS BIGINT) AS VARCHAR)) + 2)::BIGINT AS bytes FROM rul GROUP BY 1""")
+ORACLE["degradation_json"] = f"""
+SELECT dataset_id, dataset_type, unit_number, total_cycles, health_index, temp_hpc_pct_change
+FROM ({ORACLE["degradation_metrics"]}) d"""
+
+# ----------------------------------------------------------------------------- model
+# What SQL can say of a model: which rows it takes and gives, and that its numbers agree.
+_TRAIN = "dataset_id = 'FD001' AND dataset_type = 'train'"
+_TEST = "dataset_id = 'FD001' AND dataset_type = 'test'"
+ORACLE["train_rul_model"] = with_fixtures(f"""
+SELECT COUNT(*) AS training_rows, CAST(0 AS BIGINT) AS left_out, 100 AS trees, 24 AS features, TRUE AS better_than_mean
+FROM readings WHERE {_TRAIN}""")
+ORACLE["model_io"] = with_fixtures(f"SELECT {_READ_KEY}, TRUE AS agree FROM readings WHERE {_TRAIN}")
+ORACLE["predict_rul"] = with_fixtures(
+    f"SELECT {_READ_KEY}, CAST(NULL AS VARCHAR) AS reason, TRUE AS in_range FROM readings WHERE {_TEST}")
+ORACLE["rul_latest"] = with_fixtures(f"""
+SELECT dataset_id, dataset_type, unit_number, MAX(time_cycles) AS current_cycle, TRUE AS consistent
+FROM readings WHERE {_TEST} GROUP BY 1, 2, 3""")

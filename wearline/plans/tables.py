@@ -9,12 +9,13 @@ that table, so data-set filters prune partitions and the lineage is cut at the i
 from __future__ import annotations
 
 import hashlib
-import os
 import threading
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wearline.session import join_path, path_exists, scratch_dir
+from wearline.session import join_path, path_exists, publish, remove_path, scratch_dir
 from wearline.sources.fixtures import load_table, readings_from_lineitem, rul_from_orders
 from wearline.sources.ingest import data_layout
 
@@ -25,51 +26,49 @@ BUILD_LOCK = threading.RLock()
 # Table DataFrames per (session, folder[, kind]): the file listing is done once.
 _FRAMES: dict[tuple, DataFrame] = {}
 # Part of every stored path: raise it when the derivation of a stored table changes.
-LAYOUT_VERSION = "2"
+LAYOUT_VERSION = "3"
 
 
 _FINGERPRINTS: dict[tuple, str] = {}
 
 
-def _fingerprint(sf_dir: str, spark: SparkSession | None = None) -> str:
-    """Key of a table folder: layout version, path, and size and modification time of the
-    lineitem input (through the Hadoop file system, so any scheme works).  Computed once
-    per session and folder."""
-    cache_key = (spark.sparkContext.applicationId if spark is not None else None, sf_dir)
+def _fingerprint(sf_dir: str, spark: SparkSession) -> str:
+    """Key of a table folder: layout version, path, and path, size and time of every file of
+    the tables that the stored ones derive from.  Computed once per session and folder."""
+    cache_key = (spark.sparkContext.applicationId, sf_dir)
     if cache_key not in _FINGERPRINTS:
         _FINGERPRINTS[cache_key] = _compute_fingerprint(sf_dir, spark)
     return _FINGERPRINTS[cache_key]
 
 
-def _compute_fingerprint(sf_dir: str, spark: SparkSession | None) -> str:
-    token = f"{LAYOUT_VERSION}|{sf_dir.rstrip('/')}"
-    target = f"{sf_dir.rstrip('/')}/lineitem.parquet"
-    try:
-        if spark is not None:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(target)
-            fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-            summary = fs.getContentSummary(p)
-            token += f"|{summary.getLength()}|{fs.getFileStatus(p).getModificationTime()}"
-        else:
-            st = os.stat(target)
-            token += f"|{st.st_size}|{int(st.st_mtime)}"
-    except Exception:  # noqa: BLE001 - missing input: the path alone keys the folder
-        pass
-    return hashlib.sha1(token.encode()).hexdigest()[:16]
+def _compute_fingerprint(sf_dir: str, spark: SparkSession) -> str:
+    base = sf_dir.rstrip("/")
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+             .load([f"{base}/lineitem.parquet", f"{base}/orders.parquet"]))
+    found = files.agg(F.count(F.lit(1)), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()
+    return hashlib.sha1(f"{LAYOUT_VERSION}|{base}|{found[0]}|{found[1]}".encode()).hexdigest()[:16]
 
 
 def readings_path(spark: SparkSession, sf_dir: str) -> str:
     return join_path(scratch_dir(spark), "wearline-layout", _fingerprint(sf_dir, spark), "readings")
 
 
+def _unfinished(path: str) -> str:
+    """A folder of this build's own; it gets the final name when complete (``publish``)."""
+    return f"{path}-{uuid.uuid4().hex[:12]}"
+
+
 def build_readings(spark: SparkSession, sf_dir: str, force: bool = False) -> str:
     """Materialise the readings layout for ``sf_dir`` (idempotent); returns its path."""
     with BUILD_LOCK:
         path = readings_path(spark, sf_dir)
         if force or not path_exists(spark, join_path(path, "_SUCCESS")):
             _FRAMES.pop((spark.sparkContext.applicationId, sf_dir), None)  # stale listing
-            data_layout(readings_from_lineitem(load_table(spark, sf_dir, "lineitem")), path)
+            made = _unfinished(path)
+            data_layout(readings_from_lineitem(load_table(spark, sf_dir, "lineitem")), made)
+            if force:
+                remove_path(spark, path)
+            publish(spark, made, path)
         _LAYOUTS[(spark.sparkContext.applicationId, sf_dir)] = path
         return path
 
@@ -114,8 +113,9 @@ def lines(spark: SparkSession, sf_dir: str, style: str = "mixed") -> DataFrame:
     with BUILD_LOCK:
         path = _LAYOUTS.get(key) or lines_path(spark, sf_dir, style)
         if key not in _LAYOUTS and not path_exists(spark, join_path(path, "_SUCCESS")):
-            (raw_lines(readings(spark, sf_dir), style=style).write.mode("overwrite")
-             .option("partitionOverwriteMode", "static").partitionBy("source").text(path))
+            made = _unfinished(path)
+            raw_lines(readings(spark, sf_dir), style=style).write.partitionBy("source").text(made)
+            publish(spark, made, path)
         _LAYOUTS[key] = path
         if key not in _FRAMES:
             _FRAMES[key] = read_lines(spark, path)
@@ -136,7 +136,8 @@ def rul_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     with BUILD_LOCK:
         path = rul_lines_path(spark, sf_dir)
         if key not in _LAYOUTS and not path_exists(spark, join_path(path, "_SUCCESS")):
-            (rul_lines(rul(spark, sf_dir)).write.mode("overwrite")
-             .option("partitionOverwriteMode", "static").partitionBy("source").text(path))
+            made = _unfinished(path)
+            rul_lines(rul(spark, sf_dir)).write.partitionBy("source").text(made)
+            publish(spark, made, path)
         _LAYOUTS[key] = path
     return read_lines(spark, path)

@@ -119,8 +119,3 @@ DATASET_DIM_SCHEMA = T.StructType(
 def dataset_dim(spark: SparkSession) -> DataFrame:
     """The four-row metadata dimension (fixed size: safe to broadcast)."""
     return spark.createDataFrame(DATASET_METADATA, DATASET_DIM_SCHEMA)
-
-
-def sensor_dictionary(spark: SparkSession) -> DataFrame:
-    rows = [(k, v) for k, v in {**SETTING_DESCRIPTIONS, **SENSOR_DESCRIPTIONS}.items()]
-    return spark.createDataFrame(rows, "column_name string, description string")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -69,8 +68,23 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-def local_path(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the program's own below the shared folder."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def publish(spark: SparkSession, made: str, path: str) -> None:
+    """Give a finished folder its final name.  If another driver was first, its folder stays
+    and ours is removed: readers never see an unfinished or a replaced one."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    source, target = hadoop(made), hadoop(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(target.getParent())
+    if fs.exists(target) or not fs.rename(source, target):
+        fs.delete(source, True)
+        if not fs.exists(target):
+            raise RuntimeError(f"cannot publish {path}")
 
 
 def join_path(*parts: str) -> str:
@@ -78,4 +92,4 @@ def join_path(*parts: str) -> str:
     return "/".join([head.rstrip("/")] + [p.strip("/") for p in rest])
 
 
-__all__ = ["build_session", "scratch_dir", "path_exists", "join_path", "local_path", "os"]
+__all__ = ["build_session", "scratch_dir", "path_exists", "join_path", "remove_path", "publish"]

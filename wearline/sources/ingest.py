@@ -2,33 +2,34 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wearline.functions.quantiles import attach_groups
 from wearline.schema import META_COLUMNS, READING_COLUMNS
+from wearline.session import join_path, remove_path, scratch_dir
+from wearline.sources.text import FILE_NAME_PATTERN, file_metadata, parse_readings, parse_rul, read_lines
 
 PARTITION_COLUMNS = META_COLUMNS  # dataset_id, dataset_type
 SORT_COLUMNS = ["unit_number", "time_cycles"]
 
 
-# Target amount of (estimated, uncompressed) data per writer task of the layout.
-TARGET_WRITE_BYTES = 256 * 1024 * 1024
+# Target amount of (estimated) data per writer task of the layout.  Large writers keep the
+# product of map tasks and writers, which the driver tracks, small; files inside a writer are
+# cut by ``maxRecordsPerFile``.
+TARGET_WRITE_BYTES = 1 << 30
 
 
 def writer_count(df: DataFrame, target_bytes: int = TARGET_WRITE_BYTES) -> int:
-    """Number of writer tasks: the optimizer's size estimate of ``df`` divided by
-    ``target_bytes``, at least the shuffle-partition setting.  For file scans the estimate
-    comes from the file sizes, so 100 TB gets hundreds of thousands of writers instead of
-    a fixed few hundred."""
+    """Number of writer tasks: the optimizer's size estimate of ``df`` (file sizes for scans)
+    divided by ``target_bytes``, at least the shuffle-partition setting.  A frame without an
+    estimate (not read from files) gets that setting."""
     base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    try:
-        raw = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        size = raw if isinstance(raw, int) else int(raw.toString())
-    except Exception:  # noqa: BLE001 - no estimate: keep the configured count
-        return base
-    return max(base, -(-size // target_bytes))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return base if size >= 1 << 60 else max(base, -(-size // target_bytes))
 
 
 def _layout_frame(df: DataFrame, partitions: int | None) -> DataFrame:
@@ -58,7 +59,8 @@ def data_layout(df: DataFrame, path: str, partitions: int | None = None,
      .partitionBy(*PARTITION_COLUMNS).parquet(path))
 
 
-def replace_ingest(df: DataFrame, path: str, partitions: int | None = None) -> DataFrame:
+def replace_ingest(df: DataFrame, path: str, partitions: int | None = None,
+                   max_records_per_file: int = 5_000_000) -> DataFrame:
     """Idempotent load: the (dataset_id, dataset_type) partitions present in ``df`` are
     replaced, all other partitions stay (dynamic partition overwrite).
 
@@ -67,6 +69,7 @@ def replace_ingest(df: DataFrame, path: str, partitions: int | None = None) -> D
     spark = df.sparkSession
     (_layout_frame(df.select(*READING_COLUMNS), partitions).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic")
+     .option("maxRecordsPerFile", max_records_per_file)
      .partitionBy(*PARTITION_COLUMNS).parquet(path))
     touched = df.select(*PARTITION_COLUMNS).distinct()
     return (spark.read.parquet(path).join(touched, PARTITION_COLUMNS, "left_semi")
@@ -124,51 +127,92 @@ def view_counts(spark: SparkSession, names: Sequence[str]) -> DataFrame:
     return out
 
 
-def ingest_report(loaded: DataFrame, keys: Sequence[str] = tuple(PARTITION_COLUMNS)) -> DataFrame:
-    """One status row per source file, named ``<type>_<id>.txt`` from its data set and type:
-    rows loaded, rows with a parse problem, and ``success`` (no problem), ``failure`` (no
-    line parsed) or ``partial``."""
+def deliveries(spark: SparkSession, raw_path: str | list[str]) -> DataFrame:
+    """One row per delivered file below ``raw_path``: path, name, data set, type, bytes, time
+    and ``state``: ``newest`` (the delivery of its data set and type that counts), ``older``,
+    or ``skipped`` (the name is none of ``train_/test_/RUL_<id>.txt``).
+
+    A file may be a folder of part files; they are one delivery.  Of two deliveries of the
+    same name the later modification time wins, then the greater path.  Only the listing is
+    read, no content; Spark's readers do not list files of zero bytes."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(raw_path)
+             .select("path", "modificationTime", "length"))
+    dsid, dtype = file_metadata(F.col("path"))
+    part = F.regexp_extract("path", FILE_NAME_PATTERN, 1)
+    root = F.when(part == "", F.col("path")).otherwise(
+        F.regexp_extract("path", r"^((?:.*/)?(?:source=)?(?:train|test|RUL)_FD[0-9]+\.txt)(?:/[^/]+)?$", 1))
+    named = files.select(root.alias("delivery"), dsid.alias("dataset_id"), dtype.alias("dataset_type"),
+                         "modificationTime", "length")
+    per = named.groupBy("delivery", "dataset_id", "dataset_type").agg(
+        F.max("modificationTime").alias("modified"), F.sum("length").alias("bytes"))
+    newest = Window.partitionBy("dataset_id", "dataset_type").orderBy(F.desc("modified"), F.desc("delivery"))
+    return per.withColumn("state", F.when(F.col("dataset_id").isNull(), "skipped")
+                          .when(F.row_number().over(newest) == 1, "newest").otherwise("older"))
+
+
+def ingest_report(found: DataFrame, counts: DataFrame) -> DataFrame:
+    """One row per delivered file: name, data set, type, rows, bad rows and status.
+
+    ``success`` (every line parsed), ``partial``, ``failure`` (no line parsed), ``superseded`` by a newer delivery, or ``skipped`` for its name.  ``counts`` has
+    ``dataset_id, dataset_type, rows, bad_rows`` of the loaded files."""
+    name = F.regexp_replace(F.element_at(F.split("delivery", "/"), -1), "^source=", "")
+    used = F.col("state") == "newest"
+    j = attach_groups(found, counts, ["dataset_id", "dataset_type"])
+    rows, bad = F.coalesce("rows", F.lit(0)), F.coalesce("bad_rows", F.lit(0))
+    status = (F.when(F.col("state") == "skipped", "skipped").when(F.col("state") == "older", "superseded")
+              .when(bad == rows, "failure").when(bad == 0, "success").otherwise("partial"))
+    return j.select(name.alias("file_name"), "dataset_id", "dataset_type", F.when(used, rows).alias("rows"),
+                    F.when(used, bad).alias("bad_rows"), status.alias("status"))
+
+
+def report_counts(loaded: DataFrame) -> DataFrame:
+    """Rows and rows with a parse problem per data set and type (``parse_ok`` if present)."""
     ok = F.col("parse_ok") if "parse_ok" in loaded.columns else F.lit(True)
-    kind = F.when(F.col("dataset_type") == "rul", F.lit("RUL")).otherwise(F.col("dataset_type"))
-    return (loaded.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(~ok).alias("bad_rows"))
-        .select(F.concat(kind, F.lit("_"), F.col("dataset_id"), F.lit(".txt")).alias("file_name"),
-                *keys, "rows", "bad_rows",
-                F.when(F.col("bad_rows") == 0, "success")
-                .when(F.col("bad_rows") == F.col("rows"), "failure")
-                .otherwise("partial").alias("status")))
-
-
-def ingest_lines(lines: DataFrame, table_path: str, labels_path: str | None = None) -> None:
-    """Ingest raw lines ``(source, value)``, eagerly.
-
-    ``train_/test_<id>.txt`` lines are parsed into readings and replace their (data set,
-    type) partitions of ``table_path``; ``RUL_<id>.txt`` lines become the label table at
-    ``labels_path`` (partitioned by data set, replaced the same way).  Data set and type
-    always come from the file name.  Used by the batch ingest and by each micro-batch of
-    the streaming ingest.
-    """
-    from wearline.sources.text import parse_readings, parse_rul
+    return loaded.groupBy("dataset_id", "dataset_type").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(~ok).alias("bad_rows"))
 
-    rows = parse_readings(lines).where(F.col("dataset_type").isin("train", "test"))
-    replace_ingest(rows, table_path)
-    if labels_path is not None:
-        (parse_rul(lines).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+
+def ingest_files(spark: SparkSession, raw_path: str | list[str], table_path: str,
+                 labels_path: str | None = None, only: set[tuple[str, str]] | None = None) -> DataFrame:
+    """The whole ingest over a folder (or glob, or list) of raw files, eagerly; returns the
+    report, one row per delivered file.
+
+    The newest delivery of each file replaces its (data set, type) partition of
+    ``table_path``, label files that of ``labels_path`` (ignored without one).  ``only``
+    restricts the load to some (data set, type) pairs.  Readings and labels are told apart by
+    file before any line is read; lines are parsed once into a staging folder, from which the
+    range sample, the layout and the report are taken, and which is removed afterwards."""
+    found = deliveries(spark, raw_path)
+    # One row per data set and type, whatever the number of files and lines.
+    newest = [r for r in found.where("state = 'newest'").collect()
+              if only is None or (r["dataset_id"], r["dataset_type"]) in only]
+    counts = spark.createDataFrame([], "dataset_id string, dataset_type string, rows long, bad_rows long")
+    paths = [r["delivery"] for r in newest if r["dataset_type"] != "rul"]
+    if paths:
+        stage = join_path(scratch_dir(spark), "wearline-stage", uuid.uuid4().hex)
+        parse_readings(read_lines(spark, paths)).drop("source").write.parquet(stage)
+        staged = spark.read.parquet(stage)
+        counts = counts.unionByName(kept_rows(report_counts(staged)))
+        replace_ingest(staged, table_path)
+        remove_path(spark, stage)
+    paths = [r["delivery"] for r in newest if r["dataset_type"] == "rul"]
+    if paths and labels_path is not None:
+        labels = parse_rul(read_lines(spark, paths))
+        (labels.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("dataset_id").parquet(labels_path))
+        stored = spark.read.parquet(labels_path).where(F.col("dataset_id").isin([r["dataset_id"] for r in newest]))
+        counts = counts.unionByName(kept_rows(report_counts(stored.select(
+            "dataset_id", F.lit("rul").alias("dataset_type"), F.col("rul").isNotNull().alias("parse_ok")))))
+    return ingest_report(found, counts)
 
 
-def ingest_files(spark: SparkSession, raw_path: str | list[str], table_path: str,
-                 labels_path: str) -> DataFrame:
-    """The whole ingest over a folder (or glob, or list) of raw files (``ingest_lines``).
-    Returns the per-file report."""
-    from wearline.sources.text import parse_readings, read_lines
-
-    lines = read_lines(spark, raw_path)
-    ingest_lines(lines, table_path, labels_path)
-    rows = parse_readings(lines).where(F.col("dataset_type").isin("train", "test"))
-    stored = spark.read.parquet(labels_path)
-    report_rows = rows.select("dataset_id", "dataset_type", "parse_ok").unionByName(
-        stored.select("dataset_id", F.lit("rul").alias("dataset_type"),
-                      F.col("rul").isNotNull().alias("parse_ok")))
-    return ingest_report(report_rows)
+def kept_rows(df: DataFrame) -> DataFrame:
+    """A result of few rows (one per data set and type) taken out of its plan, so that its
+    input may be removed."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+def ingest_lines(lines: DataFrame, table_path: str) -> None:
+    """Ingest raw reading lines ``(source, value)`` from any reader, eagerly: they replace
+    their (data set, type) partitions of ``table_path``."""
+    replace_ingest(parse_readings(lines).where(F.col("dataset_type").isin("train", "test")), table_path)

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from wearline.schema import KEY_COLUMNS, RAW_COLUMNS, RAW_SCHEMA
 
 # Fixed value: the file names the ingest accepts, e.g. train_FD001.txt, test_FD004.txt, RUL_FD002.txt.
-FILE_NAME_PATTERN = r"(train|test|RUL)_FD[0-9]+\.txt"
+# A whole path component, the last or the last but one: a plain file, or a folder of that
+# name with part files (as Spark writes it, also as a partition folder ``source=<name>``).
+FILE_NAME_PATTERN = r"^(?:.*/)?(?:source=)?((?:train|test|RUL)_FD[0-9]+\.txt)(?:/[^/]+)?$"
 
 
 def read_lines(spark: SparkSession, path: str | list[str], source: str = "file_path") -> DataFrame:
@@ -36,7 +38,7 @@ def file_metadata(source: Column | None = None) -> tuple[Column, Column]:
     cut out with plain string functions.
     """
     src = F.col("source") if source is None else source
-    name = F.regexp_extract(src, FILE_NAME_PATTERN, 0)
+    name = F.regexp_extract(src, FILE_NAME_PATTERN, 1)
     kind = F.substring_index(name, "_", 1)
     dsid = F.substring_index(F.substring_index(name, "_", -1), ".", 1)
     dataset_type = (F.when(name == "", F.lit(None).cast("string"))
@@ -135,14 +137,16 @@ def parse_head(lines: DataFrame, n: int, dual: bool = True) -> DataFrame:
 def parse_readings(lines: DataFrame, with_metadata: bool = True) -> DataFrame:
     """Typed 26 raw columns (+ dataset_id, dataset_type from the file name).
 
-    Warehouse text-table semantics: a missing or unparsable field is NULL, extra fields
-    (the trailing blank of the raw files) are ignored.  ``parse_ok`` tells whether all 26
+    A missing or unparsable field is NULL, extra fields (the trailing blank of the raw
+    files) are ignored.  Unit and cycle follow the one rule of all jobs, ``int(float(x))``:
+    ``1.0`` is 1.  ``parse_ok`` tells whether all 26
     fields were present and valid.
     """
     parsed = _split_once(lines, True, "source")
     cols = []
     for i, fld in enumerate(RAW_SCHEMA.fields):
-        cols.append(field(F.col("fields"), i).try_cast(fld.dataType).alias(fld.name))
+        whole = fld.dataType.typeName() == "integer"
+        cols.append((whole_number if whole else number)(F.col("fields"), i).alias(fld.name))
     out = parsed.select("source", *cols)
     ok = F.lit(True)
     for c in RAW_COLUMNS:
