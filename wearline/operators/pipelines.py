@@ -240,11 +240,10 @@ def dataset_overview(readings: DataFrame, dim: DataFrame) -> DataFrame:
     is kept as descriptive columns.  A full outer join shows data sets missing on either
     side.  The dimension has four rows, so it is broadcast.
     """
-    found = readings.groupBy("dataset_id").agg(
-        F.count_distinct(F.when(F.col("dataset_type") == "train", F.col("unit_number")))
-        .alias("train_engines_found"),
-        F.count_distinct(F.when(F.col("dataset_type") == "test", F.col("unit_number")))
-        .alias("test_engines_found"))
+    engines = readings.select("dataset_id", "dataset_type", "unit_number").distinct()
+    found = engines.groupBy("dataset_id").agg(
+        F.count(F.when(F.col("dataset_type") == "train", F.col("unit_number"))).alias("train_engines_found"),
+        F.count(F.when(F.col("dataset_type") == "test", F.col("unit_number"))).alias("test_engines_found"))
     meta = F.broadcast(dim.select("dataset_id", "train_engines", "test_engines",
                                   "operating_conditions", "fault_modes"))
     out = found.join(meta, "dataset_id", "full")

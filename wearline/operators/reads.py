@@ -64,9 +64,8 @@ def unit_series(readings: DataFrame, unit_number: int | None = None,
 
 def training_scan(readings: DataFrame, dataset_id: str = "FD001",
                   dataset_type: str = "train") -> DataFrame:
-    """Full scan of one data set and type in series order (the model does not need the
-    order; it is kept for callers that show the rows)."""
-    return subset(readings, dataset_id, dataset_type).orderBy("unit_number", "time_cycles")
+    """Full scan of one data set and type; training needs no order, so none is made."""
+    return subset(readings, dataset_id, dataset_type)
 
 
 def update_sensor_data(readings: DataFrame, dataset_id: str, unit_number: int,

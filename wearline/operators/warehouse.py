@@ -24,9 +24,10 @@ from wearline.operators.common import finish, subset
 
 def q01_filter(readings: DataFrame, dataset_id: str = "FD001", dataset_type: str = "train",
                limit: int | None = None) -> DataFrame:
-    """All columns of one data set, in (unit, cycle) order; ``limit`` for a preview."""
+    """All columns of one data set; a preview of ``limit`` rows is taken in (unit, cycle)
+    order, the whole is not sorted."""
     return finish(subset(readings, dataset_id, dataset_type),
-                  ["unit_number", "time_cycles"], limit)
+                  ["unit_number", "time_cycles"] if limit is not None else None, limit)
 
 
 def q02_group_by_unit(readings: DataFrame, dataset_id: str = "FD001", k: int | None = 20,

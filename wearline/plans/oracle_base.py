@@ -5,8 +5,11 @@ The rule is the one of ``wearline.sources.fixtures``, written a second time in S
 
 from __future__ import annotations
 
-from wearline.sources.fixtures import (BAD_MODULUS, CUT_MODULUS, DATASET_BY_RETURNFLAG,
-                                       RUL_DATASET_BY_STATUS)
+# Fixed values of the fixture rule, stated a second time.
+DATASET_BY_RETURNFLAG = {"A": "FD001", "R": "FD002"}
+RUL_DATASET_BY_STATUS = {"O": "FD001", "F": "FD002", "P": "FD003"}
+CUT_MODULUS = 97
+BAD_MODULUS = 89
 
 
 def _sensor_sql(i: int) -> str:

@@ -28,36 +28,6 @@ CRITICAL_SENSORS = [
     "sensor_9", "sensor_11", "sensor_12", "sensor_13", "sensor_14", "sensor_15",
 ]
 
-# Sensor dictionary (name -> description with unit).
-SENSOR_DESCRIPTIONS = {
-    "sensor_1": "Total temperature at fan inlet (°R)",
-    "sensor_2": "Total temperature at LPC outlet (°R)",
-    "sensor_3": "Total temperature at HPC outlet (°R)",
-    "sensor_4": "Total temperature at LPT outlet (°R)",
-    "sensor_5": "Pressure at fan inlet (psia)",
-    "sensor_6": "Total pressure in bypass-duct (psia)",
-    "sensor_7": "Total pressure at HPC outlet (psia)",
-    "sensor_8": "Physical fan speed (rpm)",
-    "sensor_9": "Physical core speed (rpm)",
-    "sensor_10": "Engine pressure ratio (P50/P2)",
-    "sensor_11": "Static pressure at HPC outlet (psia)",
-    "sensor_12": "Ratio of fuel flow to Ps30 (pps/psi)",
-    "sensor_13": "Corrected fan speed (rpm)",
-    "sensor_14": "Corrected core speed (rpm)",
-    "sensor_15": "Bypass Ratio",
-    "sensor_16": "Burner fuel-air ratio",
-    "sensor_17": "Bleed Enthalpy",
-    "sensor_18": "Demanded fan speed (rpm)",
-    "sensor_19": "Demanded corrected fan speed (rpm)",
-    "sensor_20": "HPT coolant bleed (lbm/s)",
-    "sensor_21": "LPT coolant bleed (lbm/s)",
-}
-SETTING_DESCRIPTIONS = {
-    "op_setting_1": "Operational Setting 1 (Altitude)",
-    "op_setting_2": "Operational Setting 2 (Mach Number)",
-    "op_setting_3": "Operational Setting 3 (Throttle Resolver Angle)",
-}
-
 # Data-set metadata
 # (name, train_engines, test_engines, operating_conditions, fault_modes, description).
 DATASET_METADATA = [
@@ -75,7 +45,7 @@ DEGRADATION_SENSORS = {
     "core_speed": "sensor_9",
     "fuel_ratio": "sensor_12",
 }
-# The same job as literally written: positions 4, 12, 9, 10, 13 of a line.
+# The same job as literally written, positions 4, 12, 9, 10, 13 of a line.
 DEGRADATION_SENSORS_LITERAL = {
     "temp_hpc": "op_setting_3",
     "pressure_hpc": "sensor_8",
@@ -86,8 +56,7 @@ DEGRADATION_SENSORS_LITERAL = {
 
 
 def _field(name: str, dtype: T.DataType) -> T.StructField:
-    desc = SENSOR_DESCRIPTIONS.get(name) or SETTING_DESCRIPTIONS.get(name)
-    return T.StructField(name, dtype, True, {"comment": desc} if desc else {})
+    return T.StructField(name, dtype, True)
 
 
 RAW_SCHEMA = T.StructType(
