@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wearline.functions.joins import attach_one_row
-from wearline.functions.safe import condition_key, half_even, safe_ratio
+from wearline.functions.safe import safe_corr, condition_key, half_even, safe_ratio
 from wearline.operators.common import finish, subset
 from wearline.schema import CRITICAL_SENSORS, SENSOR_COLUMNS
 
@@ -208,28 +208,19 @@ def avg_sensor_corr_matrix(per_unit: DataFrame, columns: Sequence[str] | None =
                            digits: int | None = None) -> DataFrame:
     """Pearson matrix of per-unit mean columns in long form ``(column_i, column_j, r)``.
 
-    One global aggregate over the per-unit table computes each column's population std
-    once and the population covariance of each unordered pair once (c + c(c-1)/2
-    aggregates instead of three per cell); the c*c cells are derived from that single row
-    by one ``inline`` generator.  A constant column gives NULL instead of an error.  The
-    expressions are handed over as SQL text, one call per step, since building hundreds
-    of Column objects one by one costs seconds of driver time.
+    Each unit's row is turned into its c(c+1)/2 value pairs inside the task, and one small
+    aggregate per pair (partial sums, so a task sends one row per pair) gives both cells of
+    the pair.  A constant column gives NULL instead of an error.
     """
     cols = list(columns or [c for c in per_unit.columns if c.startswith("avg_sensor_")])
-    n = len(cols)
-    q = [f"`{c}`" for c in cols]
-    aggs = [f"stddev_pop({q[i]}) AS _sd{i}" for i in range(n)]
-    aggs += [f"covar_pop({q[i]}, {q[j]}) AS _cv{i}_{j}" for i in range(n) for j in range(i + 1, n)]
-    wide = per_unit.selectExpr(*aggs)
-
-    def cell(a: int, b: int) -> str:
-        i, j = min(a, b), max(a, b)
-        cov = f"_cv{i}_{j}" if i != j else f"_sd{i} * _sd{i}"
-        return (f"named_struct('column_i', '{cols[a]}', 'column_j', '{cols[b]}', "
-                f"'r', try_divide({cov}, _sd{i} * _sd{j}))")
-
-    cells = ", ".join(cell(a, b) for a in range(n) for b in range(n))
-    df = wide.selectExpr(f"inline(array({cells}))")
+    names = F.array(*[F.lit(c) for c in cols])
+    values = F.array(*[F.col(c).cast("double") for c in cols])
+    pairs = per_unit.select(values.alias("v")).selectExpr("v", f"explode(sequence(0, {len(cols) - 1})) AS i").selectExpr(
+        "v", "i", f"explode(sequence(i, {len(cols) - 1})) AS j").selectExpr("i", "j", "v[i] AS x", "v[j] AS y")
+    cells = pairs.groupBy("i", "j").agg(safe_corr("x", "y").alias("r"))
+    both = cells.select(F.explode(F.array_distinct(F.array(
+        F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))).alias("at"), "r")
+    df = both.select(names[F.col("at.i")].alias("column_i"), names[F.col("at.j")].alias("column_j"), "r")
     return finish(df, ["column_i", "column_j"], None, digits, ["r"])
 
 
