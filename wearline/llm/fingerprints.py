@@ -122,8 +122,9 @@ def in_order(docs: DataFrame, bucket_mb: int) -> DataFrame:
     """``bucket, ghost, doc_id, text``: documents dealt to ranges of ids and sorted, each
     range followed by a copy (``ghost``) of the next range's first row.
 
-    The ranges cut the span of ids into equal parts.  Only one row per range is ranked or
-    broadcast (16 bytes each); texts are shuffled once."""
+    The ranges cut the span of ids into equal parts.  Only one row per range (24 bytes) is
+    ranked; the ranges' first ids are broadcast up to a million ranges, beyond that joined by
+    shuffle.  Texts are shuffled once."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     parts = buckets_for(docs.select("doc_id", "text"), bucket_mb)
@@ -138,7 +139,8 @@ def in_order(docs: DataFrame, bucket_mb: int) -> DataFrame:
                              F.first(F.struct("first", "bucket")).over(by_range)).alias("next"))
     wanted = following.select(F.col("bucket").alias("before"), F.col("next.first").alias("first"),
                               F.col("next.bucket").alias("bucket"))
-    ghosts = (ranged.join(F.broadcast(wanted.withColumnRenamed("bucket", "_b")),
+    wanted = wanted.withColumnRenamed("bucket", "_b")
+    ghosts = (ranged.join(F.broadcast(wanted) if firsts.count() <= 1_000_000 else wanted,
                           (F.col("bucket") == F.col("_b")) & F.col("doc_id").eqNullSafe(F.col("first")))
               .groupBy("before", "doc_id").agg(F.min("text").alias("text"))
               .select(F.col("before").alias("bucket"), F.lit(1).alias("ghost"), "doc_id", "text"))
@@ -153,7 +155,7 @@ def edited(text: str, following: str) -> str:
     return text[:len(text) - half] + following[:half]
 
 
-def edit_fingerprints(docs: DataFrame, *, bucket_mb: int = 8) -> DataFrame:
+def edit_fingerprints(docs: DataFrame, *, bucket_mb: int = 32) -> DataFrame:
     """The fingerprints of every text and of its edited text, and how alike they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
