@@ -20,7 +20,7 @@ def shingles(text):
     return frozenset([tuple(w)]) if len(w) < 5 else frozenset(tuple(w[i:i + 5]) for i in range(len(w) - 4))
 
 
-def brute_near(rows):
+def brute_near(rows, percent):
     sets = [shingles(t) for _, t in rows]
     parent = list(range(len(rows)))
 
@@ -41,7 +41,7 @@ def brute_near(rows):
                 for j in holders[x]:
                     counts[j] += j > i
         for j, n in counts.items():
-            if n and 100 * n >= 85 * (len(s) + len(sets[j]) - n):
+            if n and 100 * n >= percent * (len(s) + len(sets[j]) - n):
                 parent[find(i)] = find(j)
     least = {}
     for i, (d, _) in enumerate(rows):
@@ -85,11 +85,12 @@ def near_rows():
                    (9003, "x y z"), (9004, "x y z"), (9005, "long " * 30000)]
 
 
-def test_near_duplicates_match_brute_force(spark):
+@pytest.mark.parametrize("percent", [85, 80, 50])
+def test_near_duplicates_match_brute_force(spark, percent):
     rows = near_rows()
-    got = near_duplicates(spark.createDataFrame(rows, DOCS).repartition(5)).collect()
+    got = near_duplicates(spark.createDataFrame(rows, DOCS).repartition(5), percent=percent).collect()
     key = lambda r: tuple((x is None, x or 0) for x in r)
-    assert sorted([tuple(r)[:3] for r in got], key=key) == sorted(brute_near(rows), key=key)
+    assert sorted([tuple(r)[:3] for r in got], key=key) == sorted(brute_near(rows, percent), key=key)
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 

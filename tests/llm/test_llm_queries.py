@@ -73,7 +73,7 @@ def test_pipeline_stages_take_effect(spark, sf):
     scores = {r.doc_id: r.predicted for r in classifier.quality_scores(docs, table(spark, sf, "labels")).collect()}
     assert {r.doc_id for r in good.collect()} == {d for d, p in scores.items() if p == 1}
     single = corpus_pipeline.near_dedup(spark, good, sf).cache()
-    assert {r.doc_id for r in single.collect()} == {r.doc_id for r in near.near_duplicates(good).where("kept").collect()}
+    assert {r.doc_id for r in single.collect()} == {r.doc_id for r in near.near_duplicates(good, percent=80).where("kept").collect()}
     cut = corpus_pipeline.substring_dedup(spark, single, sf).cache()
     removed = {r.doc_id: (r.n_words, r.n_removed) for r in repeats.remove_repeats(single).collect()}
     assert {r.doc_id: len(r.text.encode().split()) for r in cut.collect()} == {d: n - g for d, (n, g) in removed.items()}

@@ -32,6 +32,7 @@ the ``k`` smallest of them.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -145,15 +146,26 @@ def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, k: int, leas
     return full.where(100 * inter >= percent * (F.size("sa") + F.size("sb") - inter)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 85, k: int = 64, least: int = 36,
+def least_shared(k: int, percent: int, chance: float = 1e-8) -> int:
+    """The number of shared values, among the ``k`` smallest of a union, that a pair at the
+    threshold falls short of with less than ``chance`` (binomial tail)."""
+    t, tail = percent / 100, 0.0
+    for shared in range(k + 1):
+        tail += comb(k, shared) * t**shared * (1 - t) ** (k - shared)
+        if tail > chance:
+            return shared
+    return k
+
+
+def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, k: int = 64,
                     broadcast_ids: int = 1_000_000) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every document.
 
-    Links join sets with ``100 * intersection >= percent * union``.  ``least`` belongs to
-    ``k`` and ``percent``: the number of shared values that a pair at the threshold falls
-    short of with negligible chance.  Ids of the few classes whose full sets are needed are
-    broadcast up to ``broadcast_ids`` (16 bytes each), beyond that joined by shuffle."""
+    Links join sets with ``100 * intersection >= percent * union``.  Ids of the few classes
+    whose full sets are needed are broadcast up to ``broadcast_ids`` (16 bytes each), beyond
+    that joined by shuffle."""
     spark = docs.sparkSession
+    least = least_shared(k, percent)
     base = shared_folder(spark, "near")
     rows = stored(docs.select("doc_id", "text").transform(map_arrow, _set_function(width, k), SKETCHED), f"{base}/rows")
     classes = stored(
