@@ -62,19 +62,19 @@ Part = tuple[int, str, str]
 
 def together(parts: list[Part]) -> Part:
     """Parts in a row; empty ones leave no extra space."""
-    parts = [p for p in parts if p[0]]
     if len(parts) == 1:
         return parts[0]
-    return sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
+    if not all(p[0] for p in parts):
+        parts = [p for p in parts if p[0]]
+    if not parts:
+        return 0, "", ""
+    counts, ids, tokens = zip(*parts)
+    return sum(counts), " ".join(ids), " ".join(tokens)
 
 
-class Chunk:
-    """A chunk's closed middle, and its words that a neighbour may continue."""
-
-    __slots__ = ("lead", "head", "middle", "tail", "trail")
-
-    def __init__(self, lead: bool, head: bytes | None, middle: Part, tail: bytes | None, trail: bool):
-        self.lead, self.head, self.middle, self.tail, self.trail = lead, head, middle, tail, trail
+# A chunk's closed middle, and its words that a neighbour may continue:
+# (starts with a blank, open first word, middle, open last word, ends with a blank).
+Chunk = tuple[bool, bytes | None, Part, bytes | None, bool]
 
 
 class ChunkEncoder:
@@ -85,6 +85,8 @@ class ChunkEncoder:
             raise ValueError("chunk reuse needs a tokenizer that drops white space")
         if json.loads(content).get("decoder"):
             raise ValueError("chunk reuse needs a tokenizer without a decoder step")
+        if '"Lowercase"' not in content.decode():
+            raise ValueError("chunk reuse needs a tokenizer that lowers case")
         self.tokenizer = load_tokenizer("json", content)
         # This kind of tokenizer has no decoder step: decoding joins its tokens by a space.
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
@@ -124,36 +126,35 @@ class ChunkEncoder:
 
     def batch(self, texts: list[bytes]) -> Iterator[Part]:
         """The encoding of each text, in order."""
-        plans, fresh = [], {}
+        chunks, plans, fresh = self.chunks, [], {}
         for t in texts:
+            if b"<|" not in t:  # no special token: the tokenizer lowers case, so fewer words differ
+                t = t.lower()
             start, plan = 0, []
             for end in cuts(t, self.mask):
                 chunk = t[start:end]
                 start = end
                 plan.append(chunk)
-                if chunk not in self.chunks and chunk not in fresh:
+                if chunk not in chunks and chunk not in fresh:
                     fresh[chunk] = self.split(chunk)
             plans.append(plan)
-        if len(self.chunks) + len(fresh) > self.cache_chunks:
-            self.chunks = {}
+        if len(chunks) + len(fresh) > self.cache_chunks:
+            chunks = self.chunks = {}
             fresh = {c: self.split(c) for plan in plans for c in plan}
-        spans = []  # joined words, to be encoded with the closed ones in one call
-        for plan in plans:
-            spans.append(self.joins(plan, fresh))
+        spans = [self.joins(plan, fresh) for plan in plans]  # joined words, encoded with the closed ones
         needed = {w for s in spans for w in s if w}
         for _, _, words, _, _ in fresh.values():
             needed.update(words)
         self.learn(needed)
         part = self.words.__getitem__
         for chunk, (lead, head, words, tail, trail) in fresh.items():
-            self.chunks[chunk] = Chunk(lead, head, together(list(map(part, words))), tail, trail)
+            chunks[chunk] = lead, head, together(list(map(part, words))), tail, trail
         for plan, joined in zip(plans, spans, strict=True):
-            parts: list[Part] = []
-            for chunk, word in zip([None, *plan], joined, strict=True):
-                if chunk is not None:
-                    parts.append(self.chunks[chunk].middle)
+            parts = [part(joined[0])] if joined[0] else []
+            for chunk, word in zip(plan, joined[1:], strict=True):
+                parts.append(chunks[chunk][2])
                 if word:
-                    parts.append(self.words[word])
+                    parts.append(part(word))
             yield together(parts)
 
     def joins(self, plan: list[bytes], fresh: dict) -> list[bytes | None]:
@@ -165,9 +166,7 @@ class ChunkEncoder:
         out: list[bytes | None] = [None]
         carry = b""
         for chunk in plan:
-            known = self.chunks.get(chunk) if chunk not in fresh else None
-            lead, head, tail, trail = ((known.lead, known.head, known.tail, known.trail) if known
-                                       else (lambda s: (s[0], s[1], s[3], s[4]))(fresh[chunk]))
+            lead, head, _, tail, trail = fresh.get(chunk) or self.chunks[chunk]
             if lead:
                 out[-1] = carry or None
                 carry = b""
