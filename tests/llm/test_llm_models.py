@@ -135,9 +135,10 @@ def test_language_model_without_training_rows(spark):
 
 
 def test_model_shards_need_a_mounted_folder():
-    assert ngrams.mounted("file:///shared/x") == "/shared/x"
-    with pytest.raises(ValueError):
-        ngrams.mounted("hdfs://store/x")
+    assert ngrams.mounted("file:///shared/x") == ngrams.mounted("/shared/x") == ngrams.mounted("file:/shared/x") == "/shared/x"
+    for path, default in (("hdfs://store/x", "file:///"), ("/shared/x", "hdfs://store")):
+        with pytest.raises(ValueError):
+            ngrams.mounted(path, default)
 
 
 def test_mixing_of_pair_numbers_is_invertible():

@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 
 from wearline.llm.components import components
-from wearline.llm.near import drop_near_duplicates, near_duplicates
+from wearline.llm.near import drop_near_duplicates, least_shared, near_duplicates
 from wearline.llm.repeats import cut_repeats, remove_repeats
 
 DOCS = "doc_id long, text string"
@@ -94,6 +94,18 @@ def test_near_duplicates_match_brute_force(spark, percent):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_shared_values_of_a_pair_at_the_threshold():
+    """Drawn pairs at the threshold never share fewer retained values than the bound."""
+    rng = random.Random(9)
+    for percent, n in ((85, 1700), (80, 500)):
+        both = n * percent // 100
+        for _ in range(200):
+            values = rng.sample(range(1 << 40), n)
+            common, left, right = values[:both], values[both:(both + n) // 2], values[(both + n) // 2:]
+            a, b = sorted(common + left)[:64], sorted(common + right)[:64]
+            assert len(set(a) & set(b)) >= least_shared(64, percent)
+
+
 def test_one_of_each_group_stays_with_all_columns(spark):
     rows = [(3, "a b c d e f g", "x", 1), (1, "A b c d e f g", "y", 2), (2, "other words entirely here now", "z", 3),
             (None, "a b c d e f g", "n", 4)]

@@ -54,13 +54,14 @@ SCORED = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 UNKNOWN = np.int64(-1)
 
 
-def mounted(path: str) -> str:
-    """The local form of a shared path."""
-    if path.startswith("file:"):
-        return "/" + path[5:].lstrip("/")
-    if "://" in path or not path.startswith("/"):
+def mounted(path: str, default: str = "file:///") -> str:
+    """The local form of a shared path; ``default`` is the file system of paths without a
+    scheme."""
+    if "://" not in path and not path.startswith("file:"):
+        path = default.rstrip("/") + "/" + path.lstrip("/")
+    if not path.startswith("file:"):
         raise ValueError(f"the model's shards are memory-mapped; {path} is not a mounted folder")
-    return path
+    return "/" + path[5:].lstrip("/")
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -413,7 +414,8 @@ def train(docs: DataFrame, *, bucket_mb: int = 64, flush_words: int = 1_500_000)
     """Count the words and pairs of all of ``docs`` and store the model's shards."""
     spark = docs.sparkSession
     base = shared_folder(spark, "ngrams")
-    folder = mounted(base) + "/model"
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    folder = mounted(base, hadoop.get("fs.defaultFS", "file:///")) + "/model"
     os.makedirs(folder, exist_ok=True)
     texts = docs.select("text")
     buckets = buckets_for(texts, bucket_mb)
