@@ -96,16 +96,16 @@ def feature_summary(lines: DataFrame, features=FEATURE_COLUMNS, digits: int = 4,
     p = _with_ids(parse_lines_dual(lines, 26, dual)).select(
         *ID, *[number(F.col("fields"), POS[f]).alias(f) for f in features])
     # One wide aggregate over the parsed line; only its one row per data set and type is
-    # unpivoted, so no row is multiplied and no text key hashed before the aggregate.
-    aggs = {"count": F.count, "min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_pop,
-            "variance": F.var_pop}
-    wide = p.groupBy(*ID).agg(*[
-        F.struct(*[fn(f).alias(name) for name, fn in aggs.items()]).alias(f) for f in features])
-    long = wide.unpivot(ID, list(features), "feature", "v")
-    return long.select(
-        *ID, "feature", F.col("v.count").alias("count"), F.col("v.min").alias("min"), F.col("v.max").alias("max"),
-        *[half_even(F.col(f"v.{c}"), digits).alias(c) for c in ("mean", "std", "variance")],
-        half_even(F.col("v.max") - F.col("v.min"), digits).alias("range"))
+    # turned to a row per feature, so no row is multiplied and no text key hashed before the
+    # aggregate.  The deviation is the root of the variance, which is summed once.
+    aggs = {"count": F.count, "min": F.min, "max": F.max, "mean": F.avg, "variance": F.var_pop}
+    wide = p.groupBy(*ID).agg(*[fn(f).alias(f"{f}__{name}") for f in features for name, fn in aggs.items()])
+    rows = wide.select(*ID, F.inline(F.array(*[
+        F.struct(F.lit(f).alias("feature"), *[F.col(f"{f}__{name}").alias(name) for name in aggs]) for f in features])))
+    return rows.select(
+        *ID, "feature", "count", "min", "max", half_even("mean", digits).alias("mean"),
+        half_even(F.sqrt("variance"), digits).alias("std"), half_even("variance", digits).alias("variance"),
+        half_even(F.col("max") - F.col("min"), digits).alias("range"))
 
 
 def avg_sensor4_by_setting(lines: DataFrame, digits: int = 4) -> DataFrame:
