@@ -32,6 +32,29 @@ def test_surge_and_dive_points_without_a_named_article():
     assert main_text(page) == "\n\n".join([LONG.strip(), LONG.strip(), "end.", LONG.strip()])
 
 
+BODY = f"<div><p>{LONG}</p><p>{LONG}</p></div>"
+TEXT = "\n\n".join([LONG.strip()] * 2)
+CARDS = "<article><h3>Card</h3><p>teaser words</p></article>" * 3
+
+
+@pytest.mark.parametrize("page", [
+    f"{BODY}<div class=comments><article class=comment><p>{LONG}reader</p></article></div>",
+    f"{BODY}<article class=comment><p>{LONG}reader</p></article>",
+    f"<aside>{CARDS}</aside>{BODY}",
+    f"{BODY}<div class=related>{CARDS}</div>",
+    f"<article>{BODY}<article class=comment><p>reader</p></article></article>",
+    f"<article>{BODY}<div id=comments><article><p>reader</p></article><p>more</p></div></article>",
+    f"<nav>menu<article>{BODY}</article><footer><nav>more</nav></footer>",  # the first is never closed
+])
+def test_article_marks_within_boilerplate_name_nothing(page):
+    assert main_text(page) == TEXT
+
+
+def test_article_marks_are_outweighed_by_the_text_beside_them():
+    assert TEXT in main_text(f"{BODY}<div>{CARDS}</div>")
+    assert main_text(f"<article>{BODY}</article><div><p>{LONG}</p></div>") == TEXT
+
+
 def test_window_sums():
     lines = [("ab", 0, False), ("", 0, False), ("", 0, False), ("", 0, False), ("x" * 50, 0, False), ("y", 0, False)]
     assert kept_lines(lines, window=3, surge=30, share=0.9) == ["x" * 50, "y"]

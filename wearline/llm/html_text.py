@@ -5,13 +5,14 @@ never part of an article (menus, footers, side bars, notices, adverts, forms, co
 scripts ...) and lines that are mostly links become runs of empty lines.  Over the lines'
 text lengths a window of ``window`` lines is summed.  A *surge point* is a line from which
 the window holds at least the threshold of text, a *dive point* the first line after it from
-which the window is empty; the lines between the two are kept.  Where the page names its
-article (``<article>`` or ``<main>``), only lines inside count and any text is a surge;
-otherwise the threshold is a share of the fullest window, at most ``surge`` characters.
+which the window is empty; the lines between the two are kept.  The threshold is a share of the
+fullest window, at most ``surge`` characters.  Where the page names its article (``<article>``
+or ``<main>``) and at least half of the text so kept is in it, only lines inside count and any
+text is a surge.  An ``<article>`` within boilerplate, or marked as such itself, names nothing.
 
 * NULL html counts as empty; a page without text gives the empty string and 0.
 * Broken markup: an unclosed comment, script or tag ends with the page; an unclosed
-  boilerplate element ends where its parent or the article does.
+  boilerplate element ends where the article around it ends or the next one starts.
 * Repeated rows are treated each; nothing is cut off.
 """
 
@@ -55,9 +56,9 @@ CONTENT = frozenset(("article", "main"))
 def _is_aside(tag: str, attributes: str, inside: bool) -> bool:
     if tag in ASIDE or (tag == "header" and not inside):
         return True
-    if tag in CONTENT or tag in ("html", "body") or not attributes:
+    if tag in ("html", "body") or not attributes:
         return False
-    if HIDDEN.search(attributes):
+    if tag not in CONTENT and HIDDEN.search(attributes):
         return True
     return any(w.lower() in MARKS for _, value in LABELS.findall(attributes) for w in WORDS.findall(value))
 
@@ -81,12 +82,26 @@ class Lines:
         self.rows.extend([("", 0, False)] * self.gap)
 
 
+def _closed(page: str, tag: str) -> set[int]:
+    """Where the elements ``tag`` start that have an end tag of their own."""
+    found, open_ = set(), []
+    for m in re.finditer(rf"<!--.*?(?:-->|\Z)|<(/?){tag}(?=[\s/>])", page, re.I | re.S):
+        if m.group(1):
+            if open_:
+                found.add(open_.pop())
+        elif m.group(1) is not None:
+            open_.append(m.start())
+    return found
+
+
 def page_lines(page: str, gap: int) -> Lines:
     """Strip the markup; what is not the article leaves ``gap`` empty lines."""
     out = Lines(gap)
     lower = None
     at, depth, links = 0, 0, 0  # position, open article or main elements, open links
     skip: list[str] = []  # the boilerplate element and what is open in it
+    root = 0  # where that element starts
+    closed: dict[str, set[int]] = {}
     n = len(page)
     while at < n:
         start = page.find("<", at)
@@ -142,16 +157,23 @@ def page_lines(page: str, gap: int) -> Lines:
                 out.blank()
                 if tag not in CONTENT:
                     continue
-            elif skip == ["p"] and tag in BLOCK or tag in CONTENT or (skip == ["head"] and tag == "body"):
-                skip.clear()
-                out.blank()
             else:
-                if tag not in VOID and tag not in ("p", "li") and not attributes.rstrip().endswith("/"):
+                ends = skip == ["p"] and tag in BLOCK or (skip == ["head"] and tag == "body")
+                if not ends and tag in CONTENT:
+                    if skip[0] not in closed:
+                        closed[skip[0]] = _closed(page, skip[0])
+                    ends = root not in closed[skip[0]]
+                if ends:
+                    skip.clear()
+                    out.blank()
+                elif tag not in VOID and tag not in ("p", "li") and not attributes.rstrip().endswith("/"):
                     skip.append(tag)
-                continue
+                if not ends:
+                    continue
         if not closing and tag not in VOID and _is_aside(tag, attributes, depth > 0):
             out.end(depth > 0)
             skip.append(tag)
+            root = start
             continue
         if tag == "a":
             links = 0 if closing else 1
@@ -186,11 +208,23 @@ def kept_lines(lines: list[tuple[str, int, bool]], window: int, surge: int, shar
     return kept
 
 
+def article_lines(lines: list[tuple[str, int, bool]], window: int, surge: int,
+                  share: float) -> list[tuple[str, int, bool]]:
+    """The lines, without the article's mark where the line blocks find more text outside it."""
+    within = sum(len(text) for text, _, inside in lines if inside)
+    if not within or all(inside for text, _, inside in lines if text):
+        return lines
+    plain = [(text, linked, False) for text, linked, _ in lines]
+    outside = [(text, linked, False) if not inside else ("", 0, False) for text, linked, inside in lines]
+    return plain if sum(map(len, kept_lines(outside, window, surge, share))) > within else lines
+
+
 def main_text(page: str | None, *, window: int = 3, surge: int = 30, share: float = 0.05) -> str:
     """The main text of one page, its blocks joined by an empty line."""
     if not page:
         return ""
-    return "\n\n".join(kept_lines(page_lines(page, window).rows, window, surge, share))
+    lines = article_lines(page_lines(page, window).rows, window, surge, share)
+    return "\n\n".join(kept_lines(lines, window, surge, share))
 
 
 def extract(pages: DataFrame, *, window: int = 3, surge: int = 30, share: float = 0.05) -> DataFrame:
