@@ -264,6 +264,36 @@ def test_storage_summary_areas_and_total(spark, tmp_path):
                     "TOTAL": (5, 53)}
 
 
+def test_storage_summary_of_raw_files(spark, sf, tmp_path):
+    """Raw files by their names, a folder of parts as one file; the whole raw text against the disk."""
+    from pathlib import Path
+
+    from wearline.plans import tables
+    from wearline.plans.catalog import QUERIES
+    from wearline.sources.files import list_files, raw_files, storage_summary
+
+    for name, n in (("train_FD001.txt/part-0.txt", 5), ("train_FD001.txt/part-1.txt", 7), ("test_FD001.txt", 3),
+                    ("RUL_FD002.txt", 2), ("old.txt", 1)):
+        f = tmp_path / name
+        f.parent.mkdir(exist_ok=True)
+        f.write_text("x" * n)
+    listed = list_files(spark, str(tmp_path))
+    assert {r.path.split("/")[-1]: (r.length, int(r.modified.timestamp())) for r in listed.collect()} == {
+        f.name: (f.stat().st_size, int(f.stat().st_mtime)) for f in tmp_path.rglob("*.txt") if f.is_file()}
+    assert {tuple(r) for r in storage_summary(raw_files(listed)).collect()} == {
+        ("train", 1, 12), ("test", 1, 3), ("rul", 1, 2), ("other", 1, 1), ("TOTAL", 4, 18)}
+
+    got = {r.area: (r.files, r.bytes) for r in QUERIES["storage_summary"](spark, sf).collect()}
+    want = {}
+    for root in (tables.lines_path(spark, sf, "mixed"), tables.rul_lines_path(spark, sf)):
+        for f in Path(root.removeprefix("file:")).rglob("part-*.txt"):
+            file = f.parent.name.removeprefix("source=")
+            for area in (file.split("_")[0].lower(), "TOTAL"):
+                files, size = want.setdefault(area, [set(), 0])
+                want[area] = [files | {file}, size + f.stat().st_size]
+    assert got == {area: (len(files), size) for area, (files, size) in want.items()} and len(got) == 4
+
+
 def test_ingest_statuses_names_and_deliveries(spark, tmp_path):
     """Newest delivery of a name wins, whole names only, every file is reported."""
     from wearline.sources.ingest import ingest_files

@@ -514,6 +514,15 @@ def _finv(spark, sf):
     return files.groupBy(dataset_id.alias("dataset_id")).agg(F.sum("length").alias("bytes"))
 
 
+@query("storage_summary")
+def _ssum(spark, sf):
+    """Files and bytes of all raw text (train, test, labels) by area and in total."""
+    tables.lines(spark, sf, "mixed")
+    tables.rul_text(spark, sf)
+    roots = [tables.lines_path(spark, sf, "mixed"), tables.rul_lines_path(spark, sf)]
+    return FS.storage_summary(FS.raw_files(FS.list_files(spark, roots, "*.txt")))
+
+
 # ----------------------------------------------------------------------------- model
 @query("rul_label")
 def _rlab(spark, sf):

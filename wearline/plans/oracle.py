@@ -569,6 +569,18 @@ UNION ALL SELECT NULL, NULL, 'skipped', 0, 0, COUNT(*) FROM readings WHERE datas
 # A label line is a whole number, one blank and the line end.
 ORACLE["file_inventory"] = with_fixtures("""
 SELECT dataset_id, SUM(length(CAST(CAST(rul AS BIGINT) AS VARCHAR)) + 2)::BIGINT AS bytes FROM rul GROUP BY 1""")
+# A reading's line: its fields (20 of a cut line, one letter more in a bad one), a separator each,
+# and in the blank form three blanks after the cycle and two at the end; then the line end.
+_LINE_BYTES = " + ".join(
+    f"CASE WHEN {CUT_SQL} THEN 0 ELSE length(CAST({c} AS VARCHAR)) + 1 END" if i >= 20
+    else f"length(CAST({c} AS VARCHAR)) + 1" for i, c in enumerate(RAW_COLUMNS))
+ORACLE["storage_summary"] = with_fixtures(f"""
+SELECT COALESCE(area, 'TOTAL') AS area, COUNT(DISTINCT area || dataset_id) AS files, SUM(n)::BIGINT AS bytes FROM (
+  SELECT dataset_type AS area, dataset_id, {_LINE_BYTES}
+         + CASE WHEN {BAD_SQL} AND NOT {CUT_SQL} THEN 1 ELSE 0 END
+         + CASE WHEN (unit_number + time_cycles) % 2 = 1 THEN 0 ELSE 4 END AS n FROM readings
+  UNION ALL SELECT 'rul', dataset_id, length(CAST(CAST(rul AS BIGINT) AS VARCHAR)) + 2 FROM rul) f
+GROUP BY ROLLUP (area)""")
 ORACLE["degradation_json"] = f"""
 SELECT dataset_id, dataset_type, unit_number, total_cycles, health_index, temp_hpc_pct_change
 FROM ({ORACLE["degradation_metrics"]}) d"""
