@@ -55,6 +55,24 @@ def test_article_marks_are_outweighed_by_the_text_beside_them():
     assert main_text(f"<article>{BODY}</article><div><p>{LONG}</p></div>") == TEXT
 
 
+@pytest.mark.parametrize("page,text", [
+    (f"<div class='content has-sidebar'>{BODY}</div>", TEXT),
+    (f"<div class='content no-sidebar'>{BODY}<div class=sidebar>side<p>{LONG}</div></div>", TEXT),
+    (f"<div class=widget>{BODY}<div class='widget ad'>buy</div></div><p>foot</p>", TEXT),
+    (f"<article><div class=post-header><h1>Head</h1></div><h2 class=section-header>One</h2>{BODY}</article>",
+     "Head\n\nOne\n\n" + TEXT),
+    (f"<article><h2 class='notice-periods'>Notice</h2>{BODY}</article>", "Notice\n\n" + TEXT),
+    (f"<article><p>{LONG}</p><section class=related-work><p>{LONG}</p></section></article>", TEXT),
+    (f"<div><p>{LONG}</p><section id=search><p>{LONG * 2}</p></section></div>", LONG.strip() + "\n\n" + (LONG * 2).strip()),
+    ("<article><pre>x = 1 <span class='token comment'># one</span></pre></article>", "x = 1 # one"),
+    (f"<article>{BODY}<div class='related-reading'><ul><li><a href=1>{LONG}</a></ul></div></article>", TEXT),
+    (f"{BODY}<div class=comment-list><p>{LONG * 2}</p></div><div class=site-footer>All rights reserved</div>", TEXT),
+    (f"<table><tr><td class=sidebar>side<td><p>{LONG}</p><p>{LONG}</p></table>", TEXT),
+])
+def test_marks_are_evidence(page, text):
+    assert main_text(page) == text
+
+
 def test_window_sums():
     lines = [("ab", 0, False), ("", 0, False), ("", 0, False), ("", 0, False), ("x" * 50, 0, False), ("y", 0, False)]
     assert kept_lines(lines, window=3, surge=30, share=0.9) == ["x" * 50, "y"]

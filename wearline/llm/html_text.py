@@ -1,8 +1,9 @@
 """Main text of web pages by the line-block distribution.
 
 The markup of a page is stripped to lines, one per block-level element.  Elements that are
-never part of an article (menus, footers, side bars, notices, adverts, forms, comments,
-scripts ...) and lines that are mostly links become runs of empty lines.  Over the lines'
+never part of an article by their tag (menus, footers, asides, forms, scripts ...) and lines
+that are mostly links become runs of empty lines.  A class, id or role of a block that names
+such a part is evidence, weighed by the fullest windows (``dropped``).  Over the lines'
 text lengths a window of ``window`` lines is summed.  A *surge point* is a line from which
 the window holds at least the threshold of text, a *dive point* the first line after it from
 which the window is empty; the lines between the two are kept.  The threshold is a share of the
@@ -18,8 +19,10 @@ text is a surge.  An ``<article>`` within boilerplate, or marked as such itself,
 
 from __future__ import annotations
 
+import heapq
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -51,35 +54,100 @@ MARKS = frozenset(
     "subscription signup login comment comments reply replies respond disqus share sharing social related "
     "recommended recommendations widget widgets pagination pager skip search form complementary contentinfo".split())
 CONTENT = frozenset(("article", "main"))
+# Words beside a mark that leave its meaning, words that make it a state of something
+# else (``has-sidebar``), and those whose header is a heading of the text (``post-header``).
+FILLERS = frozenset(
+    "area bar block body bottom box card cards container content desktop form group in inner item items left links "
+    "list main mobile outer page panel post posts primary region right row section secondary site text thread title "
+    "top up unit wrap wrapper".split())
+STATES = frozenset("has no with without not is show hide".split())
+OWNERS = frozenset("article chapter content entry page post section story text title".split())
+# Marks of parts that hold running text of their own; other marked blocks with a paragraph are text.
+WORDY = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion sidebar "
+    "sidebars aside cookie cookies consent gdpr popup modal overlay newsletter comment comments reply replies respond "
+    "disqus related recommended recommendations widget widgets complementary".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+SELF_ENDING = frozenset("li dt dd tr td th".split())
+MARKABLE = BLOCK | {"td", "th"}
+WEAK, SHORT, STRONG = 1, 2, 3  # a mark among other words, of a part without paragraphs, of one with
+PARAGRAPH = 300  # characters of a window that no menu, notice or footer holds
+SLIGHT = 0.2  # below this share of a marked block's fullest window the rest is no article
 
 
 def _is_aside(tag: str, attributes: str, inside: bool) -> bool:
     if tag in ASIDE or (tag == "header" and not inside):
         return True
-    if tag in ("html", "body") or not attributes:
-        return False
-    if tag not in CONTENT and HIDDEN.search(attributes):
-        return True
-    return any(w.lower() in MARKS for _, value in LABELS.findall(attributes) for w in WORDS.findall(value))
+    return bool(attributes) and tag not in ("html", "body") and tag not in CONTENT and bool(HIDDEN.search(attributes))
+
+
+def _mark(tag: str, attributes: str, inside: bool) -> int:
+    """How surely the class, id or role of a block says that it is not the article (0: not)."""
+    found = 0
+    if not attributes or tag not in MARKABLE:
+        return 0
+    for _, value in LABELS.findall(attributes):
+        for token in value.strip("\"'").split():
+            words = [w.lower() for w in WORDS.findall(token)]
+            marks = MARKS.intersection(words)
+            if "header" in marks and (inside or tag not in ("div", "section", "header") or OWNERS.intersection(words)):
+                marks = marks - {"header"}
+            if not marks or words[0] in STATES:
+                continue
+            if not all(w in MARKS or w in FILLERS for w in words):
+                found = max(found, WEAK)
+            else:
+                found = max(found, STRONG if marks & WORDY else SHORT)
+    return found
 
 
 class Lines:
-    """The page's lines: text, length of it that is link text, and whether it is in the article."""
+    """The page's lines: text, length of it that is link text, and whether it is in the article;
+    for each the marked block it is in (``marks``: its parent and mark) and whether it is a heading."""
 
     def __init__(self, gap: int):
         self.gap = gap
         self.rows: list[tuple[str, int, bool]] = []
+        self.owners: list[tuple[int, bool]] = []
+        self.marks: list[tuple[int, int]] = [(0, 0)]
+        self.open: list[tuple[str, int]] = []  # open blocks, each with the marked block it is in or is
+        self.count: Counter[str] = Counter()  # of open blocks by tag
         self.parts: list[str] = []
         self.linked = 0
 
-    def end(self, inside: bool) -> None:
+    def end(self, inside: bool, heading: bool = False) -> None:
         text = " ".join(html.unescape("".join(self.parts)).split())
         if text:
             self.rows.append((text, self.linked, inside))
+            self.owners.append((self.open[-1][1] if self.open else 0, heading))
         self.parts, self.linked = [], 0
 
     def blank(self) -> None:
         self.rows.extend([("", 0, False)] * self.gap)
+        self.owners.extend([(0, False)] * self.gap)
+
+    def block(self, closing: bool, tag: str, mark: int) -> None:
+        """Open or close a block; one with an end tag of its own ends those left open in it."""
+        if closing:
+            if self.count[tag]:
+                while self._pop() != tag:
+                    pass
+            return
+        if self.open and self.open[-1][0] == "p":
+            self._pop()
+        if self.open and self.open[-1][0] == tag and tag in SELF_ENDING:
+            self._pop()
+        owner = self.open[-1][1] if self.open else 0
+        if mark:
+            self.marks.append((owner, mark))
+            owner = len(self.marks) - 1
+        self.open.append((tag, owner))
+        self.count[tag] += 1
+
+    def _pop(self) -> str:
+        tag = self.open.pop()[0]
+        self.count[tag] -= 1
+        return tag
 
 
 def _closed(page: str, tag: str) -> set[int]:
@@ -178,11 +246,20 @@ def page_lines(page: str, gap: int) -> Lines:
         if tag == "a":
             links = 0 if closing else 1
         elif tag in BLOCK:
-            out.end(depth > 0)
+            out.end(depth > 0, closing and tag in HEADINGS)
             links = 0
+            if tag not in VOID:
+                out.block(closing, tag, 0 if closing else _mark(tag, attributes, depth > 0))
             if tag in CONTENT:
                 depth = max(0, depth + (-1 if closing else 1))
         elif tag in ("br", "td", "th"):
+            mark = 0 if closing else _mark(tag, attributes, depth > 0)
+            if mark:  # a cell that is a part of the page
+                out.end(depth > 0)
+            if tag != "br":
+                if any(t == tag and out.marks[owner][1] for t, owner in out.open[-2:]):
+                    out.end(depth > 0)
+                out.block(closing, tag, mark)
             out.parts.append(" ")
     out.end(depth > 0)
     return out
@@ -208,6 +285,77 @@ def kept_lines(lines: list[tuple[str, int, bool]], window: int, surge: int, shar
     return kept
 
 
+def dropped(lines: Lines, window: int, surge: int, share: float) -> set[int]:
+    """The marked blocks that are not the article, by the fullest windows of text they hold.
+
+    A strong mark holds unless next to nothing is left without it: of the blocks not yet taken
+    as text the one with the fullest window is, if all that is text has less than ``SLIGHT`` of it
+    (a surge at least, beside an article that has text a paragraph).
+    A part that holds no paragraphs is also text if its window is one and at least half of the
+    fullest text.  A weak mark holds only for a block without a surge, that is no heading."""
+    n = len(lines.marks)
+    if n == 1:
+        return set()
+    own, below, headings_only = [0] * n, [0] * n, [True] * n
+    lengths = [len(text) if 2 * linked <= len(text) else 0 for text, linked, _ in lines.rows]
+    for i, ((owner, heading), row) in enumerate(zip(lines.owners, lines.rows, strict=True)):
+        if row[0]:
+            headings_only[owner] &= heading
+        own[owner] = max(own[owner], sum(
+            length for (o, _), length in zip(lines.owners[i:i + window], lengths[i:i + window], strict=True) if o == owner))
+    below[:] = own
+    for i in range(n - 1, 0, -1):  # a block comes after the one it is in
+        parent = lines.marks[i][0]
+        below[parent] = max(below[parent], below[i])
+        headings_only[parent] &= headings_only[i]
+    least = min(surge, max(1.0, share * max(own)))
+    children: list[list[int]] = [[] for _ in range(n)]
+    for i in range(1, n):
+        children[lines.marks[i][0]].append(i)
+    out: set[int] = set()
+    full, waiting, ready = 0, [], [0]
+    named = any(inside and text and not owner for (text, _, inside), (owner, _) in zip(lines.rows, lines.owners, strict=True))
+    needed = PARAGRAPH if named else surge
+    while ready or waiting:
+        while ready:  # text, and the weakly marked blocks in it
+            i = ready.pop()
+            full = max(full, own[i])
+            for c in children[i]:
+                if lines.marks[c][1] != WEAK:
+                    heapq.heappush(waiting, (-below[c], c))
+                elif below[c] >= least or headings_only[c]:
+                    ready.append(c)
+                else:
+                    out.add(c)
+        if waiting:
+            i = heapq.heappop(waiting)[1]
+            fullest = below[i]
+            if (full < SLIGHT * fullest and fullest >= needed) or (lines.marks[i][1] == SHORT and fullest >= max(PARAGRAPH, full / 2)):
+                ready.append(i)
+            else:
+                out.add(i)
+    for i in range(1, n):
+        if lines.marks[i][0] in out:
+            out.add(i)
+    return out
+
+
+def without_marked(lines: Lines, window: int, surge: int, share: float) -> list[tuple[str, int, bool]]:
+    """The lines, those of dropped blocks replaced by a run of empty lines."""
+    out = dropped(lines, window, surge, share)
+    if not out:
+        return lines.rows
+    rows: list[tuple[str, int, bool]] = []
+    gone = False
+    for row, (owner, _) in zip(lines.rows, lines.owners, strict=True):
+        if owner not in out:
+            rows.append(row)
+        elif not gone:
+            rows.extend([("", 0, False)] * lines.gap)
+        gone = owner in out
+    return rows
+
+
 def article_lines(lines: list[tuple[str, int, bool]], window: int, surge: int,
                   share: float) -> list[tuple[str, int, bool]]:
     """The lines, without the article's mark where the line blocks find more text outside it."""
@@ -223,7 +371,8 @@ def main_text(page: str | None, *, window: int = 3, surge: int = 30, share: floa
     """The main text of one page, its blocks joined by an empty line."""
     if not page:
         return ""
-    lines = article_lines(page_lines(page, window).rows, window, surge, share)
+    lines = without_marked(page_lines(page, window), window, surge, share)
+    lines = article_lines(lines, window, surge, share)
     return "\n\n".join(kept_lines(lines, window, surge, share))
 
 
