@@ -186,3 +186,17 @@ def test_next_document_across_ranges_nulls_and_repeats(spark):
     assert len({r.fingerprint for r in got if r.doc_id == 5}) == 1
     single = fingerprints.edit_fingerprints(spark.createDataFrame([(1, "a b c d")], DOCS)).first()
     assert single.near_next == 1.0
+
+
+def test_likeness_of_a_text_with_one_run_very_often():
+    h = fingerprints.WordHash()
+    long, half = (fingerprints.fingerprint("a " * (n + 2), h) for n in (65_536, 32_768))
+    assert fingerprints.likeness(long, half) == pytest.approx(0.8)
+
+
+def test_an_outlying_id_leaves_the_ranges_even(spark):
+    rows = [(i, f"text {i}") for i in [*range(1, 2001), 10**15]] + [(None, "none")]
+    ranged = fingerprints.in_order(spark.createDataFrame(rows, DOCS), 32).where("ghost = 0")
+    assert sorted(r.doc_id for r in ranged.collect() if r.doc_id is not None) == [i for i, _ in rows[:-1]]
+    sizes = [r["count"] for r in ranged.groupBy("bucket").count().collect()]
+    assert max(sizes) <= 100 and len(sizes) > 50

@@ -4,16 +4,17 @@ A paragraph is a non-empty line, blanks around it removed.  It is hashed to a wi
 two parts:
 
 * eight lanes of 64 bits, drawn from the 128-bit hash of its bytes;
-* 256 lanes of 16 bits, in which every run of three words of the paragraph adds +1 or -1 to
+* 256 lanes of 32 bits, in which every run of three words of the paragraph adds +1 or -1 to
   one lane (lane and sign from its hash; a shorter paragraph is one run).
 
-A document's fingerprint is the sum of its paragraphs' vectors, modulo 2^64 and 2^16.  The
+A document's fingerprint is the sum of its paragraphs' vectors, modulo 2^64 and 2^32.  The
 order of paragraphs does not matter; a paragraph is inserted or deleted by adding or
 subtracting its vector, and documents are united by adding fingerprints.  Equal multisets of
 paragraphs have equal fingerprints, others differ but for collisions of 512 bits of sums.
-Since sums keep differences, the 16-bit lanes of two fingerprints also tell how alike the
+Since sums keep differences, the 32-bit lanes of two fingerprints also tell how alike the
 texts are: the squared length of their difference estimates how many word runs are in one
-text only, ``likeness = 1 - |a - b|^2 / (|a|^2 + |b|^2)``, within some 6 % at 256 lanes.
+text only, ``likeness = 1 - |a - b|^2 / (|a|^2 + |b|^2)``, within some 6 % at 256 lanes.  No
+lane of a text wraps: a text is at most 2^31 bytes, and every run takes two of them.
 
 * NULL text counts as empty; its fingerprint is all zeros.  Two empty texts are alike (1),
   an empty and a non-empty one are not (0).
@@ -25,11 +26,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,7 +47,7 @@ Print = tuple[np.ndarray, np.ndarray]  # identity lanes, likeness lanes
 def fingerprint(text: str, hashes: WordHash) -> Print:
     """The fingerprint of a text."""
     paragraphs = [p for line in text.encode().split(b"\n") if (p := line.strip())]
-    identity, lanes = np.zeros(IDENTITY, np.uint64), np.zeros(LANES, np.uint16)
+    identity, lanes = np.zeros(IDENTITY, np.uint64), np.zeros(LANES, np.uint32)
     if not paragraphs:
         return identity, lanes
     whole = [xxhash.xxh3_128_intdigest(p) for p in paragraphs]
@@ -65,7 +68,7 @@ def fingerprint(text: str, hashes: WordHash) -> Print:
     lane = (runs % np.uint64(LANES)).astype(np.int64)
     sign = 1 - 2 * ((runs >> np.uint64(40)) & np.uint64(1)).astype(np.int64)
     sums = np.bincount(lane, weights=sign, minlength=LANES).astype(np.int64)
-    return identity, (sums & 0xFFFF).astype(np.uint16)
+    return identity, (sums & 0xFFFFFFFF).astype(np.uint32)
 
 
 def insert(a: Print, b: Print) -> Print:
@@ -86,7 +89,7 @@ def likeness(a: Print, b: Print) -> float:
         return 1.0
 
     def square(x: np.ndarray) -> float:
-        s = x.astype(np.int16).astype(np.float64)
+        s = x.astype(np.int32).astype(np.float64)
         return float((s * s).sum())
 
     total = square(a[1]) + square(b[1])
@@ -102,7 +105,7 @@ def to_text(p: Print) -> str:
 
 def from_text(s: str) -> Print:
     raw = base64.b64decode(s)
-    return np.frombuffer(raw[:8 * IDENTITY], np.uint64), np.frombuffer(raw[8 * IDENTITY:], np.uint16)
+    return np.frombuffer(raw[:8 * IDENTITY], np.uint64), np.frombuffer(raw[8 * IDENTITY:], np.uint32)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -122,16 +125,20 @@ def in_order(docs: DataFrame, bucket_mb: int) -> DataFrame:
     """``bucket, ghost, doc_id, text``: documents dealt to ranges of ids and sorted, each
     range followed by a copy (``ghost``) of the next range's first row.
 
-    The ranges cut the span of ids into equal parts.  Only one row per range (24 bytes) is
+    The ranges are cut at quantiles of the ids (a sketch; NULL ids are a range of their own), so
+    an outlying id leaves the others spread.  Only one row per range (24 bytes) is
     ranked; the ranges' first ids are broadcast up to a million ranges, beyond that joined by
     shuffle.  Texts are shuffled once."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     parts = buckets_for(docs.select("doc_id", "text"), bucket_mb)
-    low, high = texts.agg(F.min("doc_id"), F.max("doc_id")).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // parts))
-    ranged = texts.withColumn("bucket", F.coalesce(
-        F.expr(f"(doc_id - {low or 0}L) div {width}L").cast("int"), F.lit(-1)))
+    place = F.col("doc_id").cast("double")  # keeps the order; equal ids stay together
+    cuts = texts.select(place.alias("place")).approxQuantile(
+        "place", [i / parts for i in range(1, parts)], 1 / (4 * parts))
+    cut = Bucketizer(splits=[-math.inf, *sorted({0.0, *cuts}), math.inf], inputCol="place", outputCol="range",
+                     handleInvalid="keep")
+    ranged = cut.transform(texts.withColumn("place", place)).select(
+        "doc_id", "text", F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("range").cast("int")).alias("bucket"))
     firsts = stored(ranged.groupBy("bucket").agg(F.min("doc_id").alias("first")), shared_folder(spark, "ranges"))
     by_range = Window.orderBy("bucket")  # one row per range
     following = firsts.select(
