@@ -142,9 +142,68 @@ _REPEATS = f"""
     SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed,
         sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
 
+# The crc32 of a list of bytes, from the polynomial: a table of 256 values, then byte by byte.
+_CRC_TABLE = """crc AS MATERIALIZED (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i)))"""
+
+
+def _crc(octets: str) -> str:
+    return (f"xor(list_reduce([4294967295::BIGINT] || {octets}, "
+            "lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1])), 4294967295)")
+
+
+_CODES = "list_transform(string_split({}, ''), lambda x: unicode(x)::BIGINT)"
+
+_REPAIR = f"""
+    WITH RECURSIVE {_CRC_TABLE},
+    ids AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id NULLS FIRST) AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+    raw AS (SELECT ids.c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+            {_crc(_CODES.format("coalesce(v.conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')"))} % 20 AS f
+        FROM conversations v JOIN ids ON ids.conv_id IS NOT DISTINCT FROM v.conv_id, crc),
+    hurt AS (SELECT c, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role,
+            CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+        FROM raw, range(1, 3) r(copy) WHERE f <> 0 AND (copy = 1 OR f = 3)),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i FROM hurt),
+    known AS (SELECT *, substr(role, 1, 1) AS r, row_number() OVER (PARTITION BY c, role, text ORDER BY i) AS seen,
+            regexp_replace(text, '[\\x20\\x09-\\x0D]+$', '') AS held FROM placed),
+    judged AS (SELECT *, CASE WHEN held = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+            WHEN NOT regexp_matches(held, '[.!?]$') THEN 'truncated' ELSE '' END AS fault,
+            lag(r) OVER (PARTITION BY c ORDER BY i) AS r0 FROM known),
+    facts AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+            count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+            count(*) FILTER (fault = 'truncated') AS truncated,
+            count(*) FILTER (i > 1 AND r0 || r NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM judged GROUP BY c),
+    ins(q, p, k) AS (VALUES (0, 0, 0), (0, 2, 1), (0, 3, 2), (1, 1, 0), (1, 2, 1), (1, 3, 2), (2, 2, 0), (2, 3, 1), (3, 3, 0), (3, 2, 1)),
+    step(e, p, r, q, w) AS (VALUES ('D', 0, '', 0, 3), ('D', 1, '', 1, 3), ('D', 2, '', 2, 3), ('D', 3, '', 3, 3),
+        ('K', 0, 's', 1, 0), ('K', 0, 'u', 2, 0), ('K', 1, 'u', 2, 0), ('K', 2, 'a', 3, 0), ('K', 3, 'u', 2, 0),
+        ('R', 0, '', 2, 2), ('R', 1, '', 2, 2), ('R', 2, '', 3, 2), ('R', 3, '', 2, 2)),
+    walk AS (SELECT c, 0::BIGINT AS i, 0 AS q, {{'cost': 0, 'audit': ''}} AS best FROM facts
+        UNION ALL
+        SELECT w.c, w.i + 1, step.q, min({{'cost': w.best.cost + 2 * ins.k + step.w
+                + CASE WHEN j.fault = 'truncated' AND step.e <> 'D' THEN 1 ELSE 0 END,
+            'audit': w.best.audit || repeat('I', ins.k) || step.e}})
+        FROM walk w JOIN judged j ON j.c = w.c AND j.i = w.i + 1 JOIN ins ON ins.q = w.q JOIN step ON step.p = ins.p
+        WHERE step.e = 'D' OR (j.fault IN ('', 'truncated') AND (step.e = 'R' OR step.r = j.r))
+        GROUP BY w.c, w.i, step.q),
+    done AS (SELECT c, min({{'cost': best.cost + 2 * ins.k, 'audit': best.audit || repeat('I', ins.k)}}) AS best
+        FROM walk JOIN facts USING (c) JOIN ins USING (q) WHERE i = n AND ins.p IN (0, 3) GROUP BY c),
+    edit AS (SELECT c, pos, e, length(replace(best.audit, 'D', '')) % 2 AS system,
+            count(*) FILTER (e <> 'I') OVER (PARTITION BY c ORDER BY pos) AS i, count(*) FILTER (e <> 'D') OVER (PARTITION BY c ORDER BY pos) AS k
+        FROM (SELECT c, best, unnest(range(1, length(best.audit) + 1)) AS pos, unnest(string_split(best.audit, '')) AS e
+            FROM done WHERE best.audit <> '')),
+    said AS (SELECT c, string_agg(CASE e WHEN 'K' THEN j.role ELSE wanted END || ':'
+            || CASE e WHEN 'I' THEN '' ELSE j.text END, chr(10) ORDER BY pos) AS t
+        FROM (SELECT *, CASE WHEN (k - system) % 2 = 1 THEN 'user' ELSE 'assistant' END AS wanted FROM edit WHERE e <> 'D') x
+        LEFT JOIN judged j USING (c, i) GROUP BY c)
+    SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+        coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.cost, 0)::BIGINT AS cost,
+        coalesce(best.audit, '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+    FROM ids LEFT JOIN facts USING (c) LEFT JOIN done USING (c) LEFT JOIN said USING (c)"""
+
 ORACLE: dict[str, str] = {
     "op1_quality_rules": _rules(),
     "op5_near_dedup": _NEAR,
     "op6_source_mix": _MIX,
     "op8_substring_dedup": _REPEATS,
+    "op11_conversation_repair": _REPAIR,
 }

@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wearline.llm import bpe, classifier, fingerprints, html_text, mixing, near, ngrams, repeats, rules, tokens
+from wearline.llm import bpe, classifier, conversations, fingerprints, html_text, mixing, near, ngrams, repeats, rules, tokens
 from wearline.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -60,6 +60,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), limit=2048)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damage(turns), of=turns)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_kneser_ney": op2_kneser_ney,
@@ -71,4 +76,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_bpe_chunks": op9_bpe_chunks,
     "op10_token_counts": op10_token_counts,
+    "op11_conversation_repair": op11_conversation_repair,
 }
