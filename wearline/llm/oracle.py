@@ -200,10 +200,35 @@ _REPAIR = f"""
         coalesce(best.audit, '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
     FROM ids LEFT JOIN facts USING (c) LEFT JOIN done USING (c) LEFT JOIN said USING (c)"""
 
+_OCTETS = ("flatten(list_transform(string_split({}, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] "
+           "ELSE [195::BIGINT, unicode(x)::BIGINT - 64] END))")
+
+_SPELLING = f"""
+    WITH RECURSIVE {_CRC_TABLE},
+    run AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS w FROM documents),
+    own AS (SELECT doc_id, w, count(*) AS n FROM run WHERE length(w) >= 6 GROUP BY doc_id, w),
+    hashed AS (SELECT w, n, {_crc(_OCTETS.format("coalesce(doc_id::VARCHAR, '') || ':' || w"))} AS h FROM own, crc),
+    cut AS (SELECT n, CASE WHEN h % 199 = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2)
+        ELSE w END AS w FROM hashed),
+    v AS MATERIALIZED (SELECT w, sum(n)::BIGINT AS n FROM cut WHERE length(w) >= 6 GROUP BY w HAVING sum(n) >= 5),
+    less AS MATERIALIZED (SELECT w, n, i, substr(w, 1, i - 1) || substr(w, i + 1) AS d
+        FROM (SELECT w, n, unnest(range(1, length(w) + 1))::INT AS i FROM v)),
+    pair AS (SELECT a.w AS a, b.w AS b, b.n FROM less a JOIN less b ON a.d = b.d AND a.i = b.i AND a.w <> b.w
+        UNION SELECT a.w, v.w, v.n FROM less a JOIN v ON v.w = a.d
+        UNION SELECT v.w, a.w, a.n FROM less a JOIN v ON v.w = a.d),
+    best AS (SELECT a, count(*) AS n_near, min({{'m': -n, 'w': b}}) AS f FROM pair GROUP BY a),
+    form AS (SELECT v.w, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -f.m >= 5 * v.n THEN f.w END AS form,
+        CASE WHEN -f.m >= 5 * v.n THEN -f.m END::BIGINT AS form_n FROM v LEFT JOIN best ON best.a = v.w),
+    chain AS (SELECT w, w AS at, 0 AS k FROM form UNION ALL
+        SELECT chain.w, form.form, k + 1 FROM chain JOIN form ON form.w = chain.at WHERE form.form IS NOT NULL)
+    SELECT w AS word, form, (SELECT arg_max(chain.at, k) FROM chain WHERE chain.w = form.w) AS root, n, n_near, form_n FROM form"""
+
 ORACLE: dict[str, str] = {
     "op1_quality_rules": _rules(),
     "op5_near_dedup": _NEAR,
     "op6_source_mix": _MIX,
     "op8_substring_dedup": _REPEATS,
     "op11_conversation_repair": _REPAIR,
+    "op12_spelling_variants": _SPELLING,
 }
