@@ -42,6 +42,8 @@ def test_edge_rows(spark, tmp_path, name):
                   [(1, 1, 0), (4, 0, 0), (4, 0, 0), (5, 1, None), (None, 1, 1), (6, None, 0)],
                   [(1, None, None, None), (1, 0, "user", ""), (1, 0, "user", ""), (2, 1, "user", LONG), (None, 1, "", "x")])
     got = QUERIES[name](spark, path).collect()
+    if name.startswith("op13_"):
+        got = [r for r in got if r.start == 0]  # one piece of each document begins it
     rows = {"op4": 4, "op11": 3, "op12": 0}  # no word of six letters
     assert len(got) == rows.get(name.split("_")[0], len(EDGES))
 

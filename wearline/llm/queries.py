@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wearline.llm import bpe, classifier, conversations, fingerprints, html_text, mixing, near, ngrams, repeats, rules, spelling, tokens
+from wearline.llm import bpe, classifier, conversations, fingerprints, html_text, mixing, near, ngrams, packing, repeats, rules, spelling, tokens
 from wearline.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -69,6 +69,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op13_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), length=4096, end_id=2, digests=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_kneser_ney": op2_kneser_ney,
@@ -82,4 +86,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_curve_packing": op13_curve_packing,
 }
