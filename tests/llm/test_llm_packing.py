@@ -19,7 +19,8 @@ def library():
 
 
 ODD = ["", " ", "Hello, WORLD!\n\tit's 12 o'clock ^ and ^^ again^", "<|endoftext|> <|ENDOFTEXT|> a<|startoftext|>b", "é é 漢字  x y",
-       "a\x0bb\x0cc\rd\x1ce", "word " * 3000, "x" * 5000, "İstanbul ﬁne K K ; ^", "\x85next​zero", "Don't 'Twas 'S", "no mark"]
+       "a\x0bb\x0cc\rd\x1ce", "word " * 3000, "x" * 5000, "İstanbul ﬁne K K ; ^", "\x85next​zero", "Don't 'Twas 'S", "no mark",
+       "ÀÉ ß&& Straße!! e\u0301!! e\u0301. x'. it's. a.b, c&&d && 'tis' ñ' Ñ÷ µ. end.", "Σίσυφος ΣΑΣ. ǅ İ! ª º ×÷"]
 
 
 def test_ids_equal_the_library(library):

@@ -22,9 +22,11 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,19 +42,48 @@ BINS, DIMENSIONS, BITS = 128, 4, 15
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
+# Words of small letters that every step before the merges leaves as they are: composed, in lower
+# case, one run of letters.  Fixed ranges of ASCII and Latin-1.
+SMALL = "a-zß-öø-ÿ"
+PLAIN = f"^[{SMALL}]+$"
+LATIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+# ASCII marks between such a letter and a blank are a word of their own to the tokenizer (but an
+# apostrophe may begin one).
+MARKED = f"([{SMALL}])([!-&(-/:-@\\[-`{{-~]+)(\\s|$)"
+
+
+def plain_tokenizer(content: bytes):
+    """The tokenizer without the steps that leave ``PLAIN`` words alone, for such words parted by
+    blanks; None if its rules are others than those this holds for: white space and case are
+    normalised, runs of letters are words, a word's last token bears a suffix."""
+    rules = json.loads(content)
+    steps = [n["type"] for n in (rules.get("normalizer") or {}).get("normalizers", [])]
+    parts = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if (set(steps) - {"NFC", "Replace", "Lowercase"} or [x["type"] for x in parts] != ["Split", "ByteLevel"]
+            or "[\\p{L}]+" not in str(parts[0]["pattern"].get("Regex")) or not rules["model"].get("end_of_word_suffix")):
+        return None
+    rules["normalizer"], rules["added_tokens"] = None, []
+    rules["pre_tokenizer"]["pretokenizers"][0] = {"type": "WhitespaceSplit"}
+    return load_tokenizer("json", json.dumps(rules).encode())
+
+
+@lru_cache(maxsize=2)
+def tokenizers_of(content: bytes):
+    """The tokenizer and the one for plain words, loaded once per worker."""
+    by_words = drops_blanks("json", content)
+    return load_tokenizer("json", content), by_words, plain_tokenizer(content) if by_words else None
+
+
 class TextIds:
     """Token ids of texts, through a bounded table of words where blanks part them safely."""
 
-    MARK = "^"  # a word of its own between others that are encoded in one call
-
     def __init__(self, content: bytes, cache_words: int, together: int = 200):
-        self.tokenizer = load_tokenizer("json", content)
-        self.by_words = drops_blanks("json", content)
-        self.lowers = '"Lowercase"' in content.decode()
-        mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
+        self.tokenizer, self.by_words, self.plain = tokenizers_of(content)
         self.cache_words, self.together = cache_words, together
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        if self.plain is not None:
+            suffix = json.loads(content)["model"]["end_of_word_suffix"]
+            self.last = np.array([(self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(self.size)])
         self._clear()
 
     def _clear(self) -> None:
@@ -63,41 +94,46 @@ class TextIds:
     def _alone(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encoded(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word: plain words many to a call with a mark between them."""
-        out: list[np.ndarray | None] = [None] * len(words)
-        plain = [i for i, w in enumerate(words) if self.MARK not in w and "<|" not in w] if self.mark is not None else []
-        for k in range(0, len(plain), self.together):
-            some = plain[k:k + self.together]
-            ids = np.array(self._alone([f" {self.MARK} ".join([words[i] for i in some])])[0], np.uint32)
-            at = np.flatnonzero(ids == self.mark)
-            if len(at) == len(some) - 1:
-                for i, part in zip(some, np.split(ids, at)):
-                    out[i] = part[1:] if i != some[0] else part
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(rest, self._alone([words[i] for i in rest])):
-            out[i] = np.array(ids, np.uint32)
-        return out
+    def _learn(self, words: pa.Array) -> None:
+        """Add words to the table: plain ones many to a call, told apart again by the suffix of
+        a word's last token; any other one by itself."""
+        if self.plain is not None:
+            lowered = pc.if_else(pc.match_substring_regex(words, LATIN), pc.utf8_lower(words), words)
+            is_plain = pc.match_substring_regex(lowered, PLAIN)
+            plain, lowered = words.filter(is_plain).to_pylist(), lowered.filter(is_plain).to_pylist()
+            words = words.filter(pc.invert(is_plain))
+            for k in range(0, len(plain), self.together):
+                some = slice(k, k + self.together)
+                ids = np.array(self.plain.encode_batch_fast([" ".join(lowered[some])], add_special_tokens=False)[0].ids, np.uint32)
+                self._add(plain[some], ids, np.diff(np.flatnonzero(self.last[ids]), prepend=-1))
+        rest = words.to_pylist()
+        found = self._alone(rest)
+        self._add(rest, np.fromiter((i for ids in found for i in ids), np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
+
+    def _add(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        if len(counts) != len(words) or counts.sum() != len(ids):
+            raise ValueError("the tokenizer parts words otherwise than its rules say")
+        first = len(self.places)
+        self.places.update(zip(words, range(first, first + len(words))))
+        self.ids.append(ids)
+        self.counts.append(counts)
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text)."""
         if not self.by_words:
             found = self._alone(texts.to_pylist())
             return np.fromiter((i for ids in found for i in ids), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
-        if self.lowers:  # fewer words differ; a special token's string stays as it is
-            texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        if self.plain is not None:  # fewer words differ; a special token's string stays as it is
+            ready = pc.replace_substring_regex(pc.ascii_lower(texts), MARKED, r"\1 \2\3")
+            texts = pc.if_else(pc.match_substring(texts, "<|"), texts, ready)
         lists = pc.ascii_split_whitespace(texts)
         numbered = pc.dictionary_encode(lists.flatten())
         words = numbered.dictionary.to_pylist()
         if len(self.places) > self.cache_words:
             self._clear()
-        new = [w for w in words if w not in self.places]
-        if new:
-            found = self._encoded(new)
-            first = len(self.places)
-            self.places.update(zip(new, range(first, first + len(new))))
-            self.ids.append(np.concatenate(found))
-            self.counts.append(np.fromiter(map(len, found), np.int64, len(found)))
+        new = [w not in self.places for w in words]
+        if any(new):
+            self._learn(numbered.dictionary.filter(pa.array(new)))
         pool, sizes = (np.concatenate(x) for x in (self.ids, self.counts))
         self.ids, self.counts = [pool], [sizes]
         starts = np.cumsum(sizes) - sizes
@@ -174,7 +210,7 @@ def _encoder(content, end_id: int, cache_words: int, batch_bytes: int):
     return run
 
 
-def encoded(docs: DataFrame, tokenizer: str, *, end_id: int = 2, cache_words: int = 400_000, batch_bytes: int = 4 << 20) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer: str, *, end_id: int = 2, cache_words: int = 400_000, batch_bytes: int = 8 << 20) -> DataFrame:
     """``row, doc_id, key, n, print, ids`` of every document: a number of the row, the curve's
     key, tokens with the end id, a check sum of the ids, and the ids as packed integers (two
     bytes where the vocabulary allows it, else four).  Stored, so that texts are encoded once."""
