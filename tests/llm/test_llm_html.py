@@ -73,6 +73,23 @@ def test_marks_are_evidence(page, text):
     assert main_text(page) == text
 
 
+COMMENTS = f"<p>{LONG}reader</p>" * 4
+
+
+@pytest.mark.parametrize("page", [
+    f"<article><h1>Title</h1><p>{'short text ' * 6}</p></article><div id=comments>{COMMENTS}</div>",
+    f"<div><h1>Title</h1><p>{'short text ' * 6}</p></div><div id=comments>{COMMENTS}</div>",
+    f"<div class='cookie-notice'>{COMMENTS}</div><article><h1>Title</h1><p>{'short text ' * 6}</p></article>",
+    f"<article><h1>Title</h1><p>{'short text ' * 6}</p><div class='notice'><p>{LONG * 3}</p></div></article>",
+    f"<div><h1>Title</h1><p>{'short text ' * 6}</p></div><section class='reader-comments'>{COMMENTS}</section>",
+    f"<div><h1>Title</h1><p>{'short text ' * 6}</p></div><div class='google-ads'>{COMMENTS}</div>",
+    f"<article><h1>Title</h1><p>{'short text ' * 6}</p></article><div class=sidebar>{COMMENTS}</div><div class=menu>{COMMENTS}</div>",
+    f"<div><h1>Title</h1><p>{'short text ' * 6}</p></div><div class=sidebar>{COMMENTS}</div>",
+])
+def test_short_articles_beside_long_comments_and_notices(page):
+    assert main_text(page) == "Title\n\n" + ("short text " * 6).strip()
+
+
 def test_window_sums():
     lines = [("ab", 0, False), ("", 0, False), ("", 0, False), ("", 0, False), ("x" * 50, 0, False), ("y", 0, False)]
     assert kept_lines(lines, window=3, surge=30, share=0.9) == ["x" * 50, "y"]

@@ -70,9 +70,12 @@ WORDY = frozenset(
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SELF_ENDING = frozenset("li dt dd tr td th".split())
 MARKABLE = BLOCK | {"td", "th"}
-WEAK, SHORT, STRONG = 1, 2, 3  # a mark among other words, of a part without paragraphs, of one with
-PARAGRAPH = 300  # characters of a window that no menu, notice or footer holds
-SLIGHT = 0.2  # below this share of a marked block's fullest window the rest is no article
+# Marks of reader comments, adverts and notices, which are never the article.
+NEVER = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos cookie cookies consent gdpr "
+    "notice notices alert alerts newsletter popup comment comments reply replies respond disqus".split())
+# A mark among other words, of a part without paragraphs, of one with, of what is never the article.
+WEAK, SHORT, STRONG, OUT = 1, 2, 3, 4
 
 
 def _is_aside(tag: str, attributes: str, inside: bool) -> bool:
@@ -94,6 +97,9 @@ def _mark(tag: str, attributes: str, inside: bool) -> int:
                 marks = marks - {"header"}
             if not marks or words[0] in STATES:
                 continue
+            main = [w for w in words if w not in FILLERS] or words
+            if main[-1] in NEVER and not STATES.intersection(words):  # "reader-comments", "comment-list"
+                return OUT
             if not all(w in MARKS or w in FILLERS for w in words):
                 found = max(found, WEAK)
             else:
@@ -288,11 +294,11 @@ def kept_lines(lines: list[tuple[str, int, bool]], window: int, surge: int, shar
 def dropped(lines: Lines, window: int, surge: int, share: float) -> set[int]:
     """The marked blocks that are not the article, by the fullest windows of text they hold.
 
-    A strong mark holds unless next to nothing is left without it: of the blocks not yet taken
-    as text the one with the fullest window is, if all that is text has less than ``SLIGHT`` of it
-    (a surge at least, beside an article that has text a paragraph).
-    A part that holds no paragraphs is also text if its window is one and at least half of the
-    fullest text.  A weak mark holds only for a block without a surge, that is no heading."""
+    Comments, adverts and notices always are.  Where the page names its article by an element, so
+    is every other surely marked block.  Elsewhere a strong mark holds unless there is no surge
+    without it (the block is a wrapper), and one of a part that holds no paragraphs unless the
+    page's fullest window is in it.  A weak mark holds only for a block without a surge, that is
+    no heading."""
     n = len(lines.marks)
     if n == 1:
         return set()
@@ -315,13 +321,14 @@ def dropped(lines: Lines, window: int, surge: int, share: float) -> set[int]:
     out: set[int] = set()
     full, waiting, ready = 0, [], [0]
     named = any(inside and text and not owner for (text, _, inside), (owner, _) in zip(lines.rows, lines.owners, strict=True))
-    needed = PARAGRAPH if named else surge
     while ready or waiting:
         while ready:  # text, and the weakly marked blocks in it
             i = ready.pop()
             full = max(full, own[i])
             for c in children[i]:
-                if lines.marks[c][1] != WEAK:
+                if lines.marks[c][1] == OUT:
+                    out.add(c)
+                elif lines.marks[c][1] != WEAK:
                     heapq.heappush(waiting, (-below[c], c))
                 elif below[c] >= least or headings_only[c]:
                     ready.append(c)
@@ -329,8 +336,8 @@ def dropped(lines: Lines, window: int, surge: int, share: float) -> set[int]:
                     out.add(c)
         if waiting:
             i = heapq.heappop(waiting)[1]
-            fullest = below[i]
-            if (full < SLIGHT * fullest and fullest >= needed) or (lines.marks[i][1] == SHORT and fullest >= max(PARAGRAPH, full / 2)):
+            peak = lines.marks[i][1] == SHORT and below[i] >= max(surge, full)
+            if not named and (full < surge <= below[i] or peak):
                 ready.append(i)
             else:
                 out.add(i)
