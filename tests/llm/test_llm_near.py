@@ -2,10 +2,13 @@
 
 import hashlib
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
+from wearline.llm import repeats
+from wearline.llm.common import WordHash
 from wearline.llm.components import components
 from wearline.llm.near import drop_near_duplicates, least_shared, near_duplicates
 from wearline.llm.repeats import cut_repeats, remove_repeats
@@ -189,3 +192,40 @@ def test_repeated_rows_are_one_document(spark):
     got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in remove_repeats(spark.createDataFrame(rows, DOCS)).collect())
     assert got[0] == (0, 30, 0)  # NULL comes first
     assert [g[2] for g in got[1:]] == [30, 30, 30, 30]
+
+
+def phrase_rows(n=900):
+    """Most documents share a phrase of 12 words between words of their own; some are copies."""
+    rng = random.Random(8)
+    phrase = " ".join(f"shared{i}" for i in range(12))
+    rows = []
+    for d in range(n):
+        a, b = (" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(40)) for _ in range(2))
+        rows.append((d, f"{a} {phrase} {b}" if d % 5 else f"{a} {b}"))
+    return rows + [(n + i, rows[i][1]) for i in range(1, 30)]
+
+
+def test_a_phrase_in_most_documents_is_dealt_to_all_buckets(spark):
+    rows = phrase_rows()
+    docs = spark.createDataFrame(rows, DOCS).repartition(6)
+    hot = repeats.hot_anchors(docs, 20, 6, 96, one_in=2)
+    assert 1 <= len(hot) <= 60  # the phrase, and copies in so small a sample
+    sizes = {}
+    for anchors in ([], hot):
+        flush = repeats.Flush(20, 6, 24, np.array(anchors, np.uint64))
+        for d, t in rows:
+            flush.add(d, 0, WordHash().of(t.encode().split()))
+        per = Counter()
+        for bucket, kind, payload in flush.rows():
+            per[bucket] += len(payload) * (kind == repeats.SEEDS)
+        sizes[len(anchors) > 0] = max(per.values()) / sorted(per.values())[len(per) // 2]
+    assert sizes[False] > 4 > sizes[True]
+
+
+@pytest.mark.parametrize("one_in", [1, 3])
+def test_repeats_with_hot_anchors_match_brute_force(spark, one_in):
+    rows = phrase_rows(300)
+    docs = spark.createDataFrame(rows, DOCS).repartition(7)
+    got = remove_repeats(docs, flush_words=2_000, sample_one_in=one_in).collect()
+    expected = [(d, n, g, hashlib.sha256(k).hexdigest()) for d, n, g, k in brute_repeats(rows)]
+    assert sorted(map(tuple, got)) == sorted(expected)

@@ -10,10 +10,13 @@ them: two equal windows always meet at one seed.
    to both sides up to the length threshold.
 2. Occurrences are dealt by anchor into hash buckets as packed rows.  Within one flush of a
    task, windows seen before are marked at once and only the first is sent on, so a passage
-   that a third of all documents share reaches its bucket once per flush.
-3. *Extend.*  Per bucket, occurrences of an anchor are compared by their window hashes (64
-   bits of the seed and 48 of the window must agree).  All but the first in the order of
-   documents and positions start a repeat.
+   that a third of all documents share reaches its bucket once per flush.  A short phrase that
+   many documents share between different words is one anchor of many windows: anchors that
+   are frequent in a sample of the documents are *hot*, and their windows are dealt one by one
+   by a second hash of the window.  The sample decides only who compares them.
+3. *Extend.*  Per bucket, occurrences of an anchor are compared by their window hashes: 64
+   bits of the seed (of the second window hash, if it is hot) and 64 of the window must agree.
+   All but the first in the order of documents and positions start a repeat.
 4. Overlapping repeats are merged to the maximal ones, ``[start, end)`` in words, and joined
    to their documents.
 
@@ -21,7 +24,8 @@ them: two equal windows always meet at one seed.
 * NULL ids come before all others.  Rows of the same id and text are one document: none is
   earlier than the other, and each gets the same spans.  Rows of one id and different texts
   are different documents, in the order of the texts' hashes.
-* Memory per task is one flush, one bucket, or one very long document.
+* Memory per task is one flush, one bucket, or one very long document, whose windows are all
+  in one flush.  An empty table has no spans; other columns keep their names and values.
 """
 
 from __future__ import annotations
@@ -34,7 +38,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wearline.llm.common import MULT, WordHash, batch_bytes_of, buckets_for, map_arrow, window_hashes
+from wearline.llm.common import (
+    MULT, WordHash, batch_bytes_of, buckets_for, map_arrow, mixed, shared_folder, stored, window_hashes)
 
 NO_ID = -(1 << 63)  # stands for a NULL id, before all others
 SEEDS, SPANS = 0, 1
@@ -51,14 +56,58 @@ def text_key() -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 33).cast("int")
 
 
-def anchors(words: np.ndarray, width: int, seed_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per window: hash of its anchor, hash of the window."""
+def anchors(words: np.ndarray, width: int, seed_words: int, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Per window: hash of its anchor (of the window anew, if that is one of the sorted ``hot``
+    ones), hash of the window."""
     windows = window_hashes(words, width)
     if not len(windows):
         return windows, windows
     seeds = window_hashes(words, seed_words)
-    inside = np.lib.stride_tricks.sliding_window_view(seeds, width - seed_words + 1)
-    return inside.min(axis=1), windows
+    anchor = np.lib.stride_tricks.sliding_window_view(seeds, width - seed_words + 1).min(axis=1)
+    if hot is not None and len(hot):
+        is_hot = hot[np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)] == anchor
+        if is_hot.any():
+            anchor = np.where(is_hot, window_hashes(mixed(words), width), anchor)
+    return anchor, windows
+
+
+def hot_anchors(docs: DataFrame, width: int, seed_words: int, buckets: int, one_in: int, most: int = 50_000) -> np.ndarray:
+    """Sorted hashes of the anchors that hold, by a sample of one in ``one_in`` documents, over a
+    twentieth of a bucket's windows: by that measure fewer than 20 a bucket, ``most`` at the
+    utmost (400 KB to every task).
+
+    The sample is drawn by a hash of the id.  Tasks count before the shuffle and send only
+    anchors seen twice in one flush of the sample."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held, size = WordHash(), [], 0
+
+        def give() -> pa.RecordBatch:
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            often = n > 1
+            return pa.record_batch([pa.array(np.append(found[often], np.uint64(0)).view(np.int64)), pa.array(np.append(n[often], 0)),
+                                    pa.array(np.append(np.zeros(often.sum(), np.int64), n.sum()))], names=["anchor", "n", "total"])
+
+        for batch in batches:
+            for content in batch_bytes_of(batch, "text"):
+                words = (content or b"").split()
+                if len(words) >= width:
+                    held.append(anchors(hashes.of(words), width, seed_words)[0])
+                    size += len(held[-1])
+                if size > 1_000_000:
+                    yield give()
+                    held, size = [], 0
+        if held:
+            yield give()
+
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).select("text")
+    counts = (sample.transform(map_arrow, run, "anchor long, n long, total long").groupBy("anchor")
+              .agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
+    counts = stored(counts, shared_folder(docs.sparkSession, "repeats-anchors"))
+    total = counts.agg(F.sum("total")).first()[0] or 0
+    least = max(16, total // (20 * buckets))
+    rows = counts.where((F.col("n") > least)).orderBy(F.desc("n"), "anchor").limit(most).select("anchor").collect()
+    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
 
 
 def _not_first(anchor: np.ndarray, window: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -100,13 +149,13 @@ def _take(payload: bytes, at: int, kind, n: int) -> tuple[np.ndarray, int]:
 class Flush:
     """The windows of the documents gathered by a task since the last flush."""
 
-    def __init__(self, width: int, seed_words: int, buckets: int):
-        self.width, self.seed_words, self.buckets = width, seed_words, buckets
+    def __init__(self, width: int, seed_words: int, buckets: int, hot: np.ndarray | None = None):
+        self.width, self.seed_words, self.buckets, self.hot = width, seed_words, buckets, hot
         self.docs: list[tuple[int, int, np.ndarray, np.ndarray]] = []
         self.size = 0
 
     def add(self, key: int, text: int, words: np.ndarray) -> None:
-        anchor, window = anchors(words, self.width, self.seed_words)
+        anchor, window = anchors(words, self.width, self.seed_words, self.hot)
         if len(anchor):
             self.docs.append((key, text, anchor, window))
             self.size += len(anchor)
@@ -127,7 +176,7 @@ class Flush:
         text = np.repeat(np.array([d[1] for d in docs], np.int32), lengths)
         start = np.concatenate([np.arange(n, dtype=np.int32) for n in lengths])
         anchor = np.concatenate([d[2] for d in docs])
-        window = np.concatenate([d[3] for d in docs]) >> np.uint64(16)
+        window = np.concatenate([d[3] for d in docs])
         del docs
         later = _not_first(anchor, window, doc, start)
         if later.any():
@@ -153,13 +202,12 @@ class Flush:
             w = window[inside]
             yield int(b), SEEDS, b"".join([
                 np.array([len(runs), len(w)], np.int32).tobytes(), anchor[first].tobytes(), key[first].tobytes(),
-                text[first].tobytes(), start[first].tobytes(), (w & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(),
-                (w >> np.uint64(32)).astype(np.uint16).tobytes(), count.astype(np.uint8).tobytes()])
+                text[first].tobytes(), start[first].tobytes(), w.tobytes(), count.astype(np.uint8).tobytes()])
 
 
-def _seed_function(width: int, seed_words: int, buckets: int, flush_words: int):
+def _seed_function(width: int, seed_words: int, buckets: int, flush_words: int, hot=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, flush = WordHash(), Flush(width, seed_words, buckets)
+        hashes, flush = WordHash(), Flush(width, seed_words, buckets, hot)
 
         def packed(rows) -> pa.RecordBatch:
             kinds = (pa.int32(), pa.int32(), pa.binary())
@@ -192,15 +240,14 @@ def _seed_function(width: int, seed_words: int, buckets: int, flush_words: int):
 
 def _bucket_spans(payloads: list[bytes], width: int) -> list[np.ndarray]:
     """Spans (key, text, start, stop) of the repeats among the seeds of one bucket."""
-    columns: list[list[np.ndarray]] = [[] for _ in range(7)]
+    columns: list[list[np.ndarray]] = [[] for _ in range(6)]
     for p in payloads:
         (runs, windows), at = _take(p, 0, np.int32, 2)
         for i, (kind, n) in enumerate(((np.uint64, runs), (np.int64, runs), (np.int32, runs), (np.int32, runs),
-                                       (np.uint32, windows), (np.uint16, windows), (np.uint8, runs))):
+                                       (np.uint64, windows), (np.uint8, runs))):
             x, at = _take(p, at, kind, n)
             columns[i].append(x)
-    anchor, key, text, start, low, high, count = map(np.concatenate, columns)
-    window = low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
+    anchor, key, text, start, window, count = map(np.concatenate, columns)
     count = count.astype(np.int64)
     first = np.append(0, np.cumsum(count)[:-1])
     order = np.lexsort((start, text, key))
@@ -247,15 +294,18 @@ def _extend_function(width: int):
 
 
 def repeat_spans(docs: DataFrame, *, width: int = 20, seed_words: int = 6, bucket_mb: int = 32,
-                 flush_words: int = 500_000) -> DataFrame:
+                 flush_words: int = 500_000, sample_one_in: int = 50) -> DataFrame:
     """``key, text_key, spans``: per document the word spans whose windows occur earlier.
 
-    One shuffle of packed seeds (about 9 bytes a word) and one of the spans."""
+    One shuffle of packed seeds (about 11 bytes a word) and one of the spans; a sample of the
+    documents, one in ``sample_one_in``, is read before for its frequent anchors."""
     if not 1 <= seed_words <= width:
         raise ValueError("seed_words must lie between 1 and width")
     buckets = buckets_for(docs.select("doc_id", "text"), bucket_mb)
-    seeds = docs.select(doc_key().alias("key"), text_key().alias("text_key"), "text").transform(map_arrow, _seed_function(width, seed_words, buckets, flush_words), PACKED)
-    spans = (seeds.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    hot = hot_anchors(docs, width, seed_words, buckets, sample_one_in)
+    seeds = docs.select(doc_key().alias("key"), text_key().alias("text_key"), "text").transform(
+        map_arrow, _seed_function(width, seed_words, buckets, flush_words, hot), PACKED)
+    spans = (seeds.repartitionById(buckets, "bucket").sortWithinPartitions("bucket")
              .transform(map_arrow, _extend_function(width), SPAN_ROWS))
     return spans.groupBy("key", "text_key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
