@@ -1,5 +1,6 @@
 """Quality classifier, language model and fingerprints."""
 
+import bisect
 import hashlib
 import math
 import random
@@ -200,3 +201,24 @@ def test_an_outlying_id_leaves_the_ranges_even(spark):
     assert sorted(r.doc_id for r in ranged.collect() if r.doc_id is not None) == [i for i, _ in rows[:-1]]
     sizes = [r["count"] for r in ranged.groupBy("bucket").count().collect()]
     assert max(sizes) <= 100 and len(sizes) > 50
+
+
+@pytest.mark.parametrize("at_once", [1000, 5])
+def test_cuts_are_even_in_one_or_two_levels(spark, at_once):
+    places = spark.range(4000).selectExpr("CAST(CASE WHEN id < 10 THEN id * 1e12 ELSE id END AS DOUBLE) AS place")
+    cuts = fingerprints.cuts_of(places, 20, at_once)
+    assert cuts == sorted(set(cuts)) and len(cuts) >= 19
+    values = sorted(r.place for r in places.collect())
+    edges = [bisect.bisect_left(values, c) for c in cuts]
+    assert max(b - a for a, b in zip([0, *edges], [*edges, len(values)])) <= 2 * len(values) / 20
+
+
+def test_counts_beyond_32_bits(tmp_path):
+    counts = np.array([1, 2 ** 40, 3, ngrams.FULL, ngrams.FULL - 1, 2 ** 33 + 5])
+    path = str(tmp_path / "pairs-0.count")
+    ngrams.write_counts(path, counts)
+    model = ngrams.Vocabulary(str(tmp_path), 1, np.zeros(2, np.int64), 0)
+    got = ngrams.counts_at(model.array("pairs-0.count", np.uint32), model.large("pairs-0.count"), np.array([5, 0, 1, 3, 4, 2]))
+    assert got.tolist() == counts[[5, 0, 1, 3, 4, 2]].tolist()
+    ngrams.write_counts(str(tmp_path / "pairs-1.count"), counts[:1])
+    assert model.large("pairs-1.count").shape == (0, 2)

@@ -121,24 +121,40 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").transform(map_arrow, run, "doc_id long, fingerprint string")
 
 
+def cuts_of(places: DataFrame, parts: int, at_once: int = 1000) -> list[float]:
+    """About ``parts - 1`` ascending numbers that cut the column ``place`` into even ranges.
+
+    The first sketch has a fixed accuracy (a quarter of a range of ``at_once``), so what its tasks
+    merge does not grow with the ranges; where there are more, each of its ranges is cut again by
+    a sketch of its own, all in one aggregate."""
+    coarse = min(parts, at_once)
+    cuts = sorted({0.0, *places.approxQuantile("place", [i / coarse for i in range(1, coarse)], 1 / (4 * at_once))})
+    if parts <= coarse or not cuts:
+        return cuts
+    cut = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="place", outputCol="range", handleInvalid="skip")
+    per = -(-parts // coarse)
+    inner = cut.transform(places).groupBy("range").agg(
+        F.percentile_approx("place", [i / per for i in range(1, per)], 4 * per).alias("cuts")).select("cuts").collect()
+    return sorted({*cuts, *(c for r in inner for c in r["cuts"] or [])})
+
+
 def in_order(docs: DataFrame, bucket_mb: int) -> DataFrame:
     """``bucket, ghost, doc_id, text``: documents dealt to ranges of ids and sorted, each
     range followed by a copy (``ghost``) of the next range's first row.
 
-    The ranges are cut at quantiles of the ids (a sketch; NULL ids are a range of their own), so
-    an outlying id leaves the others spread.  Only one row per range (24 bytes) is
-    ranked; the ranges' first ids are broadcast up to a million ranges, beyond that joined by
-    shuffle.  Texts are shuffled once."""
+    The ranges are cut at quantiles of the ids (``cuts_of``; NULL ids are the range 0), so an
+    outlying id leaves the others spread.  Only one row per range (24 bytes) is ranked; the
+    ranges' first ids are broadcast up to a million ranges, beyond that joined by shuffle.  Texts
+    are shuffled once, each range to a partition of its own."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     parts = buckets_for(docs.select("doc_id", "text"), bucket_mb)
     place = F.col("doc_id").cast("double")  # keeps the order; equal ids stay together
-    cuts = texts.select(place.alias("place")).approxQuantile(
-        "place", [i / parts for i in range(1, parts)], 1 / (4 * parts))
-    cut = Bucketizer(splits=[-math.inf, *sorted({0.0, *cuts}), math.inf], inputCol="place", outputCol="range",
-                     handleInvalid="keep")
+    cuts = cuts_of(texts.select(place.alias("place")), parts)
+    ranges = len(cuts) + 2
+    cut = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="place", outputCol="range", handleInvalid="keep")
     ranged = cut.transform(texts.withColumn("place", place)).select(
-        "doc_id", "text", F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("range").cast("int")).alias("bucket"))
+        "doc_id", "text", F.when(F.col("doc_id").isNull(), 0).otherwise(F.col("range").cast("int") + 1).alias("bucket"))
     firsts = stored(ranged.groupBy("bucket").agg(F.min("doc_id").alias("first")), shared_folder(spark, "ranges"))
     by_range = Window.orderBy("bucket")  # one row per range
     following = firsts.select(
@@ -152,7 +168,7 @@ def in_order(docs: DataFrame, bucket_mb: int) -> DataFrame:
               .groupBy("before", "doc_id").agg(F.min("text").alias("text"))
               .select(F.col("before").alias("bucket"), F.lit(1).alias("ghost"), "doc_id", "text"))
     return (ranged.select("bucket", F.lit(0).alias("ghost"), "doc_id", "text").unionByName(ghosts)
-            .repartition(parts, "bucket")
+            .repartitionById(ranges, "bucket")
             .sortWithinPartitions("bucket", "ghost", F.col("doc_id").asc_nulls_first(), "text"))
 
 

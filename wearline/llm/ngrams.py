@@ -36,6 +36,7 @@ them (``file:`` in ``spark.checkpoint.dir``); another kind of store is refused.
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -71,7 +72,7 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
 
 def write_array(path: str, values: np.ndarray) -> None:
     """Publish an array by renaming it: a repeated or speculative task writes the same."""
-    part = f"{path}.{os.getpid()}.part"
+    part = f"{path}.{uuid.uuid4().hex}.part"
     values.tofile(part)
     os.replace(part, path)
 
@@ -80,6 +81,27 @@ def read_array(path: str, kind) -> np.ndarray:
     return np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
 
 
+FULL = (1 << 32) - 1  # a count of this or more stands in the array beside
+
+
+def write_counts(path: str, counts: np.ndarray) -> None:
+    """Counts as 32 bits each; the rare ones that need more, with their places, in a second
+    array (pairs of 64 bits, places ascending)."""
+    large = np.flatnonzero(counts >= FULL)
+    if len(large):
+        write_array(f"{path}-large", np.stack([large, counts[large]], axis=1).astype(np.int64))
+    write_array(path, np.minimum(counts, FULL).astype(np.uint32))
+
+
+def counts_at(narrow: np.ndarray, large: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Counts at some places of an array written by ``write_counts``."""
+    out = narrow[places].astype(np.int64)
+    full = np.flatnonzero(out == FULL)
+    if len(full):
+        out[full] = large[np.searchsorted(large[:, 0], places[full]), 1]
+    return out
+
+
 def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, ascending, and the sums of their counts."""
     if not len(keys):
@@ -144,7 +166,7 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[by
 
 
 def dealt(rows: DataFrame, buckets: int) -> DataFrame:
-    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return rows.repartitionById(buckets, "bucket").sortWithinPartitions("bucket")
 
 
 def _count_words(buckets: int, flush: int):
@@ -201,6 +223,14 @@ class Vocabulary:
             self.opened[name] = read_array(f"{self.folder}/{name}", kind)
         return self.opened[name]
 
+    def large(self, name: str) -> np.ndarray:
+        """(place, count) of the counts that did not fit into the array ``name``."""
+        key = f"{name}-large"
+        if key not in self.opened:
+            path = f"{self.folder}/{key}"
+            self.opened[key] = read_array(path, np.int64).reshape(-1, 2) if os.path.exists(path) else np.zeros((0, 2), np.int64)
+        return self.opened[key]
+
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(id or UNKNOWN, count) of ascending distinct word hashes."""
         ids, counts = np.full(len(h), UNKNOWN), np.zeros(len(h), np.int64)
@@ -306,7 +336,7 @@ def _store_pairs(folder: str, buckets: int, width: int):
         for bucket, payloads in _by_bucket(batches):
             keys, counts = merged(*_unpacked(payloads))
             write_array(f"{folder}/pairs-{bucket}.hash", keys)
-            write_array(f"{folder}/pairs-{bucket}.count", counts.astype(np.uint32))
+            write_counts(f"{folder}/pairs-{bucket}.count", counts)
             raw = unmixed(keys)
             first, second = (raw >> np.uint64(32)).astype(np.int64), (raw & np.uint64(0xFFFFFFFF)).astype(np.int64)
             kind = np.minimum(counts, 3)  # 1, 2 or more; ends have kind 0
@@ -387,7 +417,8 @@ class Model:
         counts = np.zeros(len(distinct), np.int64)
         for b, lo, hi in _shards(distinct, len(self.pair_sizes), self.pair_sizes):
             at, hit = _search(self.vocabulary.array(f"pairs-{b}.hash", np.uint64), distinct[lo:hi])
-            counts[lo:hi][hit] = self.vocabulary.array(f"pairs-{b}.count", np.uint32)[at[hit]]
+            counts[lo:hi][hit] = counts_at(self.vocabulary.array(f"pairs-{b}.count", np.uint32),
+                                           self.vocabulary.large(f"pairs-{b}.count"), at[hit])
         out = np.zeros(len(ids), np.int64)
         out[known] = counts[inverse]
         return out
