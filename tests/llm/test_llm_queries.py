@@ -145,3 +145,15 @@ def test_hot_source_meets_many_shards(spark):
     out = mixing.mix(df, shard_words=1000, block_words=10)
     again = mixing.mix(df.repartition(3), shard_words=1000, block_words=10)
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, again.collect()))
+
+
+def test_no_source_is_lost_beside_a_large_one(spark):
+    """One source of 60,000 words beside 60 sources of ten: each meets its target within one
+    word, and the pipeline's stage keeps their documents."""
+    rows = [(0, "w " * 60_000, "large")] + [(i, " ".join(["small"] * 10), f"s{i:02}") for i in range(1, 61)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.mix(df)
+    for r in mixed.groupBy("source").agg({"taken": "sum", "target": "max"}).collect():
+        assert abs(r["sum(taken)"] - r["max(target)"]) <= 1
+    kept = {r.doc_id for r in mixing.repeat_by_taken(df, mixed).collect()}
+    assert kept == {r[0] for r in rows}

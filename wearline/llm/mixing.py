@@ -4,7 +4,10 @@
    ``max_epochs`` times its own size; what a capped source leaves is shared again.  That
    fixed point is a water level: source s gets min(cap_s, level * weight_s).  With sources
    in the order of cap / weight the level follows from running sums.
-2. Blocks of ``block_words`` words go to the sources by highest quotients target / (2a + 1).
+2. Blocks of equal numbers of words go to the sources by highest quotients target / (2a + 1).
+   A block has ``block_words`` words, or less where a small source needs it: at most a
+   ``1 / fineness`` of the smallest target, a single word at least.  So each source's words come
+   within one block, one per cent of its target or one word, whatever the sizes of the others.
    Quotients above total / (2 N - S) surely win and those below total / (2 N + S) surely
    lose, so only about two seats a source are ranked.
 3. A source's documents are dealt to shards by a hash of the id; the same method gives every
@@ -89,8 +92,9 @@ def apportion(parties: DataFrame, party: list[str], within: list[str], share: st
         """Seats whose quotient is at least ``quotient``."""
         return F.floor((F.col(share) / quotient + 1) / 2).cast("long")
 
-    sure = F.when(2 * n > F.col("_parties"), won(F.col("_total") / (2 * n - F.col("_parties")) * (1 + 1e-9)))
-    possible = won(F.col("_total") / (2 * n + F.col("_parties")) * (1 - 1e-9))
+    # far above the rounding error of doubles, and few seats even of a share of 1e12 blocks
+    sure = F.when(2 * n > F.col("_parties"), won(F.col("_total") / (2 * n - F.col("_parties")) * (1 + 1e-12)))
+    possible = won(F.col("_total") / (2 * n + F.col("_parties")) * (1 - 1e-12))
     rows = (parties.withColumn("_parties", count).withColumn("_total", total)
             .withColumn("_sure", F.when(F.col(share) > 0, F.coalesce(sure, F.lit(0))).otherwise(F.lit(0)).cast("long"))
             .withColumn("_possible", F.when(F.col(share) > 0, possible).otherwise(F.lit(0)).cast("long"))
@@ -108,7 +112,7 @@ def apportion(parties: DataFrame, party: list[str], within: list[str], share: st
 
 
 def mix(docs: DataFrame, *, block_words: int = 64, shard_words: int = 200_000, max_shards: int = 4096,
-        max_epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7) -> DataFrame:
+        max_epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7, fineness: int = 50) -> DataFrame:
     """``doc_id, source, size, source_size, target, taken, text_hash`` for every document.
 
     ``text_hash`` (MD5 of the text) tells repeated ids apart.  The texts are read once: the
@@ -120,23 +124,25 @@ def mix(docs: DataFrame, *, block_words: int = 64, shard_words: int = 200_000, m
     sources = stored(
         source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), max_epochs, weights)
         .withColumn("shards", F.least(F.lit(max_shards), F.greatest(
-            F.lit(1), F.ceil(F.col("source_size") / shard_words))).cast("int")),
+            F.lit(1), F.ceil(F.col("source_size") / shard_words))).cast("int"))
+        .withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(
+            F.min(F.when(F.col("target") > 0, F.col("target"))).over(Window.partitionBy()) / fineness))).cast("long")),
         shared_folder(spark, "mix-sources"))
-    blocks = F.round(F.sum("target").over(Window.partitionBy()) / block_words).cast("long")
+    blocks = F.round(F.sum("target").over(Window.partitionBy()) / F.col("block")).cast("long")
     quotas = apportion(sources.withColumn("blocks", blocks), ["pos"], [], "target", "blocks", "quota").drop("blocks")
 
     dealt = (attach_sources(rows, sources)
              .withColumn("shard", (draw(seed, "doc_id") % F.col("shards")).cast("int")))
     shard_sizes = dealt.groupBy("pos", "shard").agg(F.sum("size").alias("shard_size"))
     shard_quota = apportion(
-        quotas.select("pos", "quota").join(shard_sizes, "pos"), ["shard"], ["pos"], "shard_size", "quota", "shard_quota")
+        quotas.select("pos", "quota", "block").join(shard_sizes, "pos"), ["shard"], ["pos"], "shard_size", "quota", "shard_quota")
     # The run of blocks starts at a seeded block; no shard is taken more than max_epochs times.
     plan = (shard_quota
-            .withColumn("words", F.least(F.col("shard_quota") * block_words, F.col("shard_size") * max_epochs))
+            .withColumn("words", F.least(F.col("shard_quota") * F.col("block"), F.col("shard_size") * max_epochs))
             .withColumn("rounds", F.when(F.col("shard_size") > 0, F.floor(F.col("words") / F.col("shard_size"))).otherwise(0).cast("long"))
             .withColumn("rest", F.col("words") - F.col("rounds") * F.col("shard_size"))
             .withColumn("start", draw(seed + 1, "pos", "shard")
-                        % F.greatest(F.lit(1), F.ceil(F.col("shard_size") / block_words)) * block_words)
+                        % F.greatest(F.lit(1), F.ceil(F.col("shard_size") / F.col("block"))) * F.col("block"))
             .select("pos", "shard", "shard_size", "rounds", "rest", "start"))
     plan = stored(plan, shared_folder(spark, "mix-plan"))
 

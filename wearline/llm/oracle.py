@@ -15,7 +15,7 @@ def _left(pattern: str) -> str:
 
 
 _MEASURES = "symbols marks capitals length same_lines repeated doubled".split()
-_SLACK = dict(zip(_MEASURES, (20, 40, 60, 100, 150, 100, 30), strict=True))
+_FLOOR = dict(zip(_MEASURES, (40, 15, 10, 20, 400, 285, 10), strict=True))
 
 
 def _share(part: str, whole: str, scale: int = 1000) -> str:
@@ -30,15 +30,19 @@ def _bin_floor(v: str) -> str:
 def _rules() -> str:
     values = " UNION ALL ".join(
         f"SELECT doc_id, lang, source, '{m}' AS measure, {m} AS v FROM m WHERE NOT base_failed" for m in _MEASURES)
-    slack = "CASE measure " + " ".join(f"WHEN '{m}' THEN {s}" for m, s in _SLACK.items()) + " END"
+    floor = "CASE measure " + " ".join(f"WHEN '{m}' THEN {s}" for m, s in _FLOOR.items()) + " END"
 
     def level(name: str, keys: str) -> str:
         part = f"{keys + ', ' if keys else ''}measure"
         return f"""
         {name}_r AS (SELECT {part}, f, row_number() OVER (PARTITION BY {part} ORDER BY f) AS rn,
                      count(*) OVER (PARTITION BY {part}) AS n FROM binned),
-        {name} AS (SELECT {part}, any_value(n) AS n, min(f) FILTER (4 * rn >= n) AS q25,
-                   min(f) FILTER (4 * rn >= 3 * n) AS q75 FROM {name}_r GROUP BY {part})"""
+        {name} AS (SELECT {part}, any_value(n) AS n, min(f) FILTER (5 * rn >= n) AS lo,
+                   min(f) FILTER (5 * rn >= 4 * n) AS hi FROM {name}_r GROUP BY {part})"""
+
+    def blend(q: str) -> str:
+        parent = f"((l.n * l.{q} + 100 * e.{q}) / (l.n + 100)::DOUBLE)"
+        return f"(o.n * o.{q} + 100 * {parent}) / (o.n + 100)::DOUBLE AS {q}"
 
     return rf"""
     WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, {WORDS} AS ws FROM documents),
@@ -61,13 +65,11 @@ def _rules() -> str:
     vals AS ({values}),
     binned AS (SELECT *, {_bin_floor("v")} AS f FROM vals),
     {level("own", "lang, source")}, {level("by_lang", "lang")}, {level("everything", "")},
-    fence AS (SELECT o.lang, o.source, o.measure,
-        CASE WHEN o.n >= 100 THEN o.q25 WHEN l.n >= 100 THEN l.q25 ELSE e.q25 END AS q25,
-        CASE WHEN o.n >= 100 THEN o.q75 WHEN l.n >= 100 THEN l.q75 ELSE e.q75 END AS q75
+    fence AS (SELECT o.lang, o.source, o.measure, {blend("lo")}, {blend("hi")}
         FROM own o JOIN by_lang l ON l.measure = o.measure AND l.lang IS NOT DISTINCT FROM o.lang
         JOIN everything e ON e.measure = o.measure),
-    lim AS (SELECT lang, source, measure, q25 - 3 * greatest(q75 - q25, {slack}) AS lo,
-        q75 + 3 * greatest(q75 - q25, {slack}) AS hi FROM fence),
+    lim AS (SELECT lang, source, measure, lo - greatest(6 * (hi - lo), {floor}) AS lo,
+        hi + greatest(6 * (hi - lo), {floor}) AS hi FROM fence),
     bad AS (SELECT DISTINCT v.doc_id FROM vals v JOIN lim ON lim.measure = v.measure
         AND lim.lang IS NOT DISTINCT FROM v.lang AND lim.source IS NOT DISTINCT FROM v.source
         WHERE v.v > hi OR (v.measure = 'length' AND v.v < lo))
@@ -107,7 +109,8 @@ _MIX = f"""
             / ((SELECT sum(weight) FROM wt) - lower.weight) AS level FROM wt JOIN lower USING (pos)),
     t AS (SELECT source, source_size, pos, shards, coalesce(least(cap, weight *
         (SELECT level FROM lv WHERE level * weight <= cap ORDER BY cap / weight, pos LIMIT 1)), cap) AS target FROM lv),
-    blocks AS (SELECT round(sum(target) / 64)::BIGINT AS n FROM t),
+    fine AS (SELECT greatest(1, least(64, floor(min(target) FILTER (target > 0) / 50)))::BIGINT AS b FROM t),
+    blocks AS (SELECT round(sum(target) / any_value(b))::BIGINT AS n FROM t, fine),
     seat AS (SELECT pos FROM (SELECT pos, row_number() OVER (ORDER BY target / (2 * a + 1) DESC, pos, a) AS rn
         FROM t, blocks, range(0, n + 1) s(a) WHERE target > 0), blocks WHERE rn <= n),
     quota AS (SELECT t.pos, count(seat.pos) AS q FROM t LEFT JOIN seat USING (pos) GROUP BY t.pos),
@@ -118,10 +121,10 @@ _MIX = f"""
             PARTITION BY sh.pos ORDER BY shard_size / (2 * a + 1) DESC, shard, a) AS rn
         FROM sh JOIN quota USING (pos), range(0, q) s(a) WHERE shard_size > 0) WHERE rn <= q),
     won AS (SELECT pos, shard, count(*) AS n FROM sseat GROUP BY pos, shard),
-    plan AS (SELECT sh.*, least(coalesce(n, 0) * 64, shard_size * 3) AS words FROM sh LEFT JOIN won USING (pos, shard)),
+    plan AS (SELECT sh.*, least(coalesce(n, 0) * b, shard_size * 3) AS words, b FROM sh LEFT JOIN won USING (pos, shard), fine),
     ring AS (SELECT *, CASE WHEN shard_size > 0 THEN words // shard_size ELSE 0 END AS rounds,
         CASE WHEN shard_size > 0 THEN words % shard_size ELSE 0 END AS rest,
-        {_draw(8, 'pos', 'shard')} % greatest(1, ceil(shard_size / 64.0)::BIGINT) * 64 AS start FROM plan),
+        {_draw(8, 'pos', 'shard')} % greatest(1, ceil(shard_size / b::DOUBLE)::BIGINT) * b AS start FROM plan),
     placed AS (SELECT *, sum(size) OVER (PARTITION BY pos, shard ORDER BY {_draw(9, 'doc_id')}, doc_id NULLS FIRST, h, size
         ROWS UNBOUNDED PRECEDING) AS stop FROM dealt)
     SELECT doc_id, size, source_size, target, (rounds * size

@@ -2,20 +2,28 @@
 
 Fixed rules fail a text of fewer than 20 words, or of which over 30 % of the words lie in
 8-word windows that the text repeats.  All other rules take their cutoffs from the data: per
-language and source, a quantile sketch of each measure gives quartiles, and a document is
-rejected outside the fences ``q75 + 3 * spread`` and ``q25 - 3 * spread``, with the spread
-the distance of the quartiles but at least the measure's ``slack`` (so that a group without
-variation does not reject its first exception).
+language and source, a quantile sketch of each measure gives the 20 % and the 80 % quantile,
+and a document is rejected outside ``q80 + 6 * (q80 - q20)`` and ``q20 - 6 * (q80 - q20)``.
+Junk may make up a fifth of a group without moving the fences.
+
+A group's quantiles are blended with those of its language as if ``prior`` documents of the
+language's kind were added, the language's in the same way with those of all documents: small
+groups follow their language, large ones themselves, and one more document changes little.
+
+A measure that hardly varies (most documents repeat no line) would reject its first exception;
+its fences keep a distance of at least ``FLOOR`` from the quantiles.
 
 The sketch is a histogram with logarithmic bins: integers below 64 have a bin each, larger
 ones are kept to a 32nd.  Sketches merge by adding counts, so partial aggregates of one hot
 group combine before the shuffle, and the sketch of a language or of all documents is the
-sum of its sources' sketches.  A group of fewer than ``min_docs`` documents uses that of its
-language, a small language that of all documents.
+sum of its sources' sketches.
 
 * NULL text has no words: the base fails.  NULL language or source is a group of its own.
 * Repeated rows count as often as they occur; NULL ids get their verdict like others.
 * Documents that fail the base do not enter the sketches; if none pass, no cutoff is needed.
+* A very long text is measured inside its row: the keys of all its 8-word windows (16 bytes a
+  word) must fit into Spark's 2 GB of one row, which bounds a text to some 100 million words.
+* An empty table gives no rows; only the named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -27,8 +35,10 @@ from wearline.llm.common import WORD, shared_folder, stored
 
 BLANKS = r"\x20\x09-\x0D"
 MARKS = r"!-/:-@\[-`{-~"  # ASCII punctuation
-# Measure -> least spread; all are integers (shares per mille, word length in hundredths).
-SLACK = {"symbols": 20, "marks": 40, "capitals": 60, "length": 100, "same_lines": 150, "repeated": 100, "doubled": 30}
+# Measure -> least distance of a fence from its quantile; all measures are integers (shares per
+# mille, word length in hundredths).
+FLOOR = {"symbols": 40, "marks": 15, "capitals": 10, "length": 20, "same_lines": 400, "repeated": 285, "doubled": 10}
+REACH = 6  # distance of a fence in spreads
 TWO_SIDED = ("length",)
 
 
@@ -95,48 +105,53 @@ def bin_floor(bin_: str) -> Column:
 
 def sketches(measured: DataFrame) -> DataFrame:
     """``lang, source, measure, bin, n``: the sketch of every group and measure."""
-    pairs = ", ".join(f"'{m}', {m}" for m in SLACK)
+    pairs = ", ".join(f"'{m}', {m}" for m in FLOOR)
     return (measured.where(~F.col("base_failed"))
-            .selectExpr("lang", "source", f"stack({len(SLACK)}, {pairs}) AS (measure, value)")
+            .selectExpr("lang", "source", f"stack({len(FLOOR)}, {pairs}) AS (measure, value)")
             .groupBy("lang", "source", "measure", bin_of("value").alias("bin")).agg(F.count(F.lit(1)).alias("n")))
 
 
-def fences(merged: DataFrame, keys: list[str]) -> DataFrame:
-    """Sketches (one per ``keys`` and measure) to ``keys, docs, low_<m>, high_<m>``.
-
-    A quantile is the first bin at which the running count reaches its share."""
+def quantiles(merged: DataFrame, keys: list[str]) -> DataFrame:
+    """Sketches (one per ``keys`` and measure) to ``keys, docs, low_<m>, high_<m>``: the 20 % and
+    the 80 % quantile, each the first bin at which the running count reaches its share."""
     group = Window.partitionBy(*keys, "measure")
     running = (merged.withColumn("run", F.sum("n").over(group.orderBy("bin")))
                .withColumn("docs", F.sum("n").over(group)).withColumn("value", bin_floor("bin")))
-    quartiles = running.groupBy(*keys, "measure").agg(
-        F.max("docs").alias("docs"), F.min(F.when(4 * F.col("run") >= F.col("docs"), F.col("value"))).alias("q25"),
-        F.min(F.when(4 * F.col("run") >= 3 * F.col("docs"), F.col("value"))).alias("q75"))
-    slack = F.create_map(*[F.lit(x) for m, v in SLACK.items() for x in (m, v)])
-    spread = F.greatest(F.col("q75") - F.col("q25"), slack[F.col("measure")])
-    fenced = quartiles.withColumn("low", F.col("q25") - 3 * spread).withColumn("high", F.col("q75") + 3 * spread)
-    columns = [F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{side}_{m}")
-               for m in SLACK for side in ("low", "high")]
-    return fenced.groupBy(*keys).agg(F.max("docs").alias("docs"), *columns)
-
-
-def thresholds(sketched: DataFrame, min_docs: int) -> DataFrame:
+    found = running.groupBy(*keys, "measure").agg(
+        F.max("docs").alias("docs"), F.min(F.when(5 * F.col("run") >= F.col("docs"), F.col("value"))).alias("low"),
+        F.min(F.when(5 * F.col("run") >= 4 * F.col("docs"), F.col("value"))).alias("high"))
+    columns = [F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{side}_{m}") for m in FLOOR for side in ("low", "high")]
+    return found.groupBy(*keys).agg(F.max("docs").alias("docs"), *columns)
+
+
+def blended(own: Column, docs: Column, prior: int, parent: Column) -> Column:
+    """The mean of a group's quantile and its parent's, which counts as ``prior`` documents."""
+    return (docs * own + prior * parent) / (docs + prior).cast("double")
+
+
+def thresholds(sketched: DataFrame, prior: int) -> DataFrame:
     """``lang, source`` and the fences that hold for the group."""
-    sides = [f"{side}_{m}" for m in SLACK for side in ("low", "high")]
+    sides = [f"{side}_{m}" for m in FLOOR for side in ("low", "high")]
 
     def merged(keys: list[str]) -> DataFrame:
-        return fences(sketched.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n")), keys)
+        return quantiles(sketched.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n")), keys)
 
     own = merged(["lang", "source"])
     of_lang = merged(["lang"]).select(F.col("lang").alias("_lang"), F.col("docs").alias("_docs"),
                                       *[F.col(c).alias(f"_{c}") for c in sides])
     of_all = merged([]).select(F.struct(*sides).alias("everything")).scalar()
     joined = own.join(of_lang, own["lang"].eqNullSafe(of_lang["_lang"]), "left")
-    return joined.select("lang", "source", *[
-        F.when(F.col("docs") >= min_docs, F.col(c)).when(F.col("_docs") >= min_docs, F.col(f"_{c}"))
-        .otherwise(of_all.getField(c)).alias(c) for c in sides])
+    joined = joined.select("lang", "source", *[
+        blended(F.col(c), F.col("docs"), prior, blended(F.col(f"_{c}"), F.col("_docs"), prior, of_all.getField(c))).alias(c)
+        for c in sides])
+    fenced = []
+    for m, floor in FLOOR.items():
+        reach = F.greatest(REACH * (F.col(f"high_{m}") - F.col(f"low_{m}")), F.lit(float(floor)))
+        fenced += [(F.col(f"low_{m}") - reach).alias(f"low_{m}"), (F.col(f"high_{m}") + reach).alias(f"high_{m}")]
+    return joined.select("lang", "source", *fenced)
 
 
-def quality_rules(docs: DataFrame, *, min_docs: int = 100, broadcast_groups: int = 100_000) -> DataFrame:
+def quality_rules(docs: DataFrame, *, prior: int = 100, broadcast_groups: int = 100_000) -> DataFrame:
     """Base counts, measures, ``base_failed`` and ``kept`` for every document.
 
     The texts are read once; the measures (numbers only) are stored in the shared folder and
@@ -146,12 +161,12 @@ def quality_rules(docs: DataFrame, *, min_docs: int = 100, broadcast_groups: int
     spark = docs.sparkSession
     base = shared_folder(spark, "rules")
     measured = stored(measures(docs), f"{base}/measures")
-    cutoffs = stored(thresholds(stored(sketches(measured), f"{base}/sketches"), min_docs), f"{base}/thresholds")
+    cutoffs = stored(thresholds(stored(sketches(measured), f"{base}/sketches"), prior), f"{base}/thresholds")
     right = cutoffs.withColumnRenamed("lang", "_lang").withColumnRenamed("source", "_source")
     if cutoffs.count() <= broadcast_groups:
         right = F.broadcast(right)
     inside = F.lit(True)
-    for m in SLACK:
+    for m in FLOOR:
         inside = inside & (F.col(m) <= F.col(f"high_{m}"))
         if m in TWO_SIDED:
             inside = inside & (F.col(m) >= F.col(f"low_{m}"))
