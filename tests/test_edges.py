@@ -49,7 +49,7 @@ def test_degradation_short_and_long_series(spark):
             series.setdefault(unit, []).append(
                 (c, vals[2], vals[10], vals[7], vals[8], vals[11]))
     df = spark.createDataFrame(lines, "source string, value string")
-    got = {r["unit_number"]: r for r in J.degradation_metrics(df, salt_buckets=3).collect()}
+    got = {r["unit_number"]: r for r in J.degradation_metrics(df.repartition(3)).collect()}
     for unit, rows in series.items():
         want = _brute_degradation(rows)
         if want is None:
@@ -157,13 +157,13 @@ def test_condition_key_has_no_negative_zero(spark):
         "0-0-100", "42-0.8-60", "2-0.2-0"]
 
 
-@pytest.mark.parametrize("salt", [16, None])
-def test_first_last_candidates_exact_under_salting(spark, salt):
+@pytest.mark.parametrize("splits", [1, 7])
+def test_first_last_candidates_over_splits(spark, splits):
     from wearline.functions.series import first_last_candidates
 
     rows = [("A", c) for c in range(1, 1001)] + [("B", c) for c in range(5, 8)]
-    df = spark.createDataFrame(rows, "k string, c int").repartition(7)  # A spans 7 splits
-    out = first_last_candidates(df, ["k"], ["c"], k_max=10, salt_buckets=salt)
+    df = spark.createDataFrame(rows, "k string, c int").repartition(splits)  # A spans the splits
+    out = first_last_candidates(df, ["k"], ["c"], k_max=10)
     a = out.where("k = 'A'").collect()
     assert sorted(r["c"] for r in a if r["asc_rank"] <= 10) == list(range(1, 11))
     assert sorted(r["c"] for r in a if r["desc_rank"] <= 10) == list(range(991, 1001))
@@ -380,22 +380,40 @@ def test_whole_numbers_follow_one_rule(spark):
     assert [(r.unit_number, r.time_cycles) for r in parse_readings(lines).collect()] == [(1, 2), (None, 10)]
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 7, 1000, 20_000])
-def test_exact_quantiles(spark, n):
+def _discrete(values, q):
+    v = sorted(x for x in values if x is not None and not math.isnan(x))
+    return v[max(0, math.ceil(q * len(v)) - 1)] if v else None
+
+
+@pytest.mark.parametrize("n,sketch,inside", [(1, 4096, 100_000), (2, 8, 1), (7, 4096, 100_000), (1000, 64, 20), (20_000, 4096, 100_000),
+                                             (20_000, 200, 50)])
+def test_exact_quantiles(spark, n, sketch, inside):
+    """Also with brackets that take several narrowing passes, ties, NULL and NaN values."""
     from wearline.functions.quantiles import exact_quantiles
 
     rnd = random.Random(n)
-    rows = [(rnd.choice(["a", "b", None]), rnd.choice([None, float(rnd.randint(0, 50)), rnd.random()])) for _ in range(n)]
-    df = spark.createDataFrame(rows, "dataset_id string, v double")
-    for q in (0.0, 0.05, 0.5, 0.95, 1.0):
-        for accuracy in (20, 10_000):
-            got = {r.dataset_id: r.q for r in exact_quantiles(df, ["dataset_id"], {"q": ("v", q)}, accuracy).collect()}
-            for g in {x for x, _ in rows}:
-                v = sorted(y for x, y in rows if x == g and y is not None)
-                assert got[g] == (v[max(0, math.ceil(q * len(v)) - 1)] if v else None)
-            everything = sorted(y for _, y in rows if y is not None)
-            one = exact_quantiles(df, [], {"q": ("v", q)}, accuracy).first().q
-            assert one == (everything[max(0, math.ceil(q * len(everything)) - 1)] if everything else None)
+    rows = [(rnd.choice(["a", "b", None]), rnd.choice([None, math.nan, float(rnd.randint(0, 50)), rnd.random(), rnd.gauss(0, 1e6)]),
+             rnd.randint(1, 400)) for _ in range(n)]
+    df = spark.createDataFrame(rows, "dataset_id string, v double, w int").repartition(4).cache()
+    wanted = {f"{c}{q}": (c, q) for c in "vw" for q in (0.0, 0.05, 0.5, 0.95, 1.0)}
+    got = {r.dataset_id: r for r in exact_quantiles(df, ["dataset_id"], wanted, sketch, inside).collect()}
+    whole = exact_quantiles(df, [], wanted, sketch, inside).first()
+    for name, (c, q) in wanted.items():
+        i = "vw".index(c) + 1
+        assert whole[name] == _discrete([r[i] for r in rows], q)
+        for g in {r[0] for r in rows}:
+            assert got[g][name] == _discrete([r[i] for r in rows if r[0] == g], q)
+    assert got.keys() == {r[0] for r in rows}
+
+
+def test_exact_quantiles_of_nothing(spark):
+    from wearline.functions.quantiles import exact_quantiles
+
+    df = spark.createDataFrame([("a", None)], "dataset_id string, v double")
+    assert exact_quantiles(df, ["dataset_id"], {"q": ("v", 0.5)}).collect() == [("a", None)]
+    assert exact_quantiles(df.limit(0), [], {"q": ("v", 0.5)}).collect() == [(None,)]
+    with pytest.raises(ValueError):
+        exact_quantiles(df, ["v"], {"q": ("v", 0.5)})
 
 
 def test_update_can_set_null(spark, readings):
@@ -491,3 +509,109 @@ def test_reference_subsets_by_parameters(readings):
         assert q12[0]["pressure_drift"] == 0.0
     q18 = W.q18_ml_features(readings, max_unit=5, limit=200).collect()
     assert len(q18) <= 200 and all(r["unit_number"] <= 5 for r in q18)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_exact_means_in_any_order(spark, seed):
+    """Within one unit in the last place of the exact mean, and the same bits for any splits."""
+    from fractions import Fraction
+
+    from wearline.functions.sums import exact_avg
+
+    rnd = random.Random(seed)
+    rows = [(rnd.randint(0, 3), rnd.choice([None, rnd.uniform(-2000, 2000), rnd.gauss(0, 1e-3), 518.67, 0.1, rnd.uniform(0, 2 ** 20)]))
+            for _ in range(2000)] + [(4, None), (5, math.inf), (5, 1.0), (6, math.nan), (6, 1.0), (7, 3e300), (7, 1.0)]
+    df = spark.createDataFrame(rows, "k int, x double")
+    found = set()
+    for i in range(5):
+        got = {r.k: r.m for r in df.repartition(i * 3 + 1).groupBy("k").agg(exact_avg("x").alias("m")).collect()}
+        found.add(tuple(sorted((k, v) for k, v in got.items() if k < 4)))
+        assert got[4] is None and got[5] == math.inf and math.isnan(got[6]) and got[7] == 1.5e300
+    assert len(found) == 1
+    for k in range(4):
+        v = [x for g, x in rows if g == k and x is not None]
+        exact = sum(map(Fraction, v)) / len(v)
+        assert abs(Fraction(got[k]) - exact) <= 2 * Fraction(math.ulp(float(exact)))
+
+
+def test_means_do_not_depend_on_the_splits(readings):
+    from wearline.operators import pipelines as P
+
+    results = {(tuple(map(tuple, P.degradation_trend(x).collect())), tuple(map(tuple, P.condition_metrics(x).collect())))
+               for x in (readings, readings.repartition(3), readings.repartition(17))}
+    assert len(results) == 1
+
+
+def test_distinct_numbers_by_bitmap(spark):
+    from wearline.functions.distinct import distinct_numbers
+
+    rnd = random.Random(2)
+    rows = [(rnd.choice("abc"), rnd.choice([None, -3, 0, 32_767, 32_768, 10 ** 9, rnd.randint(0, 500)])) for _ in range(3000)] + [("d", None)]
+    df = spark.createDataFrame(rows, "k string, n int").repartition(5)
+    got = {r.k: r.n for r in df.groupBy("k").agg(distinct_numbers("n").alias("n")).collect()}
+    assert got == {k: len({n for g, n in rows if g == k and n is not None}) for k in "abcd"}
+
+
+def test_fleet_summary_counts_units_without_a_number(spark):
+    from wearline.operators.pipelines import fleet_summary
+    from wearline.schema import dataset_dim
+
+    rows = [("FD001", "train", 1), ("FD001", "train", 1), ("FD001", "test", 1), ("FD009", "train", None), ("FD009", "train", 70_000)]
+    got = fleet_summary(spark.createDataFrame(rows, "dataset_id string, dataset_type string, unit_number int"), dataset_dim(spark)).collect()
+    assert [(r.dataset_id, r.train_count, r.test_count) for r in got] == [("FD001", 2, 1), ("FD009", 2, 0)]
+    assert {(r.total_records, r.distinct_unit_numbers, r.engines, r.dataset_ids) for r in got} == {(5, 2, 4, "FD001,FD009")}
+
+
+@pytest.mark.parametrize("bins", [1, 3, 7])
+def test_lifetime_histogram(spark, bins):
+    rnd = random.Random(bins)
+    rows = [(rnd.choice(["FD001", None]), "train", u, rnd.choice([5, 5, rnd.randint(1, 40)])) for u in range(200)]
+    df = spark.createDataFrame(rows, "dataset_id string, dataset_type string, unit_number int, max_cycle int")
+    got = {(r.dataset_id, r.bin): (r.lower_life, r.upper_life, r.units) for r in J.lifetime_histogram(df, bins).collect()}
+    for d in ("FD001", None):
+        v = sorted(x for i, _, _, x in rows if i == d)
+        ends = [v[max(0, math.ceil(len(v) * i / bins) - 1)] for i in range(bins + 1)]
+        left = list(v)
+        for i in range(1, bins + 1):
+            inside = [x for x in left if x <= ends[i]]
+            left = left[len(inside):]
+            assert got[d, i] == (ends[i - 1], ends[i], len(inside))
+        assert not left
+
+
+def test_file_inventory_against_the_file_system(spark, tmp_path):
+    from wearline.sources.files import file_inventory, list_files, raw_files
+
+    sizes = {}
+    for area, name, parts in (("train", "train_FD001.txt", 3), ("train", "train_FD002.txt", 1), ("rul", "RUL_FD001.txt", 2)):
+        folder = tmp_path / area / f"source={name}"
+        folder.mkdir(parents=True)
+        for i in range(parts):
+            (folder / f"part-{i}.txt").write_text("x" * (10 + i + len(name)))
+            os.utime(folder / f"part-{i}.txt", (1_700_000_000 + i, 1_700_000_000 + i))
+        sizes[area, name] = (sum(p.stat().st_size for p in folder.iterdir()), 1_700_000_000 + parts - 1)
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "notes.txt").write_text("abc")
+    files = raw_files(list_files(spark, [str(tmp_path / "train"), str(tmp_path / "rul"), str(tmp_path / "other")], "*.txt"))
+    got = {(r.area, r.file_name): r for r in file_inventory(files).collect()}
+    for (area, name), (size, date) in sizes.items():
+        r = got[area, name]
+        assert (r.files, r.bytes, int(r.modified.timestamp()), r.dataset_id) == (1, size, date, name[-9:-4])
+    total = sum(s for s, _ in sizes.values())
+    assert (got["TOTAL", "*"].files, got["TOTAL", "*"].bytes) == (4, total + 3)
+    assert got["train", "*"].files == 2 and got["other", "notes.txt"].bytes == 3
+
+
+def test_ingest_reports_are_appended(spark, tmp_path):
+    from wearline.sources.ingest import ingest_files, ingest_reports
+
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    line = " ".join(["1", "1", *["0.5"] * 24])
+    (raw / "train_FD001.txt").write_text(f"{line}\n{line}\n")
+    (raw / "notes.txt").write_text("x\n")
+    runs = [ingest_files(spark, str(raw), str(tmp_path / "t"), report_path=str(tmp_path / "reports")) for _ in range(2)]
+    for r in runs:
+        assert sorted((x.file_name, x.rows, x.status) for x in r.collect()) == [("notes.txt", None, "skipped"), ("train_FD001.txt", 2, "success")]
+    table = ingest_reports(spark, str(tmp_path / "reports"))
+    assert table.count() == 4 and table.select("run").distinct().count() == 2

@@ -5,20 +5,22 @@ import pytest
 from __spark_entry__ import oracle_sql, queries
 from tools.check_oracle import compare
 
-SLOW = {"predict_rul", "rul_latest", "train_rul_model", "model_io"}  # model training: covered by test_ml
+# model training: covered by test_ml, against a walk through the nodes and a known best error
+SLOW = {"predict_rul", "rul_latest", "train_rul_model", "model_folds", "model_io"}
+# what SQL cannot state: a model's numbers, and the dates of files (test_edges, against the file system)
+NO_SQL = {"predict_rul", "rul_latest", "train_rul_model", "model_folds", "file_inventory"}
 
 
 @pytest.mark.parametrize("name", sorted(set(queries()) - SLOW))
 def test_query_matches_oracle(spark, duck, sf, name):
     res = compare(spark, duck, name, sf, queries()[name], oracle_sql().get(name))
-    # "near": one unit in the 4th (rounded) decimal, a summation-order tie (see compare)
-    assert res["status"] in ("EXACT", "rows-only", "near"), res
+    assert res["status"] in ("EXACT", "rows-only"), res
 
 
 def test_every_catalogue_query_has_an_oracle():
     from wearline.plans.catalog import QUERIES
 
-    assert set(QUERIES) <= set(oracle_sql())
+    assert set(QUERIES) - NO_SQL == set(oracle_sql()) & set(QUERIES)
 
 
 def test_entry_runs(spark):

@@ -22,7 +22,7 @@ def test_unit_filter_is_pushed_to_parquet(spark, readings):
     assert "PushedFilters: [IsNotNull(unit_number), EqualTo(unit_number,3)]" in plan
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - {"predict_rul", "rul_latest", "train_rul_model", "model_io"}))
+@pytest.mark.parametrize("name", sorted(set(queries()) - {"predict_rul", "rul_latest", "train_rul_model", "model_folds", "model_io"}))
 def test_no_python_udf_or_cross_join_in_plans(spark, sf, name):
     plan = _plan(queries()[name](spark, sf))
     for node in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas",
@@ -53,11 +53,18 @@ def test_global_statistics_are_one_reused_subquery(spark, sf):
     assert "Subquery" in final and "CartesianProduct" not in final
 
 
-def test_degradation_shuffles_once_per_window_stage(spark, sf):
-    plan = _plan(queries()["degradation_metrics"](spark, sf))
-    # stage 1 by (series, input partition), stage 2 by series; the final aggregate reuses
-    # the stage-2 partitioning
-    assert plan.count("Exchange hashpartitioning") == 2, plan
+def test_degradation_reduces_each_split_before_the_shuffle(spark):
+    """One unit of 3,000 rows in six splits: at most 2 k rows a split are shuffled, once."""
+    from wearline.functions.series import first_last_candidates
+
+    df = spark.range(3000, numPartitions=6).selectExpr("'u' AS unit", "CAST(id AS INT) AS cycle")
+    out = first_last_candidates(df, ["unit"], ["cycle"], k_max=10)
+    rows = out.collect()
+    assert len(rows) == 6 * 20 and {r.series_rows for r in rows} == {3000}
+    assert sorted(r.cycle for r in rows if r.asc_rank <= 10) == list(range(10))
+    plan = _plan(out).split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.index("Exchange hashpartitioning") < plan.index("MapInArrow")  # printed from the result down
 
 
 def test_series_numbering_has_no_window_over_a_whole_series(spark, sf):
@@ -94,3 +101,27 @@ def test_series_join_splits_a_hot_unit(spark):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("name", ["feature_summary", "sensor_statistics", "degradation_trend"])
+def test_wide_aggregates_are_compiled(spark, sf, name):
+    """Every hash aggregate, in subqueries too, is part of a generated stage."""
+    df = queries()[name](spark, sf)
+    df.collect()
+    lines = [x for x in _plan(df).split("Initial Plan")[0].splitlines() if "HashAggregate(" in x]
+    assert lines and all("*(" in x for x in lines), lines
+
+
+def test_quantiles_read_the_table_twice(spark, readings):
+    """One scan for the sketches (run before), one pass for the result."""
+    from wearline.functions.quantiles import exact_quantiles
+
+    out = exact_quantiles(readings, ["dataset_id"], {"a": ("sensor_3", 0.5), "b": ("sensor_11", 0.1)})
+    plan = _plan(out)
+    assert plan.count("FileScan") == 1 and "Window" not in plan and "Join" not in plan
+
+
+def test_fleet_summary_scans_and_groups_once(spark, sf):
+    plan = _plan(queries()["fleet_summary"](spark, sf))
+    assert plan.count("FileScan") == 1
+    assert "keys=[dataset_id#" in plan and "unit_number#" not in "".join(x for x in plan.splitlines() if "keys=[" in x and "unit_number" in x.split("functions")[0])

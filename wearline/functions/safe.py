@@ -70,16 +70,23 @@ def lifecycle_stage(c: str | Column = "time_cycles", early: int = 50, mid: int =
     return F.when(c < early, F.lit("Early")).when(c < mid, F.lit("Mid")).otherwise(F.lit("Late"))
 
 
-def round_columns(df: DataFrame, columns: Iterable[str] | None, digits: int | None) -> DataFrame:
+def round_columns(df: DataFrame, columns: Iterable[str] | None, digits: int | None, guard: int = 0) -> DataFrame:
     """Round the given double columns (presentation / comparison precision, half up).
 
+    With ``guard``, first to that many digits more: a value that only the last bits of a double
+    keep off a decimal tie is then rounded like the tie.
+
     One ``selectExpr`` call with SQL text: a projection over many columns costs one
     round trip to the JVM instead of several per column.
     """
     if digits is None or columns is None:
         return df
     cols = set(columns)
-    exprs = [f"ROUND(`{f.name}`, {int(digits)}) AS `{f.name}`"
+
+    def shown(name: str) -> str:
+        return f"ROUND(`{name}`, {int(digits) + guard})" if guard else f"`{name}`"
+
+    exprs = [f"ROUND({shown(f.name)}, {int(digits)}) AS `{f.name}`"
              if f.name in cols and f.dataType.typeName() in ("double", "float")
              else f"`{f.name}`" for f in df.schema.fields]
     return df.selectExpr(*exprs)

@@ -10,21 +10,20 @@ below never do that:
   both sides are bare shuffles whose skewed partitions AQE can split;
 * row numbers of whole series are computed per block of a coarse order column
   (``block_row_number``);
-* first-k / last-k rows use a salted two-stage window: local top-k inside
-  (series, salt) groups, then an exact top-k over the survivors.  The default salt is the
-  input partition, so a stage-1 group never exceeds one input split and stage 2 sees at
-  most ``2 * k`` rows per split that holds the series.
+* first-k / last-k rows are reduced inside each input split before the shuffle: a window
+  sees at most ``2 * k`` rows per split that holds the series.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_SALT_BUCKETS = None  # None: salt by input partition
-
 
 def attach_series_aggregates(df: DataFrame, key: Sequence[str], *aggs: Column) -> DataFrame:
     """Add per-series aggregate columns to every row of the series (no window).
@@ -48,40 +47,62 @@ def first_by(value: str, order: str) -> Column:
     return F.min_by(value, F.struct(F.col(order).isNotNull(), F.col(order)))
 
 
-def first_last_candidates(df: DataFrame, key: Sequence[str], order: Sequence[str],
-                          k_max: int = 10,
-                          salt_buckets: int | None = DEFAULT_SALT_BUCKETS) -> DataFrame:
+def _ends_of_split(key: list[str], order: list[str], k_max: int):
+    """The Arrow function that passes on the first and last ``k_max`` rows of every series of
+    its input split, with ``_rows`` on the first of them: the series' rows in the split.
+
+    What it holds are the ends of the series seen so far and the rows since the last cut."""
+
+    def cut(rows: pa.Table) -> pa.Table:
+        columns = {c: rows.column(c).to_pandas() for c in [*key, *order]}
+        frame = pd.DataFrame(columns).sort_values([*key, *order], kind="stable", na_position="first")
+        series = frame.groupby(key, dropna=False, sort=False)
+        rank, back = series.cumcount(), series.cumcount(ascending=False)
+        frame["_rows"] = rows.column("_rows").to_pandas()
+        total = series["_rows"].transform("sum")
+        ends = ((rank < k_max) | (back < k_max)).to_numpy()
+        counts = total.where(rank == 0, 0)[ends]
+        kept = rows.take(pa.array(frame.index[ends].to_numpy()))
+        return kept.set_column(kept.schema.get_field_index("_rows"), "_rows", pa.array(counts, pa.int64()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        rows, last = 0, 0
+        for batch in batches:
+            one = pa.array(np.ones(batch.num_rows, np.int64))
+            held.append(pa.Table.from_batches([batch]).append_column("_rows", one))
+            rows += batch.num_rows
+            if rows > 2 * last + 100_000:  # twice what the last cut left: cuts cost a constant share
+                held = [cut(pa.concat_tables(held))]
+                rows = last = held[0].num_rows
+        if held and rows:
+            yield from cut(pa.concat_tables(held)).combine_chunks().to_batches()
+
+    return run
+
+
+def first_last_candidates(df: DataFrame, key: Sequence[str], order: Sequence[str], k_max: int = 10) -> DataFrame:
     """Rows that are among the first or last ``k_max`` of their series by ``order``.
 
     Adds ``asc_rank`` (1 = first row of the series), ``desc_rank`` (1 = last row) and
     ``series_rows`` (rows in the whole series).  Ranks are exact for ranks <= k_max, and
     ``order`` must be unique within a series.  Every series with at most ``k_max`` rows is
-    returned whole.  ``salt_buckets=None`` salts by input partition (groups bounded by the
-    split size); an integer salts by a hash of ``order`` into that many buckets.
-    """
+    returned whole.
+
+    Each task first reduces its input split, so at most ``2 * k_max`` rows of a series and
+    split are shuffled; every one of the series' first and last rows is among them, so ranks
+    among the survivors are the true ranks up to ``k_max`` from either end."""
     key, order = list(key), list(order)
-    salt = (F.spark_partition_id() if salt_buckets is None
-            else F.pmod(F.xxhash64(*order), F.lit(salt_buckets)))
-    bucket = key + ["_salt"]
-    asc = [F.col(c).asc() for c in order]
-    # One sort per stage: with a unique order the rank from the end is count - rank + 1.
-    stage1 = (
-        df.withColumn("_salt", salt)
-        .withColumn("_a1", F.row_number().over(Window.partitionBy(*bucket).orderBy(*asc)))
-        .withColumn("_c1", F.count(F.lit(1)).over(Window.partitionBy(*bucket)))
-        .where((F.col("_a1") <= k_max) | (F.col("_c1") - F.col("_a1") < k_max))
-    )
-    # Every one of the series' first and last k rows survives stage 1, so ranks among the
-    # survivors are the true ranks up to k (from either end).  The first row of every
-    # bucket survives too, so summing bucket sizes there gives the size of the series.
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    ends = df.mapInArrow(_ends_of_split(key, order, k_max), f"{types}, _rows long")
+    whole = Window.partitionBy(*key)
     return (
-        stage1
-        .withColumn("asc_rank", F.row_number().over(Window.partitionBy(*key).orderBy(*asc)))
-        .withColumn("_nc", F.count(F.lit(1)).over(Window.partitionBy(*key)))
+        ends
+        .withColumn("asc_rank", F.row_number().over(whole.orderBy(*[F.col(c).asc() for c in order])))
+        .withColumn("_nc", F.count(F.lit(1)).over(whole))
         .withColumn("desc_rank", F.col("_nc") - F.col("asc_rank") + 1)
-        .withColumn("series_rows", F.sum(F.when(F.col("_a1") == 1, F.col("_c1")))
-                    .over(Window.partitionBy(*key)))
-        .drop("_salt", "_a1", "_c1", "_nc")
+        .withColumn("series_rows", F.sum("_rows").over(whole))
+        .drop("_rows", "_nc")
     )
 
 

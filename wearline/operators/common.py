@@ -22,14 +22,14 @@ def subset(readings: DataFrame, dataset_id: str | None = None,
 
 
 def finish(df: DataFrame, order: Sequence[Column | str] | None = None, limit: int | None = None,
-           digits: int | None = None, round_cols: Sequence[str] | None = None) -> DataFrame:
+           digits: int | None = None, round_cols: Sequence[str] | None = None, guard: int = 0) -> DataFrame:
     """Round aggregate columns (optional), then impose a total order and an optional top-k.
 
     Rounding happens before ordering so that values equal at the shown precision are ordered
     by the tie-break columns, whichever order the engine summed in.
     """
     if digits is not None and round_cols:
-        df = round_columns(df, round_cols, digits)
+        df = round_columns(df, round_cols, digits, guard)
     if order:
         df = df.orderBy(*order)
     if limit is not None:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from wearline.functions.quantiles import attach_groups, exact_quantiles
 from wearline.functions.safe import half_even
-from wearline.functions.series import DEFAULT_SALT_BUCKETS, first_last_candidates
+from wearline.functions.series import first_last_candidates
 from wearline.schema import DEGRADATION_SENSORS, FEATURE_COLUMNS, RAW_COLUMNS
 from wearline.sources.text import (field, file_metadata, number, parse_head, parse_lines_dual,
                                    whole_number)
@@ -72,6 +72,23 @@ def lifetime_distribution(cycle_counts: DataFrame, digits: int | None = None) ->
     return out
 
 
+def lifetime_histogram(cycle_counts: DataFrame, bins: int = 4) -> DataFrame:
+    """Equi-depth histogram of the lifetimes per data set: ``bin`` (from 1), its bounds
+    (``lower_life`` excluded, but included in the first bin) and the ``units`` in it.
+
+    Bounds are the exact quantiles ``i / bins``, so every bin holds as equal a share of the
+    units as ties allow; of bins with the same upper bound only the first has units."""
+    ends = exact_quantiles(cycle_counts, ID, {f"q{i}": ("max_cycle", i / bins) for i in range(bins + 1)})
+    ends = ends.select(*ID, F.array(*[f"q{i}" for i in range(bins + 1)]).alias("_ends"))
+    # the first upper bound that is not below the lifetime
+    at = F.expr(f"1 + size(filter(slice(_ends, 2, {bins}), b -> b < max_cycle))")
+    units = attach_groups(cycle_counts, F.broadcast(ends), ID).groupBy(*ID, at.alias("bin")).agg(F.count(F.lit(1)).alias("units"))
+    all_bins = ends.select(*ID, "_ends", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
+    return attach_groups(all_bins, units, [*ID, "bin"]).select(
+        *ID, "bin", F.get("_ends", F.col("bin") - 1).alias("lower_life"), F.get("_ends", F.col("bin")).alias("upper_life"),
+        F.coalesce("units", F.lit(0)).alias("units"))
+
+
 def sensor11_stats(lines: DataFrame, column: str = "sensor_11",
                    digits: int | None = None) -> DataFrame:
     """min, max, mean and count of one sensor over well-formed lines (>= 26 fields);
@@ -87,6 +104,11 @@ def sensor11_stats(lines: DataFrame, column: str = "sensor_11",
         .select(F.lit(key).alias("key"), *ID, "min", "max", "avg", "count"))
 
 
+# Partial state of a feature's five aggregates: eight fields; with three keys 99 of the 100 that
+# Spark compiles.
+FEATURES_AT_ONCE = 12
+
+
 def feature_summary(lines: DataFrame, features=FEATURE_COLUMNS, digits: int = 4,
                     dual: bool = False) -> DataFrame:
     """count, min, max, mean, std, variance, range of each feature over comma-separated
@@ -95,13 +117,19 @@ def feature_summary(lines: DataFrame, features=FEATURE_COLUMNS, digits: int = 4,
     population variance."""
     p = _with_ids(parse_lines_dual(lines, 26, dual)).select(
         *ID, *[number(F.col("fields"), POS[f]).alias(f) for f in features])
-    # One wide aggregate over the parsed line; only its one row per data set and type is
-    # turned to a row per feature, so no row is multiplied and no text key hashed before the
-    # aggregate.  The deviation is the root of the variance, which is summed once.
+    # A parsed line becomes a row per group of features, few enough that the aggregate's fields
+    # stay below the limit of code generation; features are told apart again in its result, one
+    # row per data set, type and group.  The deviation is the root of the variance.
     aggs = {"count": F.count, "min": F.min, "max": F.max, "mean": F.avg, "variance": F.var_pop}
-    wide = p.groupBy(*ID).agg(*[fn(f).alias(f"{f}__{name}") for f in features for name, fn in aggs.items()])
-    rows = wide.select(*ID, F.inline(F.array(*[
-        F.struct(F.lit(f).alias("feature"), *[F.col(f"{f}__{name}").alias(name) for name in aggs]) for f in features])))
+    groups = [features[i:i + FEATURES_AT_ONCE] for i in range(0, len(features), FEATURES_AT_ONCE)]
+    width = max(map(len, groups))
+    by_group = F.inline(F.array(*[F.struct(F.lit(g).alias("g"), *[
+        (F.col(fs[i]) if i < len(fs) else F.lit(None).cast("double")).alias(f"v{i}") for i in range(width)]) for g, fs in enumerate(groups)]))
+    wide = p.select(*ID, by_group).groupBy(*ID, "g").agg(*[fn(f"v{i}").alias(f"v{i}__{name}") for i in range(width) for name, fn in aggs.items()])
+    names = F.array(*[F.array(*[F.lit(f) for f in fs]) for fs in groups])
+    rows = wide.select(*ID, names[F.col("g")].alias("fs"), F.inline(F.array(*[
+        F.struct(F.lit(i).alias("i"), *[F.col(f"v{i}__{name}").alias(name) for name in aggs]) for i in range(width)])))
+    rows = rows.withColumn("feature", F.get("fs", F.col("i"))).where(F.col("feature").isNotNull())
     return rows.select(
         *ID, "feature", "count", "min", "max", half_even("mean", digits).alias("mean"),
         half_even(F.sqrt("variance"), digits).alias("std"), half_even("variance", digits).alias("variance"),
@@ -124,8 +152,7 @@ def avg_sensor4_by_setting(lines: DataFrame, digits: int = 4) -> DataFrame:
 
 def degradation_metrics(lines: DataFrame, sensors: Mapping[str, str] = DEGRADATION_SENSORS,
                         k_max: int = 10, min_fields: int = 15,
-                        salt_buckets: int | None = DEFAULT_SALT_BUCKETS, digits: int = 2,
-                        dual: bool = False) -> DataFrame:
+                        digits: int = 2, dual: bool = False) -> DataFrame:
     """Per unit with at least 2 readings, in cycle order: mean of the first and the last
     k = min(10, n div 4) readings of five sensors, percent change relative to |early|
     (0 when early is 0), health index = -temperature change + pressure change.
@@ -133,8 +160,8 @@ def degradation_metrics(lines: DataFrame, sensors: Mapping[str, str] = DEGRADATI
     With k = 0 (2 or 3 readings) the early means are 0 and the late means cover all
     readings.  Input lines are comma-separated with at least ``min_fields`` fields
     (``dual=True`` also accepts blank-separated lines); unparsable sensor fields count as
-    0.0.  First/last rows come from a salted two-stage window, so a very long series never
-    sits in one task.
+    0.0.  Only the first and last ``k_max`` rows of a unit leave an input split, so a very long
+    series never sits in one task.
     """
     p = _with_ids(parse_lines_dual(lines, min_fields, dual)).select(
         *ID, whole_number(F.col("fields"), 0).alias("unit_number"),
@@ -143,7 +170,7 @@ def degradation_metrics(lines: DataFrame, sensors: Mapping[str, str] = DEGRADATI
           for name, c in sensors.items()])
     p = p.where(F.col("unit_number").isNotNull() & F.col("time_cycles").isNotNull())
     key = ID + ["unit_number"]
-    cand = first_last_candidates(p, key, ["time_cycles"], k_max, salt_buckets)
+    cand = first_last_candidates(p, key, ["time_cycles"], k_max)
     n = F.col("series_rows")
     k = F.least(F.lit(k_max), F.floor(n / 4).cast("int"))
     cand = cand.withColumn("_k", k)

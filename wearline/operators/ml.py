@@ -22,6 +22,9 @@ from wearline.operators.common import subset
 from wearline.schema import FEATURE_COLUMNS, SERIES_KEY
 
 LABEL = "rul"
+# Share of the units held out for the error, and folds of the cross-validation.
+TEST_SHARE = 0.2
+FOLDS = 5
 
 
 def rul_label(readings: DataFrame, dataset_id: str | None = "FD001",
@@ -81,16 +84,72 @@ def training_report(readings: DataFrame, dataset_id: str = "FD001", dataset_type
         F.count_if("usable").alias("training_rows"), F.count_if(~F.col("usable")).alias("left_out"))
 
 
+def unit_share(seed: int = 42, parts: int = 1000) -> Column:
+    """Number from 0 to ``parts - 1`` of the row's unit: all rows of a unit have the same."""
+    return F.pmod(F.xxhash64(*SERIES_KEY, F.lit(seed)), F.lit(parts))
+
+
+def _fit(data: DataFrame, features: Sequence[str], params: dict) -> PipelineModel:
+    if data.limit(1).count() == 0:
+        raise ValueError("no training rows")
+    return rul_pipeline(features, **params).fit(data)
+
+
 def train_rul_model(readings: DataFrame, dataset_id: str = "FD001",
                     dataset_type: str = "train", features: Sequence[str] = FEATURE_COLUMNS,
                     **params) -> PipelineModel:
     """Fit the forest on the labelled readings of one data set (``training_rows`` with every
     value present; ``training_report`` counts the others); empty input is an error (tested
     with a bounded one-row job)."""
-    data = training_rows(readings, dataset_id, dataset_type, features).where("usable").drop("usable")
-    if data.limit(1).count() == 0:
-        raise ValueError(f"no training rows for {dataset_id}/{dataset_type}")
-    return rul_pipeline(features, **params).fit(data)
+    return _fit(training_rows(readings, dataset_id, dataset_type, features).where("usable").drop("usable"), features, params)
+
+
+def errors(scored: DataFrame, mean_label: float) -> DataFrame:
+    """One row: scored rows and units, root mean square and mean absolute error, r2 (share of
+    the labels' variance that the predictions explain), and the root mean square error of
+    always giving ``mean_label``."""
+    error, label = F.col("prediction") - F.col(LABEL), F.col(LABEL)
+    return scored.agg(
+        F.count_distinct(*SERIES_KEY).alias("units"), F.count(F.lit(1)).alias("rows"),
+        F.sqrt(F.avg(error * error)).alias("rmse"), F.avg(F.abs(error)).alias("mae"),
+        (F.lit(1.0) - F.try_divide(F.avg(error * error), F.var_pop(label))).alias("r2"),
+        F.sqrt(F.avg((label - F.lit(mean_label)) * (label - F.lit(mean_label)))).alias("mean_label_rmse"))
+
+
+def _trained_apart(rows: DataFrame, apart: Column, features: Sequence[str], params: dict) -> tuple[PipelineModel, DataFrame]:
+    """The model of the rows that are not ``apart``, and its errors on those that are, next to
+    the counts of the training rows (one row)."""
+    known = rows.where(~apart)
+    model = _fit(known, features, params)
+    seen = known.agg(F.count_distinct(*SERIES_KEY).alias("units"), F.count(F.lit(1)).alias("rows"), F.avg(LABEL).alias("mean")).first()
+    found = errors(model.transform(rows.where(apart)), seen["mean"]).select(
+        F.lit(seen["units"]).alias("training_units"), F.lit(seen["rows"]).alias("training_rows"),
+        F.col("units").alias("unseen_units"), F.col("rows").alias("unseen_rows"), "rmse", "mae", "r2", "mean_label_rmse")
+    return model, found
+
+
+def train_with_holdout(readings: DataFrame, dataset_id: str = "FD001", dataset_type: str = "train",
+                       features: Sequence[str] = FEATURE_COLUMNS, test_share: float = TEST_SHARE, split_seed: int = 42,
+                       **params) -> tuple[PipelineModel, DataFrame]:
+    """The forest of the readings of about ``1 - test_share`` of the units, and one row of its
+    errors on the other units.
+
+    Whole units are held out (by a hash of the unit): readings of one unit are alike, and a
+    model that has seen some would be judged too well on the others."""
+    rows = training_rows(readings, dataset_id, dataset_type, features).where("usable").drop("usable")
+    return _trained_apart(rows, unit_share(split_seed) < int(test_share * 1000), features, params)
+
+
+def cross_validate(readings: DataFrame, dataset_id: str = "FD001", dataset_type: str = "train",
+                   features: Sequence[str] = FEATURE_COLUMNS, folds: int = FOLDS, split_seed: int = 42, **params) -> DataFrame:
+    """One row per fold of the units: errors of a model that has seen only the other folds."""
+    rows = training_rows(readings, dataset_id, dataset_type, features).where("usable").drop("usable")
+    out = None
+    for fold in range(folds):
+        _, found = _trained_apart(rows, unit_share(split_seed, folds) == fold, features, params)
+        found = found.select(F.lit(fold).alias("fold"), *found.columns)
+        out = found if out is None else out.unionAll(found)
+    return out
 
 
 def predict_rul(model: PipelineModel, readings: DataFrame, dataset_id: str = "FD001",
@@ -111,17 +170,6 @@ def predict_rul(model: PipelineModel, readings: DataFrame, dataset_id: str = "FD
         F.when(~F.col("_ok"), "missing feature").alias("reason"))
 
 
-def model_quality(model: PipelineModel, readings: DataFrame, dataset_id: str = "FD001",
-                  dataset_type: str = "train") -> DataFrame:
-    """One row: usable rows, root mean square error of the model, and that of always giving
-    the mean label (the labels' population deviation)."""
-    rows = training_rows(readings, dataset_id, dataset_type).where("usable")
-    scored = model.transform(rows)
-    error = F.col("prediction") - F.col(LABEL)
-    return scored.agg(F.count(F.lit(1)).alias("rows"), F.sqrt(F.avg(error * error)).alias("rmse"),
-                      F.stddev_pop(LABEL).alias("mean_label_rmse"))
-
-
 def rul_latest(predictions: DataFrame) -> DataFrame:
     """Per unit: the last cycle seen, the RUL predicted there (NULL if that reading could not
     be scored) and the total predicted life (``max_by`` in a grouped aggregate: no sort of
@@ -140,6 +188,17 @@ def feature_importances(model: PipelineModel, spark, features: Sequence[str] = F
     return spark.createDataFrame(list(zip(features, imp)), "feature string, importance double")
 
 
+def forest_nodes(spark, path: str) -> DataFrame:
+    """The saved forest as a table of nodes: ``tree, node, feature`` (its place in the feature
+    list, -1 in a leaf), ``threshold`` (left if the value is not above it), ``left``, ``right``
+    and ``prediction``.  The forest predicts the mean of its trees' leaves."""
+    data = spark.read.parquet(f"{path.rstrip('/')}/stages/1_*/data")
+    return data.select(F.col("treeID").alias("tree"), "nodeData.*").select(
+        "tree", F.col("id").alias("node"), F.col("split.featureIndex").alias("feature"),
+        F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"), F.col("leftChild").alias("left"),
+        F.col("rightChild").alias("right"), "prediction")
+
+
 def save_model(model: PipelineModel, path: str) -> str:
     model.write().overwrite().save(path)
     return path

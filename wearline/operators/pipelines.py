@@ -12,8 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wearline.functions.distinct import number_bits, other_numbers
 from wearline.functions.joins import attach_one_row
+from wearline.functions.quantiles import attach_groups
 from wearline.functions.safe import safe_corr, condition_key, half_even, safe_ratio
+from wearline.functions.sums import FIELDS, exact_avg, exact_avg_text
 from wearline.operators.common import finish, subset
 from wearline.schema import CRITICAL_SENSORS, SENSOR_COLUMNS
 
@@ -22,34 +25,39 @@ def fleet_summary(readings: DataFrame, dim: DataFrame) -> DataFrame:
     """Per data set: train and test rows plus metadata (``N/A`` when unknown), with the
     fleet totals repeated on every row.
 
-    One scan: rows are first reduced to one row per engine (data set, type, unit), every
-    figure is derived from that engine table.  ``distinct_unit_numbers`` is the
-    reference's ``total_units`` (unit numbers restart per data set); ``engines`` counts
-    true engines.
+    One scan and one aggregate by data set and type, with a bitmap of the unit numbers; every
+    figure follows from its few rows.  ``distinct_unit_numbers`` is the reference's
+    ``total_units`` (unit numbers restart per data set); ``engines`` counts true engines (rows
+    without a unit number are one of each data set and type).
     """
-    engines = readings.groupBy("dataset_id", "dataset_type", "unit_number").agg(
-        F.count(F.lit(1)).alias("n"))
-    totals = engines.agg(
+    parts = readings.groupBy("dataset_id", "dataset_type").agg(
+        F.count(F.lit(1)).alias("n"), number_bits("unit_number").alias("bits"), other_numbers("unit_number").alias("others"),
+        F.max(F.col("unit_number").isNull().cast("int")).alias("unnamed"))
+    fleet = parts.agg(
         F.sum("n").cast("bigint").alias("total_records"),
-        F.count_distinct("unit_number").alias("distinct_unit_numbers"),
-        F.count(F.lit(1)).alias("engines"),
+        (F.bitmap_count(F.bitmap_or_agg("bits")) + F.size(F.array_distinct(F.flatten(F.collect_list("others")))))
+        .alias("distinct_unit_numbers"),
+        F.sum(F.bitmap_count("bits") + F.size("others") + F.col("unnamed")).alias("engines"),
         F.concat_ws(",", F.array_sort(F.collect_set("dataset_id"))).alias("dataset_ids"),
-        F.concat_ws(",", F.array_sort(F.collect_set("dataset_type"))).alias("dataset_types"))
-    per_ds = engines.groupBy("dataset_id").agg(
-        F.coalesce(F.sum(F.when(F.col("dataset_type") == "train", F.col("n"))), F.lit(0))
-        .cast("bigint").alias("train_count"),
-        F.coalesce(F.sum(F.when(F.col("dataset_type") == "test", F.col("n"))), F.lit(0))
-        .cast("bigint").alias("test_count"))
+        F.concat_ws(",", F.array_sort(F.collect_set("dataset_type"))).alias("dataset_types"),
+        F.collect_list(F.struct("dataset_id", "dataset_type", "n")).alias("parts"))
+    totals = [c for c in fleet.columns if c != "parts"]
+    rows = fleet.select(*totals, F.inline("parts"))
+
+    def of(kind: str):
+        return F.coalesce(F.sum(F.when(F.col("dataset_type") == kind, F.col("n"))), F.lit(0)).cast("bigint")
+
+    per_ds = rows.groupBy("dataset_id", *totals).agg(of("train").alias("train_count"), of("test").alias("test_count"))
     meta = F.broadcast(dim.select(  # four fixed rows
         "dataset_id", "description",
         F.col("operating_conditions").cast("string").alias("conditions"),
         F.col("fault_modes").cast("string").alias("faults")))
-    out = (per_ds.join(meta, "dataset_id", "left")
-           .select("dataset_id", "train_count", "test_count",
-                   F.coalesce("description", F.lit("N/A")).alias("description"),
-                   F.coalesce("conditions", F.lit("N/A")).alias("conditions"),
-                   F.coalesce("faults", F.lit("N/A")).alias("faults")))
-    return attach_one_row(out, totals).orderBy("dataset_id")
+    return (per_ds.join(meta, "dataset_id", "left")
+            .select("dataset_id", "train_count", "test_count",
+                    F.coalesce("description", F.lit("N/A")).alias("description"),
+                    F.coalesce("conditions", F.lit("N/A")).alias("conditions"),
+                    F.coalesce("faults", F.lit("N/A")).alias("faults"), *totals)
+            .orderBy("dataset_id"))
 
 
 def avg_sensors_per_unit(readings: DataFrame, dataset_id: str = "FD001",
@@ -86,16 +94,25 @@ def health_top20(readings: DataFrame, dataset_id: str = "FD001", k: int = 20,
     return unit_health_scores(readings, dataset_id, digits=digits).limit(k)
 
 
+# Partial state of a sensor's four aggregates: seven fields of the 100 that Spark compiles.
+SENSORS_AT_ONCE = 14
+
+
 def sensor_statistics(readings: DataFrame, dataset_id: str = "FD001",
                       dataset_type: str = "train", sensors: Sequence[str] | None = None,
                       digits: int | None = None) -> DataFrame:
     """One wide row: ``<sensor>_min/_max/_avg/_std`` for every sensor, one scan."""
     sensors = list(sensors or SENSOR_COLUMNS)
-    # one global aggregate, handed over as SQL text in a single call
-    aggs = [f"{fn}(`{s}`) AS `{s}_{suffix}`" for s in sensors
-            for fn, suffix in (("min", "min"), ("max", "max"), ("avg", "avg"),
-                               ("stddev_pop", "std"))]
-    df = subset(readings, dataset_id, dataset_type).selectExpr(*aggs)
+    rows = subset(readings, dataset_id, dataset_type)
+    # Global aggregates of at most SENSORS_AT_ONCE sensors, each over its own columns of the
+    # scan, so that every one is compiled; their one-row results stand side by side.
+    parts = [rows.selectExpr(*[
+        f"{fn}(`{s}`) AS `{s}_{suffix}`" for s in sensors[i:i + SENSORS_AT_ONCE]
+        for fn, suffix in (("min", "min"), ("max", "max"), ("avg", "avg"), ("stddev_pop", "std"))])
+        for i in range(0, len(sensors), SENSORS_AT_ONCE)]
+    df = parts[0]
+    for part in parts[1:]:
+        df = attach_one_row(df, part)
     return finish(df, None, None, digits,
                   [f"{s}_{k}" for s in sensors for k in ("avg", "std")])
 
@@ -121,13 +138,28 @@ def sensor_stats_table(readings: DataFrame, dataset_id: str = "FD001",
         .orderBy("_pos").drop("_pos"))
 
 
+# Digits beyond those shown that exact means are first rounded to.
+GUARD = 6
+# Partial states of means, with the key and the count below the 100 fields that Spark compiles.
+MEANS_AT_ONCE = 98 // FIELDS
+
+
 def degradation_trend(readings: DataFrame, dataset_id: str = "FD001",
                       dataset_type: str = "train", sensors: Sequence[str] = SENSOR_COLUMNS,
                       digits: int | None = None) -> DataFrame:
-    """Fleet mean of each sensor per cycle and the number of readings at that cycle."""
-    df = subset(readings, dataset_id, dataset_type).groupBy("time_cycles").agg(
-        F.count(F.lit(1)).alias("unit_count"), *[F.avg(s).alias(s) for s in sensors])
-    return finish(df, ["time_cycles"], None, digits, list(sensors))
+    """Fleet mean of each sensor per cycle and the number of readings at that cycle; the means
+    do not depend on the order of the rows."""
+    rows, sensors = subset(readings, dataset_id, dataset_type), list(sensors)
+    # Aggregates of at most MEANS_AT_ONCE means, each over its own columns of the scan, so that
+    # every one is compiled; their results (a row per cycle) are joined.
+    parts = [rows.groupBy("time_cycles").agg(
+        *([F.count(F.lit(1)).alias("unit_count")] if i == 0 else []),
+        *[F.expr(f"{exact_avg_text(f'`{s}`')} AS `{s}`") for s in sensors[i:i + MEANS_AT_ONCE]])
+        for i in range(0, max(1, len(sensors)), MEANS_AT_ONCE)]
+    df = parts[0]
+    for part in parts[1:]:
+        df = attach_groups(df, part, ["time_cycles"])
+    return finish(df, ["time_cycles"], None, digits, sensors, guard=GUARD)
 
 
 def fleet_size_at_start(readings: DataFrame, dataset_id: str = "FD001",
@@ -161,7 +193,8 @@ def condition_metrics(readings: DataFrame, dataset_id: str = "FD002",
                       dataset_type: str = "train", k: int | None = None,
                       digits: int | None = None, approx_distinct: bool = False) -> DataFrame:
     """Per operating condition ``round(op1,0)-round(op2,1)-round(op3,0)``: distinct units,
-    mean pressure, fuel ratio and core speed, readings; most engines first.
+    mean pressure, fuel ratio and core speed (independent of the order of the rows), readings;
+    most engines first.
 
     ``approx_distinct`` counts units with a HyperLogLog++ sketch (one pass, fixed memory)
     instead of the exact distinct count, which Spark plans as an extra aggregation level on
@@ -172,12 +205,12 @@ def condition_metrics(readings: DataFrame, dataset_id: str = "FD002",
     df = (subset(readings, dataset_id, dataset_type)
           .groupBy(condition_key().alias("operational_condition")).agg(
               distinct.alias("unique_engines"),
-              F.avg("sensor_11").alias("avg_pressure"),
-              F.avg("sensor_12").alias("avg_fuel_ratio"),
-              F.avg("sensor_14").alias("avg_core_speed"),
+              exact_avg("sensor_11").alias("avg_pressure"),
+              exact_avg("sensor_12").alias("avg_fuel_ratio"),
+              exact_avg("sensor_14").alias("avg_core_speed"),
               F.count(F.lit(1)).alias("total_observations")))
     return finish(df, [F.desc("unique_engines"), "operational_condition"], k, digits,
-                  ["avg_pressure", "avg_fuel_ratio", "avg_core_speed"])
+                  ["avg_pressure", "avg_fuel_ratio", "avg_core_speed"], guard=GUARD)
 
 
 def condition_metrics_top15(readings: DataFrame, dim: DataFrame, dataset_id: str = "FD002",

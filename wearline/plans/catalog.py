@@ -254,6 +254,11 @@ def _ld(spark, sf):
                                    digits=DIGITS)
 
 
+@query("lifetime_histogram")
+def _lh(spark, sf):
+    return J.lifetime_histogram(J.cycle_counter(_lines(spark, sf)), bins=4)
+
+
 @query("sensor11_stats")
 def _s11(spark, sf):
     return J.sensor11_stats(_lines(spark, sf), digits=DIGITS)
@@ -286,9 +291,10 @@ def _dj(spark, sf):
 
 @query("job_result_filter")
 def _jrf(spark, sf):
+    """Result lines of two jobs, of which one has the fields wanted."""
     stats = J.job_output_text(J.sensor11_stats(_lines(spark, sf), digits=DIGITS),
                               ["key", "dataset_id", "dataset_type"], ["min", "max", "avg", "count"])
-    summary = J.job_output_text(J.feature_summary(_lines(spark, sf, "comma"), digits=DIGITS),
+    summary = J.job_output_text(J.feature_summary(_lines(spark, sf, "comma"), features=["sensor_11"], digits=DIGITS),
                                 ["feature", "dataset_id", "dataset_type"],
                                 ["count", "min", "max", "mean", "std", "variance", "range"])
     return J.job_result_filter(stats.unionByName(summary), k=15)
@@ -402,8 +408,8 @@ def own_folder(spark, sf, name: str):
 def _ingest(spark, sf):
     """The raw files (readings and labels) ingested in one go into a fresh folder."""
     with own_folder(spark, sf, "ingest") as out:
-        report = IN.ingest_files(spark, _raw_files(spark, sf), f"{out}/readings", f"{out}/labels")
-        return IN.kept_rows(report)
+        return IN.ingest_files(spark, _raw_files(spark, sf), f"{out}/readings", f"{out}/labels",
+                               report_path=tables.scratch(spark, sf, "ingest-reports"))
 
 
 @query("ingest_deliveries")
@@ -417,7 +423,8 @@ def _deliveries(spark, sf):
         lines.where(half).write.text(f"{out}/raw/first/train_FD001.txt")
         lines.limit(3).write.text(f"{out}/raw/first/train_FD001.txt.bak")
         lines.write.text(f"{out}/raw/second/train_FD001.txt")
-        report = IN.ingest_files(spark, f"{out}/raw", f"{out}/readings", f"{out}/labels")
+        report = IN.ingest_files(spark, f"{out}/raw", f"{out}/readings", f"{out}/labels",
+                                 report_path=f"{out}/reports")
         stored = spark.read.parquet(f"{out}/readings").count()
         return IN.kept_rows(report.groupBy("dataset_id", "dataset_type", "status").agg(
             F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum("bad_rows"), F.lit(0)).alias("bad_rows"))
@@ -426,13 +433,10 @@ def _deliveries(spark, sf):
 
 @query("csv_round_trip")
 def _csv(spark, sf):
-    """Written once per table folder (its path carries the fingerprint), read back each time."""
+    """Written each time (over the files of the call before), read back."""
     path = tables.scratch(spark, sf, "csv-round-trip")
     with tables.BUILD_LOCK:
-        if not path_exists(spark, path):
-            made = f"{path}-{uuid.uuid4().hex[:12]}"
-            TX.csv_write(R(spark, sf), made)
-            publish(spark, made, path)
+        TX.csv_write(R(spark, sf), path)
     return TX.csv_read(spark, path).select(*READING_COLUMNS)
 
 
@@ -505,22 +509,22 @@ def _dov(spark, sf):
     return P.dataset_overview(R(spark, sf), dataset_dim(spark))
 
 
+def _raw_roots(spark, sf) -> list[str]:
+    tables.lines(spark, sf, "mixed")
+    tables.rul_text(spark, sf)
+    return [tables.lines_path(spark, sf, "mixed"), tables.rul_lines_path(spark, sf)]
+
+
 @query("file_inventory")
 def _finv(spark, sf):
-    """Bytes of the raw label files by data set, from the file listing."""
-    tables.rul_text(spark, sf)
-    files = FS.list_files(spark, tables.rul_lines_path(spark, sf), "*.txt")
-    dataset_id, _ = TX.file_metadata(F.col("path"))
-    return files.groupBy(dataset_id.alias("dataset_id")).agg(F.sum("length").alias("bytes"))
+    """Every raw file (train, test, labels) with size and date, rolled up by area and in total."""
+    return FS.file_inventory(FS.raw_files(FS.list_files(spark, _raw_roots(spark, sf), "*.txt")))
 
 
 @query("storage_summary")
 def _ssum(spark, sf):
     """Files and bytes of all raw text (train, test, labels) by area and in total."""
-    tables.lines(spark, sf, "mixed")
-    tables.rul_text(spark, sf)
-    roots = [tables.lines_path(spark, sf, "mixed"), tables.rul_lines_path(spark, sf)]
-    return FS.storage_summary(FS.raw_files(FS.list_files(spark, roots, "*.txt")))
+    return FS.storage_summary(FS.raw_files(FS.list_files(spark, _raw_roots(spark, sf), "*.txt")))
 
 
 # ----------------------------------------------------------------------------- model
@@ -553,16 +557,21 @@ def _model(spark, sf):
 
 @query("train_rul_model")
 def _train(spark, sf):
-    """Rows the model was trained on and left out, its trees and features, and whether its
-    error is below that of the mean label."""
-    model = _model(spark, sf)
+    """Trained on four fifths of the units each time; counts, and errors on the other units."""
+    model, found = ML.train_with_holdout(R(spark, sf), "FD001", "train", **MODEL)
     forest = model.stages[-1]
-    quality = ML.model_quality(model, R(spark, sf), "FD001", "train")
-    report = ML.training_report(R(spark, sf), "FD001", "train")
-    return attach_one_row(report, quality).select(
-        "training_rows", "left_out", F.lit(forest.getNumTrees).alias("trees"),
-        F.lit(forest.numFeatures).alias("features"),
-        (F.col("rmse") < F.col("mean_label_rmse")).alias("better_than_mean"))
+    return found.select(F.lit(forest.getNumTrees).alias("trees"), F.lit(forest.numFeatures).alias("features"), *found.columns)
+
+
+@query("model_folds")
+def _folds(spark, sf):
+    """Cross-validation by units, with a small forest."""
+    return ML.cross_validate(R(spark, sf), "FD001", "train", num_trees=10, max_depth=5, seed=42)
+
+
+@query("training_report")
+def _treport(spark, sf):
+    return ML.training_report(R(spark, sf), "FD001", "train")
 
 
 @query("model_io")
@@ -577,19 +586,12 @@ def _mio(spark, sf):
 
 @query("predict_rul")
 def _pred(spark, sf):
-    """Every test reading, and whether its prediction lies in the range of the labels."""
-    labels = ML.rul_label(R(spark, sf), "FD001", "train").agg(F.min("rul").alias("lo"), F.max("rul").alias("hi"))
-    scored = ML.predict_rul(_model(spark, sf), R(spark, sf), "FD001", "test")
-    return attach_one_row(scored, labels).select(
-        *SERIES_KEY, "time_cycles", "reason", F.col("prediction").between(F.col("lo"), F.col("hi")).alias("in_range"))
+    return ML.predict_rul(_model(spark, sf), R(spark, sf), "FD001", "test")
 
 
 @query("rul_latest")
 def _latest(spark, sf):
-    """Per test unit the last cycle; life less remaining life is that cycle again."""
-    latest = ML.rul_latest(ML.predict_rul(_model(spark, sf), R(spark, sf), "FD001", "test"))
-    return latest.select(*SERIES_KEY, "current_cycle", (F.abs(
-        F.col("total_predicted_life") - F.col("predicted_rul") - F.col("current_cycle")) < 1e-6).alias("consistent"))
+    return ML.rul_latest(ML.predict_rul(_model(spark, sf), R(spark, sf), "FD001", "test"))
 
 
 # ----------------------------------------------------------------------------- more sources

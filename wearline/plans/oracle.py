@@ -10,14 +10,29 @@ from __future__ import annotations
 from wearline.plans.oracle_base import BAD_SQL, CUT_SQL, with_fixtures
 
 # Fixed values, stated a second time so that a wrong list in the code under test shows.
-SENSOR_COLUMNS = [f"sensor_{n}" for n in range(1, 22)]
-RAW_COLUMNS = "unit_number time_cycles op_setting_1 op_setting_2 op_setting_3".split() + SENSOR_COLUMNS
-READING_COLUMNS = [*RAW_COLUMNS, "dataset_id", "dataset_type"]
-CRITICAL_SENSORS = [f"sensor_{n}" for n in (2, 3, 4, 7, 8, 9, 11, 12, 13, 14, 15)]
-DEGRADATION_SENSORS = dict(temp_hpc="sensor_3", pressure_hpc="sensor_11", fan_speed="sensor_8", core_speed="sensor_9",
-                           fuel_ratio="sensor_12")
-DEGRADATION_SENSORS_LITERAL = dict(temp_hpc="op_setting_3", pressure_hpc="sensor_8", fan_speed="sensor_5",
-                                   core_speed="sensor_6", fuel_ratio="sensor_9")
+SENSOR_COLUMNS = [
+    "sensor_1", "sensor_2", "sensor_3", "sensor_4", "sensor_5", "sensor_6", "sensor_7", "sensor_8", "sensor_9", "sensor_10", "sensor_11",
+    "sensor_12", "sensor_13", "sensor_14", "sensor_15", "sensor_16", "sensor_17", "sensor_18", "sensor_19", "sensor_20", "sensor_21",
+]
+RAW_COLUMNS = ["unit_number", "time_cycles", "op_setting_1", "op_setting_2", "op_setting_3"] + SENSOR_COLUMNS
+READING_COLUMNS = RAW_COLUMNS + ["dataset_id", "dataset_type"]
+CRITICAL_SENSORS = [
+    "sensor_2", "sensor_3", "sensor_4", "sensor_7", "sensor_8", "sensor_9", "sensor_11", "sensor_12", "sensor_13", "sensor_14", "sensor_15",
+]
+DEGRADATION_SENSORS = {
+    "temp_hpc": "sensor_3",
+    "pressure_hpc": "sensor_11",
+    "fan_speed": "sensor_8",
+    "core_speed": "sensor_9",
+    "fuel_ratio": "sensor_12",
+}
+DEGRADATION_SENSORS_LITERAL = {
+    "temp_hpc": "op_setting_3",
+    "pressure_hpc": "sensor_8",
+    "fan_speed": "sensor_5",
+    "core_speed": "sensor_6",
+    "fuel_ratio": "sensor_9",
+}
 DATASET_METADATA = [
     ("FD001", 100, 100, 1, 1, "Single operating condition, single fault mode (HPC degradation)"),
     ("FD002", 260, 259, 6, 1, "Six operating conditions, single fault mode (HPC degradation)"),
@@ -32,6 +47,12 @@ def _r(expr: str, alias: str, d: int = 4) -> str:
     return f"ROUND({expr}, {d}) AS {alias}"
 
 
+def _mean(column: str, alias: str) -> str:
+    """Compensated mean, rounded as a decimal: the operator's means do not depend on the order of
+    the rows, and are rounded to ten digits before the four shown."""
+    return f"CAST(ROUND(CAST(favg({column}) AS DECIMAL(28, 10)), 4) AS DOUBLE) AS {alias}"
+
+
 def _corr(a: str, b: str) -> str:
     return f"covar_pop({a}, {b}) / NULLIF(stddev_pop({a}) * stddev_pop({b}), 0)"
 
@@ -102,7 +123,7 @@ SELECT unit_number, time_cycles, sensor_11, ROUND(m, 4) AS mean_pressure, ROUND(
 FROM (SELECT unit_number, time_cycles, sensor_11, AVG(sensor_11) OVER () AS m, STDDEV_POP(sensor_11) OVER () AS sd,
              ABS(sensor_11 - AVG(sensor_11) OVER ()) AS d
       FROM cmapss_train WHERE {FD1}) x
-WHERE d > sd + sd ORDER BY 5 DESC, 1, 2 LIMIT 50""")
+WHERE d > 2 * sd ORDER BY 5 DESC, 1, 2 LIMIT 50""")
 
 ORACLE["q10_rul_stats"] = with_fixtures("""
 SELECT dataset_id, COUNT(*) AS engine_count, ROUND(AVG(rul), 4) AS avg_rul,
@@ -133,7 +154,7 @@ def _q13(tq: float, pq: float) -> str:
 SELECT unit_number, current_cycle, ROUND(temp, 4) AS avg_temp, ROUND(pressure, 4) AS avg_pressure,
        hot AS temp_threshold, low AS pressure_threshold
 FROM (SELECT *, {at('sensor_3', tq)} AS hot, {at('sensor_11', pq)} AS low FROM engine) e
-WHERE NOT (temp <= hot AND pressure >= low) ORDER BY 3 DESC, 1 LIMIT 20""", extra_ctes=f"""
+WHERE temp > hot OR pressure < low ORDER BY 3 DESC, 1 LIMIT 20""", extra_ctes=f"""
 engine AS (SELECT unit_number, MAX(time_cycles) AS current_cycle, AVG(sensor_3) AS temp, AVG(sensor_11) AS pressure
            FROM cmapss_train WHERE {FD1} GROUP BY unit_number)""")
 
@@ -264,7 +285,7 @@ ORACLE["sensor_stats_table"] = with_fixtures("\nUNION ALL\n".join(
 
 ORACLE["degradation_trend"] = with_fixtures(
     "SELECT time_cycles, COUNT(*) AS unit_count, "
-    + ", ".join(_r(f"AVG({s})", s) for s in SENSOR_COLUMNS)
+    + ", ".join(_mean(s, s) for s in SENSOR_COLUMNS)
     + f" FROM cmapss_train WHERE {FD1} GROUP BY time_cycles ORDER BY time_cycles")
 
 ORACLE["fleet_size_at_start"] = with_fixtures(f"""
@@ -293,8 +314,8 @@ _COND_KEY = " || '-' || ".join([
     _num_text("(round_even(op_setting_3, 0) + 0.0)")])
 _COND = f"""
 SELECT {_COND_KEY} AS operational_condition, COUNT(DISTINCT unit_number) AS unique_engines,
-       {_r('AVG(sensor_11)', 'avg_pressure')}, {_r('AVG(sensor_12)', 'avg_fuel_ratio')},
-       {_r('AVG(sensor_14)', 'avg_core_speed')}, COUNT(*) AS total_observations
+       {_mean('sensor_11', 'avg_pressure')}, {_mean('sensor_12', 'avg_fuel_ratio')},
+       {_mean('sensor_14', 'avg_core_speed')}, COUNT(*) AS total_observations
 FROM cmapss_train WHERE dataset_id = 'FD002' GROUP BY 1
 ORDER BY unique_engines DESC, operational_condition"""
 ORACLE["condition_metrics"] = with_fixtures(_COND)
@@ -339,6 +360,13 @@ SELECT dataset_id, dataset_type, COUNT(*) AS units, MIN(max_cycle) AS min_life,
        {_r('STDDEV_POP(max_cycle)', 'std_life')}, quantile_disc(max_cycle, 0.5) AS median_life
 FROM ({_CYCLES}) c GROUP BY 1, 2""")
 
+ORACLE["lifetime_histogram"] = with_fixtures(f"""
+SELECT dataset_id, dataset_type, k AS bin, q[k] AS lower_life, q[k + 1] AS upper_life,
+       (SELECT COUNT(*) FROM c x WHERE x.dataset_id IS NOT DISTINCT FROM e.dataset_id AND x.dataset_type = e.dataset_type
+        AND len(list_filter(e.q[2:], lambda b: b < x.max_cycle)) = k - 1) AS units
+FROM (SELECT dataset_id, dataset_type, quantile_disc(max_cycle, [0, 0.25, 0.5, 0.75, 1]) AS q FROM c GROUP BY 1, 2) e,
+     range(1, 5) r(k)""", extra_ctes=f"c AS ({_CYCLES})")
+
 _S11 = f"""
 SELECT 'Sensor_11' AS key, dataset_id, dataset_type, MIN(sensor_11) AS min,
        MAX(sensor_11) AS max, ROUND(AVG(sensor_11), 4) AS avg, COUNT(*) AS count
@@ -567,8 +595,6 @@ FROM readings WHERE dataset_id = 'FD001' AND dataset_type = 'train'
 UNION ALL SELECT 'FD001', 'train', 'superseded', 0, 0, COUNT(*) FROM readings WHERE dataset_id = 'FD001' AND dataset_type = 'train'
 UNION ALL SELECT NULL, NULL, 'skipped', 0, 0, COUNT(*) FROM readings WHERE dataset_id = 'FD001' AND dataset_type = 'train'""")
 # A label line is a whole number, one blank and the line end.
-ORACLE["file_inventory"] = with_fixtures("""
-SELECT dataset_id, SUM(length(CAST(CAST(rul AS BIGINT) AS VARCHAR)) + 2)::BIGINT AS bytes FROM rul GROUP BY 1""")
 # A reading's line: its fields (20 of a cut line, one letter more in a bad one), a separator each,
 # and in the blank form three blanks after the cycle and two at the end; then the line end.
 _LINE_BYTES = " + ".join(
@@ -586,15 +612,9 @@ SELECT dataset_id, dataset_type, unit_number, total_cycles, health_index, temp_h
 FROM ({ORACLE["degradation_metrics"]}) d"""
 
 # ----------------------------------------------------------------------------- model
-# What SQL can say of a model: which rows it takes and gives, and that its numbers agree.
+# What SQL can say of a model: which rows it takes, and that a stored one predicts as before.  Its
+# errors and predictions are tested against a walk through its nodes and a known best error.
 _TRAIN = "dataset_id = 'FD001' AND dataset_type = 'train'"
-_TEST = "dataset_id = 'FD001' AND dataset_type = 'test'"
-ORACLE["train_rul_model"] = with_fixtures(f"""
-SELECT COUNT(*) AS training_rows, CAST(0 AS BIGINT) AS left_out, 100 AS trees, 24 AS features, TRUE AS better_than_mean
-FROM readings WHERE {_TRAIN}""")
+ORACLE["training_report"] = with_fixtures(f"""
+SELECT COUNT(*) AS training_rows, CAST(0 AS BIGINT) AS left_out FROM readings WHERE {_TRAIN}""")
 ORACLE["model_io"] = with_fixtures(f"SELECT {_READ_KEY}, TRUE AS agree FROM readings WHERE {_TRAIN}")
-ORACLE["predict_rul"] = with_fixtures(
-    f"SELECT {_READ_KEY}, CAST(NULL AS VARCHAR) AS reason, TRUE AS in_range FROM readings WHERE {_TEST}")
-ORACLE["rul_latest"] = with_fixtures(f"""
-SELECT dataset_id, dataset_type, unit_number, MAX(time_cycles) AS current_cycle, TRUE AS consistent
-FROM readings WHERE {_TEST} GROUP BY 1, 2, 3""")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wearline.functions.quantiles import attach_groups
@@ -145,9 +146,12 @@ def deliveries(spark: SparkSession, raw_path: str | list[str]) -> DataFrame:
                          "modificationTime", "length")
     per = named.groupBy("delivery", "dataset_id", "dataset_type").agg(
         F.max("modificationTime").alias("modified"), F.sum("length").alias("bytes"))
-    newest = Window.partitionBy("dataset_id", "dataset_type").orderBy(F.desc("modified"), F.desc("delivery"))
-    return per.withColumn("state", F.when(F.col("dataset_id").isNull(), "skipped")
-                          .when(F.row_number().over(newest) == 1, "newest").otherwise("older"))
+    # One row per data set and type; skipped files have neither and join with nothing.
+    newest = (per.where(F.col("dataset_id").isNotNull()).groupBy(F.col("dataset_id").alias("_id"), F.col("dataset_type").alias("_type"))
+              .agg(F.max_by("delivery", F.struct("modified", "delivery")).alias("_newest")))
+    found = per.join(newest, (per.dataset_id == F.col("_id")) & (per.dataset_type == F.col("_type")), "left")
+    return found.select(*per.columns, F.when(F.col("_newest").isNull(), "skipped")
+                        .when(F.col("delivery") == F.col("_newest"), "newest").otherwise("older").alias("state"))
 
 
 def ingest_report(found: DataFrame, counts: DataFrame) -> DataFrame:
@@ -173,16 +177,26 @@ def report_counts(loaded: DataFrame) -> DataFrame:
 
 
 def ingest_files(spark: SparkSession, raw_path: str | list[str], table_path: str,
-                 labels_path: str | None = None, only: set[tuple[str, str]] | None = None) -> DataFrame:
+                 labels_path: str | None = None, only: set[tuple[str, str]] | None = None,
+                 report_path: str | None = None) -> DataFrame:
     """The whole ingest over a folder (or glob, or list) of raw files, eagerly; returns the
     report, one row per delivered file.
 
+    The report is appended to the table ``report_path`` (by default below the shared folder)
+    under the number of this run, written by tasks and read back from there, however many
+    files were delivered; ``ingest_reports`` reads the runs before.
+
     The newest delivery of each file replaces its (data set, type) partition of
     ``table_path``, label files that of ``labels_path`` (ignored without one).  ``only``
     restricts the load to some (data set, type) pairs.  Readings and labels are told apart by
     file before any line is read; lines are parsed once into a staging folder, from which the
     range sample, the layout and the report are taken, and which is removed afterwards."""
-    found = deliveries(spark, raw_path)
+    report_path = report_path or join_path(scratch_dir(spark), "wearline-ingest-reports")
+    run = f"{datetime.now(timezone.utc):%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}"
+    # The listing is taken once: files that arrive meanwhile belong to the next run.
+    listing = join_path(scratch_dir(spark), "wearline-stage", uuid.uuid4().hex)
+    deliveries(spark, raw_path).write.parquet(listing)
+    found = spark.read.parquet(listing)
     # One row per data set and type, whatever the number of files and lines.
     newest = [r for r in found.where("state = 'newest'").collect()
               if only is None or (r["dataset_id"], r["dataset_type"]) in only]
@@ -203,7 +217,17 @@ def ingest_files(spark: SparkSession, raw_path: str | list[str], table_path: str
         stored = spark.read.parquet(labels_path).where(F.col("dataset_id").isin([r["dataset_id"] for r in newest]))
         counts = counts.unionByName(kept_rows(report_counts(stored.select(
             "dataset_id", F.lit("rul").alias("dataset_type"), F.col("rul").isNotNull().alias("parse_ok")))))
-    return ingest_report(found, counts)
+    ingest_report(found, counts).withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").parquet(report_path)
+    remove_path(spark, listing)
+    return ingest_reports(spark, report_path).where(F.col("run") == run).drop("run")
+
+
+REPORT = "file_name string, dataset_id string, dataset_type string, rows long, bad_rows long, status string, run string"
+
+
+def ingest_reports(spark: SparkSession, report_path: str) -> DataFrame:
+    """The reports of all runs, one row per delivered file and ``run`` (a time and a random part)."""
+    return spark.read.schema(REPORT).parquet(report_path)
 
 
 def kept_rows(df: DataFrame) -> DataFrame:
