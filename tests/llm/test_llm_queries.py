@@ -157,3 +157,20 @@ def test_no_source_is_lost_beside_a_large_one(spark):
         assert abs(r["sum(taken)"] - r["max(target)"]) <= 1
     kept = {r.doc_id for r in mixing.repeat_by_taken(df, mixed).collect()}
     assert kept == {r[0] for r in rows}
+
+
+def test_intermediate_folders_are_swept(spark, sf):
+    from wearline.llm import common
+    from wearline.session import path_exists
+
+    with common.sweeping(spark):
+        QUERIES["op1_quality_rules"](spark, sf).count()
+        made = list(common._MADE[-1:])
+        assert made and path_exists(spark, made[0])
+    assert made[0] not in common._MADE and not path_exists(spark, made[0])
+    out = corpus_pipeline.run(spark, sf)
+    assert out.count() > 0  # the last result is still there
+    base = common._MADE[-1]
+    assert [path_exists(spark, f"{base}/{i}") for i in range(5)] == [False] * 4 + [True]
+    common.sweep(spark)
+    assert not path_exists(spark, base)

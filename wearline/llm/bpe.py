@@ -13,6 +13,8 @@ reach over them (tests compare with the library on whole texts).
 * NULL text counts as empty: no tokens, the hashes of empty strings.
 * Repeated rows are encoded each (from the cache); ids may be NULL.
 * A very long text without a cut is one chunk; nothing is cut off.
+* An empty table gives no rows; only ``doc_id`` and ``text`` are read, so further columns may have
+  any name.
 """
 
 from __future__ import annotations

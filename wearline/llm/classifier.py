@@ -10,6 +10,9 @@ the two classes' Mahalanobis log densities plus log priors.
 * NULL text counts as empty; the statistics of an empty text are defined, so it is scored.
 * Labels other than 0 and 1, NULL ids, and ids whose label rows contradict each other teach
   nothing.  Repeated label rows count once; repeated documents count as often as they occur.
+* A very long text is one row of twelve numbers; its words are held while it is measured.
+* An empty table gives no rows; only ``doc_id`` and ``text`` are read, other columns (also of a
+  clashing name) are carried by ``keep_good``.
 * With labels of one class only, every score is that class (0 or 1); with none, 0.5.
 """
 
@@ -102,6 +105,11 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(logs[1] - logs[0], -60.0, 60.0)))
 
 
+# Labelled ids that are broadcast to pick their documents (8 bytes each); with more of them, the
+# statistics of all documents (96 bytes each) are made and joined.
+BROADCAST_LABELS = 1_000_000
+
+
 def fit(rows: DataFrame, label: str, shrinkage: float = 0.02) -> Model:
     """A model from all ``rows`` (the statistics' columns and a 0/1 ``label``).
 
@@ -175,9 +183,13 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, label: str = "quality",
               threshold: float = 0.7, shrinkage: float = 0.02) -> DataFrame:
     """The documents that score at least ``threshold``, with all their columns.
 
-    The filter recomputes the statistics of each batch, so no join has to bring scores and
-    texts together and repeated or NULL ids need no rule."""
-    model = train(features(docs), labels, label, shrinkage)
+    Statistics for training are made of the labelled documents only.  The filter recomputes them
+    batch by batch, so no join has to bring scores and texts together and repeated or NULL ids
+    need no rule."""
+    known = training_labels(labels, label)
+    few = known.count() <= BROADCAST_LABELS
+    taught = docs.join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi") if few else docs
+    model = train(features(taught), labels, label, shrinkage)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()

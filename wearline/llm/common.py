@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +29,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+# Folders of intermediate tables made by this driver and not yet removed.
+_MADE: list[str] = []
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir`` for one run of an operator."""
-    return join_path(scratch_dir(spark), "wearline-llm", f"{name}-{uuid.uuid4().hex[:12]}")
+    """A new folder below ``spark.checkpoint.dir`` for one run of an operator.  A lazy result may
+    read it, so it stays until ``sweeping`` or ``sweep`` removes it."""
+    path = join_path(scratch_dir(spark), "wearline-llm", f"{name}-{uuid.uuid4().hex[:12]}")
+    _MADE.append(path)
+    return path
+
+
+def sweep(spark: SparkSession, first: int = 0) -> int:
+    """Remove the intermediate folders made so far (from the ``first`` one on): to be called when
+    the results that read them are written.  Returns their number."""
+    gone = _MADE[first:]
+    del _MADE[first:]
+    for path in gone:
+        remove(spark, path)
+    return len(gone)
+
+
+@contextmanager
+def sweeping(spark: SparkSession):
+    """Removes the intermediate folders that the operators called inside have made."""
+    first = len(_MADE)
+    try:
+        yield
+    finally:
+        sweep(spark, first)
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:
@@ -77,10 +105,10 @@ BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     """``mapInArrow`` with batches bounded by bytes: texts vary too much in length for a
-    bound by rows.  8 MB unless the cluster's configuration says otherwise; a longer text is
+    bound by rows.  8 MB unless the cluster or the session says otherwise; a longer text is
     a batch of its own."""
     spark = df.sparkSession
-    if not spark.sparkContext.getConf().contains(BATCH_BYTES):
+    if not spark._jsparkSession.sessionState().conf().contains(BATCH_BYTES):  # set by nobody
         spark.conf.set(BATCH_BYTES, "8m")
     return df.mapInArrow(function, schema)
 

@@ -20,6 +20,8 @@ lane of a text wraps: a text is at most 2^31 bytes, and every run takes two of t
   an empty and a non-empty one are not (0).
 * The next document is the next row in the order of id (NULL first), then text; the last
   row's next is the first, a single row's next is itself.  Repeated rows follow each other.
+* A very long text is read line by line in one row.  An empty table gives no rows; only ``doc_id``
+  and ``text`` are read, so further columns may have any name.
 """
 
 from __future__ import annotations

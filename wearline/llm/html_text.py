@@ -14,7 +14,8 @@ text is a surge.  An ``<article>`` within boilerplate, or marked as such itself,
 * NULL html counts as empty; a page without text gives the empty string and 0.
 * Broken markup: an unclosed comment, script or tag ends with the page; an unclosed
   boilerplate element ends where the article around it ends or the next one starts.
-* Repeated rows are treated each; nothing is cut off.
+* Repeated rows are treated each; nothing is cut off: a very long page is one batch.
+* An empty table gives no rows; columns other than ``page_id, url, html`` are not read.
 """
 
 from __future__ import annotations

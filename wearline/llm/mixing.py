@@ -23,7 +23,9 @@ source; a source has at most ``max_shards`` shards.  Documents are ordered withi
   has target 0.  The NULL source is a source like others, the last in the order.
 * Repeated rows are rows of their own: all count, and share one place in the ring's order
   after which their run follows by size.  NULL ids are placed like any other id.
-* No words at all: all targets are 0.
+* A very long text is one row, counted by one regular expression.  Only ``doc_id, source`` and
+  ``text`` are read; ``repeat_by_taken`` carries further columns, also of clashing names.
+* No words at all, or no rows: all targets are 0.
 """
 
 from __future__ import annotations

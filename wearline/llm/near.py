@@ -26,6 +26,9 @@ the ``k`` smallest of them.
 * A text of fewer than five words has its whole sequence as its one shingle.
 * A row with NULL id is linked with nothing: component NULL, kept.
 * Repeated rows share their class and each get its verdict.
+* A very long text is one row of its distinct shingles' hashes (8 bytes each).
+* An empty table gives no rows; further columns, also of clashing names, are only carried by
+  ``drop_near_duplicates``.
 * The hash is 64 bits wide; sets are compared through it.
 """
 

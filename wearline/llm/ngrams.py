@@ -28,6 +28,8 @@ A text's score is the sum of log10 p over its words and its end, after a start m
   they occur and are scored each.
 * No training row at all: every token has the uniform share of one unknown word, score 0.
 * A text of any length is scored in pieces of a bounded number of words.
+* An empty table gives no rows; only ``doc_id`` and ``text`` are read, so further columns may have
+  any name.
 
 The shards are files that executors write and map, so the shared folder must be mounted on
 them (``file:`` in ``spark.checkpoint.dir``); another kind of store is refused.

@@ -10,6 +10,8 @@ look-up table holds at most ``cache_parts`` parts per worker.
 * NULL text counts as empty: 0 bytes, 0 tokens.
 * Repeated rows are counted each; ids may be NULL.
 * A text without a boundary is one part, however long.
+* An empty table gives no rows; only ``doc_id`` and ``text`` are read, so further columns may have
+  any name.
 """
 
 from __future__ import annotations
