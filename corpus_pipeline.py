@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wearline.llm import bpe, classifier, mixing, near, repeats
-from wearline.llm.common import shared_folder, stored, table
+from wearline.llm.common import remove, shared_folder, stored, sweeping, table
 from wearline.llm.queries import tokenizer_path
 
 
@@ -60,9 +60,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of the last stage over the table ``documents``."""
+    """The result of the last stage over the table ``documents``.
+
+    A stage's intermediate tables, and the result of the stage before, are removed when its own
+    result is written; the last result stays in the shared folder (``common.sweep`` removes it)."""
     docs = table(spark, sf_dir, "documents")
     base = shared_folder(spark, "pipeline")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stored(stage(spark, docs, sf_dir), f"{base}/{i}")
+        with sweeping(spark):
+            docs = stored(stage(spark, docs, sf_dir), f"{base}/{i}")
+        if i:
+            remove(spark, f"{base}/{i - 1}")
     return docs
