@@ -49,6 +49,49 @@ def test_chunks_repeat_where_content_repeats():
     assert len(set(one) & set(two)) >= len(one) - 3
 
 
+def counted(encoder, calls):
+    """The encoder with a tokenizer that notes how many bytes it is given."""
+    class Counting:
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def encode_batch_fast(self, batch, **options):
+            calls.append(sum(map(len, batch)))
+            return self.tokenizer.encode_batch_fast(batch, **options)
+
+        def encode(self, text, **options):
+            calls.append(len(text))
+            return self.tokenizer.encode(text, **options)
+
+    encoder.tokenizer = Counting(encoder.tokenizer)
+    return encoder
+
+
+def test_shared_chunks_are_encoded_once(library):
+    """A passage seen before is taken from its chunks: only the cut places around it are encoded."""
+    passage = " ".join(f"word{i}ing, and {i * 7}" for i in range(1500))
+    with open(PATH, "rb") as f:
+        calls = []
+        encoder = counted(bpe.ChunkEncoder(f.read(), 255, cache_chunks=10_000, cache_words=10), calls)
+    first, second = f"Beginning {passage}", f"other words before {passage} and after"
+    for t in (first, second):
+        calls.append(0)
+        (n, ids, _), = encoder.batch([t.encode()])
+        assert ids == " ".join(map(str, library.encode(t, add_special_tokens=False).ids))
+    at = calls.index(0, 1)
+    assert sum(calls[:at]) > len(passage) / 2 and sum(calls[at:]) < len(passage) / 5
+
+
+@pytest.mark.parametrize("bits", [3, 6])
+def test_joins_that_do_not_agree_are_encoded_whole(library, bits):
+    with open(PATH, "rb") as f:
+        encoder = bpe.ChunkEncoder(f.read(), (1 << bits) - 1, cache_chunks=50, cache_words=60)
+    encoder.repaired = lambda joins: dict.fromkeys(joins)  # none agrees
+    raw = [t.encode() for t in texts()]
+    for text, (_, ids, _) in zip(texts(), encoder.batch(raw), strict=True):
+        assert ids == " ".join(map(str, library.encode(text, add_special_tokens=False).ids))
+
+
 def test_encode_and_decode_round_trip(spark, library):
     rows = [(i, t) for i, t in enumerate(texts()[:40])] + [(None, None), (3, None), (3, None)]
     encoded = bpe.encode(spark.createDataFrame(rows, "doc_id long, text string"), PATH).cache()

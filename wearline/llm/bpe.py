@@ -3,12 +3,14 @@
 A rolling hash over the bytes of a text cuts it wherever the hash of the last sixteen bytes
 falls on a mask.  The cut places depend on the content alone, so a passage that many
 documents share is cut alike in all of them, and each of its chunks is encoded once per
-worker.  Cuts may fall inside a word.  A chunk therefore keeps its first and last word open
-wherever no blank ends them; when chunks are joined, the open end is re-encoded together
-with the open start that follows, over as many chunks as it takes until the joined span is
-closed by blanks on both sides.  There the span's tokens agree exactly with those of the
-whole text, because the tokenizer drops blanks and neither its normaliser nor its merges
-reach over them (tests compare with the library on whole texts).
+worker (its closed words through a table of words).  Cuts may fall inside a word, so a chunk
+keeps its first and last word open wherever no blank ends them.
+
+Where chunks are joined, the open end and the open start that follows (over as many chunks as
+it takes until blanks close the span) are encoded anew together with the closed words on either
+side.  The new tokens must begin with the tokens that the chunk before has for its word and end
+with those that the chunk after has for its own; then both encodings agree outside the span, and
+what lies between them repairs the join.  A text with a join that does not agree is encoded whole.
 
 * NULL text counts as empty: no tokens, the hashes of empty strings.
 * Repeated rows are encoded each (from the cache); ids may be NULL.
@@ -74,9 +76,11 @@ def together(parts: list[Part]) -> Part:
     return sum(counts), " ".join(ids), " ".join(tokens)
 
 
-# A chunk's closed middle, and its words that a neighbour may continue:
-# (starts with a blank, open first word, middle, open last word, ends with a blank).
-Chunk = tuple[bool, bytes | None, Part, bytes | None, bool]
+# A chunk's closed middle, its words that a neighbour may continue, and its first and last closed
+# word: (starts with a blank, open first word, middle, open last word, ends with a blank, first, last).
+Chunk = tuple[bool, bytes | None, Part, bytes | None, bool, bytes, bytes]
+# A join: the closed word before (or empty), the span, the closed word after (or empty).
+Join = tuple[bytes, bytes, bytes]
 
 
 class ChunkEncoder:
@@ -126,12 +130,31 @@ class ChunkEncoder:
             tail = words.pop()
         return lead, head, words, tail, trail
 
+    def part_of(self, ids: list[int]) -> Part:
+        return len(ids), " ".join([self.digits[i] for i in ids]), " ".join([self.names[i] for i in ids])
+
+    def repaired(self, joins: list[Join]) -> dict[Join, Part | None]:
+        """The tokens of each join's span from an encoding together with its neighbours; None
+        where that encoding and those of the neighbours do not agree."""
+        out: dict[Join, Part | None] = {}
+        found = self.tokenizer.encode_batch_fast([b" ".join(filter(None, j)).decode() for j in joins], add_special_tokens=False)
+        nothing: Part = (0, "", "")
+        for join, e in zip(joins, found, strict=True):
+            before, after = (self.words[w] if w else nothing for w in (join[0], join[2]))
+            ids = e.ids
+            start, stop = before[0], len(ids) - after[0]
+            agree = start <= stop and all(
+                " ".join([self.digits[i] for i in side]) == part[1] for side, part in ((ids[:start], before), (ids[stop:], after)))
+            out[join] = self.part_of(ids[start:stop]) if agree else None
+        return out
+
     def batch(self, texts: list[bytes]) -> Iterator[Part]:
         """The encoding of each text, in order."""
-        chunks, plans, fresh = self.chunks, [], {}
+        chunks, plans, fresh, ready = self.chunks, [], {}, []
         for t in texts:
             if b"<|" not in t:  # no special token: the tokenizer lowers case, so fewer words differ
                 t = t.lower()
+            ready.append(t)
             start, plan = 0, []
             for end in cuts(t, self.mask):
                 chunk = t[start:end]
@@ -143,47 +166,58 @@ class ChunkEncoder:
         if len(chunks) + len(fresh) > self.cache_chunks:
             chunks = self.chunks = {}
             fresh = {c: self.split(c) for plan in plans for c in plan}
-        spans = [self.joins(plan, fresh) for plan in plans]  # joined words, encoded with the closed ones
-        needed = {w for s in spans for w in s if w}
-        for _, _, words, _, _ in fresh.values():
-            needed.update(words)
+        needed = {w for _, _, words, _, _ in fresh.values() for w in words}
+        joined = [self.joins(plan, fresh) for plan in plans]
+        needed.update(w for js in joined for j in js if j for w in (j[0], j[2]) if w)
         self.learn(needed)
         part = self.words.__getitem__
         for chunk, (lead, head, words, tail, trail) in fresh.items():
-            chunks[chunk] = lead, head, together(list(map(part, words))), tail, trail
-        for plan, joined in zip(plans, spans, strict=True):
-            parts = [part(joined[0])] if joined[0] else []
-            for chunk, word in zip(plan, joined[1:], strict=True):
+            chunks[chunk] = (lead, head, together(list(map(part, words))), tail, trail, words[0] if words else b"", words[-1] if words else b"")
+        spans = self.repaired(list({j for js in joined for j in js if j}))
+        for t, plan, js in zip(ready, plans, joined, strict=True):
+            if any(j and spans[j] is None for j in js):
+                yield self.part_of(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids)
+                continue
+            parts = [spans[js[0]]] if js[0] else []
+            for chunk, j in zip(plan, js[1:], strict=True):
                 parts.append(chunks[chunk][2])
-                if word:
-                    parts.append(part(word))
+                if j:
+                    parts.append(spans[j])
             yield together(parts)
 
-    def joins(self, plan: list[bytes], fresh: dict) -> list[bytes | None]:
-        """Per chunk boundary (text start and end included) the word that spans it.
+    def joins(self, plan: list[bytes], fresh: dict) -> list[Join | None]:
+        """Per chunk boundary (text start and end included) the word that spans it, with the
+        closed words of the chunks beside it.
 
         An open word is carried on until a blank closes it: a chunk that is one unbroken
         word only widens the span.  Two words meet at a boundary with a blank on one side;
         then the closed one is given to the boundary before or after its chunk."""
-        out: list[bytes | None] = [None]
+        out: list[Join | None] = [None]
         carry = b""
+        before = b""  # closed word before the span that is open
         for chunk in plan:
-            lead, head, _, tail, trail = fresh.get(chunk) or self.chunks[chunk]
+            made = fresh.get(chunk)
+            if made is not None:
+                lead, head, words, tail, trail = made
+                first, final = (words[0], words[-1]) if words else (b"", b"")
+            else:
+                lead, head, _, tail, trail, first, final = self.chunks[chunk]
             if lead:
-                out[-1] = carry or None
+                out[-1] = (before, carry, first) if carry else None
                 carry = b""
             if head is not None:
                 carry += head
                 if tail is None and not trail:  # one unbroken word: widen
                     out.append(None)
                     continue
-                out[-1] = carry or None
+                out[-1] = (before, carry, first) if carry else None
                 carry = b""
+            before = final
             if tail is not None:
                 carry = tail
             out.append(None)
         if carry:
-            out[-1] = carry
+            out[-1] = (before, carry, b"")
         return out
 
 
@@ -209,7 +243,7 @@ def _encoder(content, mask: int, cache_chunks: int, cache_words: int, digests: b
     return run
 
 
-def encode(docs: DataFrame, tokenizer: str, *, digests: bool = False, mask_bits: int = 8,
+def encode(docs: DataFrame, tokenizer: str, *, digests: bool = False, mask_bits: int = 9,
            cache_chunks: int = 40_000, cache_words: int = 250_000,
            batch_bytes: int = 1 << 20) -> DataFrame:
     """Token ids and decoded text of every document.
