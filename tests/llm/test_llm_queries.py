@@ -4,10 +4,11 @@ import pytest
 
 import corpus_pipeline
 from tools.check_oracle import compare
-from wearline.llm import mixing, rules
+from wearline.llm import common, mixing, rules
 from wearline.llm.common import table
 from wearline.llm.oracle import ORACLE
 from wearline.llm.queries import QUERIES
+from wearline.session import path_exists
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -63,7 +64,18 @@ def test_pipeline_edge_rows_and_columns(spark, tmp_path):
         rows.write.parquet(out := str(tmp_path / name))
         rows = spark.read.parquet(out)
         assert rows.columns == names
-    assert corpus_pipeline.run(spark, path).columns == ["doc_id", "n_tokens", "ids", "decoded"]
+    out = corpus_pipeline.run(spark, path)
+    assert out.columns == ["doc_id", "n_tokens", "ids", "decoded"]
+    # only the last result is left of the run's tables, until it is swept
+    base = common._MADE[-1]
+    assert [path_exists(spark, f"{base}/{i}") for i in range(5)] == [False] * 4 + [True]
+    with common.sweeping(spark):
+        mixing.mix(docs).count()
+        made = common._MADE[-1]
+        assert path_exists(spark, made)
+    assert not path_exists(spark, made) and path_exists(spark, base)
+    common.sweep(spark)
+    assert not path_exists(spark, base)
 
 
 def test_pipeline_of_empty_tables(spark, tmp_path):
@@ -157,20 +169,3 @@ def test_no_source_is_lost_beside_a_large_one(spark):
         assert abs(r["sum(taken)"] - r["max(target)"]) <= 1
     kept = {r.doc_id for r in mixing.repeat_by_taken(df, mixed).collect()}
     assert kept == {r[0] for r in rows}
-
-
-def test_intermediate_folders_are_swept(spark, sf):
-    from wearline.llm import common
-    from wearline.session import path_exists
-
-    with common.sweeping(spark):
-        QUERIES["op1_quality_rules"](spark, sf).count()
-        made = list(common._MADE[-1:])
-        assert made and path_exists(spark, made[0])
-    assert made[0] not in common._MADE and not path_exists(spark, made[0])
-    out = corpus_pipeline.run(spark, sf)
-    assert out.count() > 0  # the last result is still there
-    base = common._MADE[-1]
-    assert [path_exists(spark, f"{base}/{i}") for i in range(5)] == [False] * 4 + [True]
-    common.sweep(spark)
-    assert not path_exists(spark, base)
