@@ -7,33 +7,36 @@ rest of it in units of ``2**-34``, and the rest of that in units of ``2**-58`` (
 values from a 32nd on).  The mean is the same double bit for bit, whatever the splits, the
 retries and the number of tasks, and as near to the exact mean as doubles allow.
 
-Values of 2**20 and more, infinite values and NaN are summed as doubles beside.  The exact sums
-hold ``2**53 / |x|`` rows a group (9e12 rows of values below 1,000); beyond that Spark's integer
-sum fails, it does not wrap.
+Values of 2**20 and more, infinite values and NaN are summed as doubles in the third sum (values
+above 1e290 as infinite).  The exact sums hold ``2**53 / |x|`` rows a group (9e12 rows of values
+below 1,000); beyond that Spark's integer sum fails, it does not wrap.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from collections.abc import Sequence
 
+from pyspark.sql import DataFrame
 
-# Fields of partial state a mean takes.
-FIELDS = 5
+
+def with_parts(df: DataFrame, keep: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """``keep`` and the double ``columns``, each of these with its parts ``_h_, _m_, _l_<column>``:
+    whole numbers of 2**-10, of 2**-34 and of 2**-58.  All scaling is by powers of two, so exact."""
+    head = [f"`{k}`" for k in keep] + [f"`{c}`" for c in columns]
+    step = df.selectExpr(*head, *[f"CASE WHEN abs(`{c}`) < 1048576 THEN floor(`{c}` * 1024) END AS `_h_{c}`" for c in columns])
+    step = step.selectExpr(*head, *[x for c in columns for x in (
+        f"`_h_{c}`", f"(`{c}` * 1024 - `_h_{c}`) * 16777216 AS `_r_{c}`")])
+    return step.selectExpr(*head, *[x for c in columns for x in (
+        f"`_h_{c}`", f"floor(`_r_{c}`) AS `_m_{c}`",
+        f"CASE WHEN `_h_{c}` IS NULL THEN `{c}` * 288230376151711744D "  # 2**58
+        f"ELSE rint((`_r_{c}` - floor(`_r_{c}`)) * 16777216) END AS `_l_{c}`")])
 
 
-def exact_avg_text(value: str) -> str:
-    """SQL text of the order-independent mean of a double expression; NULL without values."""
-    fits = f"abs({value}) < 1048576"
-    part = f"({value} * 1024 - floor({value} * 1024)) * 16777216"  # exact: scaled by a power of two
-    high = f"sum(CASE WHEN {fits} THEN floor({value} * 1024) END)"
-    low = f"sum(CASE WHEN {fits} THEN floor({part}) END)"
-    least = f"sum(CASE WHEN {fits} THEN CAST(rint(({part} - floor({part})) * 16777216) AS BIGINT) END)"
-    rest = f"sum(CASE WHEN NOT {fits} THEN {value} END)"
-    exact = f"({high} + ({low} + {least} / 16777216D) / 16777216D) / 1024D"
-    return f"try_divide(coalesce({exact}, 0D) + coalesce({rest}, 0D), count({value}))"
+# Fields of partial state a mean takes.
+FIELDS = 4
 
 
-def exact_avg(column: str) -> Column:
-    """Order-independent mean of a double column as an aggregate."""
-    return F.expr(exact_avg_text(f"`{column}`"))
+def mean_text(column: str) -> str:
+    """SQL text of the mean of a column of ``with_parts``; NULL without values."""
+    high, mid, low = (f"coalesce(sum(`_{x}_{column}`), 0)" for x in "hml")
+    return f"try_divide(({high} + ({mid} + {low} / 16777216D) / 16777216D) / 1024D, count(`{column}`))"

@@ -17,6 +17,7 @@ from wearline.functions.quantiles import attach_groups, exact_quantiles
 from wearline.functions.safe import half_even
 from wearline.functions.series import first_last_candidates
 from wearline.schema import DEGRADATION_SENSORS, FEATURE_COLUMNS, RAW_COLUMNS
+from wearline.session import scratch_dir
 from wearline.sources.text import (field, file_metadata, number, parse_head, parse_lines_dual,
                                    whole_number)
 
@@ -56,8 +57,16 @@ def cycle_counter(lines: DataFrame) -> DataFrame:
             .where(F.col("unit_number").isNotNull() & F.col("max_cycle").isNotNull()))
 
 
+def _first_reduce(cycle_counts: DataFrame) -> DataFrame:
+    """The first reduce's result (a row per unit) checkpointed in the shared folder: the second
+    reads it several times, the lines are parsed once."""
+    scratch_dir(cycle_counts.sparkSession)  # names the checkpoint folder
+    return cycle_counts.checkpoint()
+
+
 def lifetime_distribution(cycle_counts: DataFrame, digits: int | None = None) -> DataFrame:
     """Second reduce over the per-unit lifetimes: their distribution per data set."""
+    cycle_counts = _first_reduce(cycle_counts)
     out = cycle_counts.groupBy(*ID).agg(
         F.count(F.lit(1)).alias("units"),
         F.min("max_cycle").alias("min_life"),
@@ -78,6 +87,7 @@ def lifetime_histogram(cycle_counts: DataFrame, bins: int = 4) -> DataFrame:
 
     Bounds are the exact quantiles ``i / bins``, so every bin holds as equal a share of the
     units as ties allow; of bins with the same upper bound only the first has units."""
+    cycle_counts = _first_reduce(cycle_counts)
     ends = exact_quantiles(cycle_counts, ID, {f"q{i}": ("max_cycle", i / bins) for i in range(bins + 1)})
     ends = ends.select(*ID, F.array(*[f"q{i}" for i in range(bins + 1)]).alias("_ends"))
     # the first upper bound that is not below the lifetime

@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 
 from wearline.functions.distinct import number_bits, other_numbers
 from wearline.functions.joins import attach_one_row
-from wearline.functions.quantiles import attach_groups
 from wearline.functions.safe import safe_corr, condition_key, half_even, safe_ratio
-from wearline.functions.sums import FIELDS, exact_avg, exact_avg_text
+from wearline.functions.sums import mean_text, with_parts
 from wearline.operators.common import finish, subset
 from wearline.schema import CRITICAL_SENSORS, SENSOR_COLUMNS
 
@@ -98,21 +97,38 @@ def health_top20(readings: DataFrame, dataset_id: str = "FD001", k: int = 20,
 SENSORS_AT_ONCE = 14
 
 
+def sensor_statistics_long(readings: DataFrame, dataset_id: str = "FD001", dataset_type: str = "train",
+                           sensors: Sequence[str] | None = None) -> DataFrame:
+    """``sensor, pos, min, max, avg, std``, one row per sensor.
+
+    Global aggregates of at most SENSORS_AT_ONCE sensors, each over its own columns of the scan,
+    so that every one is compiled and they run side by side; only their one-row results are
+    turned to a row per sensor."""
+    sensors = list(sensors or SENSOR_COLUMNS)
+    rows = subset(readings, dataset_id, dataset_type)
+    functions = {"min": "min", "max": "max", "avg": "avg", "std": "stddev_pop"}
+    parts = []
+    for i in range(0, len(sensors), SENSORS_AT_ONCE):
+        some = sensors[i:i + SENSORS_AT_ONCE]
+        wide = rows.selectExpr(*[f"{fn}(`{s}`) AS `{s}_{name}`" for s in some for name, fn in functions.items()])
+        structs = ", ".join(f"named_struct('sensor', '{s}', 'pos', {sensors.index(s)}, "
+                            + ", ".join(f"'{name}', `{s}_{name}`" for name in functions) + ")" for s in some)
+        parts.append(wide.selectExpr(f"inline(array({structs}))"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionAll(part)
+    return out
+
+
 def sensor_statistics(readings: DataFrame, dataset_id: str = "FD001",
                       dataset_type: str = "train", sensors: Sequence[str] | None = None,
                       digits: int | None = None) -> DataFrame:
-    """One wide row: ``<sensor>_min/_max/_avg/_std`` for every sensor, one scan."""
+    """One wide row: ``<sensor>_min/_max/_avg/_std`` for every sensor."""
     sensors = list(sensors or SENSOR_COLUMNS)
-    rows = subset(readings, dataset_id, dataset_type)
-    # Global aggregates of at most SENSORS_AT_ONCE sensors, each over its own columns of the
-    # scan, so that every one is compiled; their one-row results stand side by side.
-    parts = [rows.selectExpr(*[
-        f"{fn}(`{s}`) AS `{s}_{suffix}`" for s in sensors[i:i + SENSORS_AT_ONCE]
-        for fn, suffix in (("min", "min"), ("max", "max"), ("avg", "avg"), ("stddev_pop", "std"))])
-        for i in range(0, len(sensors), SENSORS_AT_ONCE)]
-    df = parts[0]
-    for part in parts[1:]:
-        df = attach_one_row(df, part)
+    long = sensor_statistics_long(readings, dataset_id, dataset_type, sensors)
+    one = long.selectExpr("sensor", "struct(min, max, avg, std) AS v").agg(
+        F.map_from_entries(F.collect_list(F.struct("sensor", "v"))).alias("m"))
+    df = one.selectExpr(*[f"m['{s}'].{name} AS `{s}_{name}`" for s in sensors for name in ("min", "max", "avg", "std")])
     return finish(df, None, None, digits,
                   [f"{s}_{k}" for s in sensors for k in ("avg", "std")])
 
@@ -121,27 +137,16 @@ def sensor_stats_table(readings: DataFrame, dataset_id: str = "FD001",
                        dataset_type: str = "train",
                        sensors: Sequence[str] = CRITICAL_SENSORS, digits: int = 2) -> DataFrame:
     """Long table (Sensor, Min, Max, Mean, Std Dev) rounded half-even to ``digits``.
-
-    The wide one-row statistics are computed first; only that row is unpivoted.
     """
-    wide = sensor_statistics(readings, dataset_id, dataset_type, sensors)
-    stack = F.explode(F.array(*[
-        F.struct(F.lit(s).alias("sensor"), F.col(f"{s}_min").alias("mn"),
-                 F.col(f"{s}_max").alias("mx"), F.col(f"{s}_avg").alias("av"),
-                 F.col(f"{s}_std").alias("sd"), F.lit(i).alias("pos"))
-        for i, s in enumerate(sensors)])).alias("r")
-    return (wide.select(stack).select(
-        F.col("r.sensor").alias("sensor"),
-        half_even("r.mn", digits).alias("min"), half_even("r.mx", digits).alias("max"),
-        half_even("r.av", digits).alias("mean"), half_even("r.sd", digits).alias("std_dev"),
-        F.col("r.pos").alias("_pos"))
-        .orderBy("_pos").drop("_pos"))
+    long = sensor_statistics_long(readings, dataset_id, dataset_type, sensors)
+    return (long.select(
+        "sensor", half_even("min", digits).alias("min"), half_even("max", digits).alias("max"),
+        half_even("avg", digits).alias("mean"), half_even("std", digits).alias("std_dev"), "pos")
+        .orderBy("pos").drop("pos"))
 
 
 # Digits beyond those shown that exact means are first rounded to.
 GUARD = 6
-# Partial states of means, with the key and the count below the 100 fields that Spark compiles.
-MEANS_AT_ONCE = 98 // FIELDS
 
 
 def degradation_trend(readings: DataFrame, dataset_id: str = "FD001",
@@ -149,17 +154,10 @@ def degradation_trend(readings: DataFrame, dataset_id: str = "FD001",
                       digits: int | None = None) -> DataFrame:
     """Fleet mean of each sensor per cycle and the number of readings at that cycle; the means
     do not depend on the order of the rows."""
-    rows, sensors = subset(readings, dataset_id, dataset_type), list(sensors)
-    # Aggregates of at most MEANS_AT_ONCE means, each over its own columns of the scan, so that
-    # every one is compiled; their results (a row per cycle) are joined.
-    parts = [rows.groupBy("time_cycles").agg(
-        *([F.count(F.lit(1)).alias("unit_count")] if i == 0 else []),
-        *[F.expr(f"{exact_avg_text(f'`{s}`')} AS `{s}`") for s in sensors[i:i + MEANS_AT_ONCE]])
-        for i in range(0, max(1, len(sensors)), MEANS_AT_ONCE)]
-    df = parts[0]
-    for part in parts[1:]:
-        df = attach_groups(df, part, ["time_cycles"])
-    return finish(df, ["time_cycles"], None, digits, sensors, guard=GUARD)
+    rows = with_parts(subset(readings, dataset_id, dataset_type), ["time_cycles"], sensors)
+    df = rows.groupBy("time_cycles").agg(
+        F.count(F.lit(1)).alias("unit_count"), *[F.expr(f"{mean_text(s)} AS `{s}`") for s in sensors])
+    return finish(df, ["time_cycles"], None, digits, list(sensors), guard=GUARD)
 
 
 def fleet_size_at_start(readings: DataFrame, dataset_id: str = "FD001",
@@ -202,12 +200,12 @@ def condition_metrics(readings: DataFrame, dataset_id: str = "FD002",
     """
     distinct = (F.approx_count_distinct("unit_number") if approx_distinct
                 else F.count_distinct("unit_number"))
-    df = (subset(readings, dataset_id, dataset_type)
-          .groupBy(condition_key().alias("operational_condition")).agg(
+    means = {"sensor_11": "avg_pressure", "sensor_12": "avg_fuel_ratio", "sensor_14": "avg_core_speed"}
+    rows = subset(readings, dataset_id, dataset_type).withColumn("operational_condition", condition_key())
+    df = (with_parts(rows, ["operational_condition", "unit_number"], list(means))
+          .groupBy("operational_condition").agg(
               distinct.alias("unique_engines"),
-              exact_avg("sensor_11").alias("avg_pressure"),
-              exact_avg("sensor_12").alias("avg_fuel_ratio"),
-              exact_avg("sensor_14").alias("avg_core_speed"),
+              *[F.expr(f"{mean_text(c)} AS {name}") for c, name in means.items()],
               F.count(F.lit(1)).alias("total_observations")))
     return finish(df, [F.desc("unique_engines"), "operational_condition"], k, digits,
                   ["avg_pressure", "avg_fuel_ratio", "avg_core_speed"], guard=GUARD)

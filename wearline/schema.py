@@ -22,6 +22,36 @@ READING_COLUMNS = RAW_COLUMNS + META_COLUMNS  # 28 columns
 FEATURE_COLUMNS = SETTING_COLUMNS + SENSOR_COLUMNS  # 24 model / summary features
 SERIES_KEY = ["dataset_id", "dataset_type", "unit_number"]
 
+# What the columns measure, with units; kept as column comments of the readings.
+COLUMN_COMMENTS = {
+    "unit_number": "Engine Unit ID",
+    "time_cycles": "Operational Cycle (Time)",
+    "op_setting_1": "Operational Setting 1 (Altitude)",
+    "op_setting_2": "Operational Setting 2 (Mach Number)",
+    "op_setting_3": "Operational Setting 3 (Throttle Resolver Angle)",
+    "sensor_1": "Total temperature at fan inlet (°R)",
+    "sensor_2": "Total temperature at LPC outlet (°R)",
+    "sensor_3": "Total temperature at HPC outlet (°R)",
+    "sensor_4": "Total temperature at LPT outlet (°R)",
+    "sensor_5": "Pressure at fan inlet (psia)",
+    "sensor_6": "Total pressure in bypass-duct (psia)",
+    "sensor_7": "Total pressure at HPC outlet (psia)",
+    "sensor_8": "Physical fan speed (rpm)",
+    "sensor_9": "Physical core speed (rpm)",
+    "sensor_10": "Engine pressure ratio (P50/P2)",
+    "sensor_11": "Static pressure at HPC outlet (psia)",
+    "sensor_12": "Ratio of fuel flow to Ps30 (pps/psi)",
+    "sensor_13": "Corrected fan speed (rpm)",
+    "sensor_14": "Corrected core speed (rpm)",
+    "sensor_15": "Bypass Ratio",
+    "sensor_16": "Burner fuel-air ratio",
+    "sensor_17": "Bleed Enthalpy",
+    "sensor_18": "Demanded fan speed (rpm)",
+    "sensor_19": "Demanded corrected fan speed (rpm)",
+    "sensor_20": "HPT coolant bleed (lbm/s)",
+    "sensor_21": "LPT coolant bleed (lbm/s)",
+}
+
 # The eleven sensors the reference treats as critical for health monitoring.
 CRITICAL_SENSORS = [
     "sensor_2", "sensor_3", "sensor_4", "sensor_7", "sensor_8",
@@ -56,7 +86,8 @@ DEGRADATION_SENSORS_LITERAL = {
 
 
 def _field(name: str, dtype: T.DataType) -> T.StructField:
-    return T.StructField(name, dtype, True)
+    comment = COLUMN_COMMENTS.get(name)
+    return T.StructField(name, dtype, True, {"comment": comment} if comment else None)
 
 
 RAW_SCHEMA = T.StructType(
