@@ -243,8 +243,8 @@ def _encoder(content, mask: int, cache_chunks: int, cache_words: int, digests: b
     return run
 
 
-def encode(docs: DataFrame, tokenizer: str, *, digests: bool = False, mask_bits: int = 9,
-           cache_chunks: int = 40_000, cache_words: int = 250_000,
+def encode(docs: DataFrame, tokenizer: str, *, digests: bool = False, mask_bits: int = 11,
+           cache_chunks: int = 10_000, cache_words: int = 250_000,
            batch_bytes: int = 1 << 20) -> DataFrame:
     """Token ids and decoded text of every document.
 
