@@ -40,6 +40,7 @@ from wearline.llm import lattice
 from wearline.llm.common import BLANK, map_arrow, shared_folder, stored
 
 LEGAL = frozenset((b"su", b"ua", b"au"))
+BROADCAST_REPEATS = 500_000
 COUNTS = ("blank", "duplicate", "truncated", "illegal")
 SEGMENT = ("conv_id long, part int, seg long, open boolean, n_rows long, blank long, duplicate long, truncated long, "
            "illegal long, first string, last string, min_turn long, max_turn long, turns long, cost long, audit string, "
@@ -70,17 +71,25 @@ def damage(turns: DataFrame) -> DataFrame:
 
 def _ordered(turns: DataFrame) -> DataFrame:
     """Distinct rows with their ``copies`` and whether the same role and text stand in an
-    earlier turn (``again``), ranged and sorted by conversation, turn, role and text."""
-    rows = (turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit(" ")).alias("role"),
+    earlier turn (``again``), ranged and sorted by conversation, turn, role and text.
+
+    What stands in several turns is found by hashes, without the texts, and broadcast up to
+    ``BROADCAST_REPEATS`` rows (some 60 bytes each), beyond that joined by shuffle."""
+    spark = turns.sparkSession
+    turns = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit(" ")).alias("role"),
                          F.coalesce("text", F.lit(" ")).alias("text"))
-            .groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("copies"))
-            .withColumn("print", F.md5(F.col("text").cast("binary"))))
-    several = (rows.groupBy(F.col("conv_id").alias("c"), F.col("role").alias("r"), F.col("print").alias("p"))
-               .agg(F.count(F.lit(1)).alias("n"), F.min("turn").alias("first_turn"), F.count_if(F.col("turn").isNull()).alias("no_turn"))
-               .where(F.col("n") > 1))
-    again = (F.col("n").isNotNull() & F.col("turn").isNotNull()
+    text_hash = F.md5(F.col("text").cast("binary"))
+    several = (turns.groupBy(F.col("conv_id").alias("c"), F.col("role").alias("r"), text_hash.alias("p"))
+               .agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count_if(F.col("turn").isNull()).alias("no_turn"))
+               .where((F.col("first_turn") < F.col("last_turn")) | ((F.col("no_turn") > 0) & F.col("first_turn").isNotNull())))
+    several = stored(several, shared_folder(spark, "conversations-repeats"))
+    if several.count() <= BROADCAST_REPEATS:
+        several = F.broadcast(several)
+    rows = (turns.groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("copies"))
+            .withColumn("print", text_hash))
+    again = (F.col("no_turn").isNotNull() & F.col("turn").isNotNull()
              & ((F.col("no_turn") > 0) | (F.col("turn") > F.col("first_turn"))))
-    rows = rows.join(several, same(rows.conv_id, several.c) & (rows.role == several.r) & (rows["print"] == several.p), "left")
+    rows = rows.join(several, same(rows.conv_id, F.col("c")) & (rows.role == F.col("r")) & (rows["print"] == F.col("p")), "left")
     order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text"]
     return (rows.select("conv_id", "turn", "role", "text", "copies", again.alias("again"))
             .repartitionByRange(*order).sortWithinPartitions(*order))
