@@ -125,3 +125,40 @@ def test_fleet_summary_scans_and_groups_once(spark, sf):
     plan = _plan(queries()["fleet_summary"](spark, sf))
     assert plan.count("FileScan") == 1
     assert "keys=[dataset_id#" in plan and "unit_number#" not in "".join(x for x in plan.splitlines() if "keys=[" in x and "unit_number" in x.split("functions")[0])
+
+
+def test_readings_are_shuffled_narrow_and_once(spark, sf):
+    """Numbering joins nothing and deals the table once, before the sensors are computed; the
+    stored layout adds no shuffle."""
+    from wearline.sources.fixtures import load_table, readings_from_lineitem
+
+    df = readings_from_lineitem(load_table(spark, sf, "lineitem"))
+    plan = _plan(df).split("Initial Plan")[0]
+    assert "Join" not in plan and plan.count("Exchange rangepartitioning") == 1
+    assert plan.index("518.5 AS ") < plan.index("Exchange rangepartitioning")  # printed from the result down
+    assert "_blk" in plan.split("Exchange rangepartitioning")[1].splitlines()[0]
+
+
+def test_text_and_csv_writes_do_not_sort_wide_rows(spark, sf, monkeypatch, tmp_path):
+    """Few file names are written side by side; parts are compressed except for the listings."""
+    from wearline.plans import tables
+    from wearline.sources import text
+
+    monkeypatch.setattr(tables, "scratch_dir", lambda s: str(tmp_path))
+    tables._LAYOUTS.clear(), tables._FRAMES.clear()
+    open_now = []
+    real = tables.open_writers
+    for module in (tables, text):
+        monkeypatch.setattr(module, "open_writers", lambda s: open_now.append(1) or real(s))
+    try:
+        a = tables.lines(spark, sf, "blank").select("value")
+        b = tables.lines(spark, sf, "blank", plain=True).select("value")
+        tables.rul_text(spark, sf)
+        assert a.count() == b.count() > 0 and a.exceptAll(b).count() == 0
+        assert {p.suffix for p in tmp_path.rglob("*-gz/source=*/part-*")} == {".gz"}
+        assert {p.suffix for p in tmp_path.rglob("lines-blank/source=*/part-*")} == {".txt"}
+        text.csv_write(tables.readings_unstored(spark, sf).limit(50), str(tmp_path / "csv"))
+        assert len(open_now) == 4
+        assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    finally:
+        tables._LAYOUTS.clear(), tables._FRAMES.clear()
