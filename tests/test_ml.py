@@ -1,6 +1,7 @@
 """Model invariants (rows-only in the driver check)."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from wearline.operators import ml as ML
 
@@ -101,3 +102,15 @@ def test_predictions_equal_a_walk_through_the_nodes(spark, readings, tmp_path):
         last = max(c for u, c in rows if u == r.unit_number)
         assert r.current_cycle == last and abs(r.predicted_rul - expected[r.unit_number, last]) < 1e-9
         assert abs(r.total_predicted_life - last - expected[r.unit_number, last]) < 1e-9
+
+
+def test_training_rows_are_dealt_in_bounded_tasks(spark, readings):
+    """One file of many rows is dealt over tasks of bounded size, no row lost; the forest sees those."""
+    rows = ML.training_rows(readings).where("usable").drop("usable").coalesce(1)
+    n = rows.count()
+    dealt = ML.dealt_rows(rows, rows_per_task=20)
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == n and len(sizes) > n / 40 and max(sizes) < 60
+    assert dealt.exceptAll(rows).count() == 0
+    with pytest.raises(ValueError, match="no training rows"):
+        ML.dealt_rows(rows.where("false"))
