@@ -114,3 +114,14 @@ def test_training_rows_are_dealt_in_bounded_tasks(spark, readings):
     assert dealt.exceptAll(rows).count() == 0
     with pytest.raises(ValueError, match="no training rows"):
         ML.dealt_rows(rows.where("false"))
+
+
+def test_prediction_query_keeps_the_label_range(spark, sf, monkeypatch):
+    """Predictions, and whether each lies in the range of the training labels."""
+    from wearline.plans import catalog
+
+    monkeypatch.setattr(catalog, "MODEL", {"num_trees": 3, "max_depth": 3, "seed": 42})
+    rows = catalog.QUERIES["predict_rul"](spark, sf).collect()
+    top = catalog.QUERIES["rul_label"](spark, sf).agg(F.max("rul")).first()[0]
+    assert rows and all(r.in_range == (0 <= r.prediction <= top) for r in rows)
+    assert all(r.reason is None and r.in_range for r in rows)
