@@ -208,6 +208,23 @@ def test_block_row_number_equals_window(spark):
         want.select("k", "id", "rn").collect())
 
 
+def test_block_row_number_with_null_blocks_and_coarse_blocks(spark):
+    """Rows without a block take the first numbers and are left out, as those without a key; the
+    numbers are the same for fine and for coarse blocks, and any number of ranges."""
+    from pyspark.sql import Window
+
+    from wearline.functions.series import block_row_number
+
+    rnd = random.Random(5)
+    rows = [(rnd.choice(["x", "y", "z", None]), rnd.choice([None, *range(1, 41)]), i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, day int, id int").repartition(5)
+    want = sorted(df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("day", "id")))
+                  .where("k IS NOT NULL AND day IS NOT NULL").select("k", "id", "rn").collect())
+    for block, n in (("day", None), (F.col("day") / 10, 3), (F.floor(F.col("day") / 20), 17)):
+        got = block_row_number(df, ["k"], ["day", "id"], block, name="rn", partitions=n)
+        assert sorted(got.select("k", "id", "rn").collect()) == want
+
+
 def test_condition_chart_only_for_multi_condition_sets(spark, readings):
     from wearline.operators.pipelines import condition_metrics_top15
     from wearline.schema import dataset_dim
