@@ -162,3 +162,15 @@ def test_text_and_csv_writes_do_not_sort_wide_rows(spark, sf, monkeypatch, tmp_p
         assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
     finally:
         tables._LAYOUTS.clear(), tables._FRAMES.clear()
+
+
+def test_job_result_filter_stores_one_text(spark, sf, monkeypatch, tmp_path):
+    from wearline.plans import tables
+
+    monkeypatch.setattr(tables, "scratch_dir", lambda s: str(tmp_path))
+    tables._LAYOUTS.clear(), tables._FRAMES.clear()
+    try:
+        assert queries()["job_result_filter"](spark, sf).count() == 6
+        assert len({p for p in tmp_path.rglob("lines-*") if p.is_dir()}) == 1
+    finally:
+        tables._LAYOUTS.clear(), tables._FRAMES.clear()
