@@ -636,3 +636,33 @@ def test_ingest_reports_are_appended(spark, tmp_path):
         assert sorted((x.file_name, x.rows, x.status) for x in r.collect()) == [("notes.txt", None, "skipped"), ("train_FD001.txt", 2, "success")]
     table = ingest_reports(spark, str(tmp_path / "reports"))
     assert table.count() == 4 and table.select("run").distinct().count() == 2
+
+
+def test_ingest_of_files_in_unit_order_shuffles_no_rows(spark, tmp_path, monkeypatch):
+    """Parts in unit order are parsed into the table straight; parts whose units overlap are
+    ranged.  Rows, order and report are the same."""
+    from wearline.sources import ingest
+
+    ranged = []
+    real = ingest._layout_frame
+    monkeypatch.setattr(ingest, "_layout_frame", lambda *a: ranged.append(1) or real(*a))
+
+    def load(name, *parts):
+        folder = tmp_path / name / "raw" / "train_FD001.txt"
+        folder.mkdir(parents=True)
+        for i, units in enumerate(parts):
+            (folder / f"part-{i}").write_text("".join(
+                f"{u} {c} " + " ".join(["x" if (u, c) == (3, 2) else "0.5"] * 24) + "\n" for u in units for c in (2, 1)))
+        (tmp_path / name / "raw" / "test_FD001.txt").write_text("\n \n")  # nothing to load
+        table = str(tmp_path / name / "table")
+        report = ingest.ingest_files(spark, str(tmp_path / name / "raw"), table).collect()
+        for f in (tmp_path / name / "table").rglob("part-*.parquet"):
+            keys = [(r.unit_number, r.time_cycles) for r in spark.read.parquet(str(f)).collect()]
+            assert keys == sorted(keys)
+        return sorted(map(str, report)), sorted(map(str, spark.read.parquet(table).collect()))
+
+    straight = load("a", [4, 5], [1, 2], [2, 3])  # unit 2 goes on in the next part
+    assert not ranged and len(straight[1]) == 12
+    assert any("train_FD001.txt" in r and "rows=12, bad_rows=1" in r for r in straight[0])
+    assert load("b", [4, 1], [5, 2], [2, 3]) == straight
+    assert ranged
