@@ -164,6 +164,22 @@ def test_text_and_csv_writes_do_not_sort_wide_rows(spark, sf, monkeypatch, tmp_p
         tables._LAYOUTS.clear(), tables._FRAMES.clear()
 
 
+def test_a_numbering_task_sorts_few_rows(spark):
+    """Tasks follow the table's estimated size (here of generated rows, nothing is run)."""
+    import re
+
+    from wearline.sources.fixtures import readings_from_lineitem
+
+    rows = 30_000_000
+    cols = [f"id AS {c}" for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")]
+    cols += [f"CAST(id AS DOUBLE) AS {c}" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]
+    cols += ["CAST(id AS STRING) AS l_returnflag", "CAST(id AS STRING) AS l_linestatus", "timestamp_seconds(id) AS l_shipdate"]
+    df = readings_from_lineitem(spark.range(rows).selectExpr(*cols))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    tasks = int(re.search(r"RepartitionByExpression \[.*\], (\d+)", plan).group(1))
+    assert rows / tasks <= 150_000
+
+
 def test_job_result_filter_stores_one_text(spark, sf, monkeypatch, tmp_path):
     from wearline.plans import tables
 
