@@ -666,3 +666,21 @@ def test_ingest_of_files_in_unit_order_shuffles_no_rows(spark, tmp_path, monkeyp
     assert any("train_FD001.txt" in r and "rows=12, bad_rows=1" in r for r in straight[0])
     assert load("b", [4, 1], [5, 2], [2, 3]) == straight
     assert ranged
+
+
+def test_readings_in_ranges_are_rewritten_where_they_lie(spark, sf, readings, tmp_path, monkeypatch):
+    """A stored table's tasks hold ranges of units: loading it again shuffles no rows.  Others do."""
+    from wearline.plans import catalog
+    from wearline.session import own_splits
+    from wearline.sources import ingest as IN
+
+    dealt = str(tmp_path / "dealt")
+    readings.repartition(3).write.parquet(dealt)
+    expected = {tuple(r) for r in readings.groupBy("dataset_id", "dataset_type").count().collect()}
+    with own_splits(spark):
+        assert IN.in_unit_ranges(readings)
+        assert not IN.in_unit_ranges(spark.read.parquet(dealt))
+        monkeypatch.setattr(IN, "_layout_frame", lambda *a: pytest.fail("rows were shuffled"))
+        IN.data_layout(readings, str(tmp_path / "t"), ranged=True)
+    assert spark.read.parquet(str(tmp_path / "t")).exceptAll(readings).isEmpty()
+    assert {tuple(r) for r in catalog.QUERIES["replace_ingest"](spark, sf).collect()} == expected
