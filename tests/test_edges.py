@@ -684,3 +684,6 @@ def test_readings_in_ranges_are_rewritten_where_they_lie(spark, sf, readings, tm
         IN.data_layout(readings, str(tmp_path / "t"), ranged=True)
     assert spark.read.parquet(str(tmp_path / "t")).exceptAll(readings).isEmpty()
     assert {tuple(r) for r in catalog.QUERIES["replace_ingest"](spark, sf).collect()} == expected
+    left = {tuple(r) for r in catalog.QUERIES["delete_stored"](spark, sf).collect()}
+    gone = next(n for d, t, n in expected if (d, t) == ("FD002", "test"))
+    assert left == {(d, t, n, gone) for d, t, n in expected if (d, t) != ("FD002", "test")}
